@@ -114,3 +114,256 @@ FROM flagged""",
 )
 def q_import_stats(spark, sf_dir):
     return clean.import_stats(flagged(spark, sf_dir, "flag"))
+
+
+# --- helpers for ordered oracle text ----------------------------------------
+
+def _tie(used: list[str], cols: list[str] | None = None) -> str:
+    cols = cols or OUT_COLUMNS
+    return ", ".join(f"{c} ASC NULLS LAST" for c in cols if c not in used)
+
+
+def ledger18(spark, sf_dir, kind: str = "flag") -> DataFrame:
+    return ledger(spark, sf_dir, kind).select(*OUT_COLUMNS)
+
+
+from ..operators import filters as FL  # noqa: E402
+from ..operators import paging as PG  # noqa: E402
+from ..operators import rules as RU  # noqa: E402
+from ..operators import summaries as SU  # noqa: E402
+from ..operators import views as VW  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators.ordering import desc_last  # noqa: E402
+
+_L = oracle_ledger_cte("flag")
+
+# --- audit rules (A49-A52) --------------------------------------------------
+
+_HV = (
+    "SELECT * FROM ledger WHERE ABS(rc_amount) >= 100000 ORDER BY ABS(rc_amount) DESC NULLS LAST, "
+    "posting_date DESC NULLS LAST, " + _tie(["posting_date"]) + " LIMIT 1000"
+)
+_WE = (
+    "SELECT * FROM ledger WHERE dayofweek(posting_date) IN (0, 6) ORDER BY posting_date DESC NULLS LAST, "
+    "voucher_id DESC NULLS LAST, " + _tie(["posting_date", "voucher_id"]) + " LIMIT 1000"
+)
+_ED = (
+    "SELECT * FROM ledger WHERE description IS NULL OR trim(description) = '' ORDER BY posting_date DESC NULLS LAST, "
+    "voucher_id DESC NULLS LAST, " + _tie(["posting_date", "voucher_id"]) + " LIMIT 1000"
+)
+
+
+@register("rule_high_value", _L + _HV)
+def q_rule_high_value(spark, sf_dir):
+    return RU.high_value(ledger18(spark, sf_dir), threshold=100000)
+
+
+@register("rule_weekend_entry", _L + _WE)
+def q_rule_weekend(spark, sf_dir):
+    return RU.weekend_entries(ledger18(spark, sf_dir))
+
+
+@register("rule_empty_description", _L + _ED)
+def q_rule_empty(spark, sf_dir):
+    return RU.empty_description(ledger18(spark, sf_dir))
+
+
+@register(
+    "rules_all",
+    _L
+    + f"SELECT *, 'high_value' AS rule FROM ({_HV}) UNION ALL SELECT *, 'weekend_entry' AS rule FROM ({_WE}) "
+    + f"UNION ALL SELECT *, 'empty_description' AS rule FROM ({_ED})",
+)
+def q_rules_all(spark, sf_dir):
+    return RU.run_rules(ledger18(spark, sf_dir), params={"high_value": {"threshold": 100000}})
+
+
+# --- summaries (A54-A58) ----------------------------------------------------
+
+
+@register(
+    "account_summary",
+    _L
+    + """SELECT ac_code, ac_caption, count(*) AS entry_count, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total_amount
+FROM ledger GROUP BY ac_code, ac_caption
+ORDER BY ABS(total_amount) DESC NULLS LAST, ac_code ASC NULLS LAST, ac_caption ASC NULLS LAST LIMIT 200""",
+)
+def q_account_summary(spark, sf_dir):
+    return SU.account_summary(ledger(spark, sf_dir))
+
+
+@register(
+    "monthly_summary",
+    _L
+    + """SELECT strftime(posting_date, '%Y-%m') AS posting_month, count(*) AS entry_count,
+  CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total_amount
+FROM ledger GROUP BY posting_month ORDER BY posting_month NULLS LAST""",
+)
+def q_monthly_summary(spark, sf_dir):
+    return SU.monthly_summary(ledger(spark, sf_dir))
+
+
+@register(
+    "voucher_imbalance",
+    _L
+    + """SELECT voucher_id, count(*) AS entry_count, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS voucher_amount
+FROM ledger GROUP BY voucher_id HAVING ABS(sum(rc_amount)) > 0.01
+ORDER BY ABS(voucher_amount) DESC NULLS LAST, voucher_id ASC NULLS LAST LIMIT 1000""",
+)
+def q_voucher_imbalance(spark, sf_dir):
+    return SU.voucher_imbalance(ledger(spark, sf_dir))
+
+
+@register(
+    "dataset_summary",
+    _L
+    + """SELECT CAST(count(*) AS VARCHAR) AS row_count,
+  coalesce(CAST(min(posting_date) AS VARCHAR), '') AS posting_date_min,
+  coalesce(CAST(max(posting_date) AS VARCHAR), '') AS posting_date_max,
+  coalesce(CAST(any_value(client_name) AS VARCHAR), '') AS client_name,
+  coalesce(CAST(any_value(fiscal_year) AS VARCHAR), '') AS fiscal_year
+FROM ledger""",
+)
+def q_dataset_summary(spark, sf_dir):
+    return SU.dataset_summary(ledger(spark, sf_dir))
+
+
+@register(
+    "browse",
+    _L + "SELECT * FROM ledger ORDER BY " + _tie([]) + " LIMIT 200",
+)
+def q_browse(spark, sf_dir):
+    df = ledger18(spark, sf_dir)
+    return SU.browse(df, 200, order=[F.col(OUT_COLUMNS[0]).asc_nulls_last()])
+
+
+@register(
+    "legacy_browse",
+    _L
+    + "SELECT voucher_id AS voucher_no, ac_caption AS ac_name, description AS summary, rc_amount FROM ledger "
+    + "ORDER BY voucher_no ASC NULLS LAST, ac_name ASC NULLS LAST, summary ASC NULLS LAST, rc_amount ASC NULLS LAST LIMIT 200",
+)
+def q_legacy_browse(spark, sf_dir):
+    j = VW.journal_view(ledger(spark, sf_dir)).select("voucher_no", "ac_name", "summary", "rc_amount")
+    return SU.browse(j, 200, order=[F.col("voucher_no").asc_nulls_last()])
+
+
+# --- views (A22, A23, A31) --------------------------------------------------
+
+
+@register(
+    "journal_view",
+    _L
+    + """SELECT posting_date AS book_date, voucher_id AS voucher_no, ac_code, ac_caption AS ac_name,
+  description AS summary, rc_amount, lc_amount, client_name, fiscal_year, source_file, import_batch_id
+FROM ledger""",
+)
+def q_journal_view(spark, sf_dir):
+    led = VW.normalise_created_at(ledger(spark, sf_dir))
+    VW.check_required(led)
+    return VW.journal_view(led).drop("created_at")
+
+
+# --- form filters and search (A43-A48, A53) --------------------------------
+
+FORM = FL.LedgerFilter(ac_name="E_ON", summary="gear", min_amount="20000", date_from="1995-06-01", date_to="1998-12-31")
+
+
+@register(
+    "form_filter",
+    _L
+    + """SELECT * FROM ledger WHERE ac_caption LIKE '%E_ON%' AND description LIKE '%gear%'
+  AND ABS(rc_amount) >= 20000 AND posting_date >= DATE '1995-06-01' AND posting_date <= DATE '1998-12-31'
+ORDER BY posting_date DESC NULLS LAST, voucher_id DESC NULLS LAST, """
+    + _tie(["posting_date", "voucher_id"])
+    + " LIMIT 1000",
+)
+def q_form_filter(spark, sf_dir):
+    return FL.filter_ledger(ledger18(spark, sf_dir), FORM)
+
+
+@register(
+    "form_voucher_equals",
+    _L
+    + """SELECT * FROM ledger WHERE voucher_id = 'v_100' ORDER BY posting_date DESC NULLS LAST,
+  voucher_id DESC NULLS LAST, """
+    + _tie(["posting_date", "voucher_id"])
+    + " LIMIT 1000",
+)
+def q_form_voucher(spark, sf_dir):
+    return FL.filter_ledger(ledger18(spark, sf_dir), FL.LedgerFilter(voucher_no=" v_100 "))
+
+
+NEEDLE = "1996-03-1"
+_ROWTEXT = "lower(concat_ws(' ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in OUT_COLUMNS) + "))"
+
+
+@register("search_rows", _L + f"SELECT * FROM ledger WHERE contains({_ROWTEXT}, '{NEEDLE}')")
+def q_search_rows(spark, sf_dir):
+    return FL.search_rows(ledger18(spark, sf_dir), NEEDLE)
+
+
+# --- grid sort, paging, sheets (A8, A59-A61) --------------------------------
+
+
+@register(
+    "page_info",
+    _L
+    + f"""SELECT count(*) AS total_rows, count(*) FILTER (WHERE contains({_ROWTEXT}, '{NEEDLE}')) AS filtered_rows,
+  CAST(ceil(count(*) FILTER (WHERE contains({_ROWTEXT}, '{NEEDLE}')) / 50.0) AS BIGINT) AS page_count,
+  CAST(count(*) FILTER (WHERE contains({_ROWTEXT}, '{NEEDLE}')) AS VARCHAR) || ' / ' || CAST(count(*) AS VARCHAR) AS row_label
+FROM ledger""",
+)
+def q_page_info(spark, sf_dir):
+    return PG.page_info(ledger18(spark, sf_dir), NEEDLE, 50)
+
+
+_GRID = "ORDER BY lower(ac_caption) DESC NULLS FIRST, " + _tie(["ac_caption"])
+
+
+@register("grid_page", _L + f"SELECT * FROM ledger {_GRID} LIMIT 100 OFFSET 300")
+def q_grid_page(spark, sf_dir):
+    df = ledger18(spark, sf_dir)
+    return PG.page(df, PG.grid_order(df, "ac_caption", descending=True), 100, 3)
+
+
+@register("grid_page_deep", _L + f"SELECT * FROM ledger {_GRID} LIMIT 20 OFFSET 42000")
+def q_grid_page_deep(spark, sf_dir):
+    df = ledger18(spark, sf_dir)
+    return PG.page(df, PG.grid_order(df, "ac_caption", descending=True), 20, 2100)
+
+
+@register(
+    "sheet_split",
+    _L
+    + """SELECT CAST(floor((rn - 1) / 10000) + 1 AS BIGINT) AS sheet_no, count(*) AS rows FROM (
+  SELECT row_number() OVER (ORDER BY posting_date DESC NULLS LAST, voucher_id DESC NULLS LAST, """
+    + _tie(["posting_date", "voucher_id"])
+    + """) AS rn FROM ledger) GROUP BY 1""",
+)
+def q_sheet_split(spark, sf_dir):
+    numbered = PG.split_sheets(ledger18(spark, sf_dir), [desc_last("posting_date"), desc_last("voucher_id")], 10000)
+    return PG.sheet_rows(numbered)
+
+
+# --- client routing and names (A24, A25) -----------------------------------
+
+
+@register(
+    "client_key",
+    "SELECT c_custkey, 'client_' || substr(sha1(trim(c_name)), 1, 8) AS client_key FROM customer",
+)
+def q_client_key(spark, sf_dir):
+    c = fx.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", TX.client_key("c_name").alias("client_key"))
+
+
+@register(
+    "safe_name",
+    r"""SELECT c_custkey, CASE WHEN s = '' THEN 'ledger_dataset' ELSE s END AS dataset_name FROM (
+  SELECT c_custkey, regexp_replace(regexp_replace(c_name || ' ' || c_mktsegment || ' 2024', '[^\p{L}\p{N}_-]', '_', 'g'),
+    '^_+|_+$', '', 'g') AS s FROM customer)""",
+)
+def q_safe_name(spark, sf_dir):
+    c = fx.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", TX.safe_name(F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("2024"))).alias("dataset_name"))
