@@ -35,6 +35,7 @@ from ..schema import (
 )
 
 INVALID = "_invalid"
+PAYLOAD = "_payload"
 SOURCE_ROW = "source_row"
 
 
@@ -90,11 +91,12 @@ def map_ledger(
     *,
     extra_columns: bool = False,
     keep: list[str] | None = None,
+    payload: bool = False,
 ) -> DataFrame:
     """Source rows -> ledger columns + ``source_row`` (if present) + ``_invalid``.
 
-    ``keep`` names source columns carried along unchanged (e.g. for a raw
-    payload of rejected rows).
+    ``keep`` names source columns carried along unchanged. ``payload`` adds
+    ``_payload``: the source row as JSON, computed for rejected rows only.
     """
     check_source_columns(df.columns, profile)
     m = profile.field_mapping
@@ -150,8 +152,16 @@ def map_ledger(
         exprs += [optional(getattr(m, c)).alias(c) for c in EXTRA_LEDGER_FIELDS]
     for k in keep or []:
         exprs.append(source_col(k).alias(k))
-    mapped = df.select(*exprs)
-    return mapped.withColumn(INVALID, invalid_condition())
+    src_names = [c for c in df.columns if c != SOURCE_ROW]
+    if payload:
+        exprs += [source_col(c).alias(f"_src_{i}") for i, c in enumerate(src_names)]
+    mapped = df.select(*exprs).withColumn(INVALID, invalid_condition())
+    if payload:
+        raw = F.to_json(F.struct(*[F.col(f"_src_{i}").alias(c) for i, c in enumerate(src_names)]))
+        mapped = mapped.withColumn(PAYLOAD, F.when(F.col(INVALID), raw)).drop(
+            *[f"_src_{i}" for i in range(len(src_names))]
+        )
+    return mapped
 
 
 def invalid_condition() -> Column:
