@@ -250,8 +250,8 @@ class _PreviewCols:
 
 
 def _fmt2(v: Column) -> Column:
-    """'%.2f' text of a decimal."""
-    return F.format_string("%.2f", v)
+    """'%.2f' text of a scale-2 decimal (its plain text form)."""
+    return v.cast("string")
 
 
 def amount_preview(

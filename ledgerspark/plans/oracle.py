@@ -72,7 +72,7 @@ PREFIXES = {
 }
 
 
-def flagged_cte(kind: str, client: str, year: str, batch: str, source_file: str = "raw_journal") -> str:
+def flagged_cte(kind: str, client: str, year: str, batch: str, source_file: str = "raw_journal", batch_sql: str | None = None) -> str:
     """CTE ``flagged``: ledger columns + source_row + invalid flag + message.
 
     ``client`` and ``year`` are SQL expressions (literals or src columns).
@@ -100,8 +100,8 @@ mapped AS (
     CAST({client} AS VARCHAR) AS client_name,
     CAST({year} AS INTEGER) AS fiscal_year,
     {_lit(source_file)} AS source_file,
-    {_lit(batch)} AS import_batch_id,
-    l_orderkey
+    {batch_sql or _lit(batch)} AS import_batch_id,
+    l_orderkey, src_year
   FROM raw_journal
 ),
 flagged AS (

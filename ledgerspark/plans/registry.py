@@ -367,3 +367,318 @@ def q_client_key(spark, sf_dir):
 def q_safe_name(spark, sf_dir):
     c = fx.table(spark, sf_dir, "customer")
     return c.select("c_custkey", TX.safe_name(F.concat_ws(" ", "c_name", "c_mktsegment", F.lit("2024"))).alias("dataset_name"))
+
+
+# --- quality reports (B6-B9) ------------------------------------------------
+
+from ..operators import quality as QU  # noqa: E402
+
+_RAW = O.with_ctes(O.RAW_JOURNAL)
+
+
+@register(
+    "amount_report",
+    _RAW
+    + """, conv AS (
+  SELECT *, CASE WHEN src_drcr IN ('借', 'D', 'Debit', 'S') THEN ABS(TRY_CAST(src_amount AS DECIMAL(18,2)))
+                 WHEN src_drcr IN ('贷', 'C', 'Credit', 'H') THEN -ABS(TRY_CAST(src_amount AS DECIMAL(18,2))) END AS rc
+  FROM raw_journal)
+SELECT count(*) AS rows, count(rc) AS converted_rows,
+  count(*) FILTER (WHERE src_amount IS NULL OR trim(src_amount) = '') AS empty_amount_rows,
+  count(*) FILTER (WHERE NOT (src_amount IS NULL OR trim(src_amount) = '')
+                     AND src_drcr NOT IN ('借', 'D', 'Debit', 'S', '贷', 'C', 'Credit', 'H')) AS unknown_flag_rows,
+  0::BIGINT AS both_filled_rows,
+  CAST(coalesce(sum(rc) FILTER (WHERE rc > 0), 0) AS DECIMAL(38,2)) AS debit_total,
+  CAST(coalesce(-sum(rc) FILTER (WHERE rc < 0), 0) AS DECIMAL(38,2)) AS credit_total,
+  CAST(coalesce(sum(rc), 0) AS DECIMAL(38,2)) AS net_total
+FROM conv""",
+)
+def q_amount_report(spark, sf_dir):
+    return QU.amount_report(fx.raw_journal(spark, sf_dir, source_row=False), fx.flag_profile())
+
+
+@register(
+    "amount_warnings",
+    _RAW
+    + """, conv AS (
+  SELECT *, COALESCE(ABS(TRY_CAST(src_debit AS DECIMAL(18,2))), 0) - COALESCE(ABS(TRY_CAST(src_credit AS DECIMAL(18,2))), 0) AS rc
+  FROM raw_journal)
+SELECT count(*) FILTER (WHERE rc > 0) AS positive_rows, count(*) FILTER (WHERE rc < 0) AS negative_rows,
+  count(*) FILTER (WHERE NULLIF(TRIM(src_debit), '') IS NOT NULL AND NULLIF(TRIM(src_credit), '') IS NOT NULL) AS both_filled_rows,
+  count(*) FILTER (WHERE NULLIF(TRIM(src_debit), '') IS NULL AND NULLIF(TRIM(src_credit), '') IS NULL) AS both_blank_rows,
+  count(*) FILTER (WHERE coalesce(TRY_CAST(src_debit AS DECIMAL(18,2)), 0) < 0
+                      OR coalesce(TRY_CAST(src_credit AS DECIMAL(18,2)), 0) < 0) AS negative_source_rows,
+  0::BIGINT AS unknown_flag_rows,
+  ((count(*) FILTER (WHERE rc > 0) = 0 OR count(*) FILTER (WHERE rc < 0) = 0)
+    AND count(*) FILTER (WHERE rc <> 0) > 0) AS all_one_sign
+FROM conv""",
+)
+def q_amount_warnings(spark, sf_dir):
+    return QU.amount_warnings(fx.raw_journal(spark, sf_dir, source_row=False), fx.debit_credit_profile())
+
+
+@register(
+    "balance_report",
+    _L
+    + """, per AS (SELECT voucher_id, sum(rc_amount) AS s, count(DISTINCT posting_date) AS dates FROM ledger GROUP BY voucher_id)
+SELECT count(*) AS vouchers, count(*) FILTER (WHERE abs(s) > 0.01) AS unbalanced_vouchers,
+  CAST(coalesce(sum(abs(s)) FILTER (WHERE abs(s) > 0.01), 0) AS DECIMAL(38,2)) AS imbalance_total,
+  count(*) FILTER (WHERE dates > 1) AS repeated_vouchers
+FROM per""",
+)
+def q_balance_report(spark, sf_dir):
+    return QU.balance_report(ledger(spark, sf_dir))
+
+
+def _blank(c: str) -> str:
+    return f"({c} IS NULL OR trim({c}) = '')"
+
+
+@register(
+    "cast_failures",
+    _RAW
+    + f"""
+SELECT * FROM (
+  SELECT 'posting_date' AS target_field, 'src_date' AS source_field, count(*) FILTER (WHERE {_blank('src_date')}) AS missing_rows,
+    count(*) FILTER (WHERE NOT {_blank('src_date')} AND TRY_CAST(src_date AS DATE) IS NULL) AS cast_failed_rows FROM raw_journal
+  UNION ALL SELECT 'voucher_id', 'src_voucher', count(*) FILTER (WHERE {_blank('src_voucher')}), 0 FROM raw_journal
+  UNION ALL SELECT 'ac_code', 'src_account', count(*) FILTER (WHERE {_blank('src_account')}), 0 FROM raw_journal
+  UNION ALL SELECT 'ac_caption', 'src_account_name', count(*) FILTER (WHERE {_blank('src_account_name')}), 0 FROM raw_journal
+  UNION ALL SELECT 'description', 'src_text', count(*) FILTER (WHERE {_blank('src_text')}), 0 FROM raw_journal
+  UNION ALL SELECT 'amount:amount', 'src_amount', count(*) FILTER (WHERE {_blank('src_amount')}),
+    count(*) FILTER (WHERE NOT {_blank('src_amount')} AND TRY_CAST(src_amount AS DECIMAL(18,2)) IS NULL) FROM raw_journal)""",
+)
+def q_cast_failures(spark, sf_dir):
+    return QU.cast_failures(fx.raw_journal(spark, sf_dir, source_row=False), fx.flag_profile())
+
+
+# --- amount preview and source preview (A4, A26) ----------------------------
+
+from ..sources.preview import preview as _preview  # noqa: E402
+
+_SRC_COLS = ["src_date", "src_voucher", "src_account", "src_account_name", "src_text", "src_amount", "src_drcr"]
+
+
+@register(
+    "source_preview",
+    _RAW
+    + "SELECT CAST(source_row AS VARCHAR) AS source_row, "
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in _SRC_COLS)
+    + " FROM raw_journal ORDER BY raw_journal.source_row LIMIT 10",
+)
+def q_source_preview(spark, sf_dir):
+    raw = fx.raw_journal(spark, sf_dir).select("source_row", *_SRC_COLS)
+    return _preview(raw, 10)
+
+
+@register(
+    "amount_preview",
+    _RAW
+    + """, s AS (SELECT * FROM raw_journal ORDER BY source_row LIMIT 10),
+p AS (SELECT source_row, coalesce(src_drcr, '') AS drcr_value, coalesce(src_amount, '') AS amount_value,
+  TRY_CAST(replace(trim(coalesce(src_amount, '')), ',', '') AS DECIMAL(18,2)) AS a FROM s)
+SELECT source_row, drcr_value, amount_value, '' AS debit_value, '' AS credit_value,
+  CASE WHEN a IS NULL THEN '' WHEN drcr_value IN ('借', 'D', 'Debit', 'S') THEN printf('%.2f', abs(a))
+       WHEN drcr_value IN ('贷', 'C', 'Credit', 'H') THEN printf('%.2f', -abs(a)) ELSE '无法识别借贷' END AS rc_amount
+FROM p""",
+)
+def q_amount_preview(spark, sf_dir):
+    from ..operators.clean import amount_preview
+
+    return amount_preview(fx.raw_journal(spark, sf_dir), fx.flag_profile(), 10, order=["source_row"])
+
+
+# --- store: publish, open, rollback, replace, duplicates (A5-A7, B1-B4, B15)
+
+from ..plans import history as HI  # noqa: E402
+from ..plans.importer import import_batch  # noqa: E402
+from ..plans.store import LedgerStore  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+
+def _store(spark) -> LedgerStore:
+    return LedgerStore(spark, scratch_path(spark, "store"))
+
+
+def _import(raw, store, batch_id, year=None, **kw):
+    year = F.col("src_year") if year is None else year
+    return import_batch(
+        raw, fx.flag_profile(), BatchInfo(CLIENT, year, batch_id, "raw_journal"), store, source_type="table", **kw
+    )
+
+
+def _oracle_batches(batch_sql: str) -> str:
+    return O.with_ctes(
+        O.RAW_JOURNAL, O.flagged_cte("flag", O._lit(CLIENT), "src_year", "", batch_sql=batch_sql)
+    ) + ",\nledger AS (SELECT * FROM flagged WHERE NOT invalid)\n"
+
+
+_COUNTS = (
+    "SELECT fiscal_year, import_batch_id, count(*) AS rows, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total "
+    "FROM ledger {where} GROUP BY fiscal_year, import_batch_id"
+)
+
+
+def _counts(df: DataFrame) -> DataFrame:
+    return df.groupBy("fiscal_year", "import_batch_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("rc_amount").cast("decimal(38,2)").alias("total")
+    )
+
+
+@register(
+    "store_roundtrip",
+    _oracle_batches("'batch-a'") + f"SELECT {O.LEDGER_OUT} FROM ledger",
+)
+def q_store_roundtrip(spark, sf_dir):
+    store = _store(spark)
+    _import(fx.raw_journal(spark, sf_dir), store, "batch-a")
+    return store.open_ledger().select(*OUT_COLUMNS)
+
+
+@register(
+    "store_rollback",
+    _oracle_batches("CASE WHEN src_year <= 1996 THEN 'batch-a' ELSE 'batch-b' END")
+    + _COUNTS.format(where="WHERE import_batch_id = 'batch-b'"),
+)
+def q_store_rollback(spark, sf_dir):
+    store = _store(spark)
+    raw = fx.raw_journal(spark, sf_dir)
+    _import(raw.filter(F.col("src_year") <= 1996), store, "batch-a")
+    _import(raw.filter(F.col("src_year") > 1996), store, "batch-b")
+    store.rollback_batch("batch-a")
+    return _counts(store.open_ledger())
+
+
+@register(
+    "store_replace",
+    _oracle_batches("CASE WHEN src_year = 1998 THEN 'batch-b' ELSE 'batch-a' END") + _COUNTS.format(where=""),
+)
+def q_store_replace(spark, sf_dir):
+    store = _store(spark)
+    raw = fx.raw_journal(spark, sf_dir)
+    _import(raw, store, "batch-a")
+    _import(raw.filter(F.col("src_year") == 1998), store, "batch-b", import_mode="new")
+    return _counts(store.open_ledger())
+
+
+_DUP_KEYS = ["posting_date", "voucher_id", "ac_code", "rc_amount", "description"]
+_DUP_ORACLE = (
+    _oracle_batches("'x'")
+    + """, a AS (SELECT * FROM ledger WHERE src_year <= 1996),
+b AS (SELECT * FROM ledger WHERE src_year >= 1996),
+bf AS (
+  SELECT b.*, (row_number() OVER (PARTITION BY """
+    + ", ".join(_DUP_KEYS)
+    + """ ORDER BY source_row) > 1
+     OR EXISTS (SELECT 1 FROM a WHERE """
+    + " AND ".join(f"a.{k} IS NOT DISTINCT FROM b.{k}" for k in _DUP_KEYS)
+    + """)) AS is_duplicate
+  FROM b)
+"""
+)
+
+
+def _dup_setup(spark, sf_dir, mode):
+    store = _store(spark)
+    raw = fx.raw_journal(spark, sf_dir)
+    _import(raw.filter(F.col("src_year") <= 1996), store, "batch-a")
+    _import(raw.filter(F.col("src_year") >= 1996), store, "batch-b", duplicate_mode=mode)
+    return store
+
+
+@register(
+    "duplicates_mark",
+    _DUP_ORACLE + "SELECT fiscal_year, is_duplicate, count(*) AS rows FROM bf GROUP BY fiscal_year, is_duplicate",
+)
+def q_duplicates_mark(spark, sf_dir):
+    store = _dup_setup(spark, sf_dir, "mark")
+    led = store.open_ledger(with_duplicate_flag=True).filter(F.col("import_batch_id") == "batch-b")
+    return led.groupBy("fiscal_year", "is_duplicate").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "duplicates_skip",
+    _DUP_ORACLE
+    + """SELECT fiscal_year, import_batch_id, count(*) AS rows, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total FROM (
+  SELECT fiscal_year, 'batch-a' AS import_batch_id, rc_amount FROM a
+  UNION ALL SELECT fiscal_year, 'batch-b', rc_amount FROM bf WHERE NOT is_duplicate)
+GROUP BY fiscal_year, import_batch_id""",
+)
+def q_duplicates_skip(spark, sf_dir):
+    return _counts(_dup_setup(spark, sf_dir, "skip").open_ledger())
+
+
+@register(
+    "import_report",
+    _oracle_batches("'batch-a'").replace("ledger AS (SELECT * FROM flagged WHERE NOT invalid)", "ledger AS (SELECT * FROM flagged)")
+    + """SELECT 'batch-a' AS task_id, count(*) AS total_rows, count(*) FILTER (WHERE NOT invalid) AS success_rows,
+  count(*) FILTER (WHERE invalid) AS failed_rows, 0::BIGINT AS duplicate_rows,
+  count(*) FILTER (WHERE NOT invalid AND rc_amount > 0) AS positive_rows,
+  count(*) FILTER (WHERE NOT invalid AND rc_amount < 0) AS negative_rows,
+  count(*) FILTER (WHERE NOT invalid AND rc_amount = 0) AS zero_rows
+FROM ledger""",
+)
+def q_import_report(spark, sf_dir):
+    store = _store(spark)
+    _import(fx.raw_journal(spark, sf_dir), store, "batch-a")
+    return store.read("import_reports").select(
+        "task_id", "total_rows", "success_rows", "failed_rows", "duplicate_rows", "positive_rows", "negative_rows", "zero_rows"
+    )
+
+
+@register(
+    "store_errors",
+    _oracle_batches("'batch-a'").replace("ledger AS (SELECT * FROM flagged WHERE NOT invalid)", "ledger AS (SELECT * FROM flagged)")
+    + _ERR_SQL.lstrip(",").replace("FROM flagged WHERE invalid", "FROM ledger WHERE invalid").replace("errors AS", ", errors AS", 1)
+    + "SELECT * FROM errors",
+)
+def q_store_errors(spark, sf_dir):
+    store = _store(spark)
+    _import(fx.raw_journal(spark, sf_dir), store, "batch-a")
+    from ..schema import ERROR_COLUMNS
+
+    return store.open_errors().select(*ERROR_COLUMNS)
+
+
+@register(
+    "dataset_overview",
+    _L
+    + f"""SELECT 'Demo Client 1998' AS dataset_name, '{CLIENT}' AS client_name, '1998' AS fiscal_year,
+  CAST(count(*) AS VARCHAR) AS row_count,
+  CAST(min(posting_date) AS VARCHAR) || ' 至 ' || CAST(max(posting_date) AS VARCHAR) AS period, '可查询' AS status
+FROM ledger
+UNION ALL SELECT 'missing-dataset', '', '', '', '', '文件缺失'""",
+)
+def q_dataset_overview(spark, sf_dir):
+    store = _store(spark)
+    _import(fx.raw_journal(spark, sf_dir), store, BATCH, year=YEAR, dataset_name="Demo Client 1998")
+    HI.record_open(store, "missing-dataset")
+    HI.record_open(store, "Demo Client 1998")
+    return HI.overview(store).drop("last_opened_at")
+
+
+# --- CSV source round trip (A1, A21) ----------------------------------------
+
+from ..sources.csv import read_journal_csv  # noqa: E402
+
+
+@register(
+    "csv_source",
+    _RAW + "SELECT source_row AS orig_row, " + ", ".join(_SRC_COLS) + ", true AS file_order_ok FROM raw_journal",
+)
+def q_csv_source(spark, sf_dir):
+    from pyspark.sql import Window
+
+    raw = fx.raw_journal(spark, sf_dir).select(F.col("source_row").alias("orig_row"), *_SRC_COLS)
+    path = scratch_path(spark, "csv")
+    (
+        raw.repartitionByRange(4, "orig_row").sortWithinPartitions("orig_row").write.option("header", True)
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    )
+    back = read_journal_csv(spark, path)
+    # source_row restarts per file and follows file order
+    first = back.groupBy("source_file").agg(F.min(F.col("orig_row").cast("long")).alias("_m"))
+    ok = back.join(first, "source_file").withColumn(
+        "file_order_ok", F.col("source_row") == F.col("orig_row").cast("long") - F.col("_m") + 1
+    )
+    return ok.select(F.col("orig_row").cast("long").alias("orig_row"), *_SRC_COLS, "file_order_ok")

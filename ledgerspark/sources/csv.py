@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators.rowindex import with_source_row
 
+# Read-side marker for a quoted empty field (""), turned back into ''. An
+# unquoted empty field stays NULL, as in DuckDB's CSV reader.
+_QUOTED_EMPTY = "\ue000"
+
 
 def read_journal_csv(
     spark: SparkSession,
@@ -27,12 +31,17 @@ def read_journal_csv(
         .option("encoding", encoding)
         .option("sep", delimiter)
         .option("mode", "PERMISSIVE")
+        .option("emptyValue", _QUOTED_EMPTY)
     )
     df = reader.csv(paths)
+    df = df.select(
+        *[F.when(F.col(f"`{c}`") == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns],
+        "_metadata",
+    )
     df = df.withColumn("source_file", F.col("_metadata.file_name"))
     if source_row:
         df = with_source_row(df)
-    return df
+    return df.drop("_metadata")
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
