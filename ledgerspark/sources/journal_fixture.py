@@ -21,11 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-repartition a scan that yields fewer partitions than the cluster
+    has cores (e.g. one large row group); a large input already has many
+    splits and is left alone, so this never adds a shuffle at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def raw_journal(spark: SparkSession, sf_dir: str, source_row: bool = True) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate",
     )
+    li = spread(li, "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
     c = F.col
