@@ -705,3 +705,57 @@ def q_csv_source(spark, sf_dir):
         "file_order_ok", F.col("source_row") == F.col("orig_row").cast("long") - F.col("_m") + 1
     )
     return ok.select(F.col("orig_row").cast("long").alias("orig_row"), *_SRC_COLS, "file_order_ok")
+
+
+# --- free SQL over registered views (A33, B16, B17, tier C) -----------------
+
+SQL_QUERIES = {
+    "sql_account_equals": f"SELECT {O.LEDGER_OUT} FROM ledger WHERE ac_code = '1010'",
+    "sql_keyword": "SELECT voucher_id, ac_code, description, rc_amount FROM ledger WHERE description LIKE '%red gizmo%'",
+    "sql_voucher_equals": "SELECT voucher_no, ac_name, summary, rc_amount FROM journal WHERE voucher_no = 'v_1000'",
+    "sql_join_orders": """SELECT o.o_orderstatus, o.o_orderpriority, count(*) AS entries,
+  CAST(sum(l.rc_amount) AS DECIMAL(38,2)) AS total, count(DISTINCT l.voucher_id) AS vouchers
+FROM ledger l JOIN orders o ON o.o_orderkey = CAST(substr(l.voucher_id, 3) AS BIGINT)
+GROUP BY o.o_orderstatus, o.o_orderpriority""",
+    "sql_rollup": """SELECT ac_code, drcr, count(*) AS entries, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total
+FROM ledger GROUP BY ROLLUP (ac_code, drcr)""",
+    "sql_window_rank": """SELECT yr, mon, ac_code, total,
+  rank() OVER (PARTITION BY yr, mon ORDER BY total DESC, ac_code) AS rnk
+FROM (SELECT year(posting_date) AS yr, month(posting_date) AS mon, ac_code,
+        CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total
+      FROM ledger WHERE posting_date IS NOT NULL GROUP BY 1, 2, 3) t""",
+    "sql_set_ops": """SELECT voucher_id FROM ledger WHERE drcr = 'S'
+INTERSECT SELECT voucher_id FROM ledger WHERE drcr = 'H'
+EXCEPT SELECT voucher_id FROM ledger WHERE drcr = '借'""",
+    "sql_cte_subquery": """WITH big AS (
+  SELECT voucher_id, sum(rc_amount) AS s FROM ledger GROUP BY voucher_id HAVING sum(rc_amount) > 300000)
+SELECT ac_code, count(*) AS entries FROM ledger
+WHERE voucher_id IN (SELECT voucher_id FROM big) GROUP BY ac_code""",
+}
+
+
+def _sql_query(text: str):
+    def q(spark, sf_dir):
+        VW.register_views(spark, published_ledger(spark, sf_dir))
+        VW.register_table("orders", fx.table(spark, sf_dir, "orders"))
+        return VW.run_sql(spark, text)
+
+    return q
+
+
+_SQL_PREFIX = _L.rstrip() + """,
+journal AS (SELECT posting_date AS book_date, voucher_id AS voucher_no, ac_code, ac_caption AS ac_name,
+  description AS summary, rc_amount, lc_amount, client_name, fiscal_year, source_file, import_batch_id FROM ledger)
+"""
+
+
+def _oracle_for(text: str) -> str:
+    """Prefix the oracle CTEs; a user WITH list joins the same list."""
+    body = text.lstrip()
+    if body[:4].lower() == "with":
+        return _SQL_PREFIX.rstrip() + ",\n" + body[4:].lstrip()
+    return _SQL_PREFIX + body
+
+
+for _name, _text in SQL_QUERIES.items():
+    register(_name, _oracle_for(_text))(_sql_query(_text))
