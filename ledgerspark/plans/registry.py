@@ -759,3 +759,51 @@ def _oracle_for(text: str) -> str:
 
 for _name, _text in SQL_QUERIES.items():
     register(_name, _oracle_for(_text))(_sql_query(_text))
+
+
+# --- recent-first log over events (A41) -------------------------------------
+
+from ..operators.catalog import latest_per_key  # noqa: E402
+
+_LATEST = """SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1"""
+
+
+@register("latest_events", _LATEST + " ORDER BY ts DESC, event_id DESC LIMIT 30")
+def q_latest_events(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    return latest_per_key(ev, ["user_id", "event_type"], "ts", n=30, tiebreak=["event_id"])
+
+
+@register("latest_events_all", _LATEST)
+def q_latest_events_all(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    return latest_per_key(ev, ["user_id", "event_type"], "ts", tiebreak=["event_id"])
+
+
+# --- clean rules: empty tokens, day-first dates, thousand separators (B5) ---
+
+from ..schema import CleanRules  # noqa: E402
+
+
+@register(
+    "clean_rules",
+    oracle_ledger_cte("flag").replace(
+        "    src_text AS description,",
+        "    CASE WHEN trim(src_text) IN ('', 'NULL', 'N/A', '-') THEN NULL ELSE src_text END AS description,",
+    )
+    + "SELECT * FROM ledger",
+)
+def q_clean_rules(spark, sf_dir):
+    raw = fx.raw_journal(spark, sf_dir, source_row=False)
+    d = F.col("src_date")
+    dmy = F.when(d == "bad-date", d).otherwise(F.concat_ws("/", F.substring(d, 9, 2), F.substring(d, 6, 2), F.substring(d, 1, 4)))
+    amt = F.col("src_amount")
+    commas = F.when(amt == "n/a", amt).otherwise(F.format_number(amt.cast("decimal(18,2)"), 2))
+    exported = raw.withColumn("src_date", dmy).withColumn("src_amount", commas)
+    prof = fx.flag_profile().with_rules(
+        clean_rules=CleanRules(empty_tokens=("", "NULL", "N/A", "-"), date_dayfirst=True, amount_remove_commas=True)
+    )
+    flagged_ = clean.map_ledger(exported, prof, BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"))
+    return clean.ledger_rows(flagged_).select(*OUT_COLUMNS)
