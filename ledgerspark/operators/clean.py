@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.amounts import amount_sources, flag_in, parse_amount, signed_amount
 from ..functions.dates import tolerant_date
-from ..functions.text import as_text, is_blank, prefixed
+from ..functions.text import as_text, client_key, is_blank, prefixed
 from ..schema import (
     AMOUNT_TYPE,
     ERROR_COLUMNS,
@@ -205,11 +205,15 @@ def split_valid(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ledger_rows(flagged), error_rows(flagged)
 
 
-def import_stats(flagged: DataFrame) -> DataFrame:
+def import_stats(flagged: DataFrame, with_keys: bool = False) -> DataFrame:
     """One row: total, accepted, failed, positive / negative / zero amounts
-    and the date range of accepted rows, from one aggregation."""
+    and the date range of accepted rows, from one aggregation. ``with_keys``
+    adds the set of (client_name, fiscal_year) of accepted rows (bounded by
+    clients x years in one import)."""
     ok = ~F.col(INVALID)
     amt = F.col("rc_amount")
+    key = F.struct(client_key("client_name").alias("client_key"), "client_name", "fiscal_year")
+    keys = [F.collect_set(F.when(ok, key)).alias("batch_keys")] if with_keys else []
     return flagged.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(ok).alias("success_rows"),
@@ -219,6 +223,7 @@ def import_stats(flagged: DataFrame) -> DataFrame:
         F.count_if(ok & (amt == 0)).alias("zero_rows"),
         F.min(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_min"),
         F.max(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_max"),
+        *keys,
     )
 
 

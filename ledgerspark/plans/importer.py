@@ -157,15 +157,11 @@ def import_batch(
     flagged = clean.map_ledger(source, profile, batch, payload=keep_payload)
     flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = clean.import_stats(flagged).first()
-        # batch keys and client count of the accepted rows (tiny result)
-        keys_df = (
-            clean.ledger_rows(flagged)
-            .groupBy("client_name", "fiscal_year")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("client_key", client_key("client_name"))
-        )
-        keys = [(r["client_key"], r["client_name"], r["fiscal_year"], batch_id) for r in keys_df.collect()]
+        stats = clean.import_stats(flagged, with_keys=True).first()
+        keys = [
+            (k["client_key"], k["client_name"], k["fiscal_year"], batch_id)
+            for k in stats["batch_keys"]
+        ]
         if len({k[0] for k in keys}) > 1 and isinstance(batch.client_name, str):
             raise ImportError_("one client per batch")
 
