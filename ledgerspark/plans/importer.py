@@ -72,6 +72,7 @@ class ImportResult:
     status: str = "success"
     error_code: str | None = None
     error_message: str | None = None
+    quality: dict | None = None
 
     REPORT_KEYS = (
         "task_id client_name source_type source_path source_table target_table fiscal_year import_batch_id "
@@ -81,7 +82,10 @@ class ImportResult:
 
     def to_json(self) -> str:
         d = asdict(self)
-        return json.dumps({k: d[k] for k in self.REPORT_KEYS}, ensure_ascii=False, indent=2, default=str)
+        out = {k: d[k] for k in self.REPORT_KEYS}
+        if self.quality is not None:
+            out["quality"] = self.quality
+        return json.dumps(out, ensure_ascii=False, indent=2, default=str)
 
 
 REPORT_SCHEMA = T.StructType(
@@ -146,6 +150,8 @@ def import_batch(
     dataset_name: str | None = None,
     keep_payload: bool = True,
     error_sample_limit: int = 200,
+    persist: bool = True,
+    quality: bool = False,
 ) -> ImportResult:
     """Clean ``source`` (which should carry ``source_row``) with ``profile``
     and publish it as one batch of ``store``."""
@@ -155,7 +161,8 @@ def import_batch(
     spark = source.sparkSession
 
     flagged = clean.map_ledger(source, profile, batch, payload=keep_payload)
-    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    if persist:  # one scan of the source feeds stats, ledger and errors
+        flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = clean.import_stats(flagged, with_keys=True).first()
         keys = [
@@ -228,12 +235,33 @@ def import_batch(
             import_errors=sample,
             dataset_path=store.path("ledger"),
         )
+        if quality:
+            result.quality = import_quality(source, profile, clean.ledger_rows(flagged))
         _write_report(store, result, profile, dataset_name, batch)
         return result
     finally:
         flagged.unpersist()
 
 
+def import_quality(source: DataFrame, profile: IngestProfile, ledger: DataFrame) -> dict:
+    """Amount report and warnings, per-column missing / cast failures and
+    the voucher balance check, each one aggregation (small results)."""
+    from ..operators import quality as Q
+
+    def one(df: DataFrame) -> dict:
+        return {k: (str(v) if v is not None and not isinstance(v, (int, bool)) else v) for k, v in df.first().asDict().items()}
+
+    return {
+        "amount_mode": profile.amount_rules.mode,
+        "debit_values": list(profile.amount_rules.debit_values),
+        "credit_values": list(profile.amount_rules.credit_values),
+        "amount_report": one(Q.amount_report(source, profile)),
+        "amount_warnings": one(Q.amount_warnings(source, profile)),
+        "columns": [r.asDict() for r in Q.cast_failures(source, profile).collect()],
+        "voucher_balance": one(Q.balance_report(ledger)),
+    }
+
+
 def _write_report(store: LedgerStore, r: ImportResult, profile: IngestProfile, dataset_name, batch: BatchInfo) -> None:
     import datetime as dt
 

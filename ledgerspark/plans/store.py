@@ -188,6 +188,16 @@ class LedgerStore:
             )
         return df.select(*cols)
 
+    def open_dataset(self, dataset_name: str) -> DataFrame:
+        """Ledger rows of the (active) batches recorded under a dataset name."""
+        ds = self.read("datasets")
+        if ds is None:
+            raise KeyError(f"no dataset {dataset_name!r}")
+        ids = [r[0] for r in ds.filter(F.col("dataset_name") == dataset_name).select("import_batch_id").distinct().limit(MAX_LITERAL_BATCHES + 1).collect()]
+        if not ids:
+            raise KeyError(f"no dataset {dataset_name!r}")
+        return self.open_ledger().filter(F.col("import_batch_id").isin(ids))
+
     def open_errors(self, client_name: str | None = None, fiscal_year: int | None = None) -> DataFrame:
         df = self._visible("import_errors", STORED_ERROR_SCHEMA, client_name, fiscal_year)
         if df is None:
@@ -201,12 +211,24 @@ class LedgerStore:
         if not new_keys:
             return
         pairs = {(k[0], int(k[2])) for k in new_keys}
-        new_ids = {k[3] for k in new_keys}
-        active = self.batch_status().filter(F.col("status") == STATUS_ACTIVE).collect()
+        new_ids = sorted({k[3] for k in new_keys})
+        clients = sorted({p[0] for p in pairs})
+        years = sorted({p[1] for p in pairs})
+        # only the earlier active keys of these clients and years reach the driver
+        active = (
+            self.batch_status()
+            .filter(
+                (F.col("status") == STATUS_ACTIVE)
+                & F.col("client_key").isin(clients)
+                & F.col("fiscal_year").isin(years)
+                & ~F.col("import_batch_id").isin(new_ids)
+            )
+            .collect()
+        )
         old = [
             (r["client_key"], r["client_name"], r["fiscal_year"], r["import_batch_id"])
             for r in active
-            if (r["client_key"], r["fiscal_year"]) in pairs and r["import_batch_id"] not in new_ids
+            if (r["client_key"], r["fiscal_year"]) in pairs
         ]
         self.set_status(old, STATUS_REPLACED)
 

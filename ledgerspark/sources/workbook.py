@@ -33,6 +33,7 @@ _M = "{%s}" % _NS["m"]
 _R = "{%s}" % _NS["r"]
 _CELL_REF = re.compile(r"^([A-Z]+)(\d+)$")
 _BATCH = 5000
+MAX_WORKBOOK_TASKS = 100_000
 
 SHEETS_SCHEMA = "file string, sheet string, sheet_index int"
 CELLS_SCHEMA = "file string, sheet string, source_row long, cells map<string,string>"
@@ -169,8 +170,9 @@ def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) ->
     """Long cell rows of every workbook (one sheet by name, or all sheets).
     A workbook is parsed by one task; rows leave it in batches."""
     files = _files(spark, path).select("path", "content")
-    # one workbook per partition keeps a task's memory to one file
-    n = max(1, files.select("path").count())
+    # about one workbook per partition (a task streams its workbooks one at a
+    # time, so memory stays at one file either way); capped task count
+    n = min(max(1, files.select("path").count()), MAX_WORKBOOK_TASKS)
     return files.repartition(n, "path").mapInPandas(_read_cells(sheet), CELLS_SCHEMA)
 
 

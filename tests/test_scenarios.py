@@ -208,3 +208,17 @@ def test_blank_csv_fields_null_or_empty(spark, workdir):
     text = 'posting_date,voucher_id,ac_code,ac_caption,description,amount\n2024-01-02,"",1001,Cash,x,1\n2024-01-02,,1001,Cash,x,1\n'
     _, r = run_import(spark, workdir, text, direct_profile())
     assert r.failed_rows == 2
+
+
+def test_quality_report_and_dataset_lookup(spark, workdir):
+    import json
+
+    store, r = run_import(spark, workdir, ERRORS, direct_profile(), batch_id="q1", quality=True, dataset_name="Q ds")
+    q = json.loads(r.to_json())["quality"]
+    assert q["amount_report"]["converted_rows"] == 4 and q["amount_report"]["empty_amount_rows"] == 0
+    cols = {c["target_field"]: c for c in q["columns"]}
+    assert cols["posting_date"]["cast_failed_rows"] == 1 and cols["voucher_id"]["missing_rows"] == 1
+    assert q["voucher_balance"]["vouchers"] == 3
+    assert store.open_dataset("Q ds").count() == 3
+    rep = store.read("import_reports").first()
+    assert json.loads(rep["report_json"])["import_batch_id"] == "q1"
