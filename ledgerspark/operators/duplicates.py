@@ -27,9 +27,16 @@ def _on(left: DataFrame, right: DataFrame, keys: list[str]):
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_d_{k}"]) for k in keys])
 
 
-def mark_duplicates(new: DataFrame, history: DataFrame | None = None, keys: list[str] = DUPLICATE_KEY) -> DataFrame:
-    """``new`` (with source_row) + boolean ``is_duplicate``."""
-    first = new.groupBy(*keys).agg(F.min("source_row").alias("_first"))
+def mark_duplicates(
+    new: DataFrame,
+    history: DataFrame | None = None,
+    keys: list[str] = DUPLICATE_KEY,
+    where=None,
+) -> DataFrame:
+    """``new`` (with source_row) + boolean ``is_duplicate``. With ``where``
+    only rows meeting it take part (others are never duplicates)."""
+    cand = new if where is None else new.filter(where)
+    first = cand.groupBy(*keys).agg(F.min("source_row").alias("_first"))
     first = first.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_first")
     out = new.join(first, _on(new, first, keys), "left")
     dup = F.col("source_row") != F.col("_first")
@@ -39,6 +46,9 @@ def mark_duplicates(new: DataFrame, history: DataFrame | None = None, keys: list
         out = out.drop(*[f"_d_{k}" for k in keys])
         out = out.join(seen, _on(out, seen, keys), "left")
         dup = dup | F.coalesce(F.col("_seen"), F.lit(False))
+    dup = F.coalesce(dup, F.lit(False))
+    if where is not None:
+        dup = F.coalesce(where, F.lit(False)) & dup
     out = out.withColumn("is_duplicate", dup)
     return out.drop(*[c for c in out.columns if c.startswith("_d_")], "_first", "_seen")
 

@@ -13,7 +13,6 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +25,15 @@ from ..schema import (
     AUTO_BATCH_PREFIX,
     LEDGER_COLUMNS,
     REQUIRED_LEDGER_FIELDS,
+    ERROR_COLUMNS,
+    ROW_ERROR_CODE,
     STATUS_ACTIVE,
+    STATUS_FAILED,
     STATUS_STAGED,
     BatchInfo,
     IngestProfile,
 )
-from .store import LedgerStore
+from .store import ROW_REJECTED, ROW_SKIPPED, ROW_VALID, LedgerStore, error_view
 
 SOURCE_TYPES = {"excel", "csv", "table"}
 IMPORT_MODES = {"new", "append"}
@@ -150,97 +152,122 @@ def import_batch(
     dataset_name: str | None = None,
     keep_payload: bool = True,
     error_sample_limit: int = 200,
-    persist: bool = True,
     quality: bool = False,
+    allow_many_clients: bool = False,
 ) -> ImportResult:
     """Clean ``source`` (which should carry ``source_row``) with ``profile``
-    and publish it as one batch of ``store``."""
+    and publish it as one batch of ``store``.
+
+    One write stores every row with its status (valid / rejected / skipped
+    duplicate); statistics, batch keys and the error sample are read back
+    from that batch's partitions. Until the status log says ``active`` the
+    batch is invisible, so a failure at any point publishes nothing.
+    """
     _check_request(source_type, import_mode, duplicate_mode, profile)
     batch_id = batch.import_batch_id if isinstance(batch.import_batch_id, str) and batch.import_batch_id else auto_batch_id()
     batch = BatchInfo(batch.client_name, batch.fiscal_year, batch_id, batch.source_file)
-    spark = source.sparkSession
 
     flagged = clean.map_ledger(source, profile, batch, payload=keep_payload)
-    if persist:  # one scan of the source feeds stats, ledger and errors
-        flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    if clean.SOURCE_ROW not in flagged.columns:
+        flagged = flagged.withColumn(clean.SOURCE_ROW, F.lit(None).cast("long"))
+    invalid = F.col(clean.INVALID)
+    if duplicate_mode is None:
+        rows = flagged.withColumn("is_duplicate", F.lit(False))
+    else:
+        history = store.open_ledger()
+        if isinstance(batch.client_name, str):
+            history = history.filter(client_key("client_name") == client_key(F.lit(batch.client_name)))
+        else:
+            clients = flagged.select(client_key("client_name").alias("_ck")).distinct()
+            history = history.withColumn("_ck", client_key("client_name")).join(clients, "_ck", "left_semi").drop("_ck")
+        rows = duplicates.mark_duplicates(flagged, history, where=~invalid)
+    skip = F.lit(duplicate_mode == "skip")
+    rows = rows.select(
+        "*",
+        F.when(invalid, F.lit(ROW_REJECTED))
+        .when(F.col("is_duplicate") & skip, F.lit(ROW_SKIPPED))
+        .otherwise(F.lit(ROW_VALID))
+        .alias("row_status"),
+        F.when(invalid, F.lit(ROW_ERROR_CODE)).alias("error_code"),
+        F.when(invalid, clean.error_message()).alias("error_message"),
+        (F.col(clean.PAYLOAD) if keep_payload else F.lit(None).cast("string")).alias("raw_payload"),
+    )
+    store.write_rows(rows)
+
+    written = store.batch_rows(batch_id)
+    stats = batch_stats(written).first()
+    keys = [(k["client_key"], k["client_name"], k["fiscal_year"], batch_id) for k in stats["batch_keys"]]
+    dup_rows = stats["duplicate_rows"]
     try:
-        stats = clean.import_stats(flagged, with_keys=True).first()
-        keys = [
-            (k["client_key"], k["client_name"], k["fiscal_year"], batch_id)
-            for k in stats["batch_keys"]
-        ]
-        if len({k[0] for k in keys}) > 1 and isinstance(batch.client_name, str):
+        if not allow_many_clients and len({k[0] for k in keys}) > 1:
             raise ImportError_("one client per batch")
-
-        accepted = flagged.filter(~F.col(clean.INVALID))
-        dup_rows = 0
-        marked = None
-        if duplicate_mode is None:
-            rows = accepted.withColumn("is_duplicate", F.lit(False))
-        else:
-            history = store.open_ledger()
-            client_keys = sorted({k[0] for k in keys})
-            history = history.filter(client_key("client_name").isin(client_keys)) if client_keys else history.limit(0)
-            marked = duplicates.mark_duplicates(accepted, history).persist(StorageLevel.MEMORY_AND_DISK)
-            dup_rows = marked.filter(F.col("is_duplicate")).count()
-            if duplicate_mode == "strict" and dup_rows:
-                raise duplicates.DuplicateError(f"{dup_rows} duplicate rows (strict mode)")
-            rows = duplicates.skip_duplicates(marked) if duplicate_mode == "skip" else marked
-
-        store.set_status(keys, STATUS_STAGED)
-        store.write_ledger(rows.select(*LEDGER_COLUMNS, "is_duplicate"))
-        if marked is not None:
-            marked.unpersist()
-        payload = F.col(clean.PAYLOAD) if keep_payload else F.lit(None).cast("string")
-        errors = clean.error_rows(
-            flagged, extra=["client_name", "fiscal_year", "import_batch_id", payload.alias("raw_payload")]
-        )
-        store.write_errors(errors)
-
-        # publish checks: required columns present in what was written
-        missing = []
-        if stats["success_rows"]:
-            written = store.read("ledger")
-            missing = sorted(set(REQUIRED_LEDGER_FIELDS) - set(written.columns)) if written is not None else []
+        if duplicate_mode == "strict" and dup_rows:
+            raise duplicates.DuplicateError(f"{dup_rows} duplicate rows (strict mode)")
+        missing = sorted(set(REQUIRED_LEDGER_FIELDS) - set(written.columns))
         if missing:
-            raise ImportError_("written ledger lacks required columns: " + ", ".join(missing))
-        store.set_status(keys, STATUS_ACTIVE)
-        if import_mode == "new":
-            store.replace_earlier(keys)
-
-        sample = [r.asDict() for r in clean.error_sample(clean.error_rows(flagged), error_sample_limit).collect()]
-        year = batch.fiscal_year if isinstance(batch.fiscal_year, int) else None
-        client = batch.client_name if isinstance(batch.client_name, str) else ""
-        success = stats["success_rows"] - (dup_rows if duplicate_mode == "skip" else 0)
-        result = ImportResult(
-            task_id=batch_id,
-            client_name=client,
-            source_type=source_type,
-            source_path=source_path,
-            source_table=None,
-            target_table="ledger",
-            fiscal_year=year,
-            import_batch_id=batch_id,
-            import_mode=import_mode,
-            total_rows=stats["total_rows"],
-            success_rows=success,
-            failed_rows=stats["total_rows"] - success,
-            duplicate_rows=dup_rows,
-            positive_rows=stats["positive_rows"],
-            negative_rows=stats["negative_rows"],
-            zero_rows=stats["zero_rows"],
-            posting_date_min=stats["posting_date_min"],
-            posting_date_max=stats["posting_date_max"],
-            field_mapping_report=mapping_report_rows(profile.field_mapping),
-            import_errors=sample,
-            dataset_path=store.path("ledger"),
-        )
-        if quality:
-            result.quality = import_quality(source, profile, clean.ledger_rows(flagged))
-        _write_report(store, result, profile, dataset_name, batch)
-        return result
-    finally:
-        flagged.unpersist()
+            raise ImportError_("written rows lack required columns: " + ", ".join(missing))
+    except ValueError:
+        store.set_status(keys, STATUS_FAILED)
+        raise
+    store.set_status(keys, STATUS_STAGED)
+    store.set_status(keys, STATUS_ACTIVE)
+    if import_mode == "new":
+        store.replace_earlier(keys)
+
+    rejected = error_view(written.filter(F.col("row_status") == ROW_REJECTED)).select(*ERROR_COLUMNS)
+    sample = [r.asDict() for r in clean.error_sample(rejected, error_sample_limit).collect()]
+    year = batch.fiscal_year if isinstance(batch.fiscal_year, int) else None
+    client = batch.client_name if isinstance(batch.client_name, str) else ""
+    result = ImportResult(
+        task_id=batch_id,
+        client_name=client,
+        source_type=source_type,
+        source_path=source_path,
+        source_table=None,
+        target_table="ledger",
+        fiscal_year=year,
+        import_batch_id=batch_id,
+        import_mode=import_mode,
+        total_rows=stats["total_rows"],
+        success_rows=stats["success_rows"],
+        failed_rows=stats["total_rows"] - stats["success_rows"],
+        duplicate_rows=dup_rows,
+        positive_rows=stats["positive_rows"],
+        negative_rows=stats["negative_rows"],
+        zero_rows=stats["zero_rows"],
+        posting_date_min=stats["posting_date_min"],
+        posting_date_max=stats["posting_date_max"],
+        field_mapping_report=mapping_report_rows(profile.field_mapping),
+        import_errors=sample,
+        dataset_path=store.path("rows"),
+    )
+    if quality:
+        ledger = written.filter(F.col("row_status") == ROW_VALID)
+        result.quality = import_quality(source, profile, ledger)
+    _write_report(store, result, profile, dataset_name, batch)
+    return result
+
+
+def batch_stats(written: DataFrame) -> DataFrame:
+    """One aggregation over a written batch (a few pruned columns):
+    counts by status, amount signs and date range of accepted rows, the
+    duplicate count and the batch keys (bounded by clients x years)."""
+    st = F.col("row_status")
+    ok = st == ROW_VALID
+    amt = F.col("rc_amount")
+    key = F.struct("client_key", "client_name", "fiscal_year")
+    return written.agg(
+        F.count(F.lit(1)).alias("total_rows"),
+        F.count_if(ok).alias("success_rows"),
+        F.count_if(st == ROW_REJECTED).alias("rejected_rows"),
+        F.count_if(F.coalesce(F.col("is_duplicate"), F.lit(False))).alias("duplicate_rows"),
+        F.count_if(ok & (amt > 0)).alias("positive_rows"),
+        F.count_if(ok & (amt < 0)).alias("negative_rows"),
+        F.count_if(ok & (amt == 0)).alias("zero_rows"),
+        F.min(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_min"),
+        F.max(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_max"),
+        F.collect_set(key).alias("batch_keys"),
+    )
 
 
 def import_quality(source: DataFrame, profile: IngestProfile, ledger: DataFrame) -> dict:

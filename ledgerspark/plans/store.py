@@ -2,16 +2,19 @@
 
 Layout under one root (a shared folder):
 
-  ledger/          rows, partitioned by client_key / fiscal_year / import_batch_id
-  import_errors/   rejected rows, same partitioning
+  rows/            every imported row, partitioned by
+                   client_key / fiscal_year / import_batch_id / row_status
+                   (valid, rejected, skipped): the ledger is the ``valid``
+                   partitions, the error table the ``rejected`` ones
   batch_status/    append-only log: one row per (batch key, status change)
   import_reports/  one row per import
   datasets/        one row per imported dataset (the manifest)
-  query_log/       append-only query / open history
+  query_log/, open_log/   append-only histories
 
-The current status of a batch key is its latest log row. Readers only see
-``active`` batch keys, so publish, replace and rollback are each one small
-append to the log; data folders are never rewritten. A failed or
+An import is one write of all its rows, so a source is scanned once and
+nothing is cached. The current status of a batch key is its latest log row;
+readers only see ``active`` keys, so publish, replace and rollback are each a
+small append to the log and data folders are never rewritten. A failed or
 half-written import never becomes active.
 """
 
@@ -28,6 +31,7 @@ from pyspark.sql import types as T
 from ..functions.text import client_key
 from ..operators.catalog import latest_per_key
 from ..schema import (
+    ERROR_COLUMNS,
     ERROR_SCHEMA,
     LEDGER_COLUMNS,
     LEDGER_SCHEMA,
@@ -40,13 +44,25 @@ from ..schema import (
 # (static pruning); beyond it the filter is a semi join (dynamic pruning).
 MAX_LITERAL_BATCHES = 5000
 
-STORED_LEDGER_SCHEMA = T.StructType(
-    [f for f in LEDGER_SCHEMA.fields if f.name not in ("fiscal_year", "import_batch_id")]
-    + [T.StructField("is_duplicate", T.BooleanType())]
+ROW_VALID = "valid"
+ROW_REJECTED = "rejected"
+ROW_SKIPPED = "skipped"
+
+KEY = ["client_key", "fiscal_year", "import_batch_id"]
+PARTITIONS = KEY + ["row_status"]
+
+STORED_ROWS_SCHEMA = T.StructType(
+    [T.StructField("source_row", T.LongType())]
+    + [f for f in LEDGER_SCHEMA.fields if f.name not in ("fiscal_year", "import_batch_id")]
     + [
+        T.StructField("is_duplicate", T.BooleanType()),
+        T.StructField("error_code", T.StringType()),
+        T.StructField("error_message", T.StringType()),
+        T.StructField("raw_payload", T.StringType()),
         T.StructField("client_key", T.StringType()),
         T.StructField("fiscal_year", T.IntegerType()),
         T.StructField("import_batch_id", T.StringType()),
+        T.StructField("row_status", T.StringType()),
     ]
 )
 STORED_ERROR_SCHEMA = T.StructType(
@@ -69,7 +85,6 @@ STATUS_SCHEMA = T.StructType(
         T.StructField("changed_at", T.TimestampNTZType()),
     ]
 )
-KEY = ["client_key", "fiscal_year", "import_batch_id"]
 
 _last_seq = 0
 
@@ -115,18 +130,13 @@ class LedgerStore:
         return r.parquet(self.path(table))
 
     # -- writes ------------------------------------------------------------
-    def write_ledger(self, rows: DataFrame) -> None:
-        """Append ledger rows (19 columns + is_duplicate). Rows of one batch
-        share the partition values, so tasks write one file each; no
-        shuffle before the write."""
-        out = rows.withColumn("client_key", client_key("client_name"))
-        cols = [f.name for f in STORED_LEDGER_SCHEMA.fields]
-        out.select(*cols).write.mode("append").partitionBy(*KEY).parquet(self.path("ledger"))
-
-    def write_errors(self, rows: DataFrame) -> None:
+    def write_rows(self, rows: DataFrame) -> None:
+        """Append one import's rows (all statuses) in a single write. Rows of
+        one batch share most partition values, so a task writes one file per
+        status; there is no shuffle before the write."""
+        cols = [f.name for f in STORED_ROWS_SCHEMA.fields]
         out = rows.withColumn("client_key", client_key("client_name"))
-        cols = [f.name for f in STORED_ERROR_SCHEMA.fields]
-        out.select(*cols).write.mode("append").partitionBy(*KEY).parquet(self.path("import_errors"))
+        out.select(*cols).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path("rows"))
 
     def append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(table))
@@ -156,10 +166,16 @@ class LedgerStore:
         return s.select(*KEY, "client_name")
 
     # -- reads -------------------------------------------------------------
-    def _visible(self, table: str, schema: T.StructType, client_name, fiscal_year) -> DataFrame | None:
-        df = self.read(table, schema)
+    def batch_rows(self, import_batch_id: str) -> DataFrame | None:
+        """All stored rows of one batch, whatever its status (partition-pruned)."""
+        df = self.read("rows", STORED_ROWS_SCHEMA)
+        return None if df is None else df.filter(F.col("import_batch_id") == import_batch_id)
+
+    def _visible(self, row_status: str, client_name, fiscal_year) -> DataFrame | None:
+        df = self.read("rows", STORED_ROWS_SCHEMA)
         if df is None:
             return None
+        df = df.filter(F.col("row_status") == row_status)
         if client_name is not None:
             df = df.filter(F.col("client_key") == client_key(F.lit(client_name)))
         if fiscal_year is not None:
@@ -181,29 +197,38 @@ class LedgerStore:
         """Active ledger rows in contract column order (optionally filtered
         to one client / year)."""
         cols = LEDGER_COLUMNS + (["is_duplicate"] if with_duplicate_flag else [])
-        df = self._visible("ledger", STORED_LEDGER_SCHEMA, client_name, fiscal_year)
+        df = self._visible(ROW_VALID, client_name, fiscal_year)
         if df is None:
             return self.spark.createDataFrame([], LEDGER_SCHEMA).select(
                 *LEDGER_COLUMNS, *([F.lit(False).alias("is_duplicate")] if with_duplicate_flag else [])
             )
         return df.select(*cols)
 
+    def open_errors(self, client_name: str | None = None, fiscal_year: int | None = None) -> DataFrame:
+        """Rejected rows of active batches: error columns (key fields as
+        text), raw payload and lineage."""
+        df = self._visible(ROW_REJECTED, client_name, fiscal_year)
+        if df is None:
+            return self.spark.createDataFrame([], STORED_ERROR_SCHEMA)
+        return error_view(df)
+
     def open_dataset(self, dataset_name: str) -> DataFrame:
         """Ledger rows of the (active) batches recorded under a dataset name."""
         ds = self.read("datasets")
         if ds is None:
             raise KeyError(f"no dataset {dataset_name!r}")
-        ids = [r[0] for r in ds.filter(F.col("dataset_name") == dataset_name).select("import_batch_id").distinct().limit(MAX_LITERAL_BATCHES + 1).collect()]
+        ids = [
+            r[0]
+            for r in ds.filter(F.col("dataset_name") == dataset_name)
+            .select("import_batch_id")
+            .distinct()
+            .limit(MAX_LITERAL_BATCHES + 1)
+            .collect()
+        ]
         if not ids:
             raise KeyError(f"no dataset {dataset_name!r}")
         return self.open_ledger().filter(F.col("import_batch_id").isin(ids))
 
-    def open_errors(self, client_name: str | None = None, fiscal_year: int | None = None) -> DataFrame:
-        df = self._visible("import_errors", STORED_ERROR_SCHEMA, client_name, fiscal_year)
-        if df is None:
-            return self.spark.createDataFrame([], STORED_ERROR_SCHEMA)
-        return df
-
     # -- batch lifecycle ---------------------------------------------------
     def replace_earlier(self, new_keys: list[tuple[str, str, int, str]]) -> None:
         """New-import mode: earlier active batches of the same client and
@@ -234,7 +259,7 @@ class LedgerStore:
 
     def rollback_batch(self, import_batch_id: str) -> RollbackResult:
         """Mark every key of the batch ``rolled_back``; report what the batch
-        holds (partition-pruned counts)."""
+        holds (partition-pruned counts, one aggregation)."""
         status = self.batch_status().filter(
             (F.col("import_batch_id") == import_batch_id) & (F.col("status") != STATUS_ROLLED_BACK)
         )
@@ -242,15 +267,40 @@ class LedgerStore:
         if not keys:
             raise KeyError(f"no batch {import_batch_id!r} to roll back")
         self.set_status(keys, STATUS_ROLLED_BACK)
-
-        def count(table: str, schema=None) -> int:
-            df = self.read(table, schema)
-            return 0 if df is None else df.filter(F.col("import_batch_id") == import_batch_id).count()
-
+        rows = self.batch_rows(import_batch_id)
+        counts = {ROW_VALID: 0, ROW_REJECTED: 0}
+        if rows is not None:
+            for r in rows.groupBy("row_status").count().collect():
+                counts[r["row_status"]] = r["count"]
+        reports = self.read("import_reports")
+        n_reports = 0 if reports is None else reports.filter(F.col("import_batch_id") == import_batch_id).count()
         return RollbackResult(
             import_batch_id=import_batch_id,
-            ledger_rows=count("ledger", STORED_LEDGER_SCHEMA),
-            error_rows=count("import_errors", STORED_ERROR_SCHEMA),
-            report_rows=count("import_reports"),
+            ledger_rows=counts[ROW_VALID],
+            error_rows=counts[ROW_REJECTED],
+            report_rows=n_reports,
             batch_rows=len(keys),
         )
+
+
+def error_view(rows: DataFrame) -> DataFrame:
+    """Stored rejected rows -> the error table columns."""
+    return rows.select(
+        "source_row",
+        "error_code",
+        "error_message",
+        F.col("posting_date").cast("string").alias("posting_date"),
+        "voucher_id",
+        "ac_code",
+        "ac_caption",
+        "description",
+        F.col("rc_amount").cast("string").alias("rc_amount"),
+        "raw_payload",
+        "client_name",
+        "client_key",
+        "fiscal_year",
+        "import_batch_id",
+    )
+
+
+_ = ERROR_COLUMNS  # the error view keeps the error table's column order
