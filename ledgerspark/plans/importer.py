@@ -1,10 +1,10 @@
 """One import job: source DataFrame -> cleaned, checked, published batch.
 
-Flow (one scan of the source): map + flag -> persist (disk-backed) ->
-statistics in one aggregation -> duplicates (optional) -> status ``staged``
--> ledger write + error write -> publish checks -> status ``active`` (and
-``replaced`` for older batches in new-import mode) -> report and dataset
-rows -> unpersist.
+Flow (one scan of the source, no cache): map + flag + duplicate marks ->
+one partitioned write of every row with its status -> statistics, batch
+keys and error sample read back from the batch's partitions -> publish
+checks -> status ``staged`` then ``active`` (``replaced`` for older batches
+in new-import mode; ``failed`` when a check fails) -> report and dataset rows.
 """
 
 from __future__ import annotations
