@@ -60,7 +60,7 @@ def published_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     root = _PUBLISHED.get(key)
-    if root is None or not LedgerStore(spark, root).exists("ledger"):
+    if root is None or not LedgerStore(spark, root).exists("rows"):
         root = scratch_path(spark, "published")
         store = LedgerStore(spark, root)
         raw = fx.raw_journal(spark, sf_dir)
