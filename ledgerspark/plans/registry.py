@@ -63,7 +63,7 @@ def published_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     if root is None or not LedgerStore(spark, root).exists("rows"):
         root = scratch_path(spark, "published")
         store = LedgerStore(spark, root)
-        raw = fx.raw_journal(spark, sf_dir)
+        raw = fx.raw_journal(spark, sf_dir, source_row=False)
         import_batch(raw, fx.flag_profile(), BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"), store, source_type="table")
         _PUBLISHED[key] = root
     return LedgerStore(spark, root).open_ledger()
@@ -554,7 +554,7 @@ def _counts(df: DataFrame) -> DataFrame:
 )
 def q_store_roundtrip(spark, sf_dir):
     store = _store(spark)
-    _import(fx.raw_journal(spark, sf_dir), store, "batch-a")
+    _import(fx.raw_journal(spark, sf_dir, source_row=False), store, "batch-a")
     return store.open_ledger().select(*OUT_COLUMNS)
 
 
@@ -565,7 +565,7 @@ def q_store_roundtrip(spark, sf_dir):
 )
 def q_store_rollback(spark, sf_dir):
     store = _store(spark)
-    raw = fx.raw_journal(spark, sf_dir)
+    raw = fx.raw_journal(spark, sf_dir, source_row=False)
     _import(raw.filter(F.col("src_year") <= 1996), store, "batch-a")
     _import(raw.filter(F.col("src_year") > 1996), store, "batch-b")
     store.rollback_batch("batch-a")
@@ -578,7 +578,7 @@ def q_store_rollback(spark, sf_dir):
 )
 def q_store_replace(spark, sf_dir):
     store = _store(spark)
-    raw = fx.raw_journal(spark, sf_dir)
+    raw = fx.raw_journal(spark, sf_dir, source_row=False)
     _import(raw, store, "batch-a")
     _import(raw.filter(F.col("src_year") == 1998), store, "batch-b", import_mode="new")
     return _counts(store.open_ledger())
@@ -643,7 +643,7 @@ FROM ledger""",
 )
 def q_import_report(spark, sf_dir):
     store = _store(spark)
-    _import(fx.raw_journal(spark, sf_dir), store, "batch-a")
+    _import(fx.raw_journal(spark, sf_dir, source_row=False), store, "batch-a")
     return store.read("import_reports").select(
         "task_id", "total_rows", "success_rows", "failed_rows", "duplicate_rows", "positive_rows", "negative_rows", "zero_rows"
     )
@@ -674,7 +674,7 @@ UNION ALL SELECT 'missing-dataset', '', '', '', '', '文件缺失'""",
 )
 def q_dataset_overview(spark, sf_dir):
     store = _store(spark)
-    _import(fx.raw_journal(spark, sf_dir), store, BATCH, year=YEAR, dataset_name="Demo Client 1998")
+    _import(fx.raw_journal(spark, sf_dir, source_row=False), store, BATCH, year=YEAR, dataset_name="Demo Client 1998")
     HI.record_open(store, "missing-dataset")
     HI.record_open(store, "Demo Client 1998")
     return HI.overview(store).drop("last_opened_at")
