@@ -19,8 +19,18 @@ from .filters import search_condition
 from .ordering import total_order
 from .rowindex import number_written, with_row_index, write_sorted
 
-# Pages ending beyond this many rows use the row-index plan instead of top-k.
+# Top-k keeps up to offset+size rows per input partition and merges them in
+# one task, so a page uses it only when it ends within TOPK_MAX_ROWS and
+# (offset+size) x partitions stays within TOPK_ROW_BUDGET; otherwise the rows
+# are numbered once by the distributed row index and a range is filtered.
 TOPK_MAX_ROWS = 100_000
+TOPK_ROW_BUDGET = 20_000_000
+
+
+def use_topk(df: DataFrame, end: int) -> bool:
+    if end > TOPK_MAX_ROWS:
+        return False
+    return end * max(1, df.rdd.getNumPartitions()) <= TOPK_ROW_BUDGET
 
 
 def grid_key(df: DataFrame, column: str) -> Column:
@@ -49,7 +59,7 @@ def page(df: DataFrame, order: list[Column], size: int | None, index: int) -> Da
         return df.orderBy(*order)
     size = max(1, int(size))
     start = max(0, int(index)) * size
-    if start + size <= TOPK_MAX_ROWS:
+    if use_topk(df, start + size):
         return df.orderBy(*order).offset(start).limit(size) if start else df.orderBy(*order).limit(size)
     numbered = with_row_index(df, order, "_row")
     return numbered.filter((F.col("_row") > start) & (F.col("_row") <= start + size)).orderBy("_row").drop("_row")
