@@ -113,7 +113,12 @@ def export_sheets(numbered: DataFrame, path: str) -> None:
     rows in order. A sheet is bounded by rows_per_sheet, so one task per
     sheet is bounded work."""
     cols = [c for c in numbered.columns if c not in ("row_index", "sheet_no")]
-    sheets = max(1, numbered.select("sheet_no").distinct().count())
+    sheets = numbered.select("sheet_no").distinct().count()
+    if sheets == 0:  # still one sheet, header only
+        numbered.select(*[F.col(f"`{c}`") for c in cols]).coalesce(1).write.mode("overwrite").option(
+            "header", True
+        ).csv(f"{path.rstrip('/')}/sheet_no=1")
+        return
     (
         numbered.repartition(sheets, "sheet_no")
         .sortWithinPartitions("row_index")

@@ -112,8 +112,13 @@ def test_paging_and_export(spark, workdir):
     with open([f for f in files if "sheet_no=1" in f][0]) as fh:
         lines = fh.read().splitlines()
     assert lines[0] == "id,k" and lines[1].startswith("2499,") and len(lines) == 1001
-    empty = paging.sheet_summary(paging.split_sheets(df.limit(0), [F.col("id")], 1000), 1000).first()
+    none = paging.split_sheets(df.limit(0), [F.col("id")], 1000)
+    empty = paging.sheet_summary(none, 1000).first()
     assert (empty["sheet_count"], empty["total_rows"], empty["split_applied"]) == (1, 0, False)
+    out2 = os.path.join(workdir, "export-empty")
+    paging.export_sheets(none, out2)
+    files = glob.glob(os.path.join(out2, "sheet_no=1", "*.csv"))
+    assert len(files) == 1 and open(files[0]).read() == "id,k\n"
 
 
 def test_grid_sort_nulls_and_case(spark):
