@@ -4,9 +4,9 @@ Key = (posting_date, voucher_id, ac_code, rc_amount, description), compared
 null-safe. A row is a duplicate when its key already exists in the history,
 or when an earlier row (lower source_row) of the same batch has the key.
 
-Both checks are a partial aggregation to one row per key followed by a
-many-to-one join (AQE splits a skewed key's partition on the big side);
-no window over a hot key, no pairs within a key.
+Both checks come from one partial aggregation to one row per key followed
+by one many-to-one join (AQE splits a skewed key's partition on the big
+side); no window over a hot key, no pairs within a key.
 """
 
 from __future__ import annotations
@@ -23,10 +23,6 @@ class DuplicateError(ValueError):
     pass
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str]):
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_d_{k}"]) for k in keys])
-
-
 def mark_duplicates(
     new: DataFrame,
     history: DataFrame | None = None,
@@ -34,23 +30,34 @@ def mark_duplicates(
     where=None,
 ) -> DataFrame:
     """``new`` (with source_row) + boolean ``is_duplicate``. With ``where``
-    only rows meeting it take part (others are never duplicates)."""
+    only rows meeting it take part (others are never duplicates).
+
+    One aggregation over the batch keys and the history keys together gives,
+    per key, the first source row in the batch and whether history has it;
+    one join brings that back. The join leads with a 64-bit hash of the key
+    (cheap sort comparisons) and still requires null-safe equality of every
+    key column, so hash collisions cannot mark anything.
+    """
     cand = new if where is None else new.filter(where)
-    first = cand.groupBy(*keys).agg(F.min("source_row").alias("_first"))
-    first = first.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_first")
-    out = new.join(first, _on(new, first, keys), "left")
-    dup = F.col("source_row") != F.col("_first")
+    parts = cand.select(*keys, F.col("source_row").alias("_sr"), F.lit(False).alias("_h"))
     if history is not None:
-        seen = history.groupBy(*keys).agg(F.lit(True).alias("_seen"))
-        seen = seen.select(*[F.col(k).alias(f"_d_{k}") for k in keys], "_seen")
-        out = out.drop(*[f"_d_{k}" for k in keys])
-        out = out.join(seen, _on(out, seen, keys), "left")
-        dup = dup | F.coalesce(F.col("_seen"), F.lit(False))
+        parts = parts.unionByName(history.select(*keys, F.lit(None).cast("long").alias("_sr"), F.lit(True).alias("_h")))
+    per_key = parts.groupBy(*keys).agg(F.min("_sr").alias("_first"), F.max("_h").alias("_seen"))
+    per_key = per_key.select(
+        F.xxhash64(*keys).alias("_dh"), *[F.col(k).alias(f"_d_{k}") for k in keys], "_first", "_seen"
+    )
+    left = new.withColumn("_lh", F.xxhash64(*keys))
+    cond = reduce(
+        lambda a, b: a & b,
+        [left["_lh"] == per_key["_dh"]] + [left[k].eqNullSafe(per_key[f"_d_{k}"]) for k in keys],
+    )
+    out = left.join(per_key, cond, "left")
+    dup = (F.col("source_row") != F.col("_first")) | F.coalesce(F.col("_seen"), F.lit(False))
     dup = F.coalesce(dup, F.lit(False))
     if where is not None:
         dup = F.coalesce(where, F.lit(False)) & dup
     out = out.withColumn("is_duplicate", dup)
-    return out.drop(*[c for c in out.columns if c.startswith("_d_")], "_first", "_seen")
+    return out.drop(*[c for c in out.columns if c.startswith("_d_")], "_first", "_seen", "_lh", "_dh")
 
 
 def skip_duplicates(marked: DataFrame) -> DataFrame:
