@@ -39,6 +39,16 @@ def record_query(store: LedgerStore, sql_text: str, dataset_path: str | None = N
     return True
 
 
+def run_logged(store: LedgerStore, sql_text: str, dataset_path: str | None = None) -> DataFrame:
+    """Guarded free SQL; recorded in the history once it has been analysed
+    without error (the result itself stays lazy)."""
+    from ..operators.views import run_sql
+
+    df = run_sql(store.spark, sql_text)
+    record_query(store, sql_text, dataset_path)
+    return df
+
+
 def recent_queries(store: LedgerStore, n: int = SQL_HISTORY_KEEP) -> DataFrame:
     log = store.read("query_log", QUERY_LOG_SCHEMA)
     if log is None:

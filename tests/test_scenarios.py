@@ -135,6 +135,10 @@ def test_sql_history_one_entry(spark, workdir):
     assert not history.record_query(store, "   ", "ds")
     rows = history.recent_queries(store).collect()
     assert len(rows) == 1 and rows[0]["sql_text"] == "SELECT * FROM ledger LIMIT 1"
+    history.run_logged(store, "select 2 as x", "ds").collect()
+    with pytest.raises(Exception):
+        history.run_logged(store, "select nope_column_zz from range(1)", "ds")
+    assert [r["sql_text"] for r in history.recent_queries(store).collect()] == ["select 2 as x", "SELECT * FROM ledger LIMIT 1"]
 
 
 def test_bare_parquet(spark, workdir):
