@@ -720,8 +720,8 @@ GROUP BY o.o_orderstatus, o.o_orderpriority""",
     "sql_rollup": """SELECT ac_code, drcr, count(*) AS entries, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total
 FROM ledger GROUP BY ROLLUP (ac_code, drcr)""",
     "sql_window_rank": """SELECT yr, mon, ac_code, total,
-  rank() OVER (PARTITION BY yr, mon ORDER BY total DESC, ac_code) AS rnk
-FROM (SELECT year(posting_date) AS yr, month(posting_date) AS mon, ac_code,
+  CAST(rank() OVER (PARTITION BY yr, mon ORDER BY total DESC, ac_code) AS BIGINT) AS rnk
+FROM (SELECT CAST(year(posting_date) AS INT) AS yr, CAST(month(posting_date) AS INT) AS mon, ac_code,
         CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total
       FROM ledger WHERE posting_date IS NOT NULL GROUP BY 1, 2, 3) t""",
     "sql_set_ops": """SELECT voucher_id FROM ledger WHERE drcr = 'S'
