@@ -33,7 +33,6 @@ _M = "{%s}" % _NS["m"]
 _R = "{%s}" % _NS["r"]
 _CELL_REF = re.compile(r"^([A-Z]+)(\d+)$")
 _BATCH = 5000
-MAX_WORKBOOK_TASKS = 100_000
 
 SHEETS_SCHEMA = "file string, sheet string, sheet_index int"
 CELLS_SCHEMA = "file string, sheet string, source_row long, cells map<string,string>"
@@ -168,12 +167,13 @@ def workbook_sheets(spark: SparkSession, path: str) -> DataFrame:
 
 def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """Long cell rows of every workbook (one sheet by name, or all sheets).
-    A workbook is parsed by one task; rows leave it in batches."""
+
+    A workbook is never split, and the file scan packs whole workbooks into
+    tasks of at most spark.sql.files.maxPartitionBytes; a task parses its
+    workbooks one after another and streams rows out in batches. No shuffle
+    of file bytes."""
     files = _files(spark, path).select("path", "content")
-    # about one workbook per partition (a task streams its workbooks one at a
-    # time, so memory stays at one file either way); capped task count
-    n = min(max(1, files.select("path").count()), MAX_WORKBOOK_TASKS)
-    return files.repartition(n, "path").mapInPandas(_read_cells(sheet), CELLS_SCHEMA)
+    return files.mapInPandas(_read_cells(sheet), CELLS_SCHEMA)
 
 
 def workbook_table(cells: DataFrame, columns: list[str]) -> DataFrame:
