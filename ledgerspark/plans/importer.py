@@ -166,6 +166,9 @@ def import_batch(
     _check_request(source_type, import_mode, duplicate_mode, profile)
     batch_id = batch.import_batch_id if isinstance(batch.import_batch_id, str) and batch.import_batch_id else auto_batch_id()
     batch = BatchInfo(batch.client_name, batch.fiscal_year, batch_id, batch.source_file)
+    if store.batch_id_used(batch_id):
+        # rows of an earlier attempt would share the partition folder
+        raise ImportError_(f"batch id {batch_id!r} is already used in this store; import under a new id")
 
     flagged = clean.map_ledger(source, profile, batch, payload=keep_payload)
     if clean.SOURCE_ROW not in flagged.columns:

@@ -171,6 +171,15 @@ class LedgerStore:
         df = self.read("rows", STORED_ROWS_SCHEMA)
         return None if df is None else df.filter(F.col("import_batch_id") == import_batch_id)
 
+    def batch_id_used(self, import_batch_id: str) -> bool:
+        """True when the id appears in the status log or has stored rows (a
+        failed attempt may have written rows without a status)."""
+        log = self.read("batch_status", STATUS_SCHEMA)
+        if log is not None and log.filter(F.col("import_batch_id") == import_batch_id).limit(1).count():
+            return True
+        rows = self.batch_rows(import_batch_id)
+        return rows is not None and rows.select("import_batch_id").limit(1).count() > 0
+
     def _visible(self, row_status: str, client_name, fiscal_year) -> DataFrame | None:
         df = self.read("rows", STORED_ROWS_SCHEMA)
         if df is None:

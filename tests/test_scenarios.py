@@ -226,3 +226,12 @@ def test_quality_report_and_dataset_lookup(spark, workdir):
     assert store.open_dataset("Q ds").count() == 3
     rep = store.read("import_reports").first()
     assert json.loads(rep["report_json"])["import_batch_id"] == "q1"
+
+
+def test_batch_id_cannot_be_reused(spark, workdir):
+    from ledgerspark.plans.importer import ImportError_
+
+    store, _ = run_import(spark, workdir, DIRECT, direct_profile(), batch_id="same")
+    with pytest.raises(ImportError_, match="already used"):
+        run_import(spark, workdir, DIRECT, direct_profile(), batch_id="same", store=store)
+    assert store.open_ledger().count() == 2
