@@ -247,7 +247,10 @@ def import_batch(
     if quality:
         ledger = written.filter(F.col("row_status") == ROW_VALID)
         result.quality = import_quality(source, profile, ledger)
-    _write_report(store, result, profile, dataset_name, batch)
+    name = _write_report(store, result, profile, dataset_name, batch)
+    from .history import record_open
+
+    record_open(store, name)  # a new dataset heads the recent list
     return result
 
 
@@ -314,3 +317,4 @@ def _write_report(store: LedgerStore, r: ImportResult, profile: IngestProfile, d
         )
     ]
     store.append("datasets", spark.createDataFrame(ds, DATASET_SCHEMA))
+    return name

@@ -236,6 +236,9 @@ class LedgerStore:
         ]
         if not ids:
             raise KeyError(f"no dataset {dataset_name!r}")
+        from .history import record_open
+
+        record_open(self, dataset_name)
         return self.open_ledger().filter(F.col("import_batch_id").isin(ids))
 
     # -- batch lifecycle ---------------------------------------------------

@@ -224,6 +224,10 @@ def test_quality_report_and_dataset_lookup(spark, workdir):
     assert cols["posting_date"]["cast_failed_rows"] == 1 and cols["voucher_id"]["missing_rows"] == 1
     assert q["voucher_balance"]["vouchers"] == 3
     assert store.open_dataset("Q ds").count() == 3
+    recent = history.recent_datasets(store).collect()
+    assert [r["dataset_name"] for r in recent] == ["Q ds"]
+    ov = history.overview(store).first()
+    assert (ov["dataset_name"], ov["row_count"], ov["status"]) == ("Q ds", "3", "可查询")
     rep = store.read("import_reports").first()
     assert json.loads(rep["report_json"])["import_batch_id"] == "q1"
 
