@@ -12,10 +12,15 @@ from pyspark.sql import SparkSession
 LOCAL_FALLBACK_DIR = "/tmp/ledgerspark-checkpoints"
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8, app: str = "ledgerspark") -> SparkSession:
+def build_session(
+    master: str | None = None, shuffle_partitions: int = 8, app: str = "ledgerspark", event_log_dir: str | None = None
+) -> SparkSession:
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
+    builder = SparkSession.builder
+    if event_log_dir:  # stage / task times for offline inspection
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_log_dir)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
