@@ -20,11 +20,27 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+# Offset tables (one row per file or split, ~40 bytes a row) are broadcast
+# only while their row bound, taken from the file listing, stays under this.
+MAX_BROADCAST_OFFSETS = 2_000_000
+
 # Written file names: part-<task index>-<uuid>-c<file index within task>...
 _TASK_RE = r"^part-(\d+)-"
 _FILE_RE = r"-c(\d+)(?:\.|$)"
 
 
+def _offset_rows_bound(df: DataFrame) -> int:
+    """Upper bound on (file, split) pairs of a file scan: every split is a
+    whole file or a piece of one, and a scan partition holds at least one
+    split, so pairs <= files + partitions. Uses the listing Spark already
+    holds; runs no job."""
+    return len(df.inputFiles()) + df.rdd.getNumPartitions()
+
+
+def _maybe_broadcast(offsets: DataFrame, bound: int) -> DataFrame:
+    return F.broadcast(offsets) if bound <= MAX_BROADCAST_OFFSETS else offsets
+
+
 def _running_offset(counts: DataFrame, part_cols: list[str], order_cols: list[str]) -> DataFrame:
     w = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0))
     w = w.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -44,7 +60,7 @@ def number_written(df: DataFrame, name: str = "row_index") -> DataFrame:
     offsets = _running_offset(files, [], ["_t", "_c", "_f"]).select("_f", "_off")
     # one row per written file: bounded by the number of write tasks
     return (
-        tagged.join(F.broadcast(offsets), "_f")
+        tagged.join(_maybe_broadcast(offsets, len(df.inputFiles())), "_f")
         .withColumn(name, F.col("_off") + F.col("_r") + F.lit(1))
         .drop("_f", "_r", "_off")
     )
@@ -83,7 +99,7 @@ def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     splits = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_m0"))
     offsets = _running_offset(splits, ["_f"], ["_b"]).select("_f", "_b", "_m0", "_off")
     return (
-        tagged.join(F.broadcast(offsets), ["_f", "_b"])
+        tagged.join(_maybe_broadcast(offsets, _offset_rows_bound(df)), ["_f", "_b"])
         .withColumn(name, F.col("_off") + (F.col("_rid") - F.col("_m0")) + F.lit(1))
         .drop("_f", "_b", "_rid", "_m0", "_off")
     )

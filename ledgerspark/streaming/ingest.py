@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.rowindex import MAX_BROADCAST_OFFSETS, _maybe_broadcast
 from ..plans.importer import import_batch
 from ..plans.store import LedgerStore
 from ..schema import STATUS_ACTIVE, BatchInfo, IngestProfile
@@ -96,7 +97,11 @@ def _number(df: DataFrame) -> DataFrame:
     splits = tagged.groupBy("_file_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_m0"))
     w = Window.partitionBy("_file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = tagged.join(F.broadcast(offsets), ["_file_path", "_block"])
+    try:  # splits <= files + partitions of this micro-batch (no job)
+        bound = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    except Exception:
+        bound = MAX_BROADCAST_OFFSETS + 1
+    out = tagged.join(_maybe_broadcast(offsets, bound), ["_file_path", "_block"])
     out = out.withColumn("source_row", F.col("_off") + F.col("_rid") - F.col("_m0") + 1)
     return out.drop("_file_path", "_block", "_rid", "_m0", "_off", "_n")
 
