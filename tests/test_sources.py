@@ -114,3 +114,16 @@ def test_preview_text_and_columns_only(spark):
     rows = preview(df, 10).collect()
     assert [tuple(r) for r in rows] == [("1", "a", ""), ("2", "", "1.5")]
     assert preview(df, 0).count() == 0 and preview(df, 0).columns == ["source_row", "a", "b"]
+
+
+def test_row_numbers_without_broadcast(spark, workdir, monkeypatch):
+    from ledgerspark.operators import rowindex
+
+    monkeypatch.setattr(rowindex, "MAX_BROADCAST_OFFSETS", 0)
+    write_csv(workdir, "nb.csv", "id\n" + "\n".join(str(i) for i in range(1, 501)) + "\n")
+    df = read_journal_csv(spark, os.path.join(workdir, "nb.csv"))
+    assert df.filter(F.col("source_row") != F.col("id").cast("long")).count() == 0
+    li = spark.range(0, 300).select(F.col("id"), (F.col("id") % 7).alias("k"))
+    rows = with_row_index(li, [F.col("k"), "id"], "rn").collect()
+    want = {i: n + 1 for n, i in enumerate(sorted(range(300), key=lambda i: (i % 7, i)))}
+    assert {r["id"]: r["rn"] for r in rows} == want
