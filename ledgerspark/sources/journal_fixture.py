@@ -17,8 +17,19 @@ from ..schema import AmountRules, FieldRule, IngestProfile, LedgerFieldMapping,
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+_READS: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A generated (read-only) table; the read DataFrame is reused within a
+    session so its file listing and footer are taken once."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _READS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _READS[key] = df
+    return df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
