@@ -35,6 +35,8 @@ def main() -> None:
     stages = []
     job_of: dict[int, int] = {}
     jobs: dict[int, str] = {}
+    job_start: dict[int, int] = {}
+    job_time: dict[int, float] = {}
     if True:
         for line in _lines(path):
             ev = json.loads(line)
@@ -42,6 +44,9 @@ def main() -> None:
             if kind == "SparkListenerJobStart":
                 props = ev.get("Properties") or {}
                 jobs[ev["Job ID"]] = (props.get("spark.job.description") or props.get("callSite.short") or "")[:60]
+                job_start[ev["Job ID"]] = ev.get("Submission Time", 0)
+            elif kind == "SparkListenerJobEnd":
+                job_time[ev["Job ID"]] = (ev.get("Completion Time", 0) - job_start.get(ev["Job ID"], 0)) / 1000.0
                 for sid in ev.get("Stage IDs", []):
                     job_of[sid] = ev["Job ID"]
             elif kind == "SparkListenerStageCompleted":
@@ -54,6 +59,9 @@ def main() -> None:
     print(f"{len(stages)} stages, {sum(d for d, *_ in stages):.1f}s stage time")
     for dur, sid, ntasks, name in sorted(stages, reverse=True)[:top]:
         print(f"{dur:7.2f}s  stage {sid:4d}  tasks {ntasks:5d}  job {job_of.get(sid, -1):4d}  {name}")
+    print("jobs by wall time:")
+    for jid, dur in sorted(job_time.items(), key=lambda t: -t[1])[:top]:
+        print(f"{dur:7.2f}s  job {jid:4d}  {jobs.get(jid, '')}")
 
 
 if __name__ == "__main__":
