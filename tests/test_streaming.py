@@ -31,3 +31,16 @@ def test_stream_import_publishes_each_drop(spark, workdir):
     assert led.count() == 2
     assert sorted(r[0] for r in led.select("source_file").collect()) == ["a.csv", "b.csv"]
     assert led.select(F.countDistinct("import_batch_id")).first()[0] == 2
+
+
+def test_replayed_epoch_is_not_published_twice(spark, workdir):
+    folder = os.path.join(workdir, "drops2")
+    os.makedirs(folder)
+    store = new_store(spark, workdir)
+    write_csv(folder, "a.csv", ",".join(COLS) + "\n2024-01-02,V1,1001,Cash,x,10\n")
+    q = stream_import(spark, folder, COLS, PROFILE, "Client S", 2024, store, checkpoint=os.path.join(workdir, "c1"))
+    q.awaitTermination(120)
+    # a lost checkpoint replays epoch 0 over the same files
+    q = stream_import(spark, folder, COLS, PROFILE, "Client S", 2024, store, checkpoint=os.path.join(workdir, "c2"))
+    q.awaitTermination(120)
+    assert store.open_ledger().count() == 1
