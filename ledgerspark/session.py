@@ -4,12 +4,14 @@ scratch folder taken from ``spark.checkpoint.dir``."""
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Used only when the session names no checkpoint folder (tests, local runs).
+# Used only by a one-machine session that names no checkpoint folder.
 LOCAL_FALLBACK_DIR = "/tmp/ledgerspark-checkpoints"
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def build_session(
@@ -40,13 +42,26 @@ def build_session(
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir."""
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Only a session whose tasks all run on this machine may leave it unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         d = LOCAL_FALLBACK_DIR
     return d.rstrip("/")
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it.
+    Where executors do not see that folder, ship it with --py-files."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if PACKAGE_ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Set the RDD checkpoint folder from the session setting if it is unset."""
     root = checkpoint_root(spark)
