@@ -1,0 +1,158 @@
+"""Secret scans: fixed patterns, and a token-efficiency test for the rest.
+
+A run of key characters that a tiktoken vocabulary spells with few characters
+a token is random; words, however rare, take more.  Known digests (hex of a
+digest's length), UUIDs, numbers and identifiers made of plain words are not
+tested.  Spans of the fixed patterns stay whatever the test says.
+
+Defined cases: a null text counts as empty and has no span; spans are code
+points of the whole text, end exclusive; a random span that meets a fixed one
+is left out; repeated rows give repeated rows; other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+from functools import lru_cache
+
+import public_tokenizers
+from pyspark.sql import DataFrame
+
+from ..session import reach_package
+from .docs import map_slices, with_bytes
+
+# The three base patterns and their least lengths.
+ASSIGN = re.compile(
+    rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE
+)
+ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
+HEX = re.compile(rb"[0-9a-f]{24,}")  # as [0-9a-f]+ of 24 or more: a match is a whole run
+ASSIGN_LEAST, ACCESS_LEAST = 6, 20
+KINDS = ("assign", "access", "hex", "random")
+
+VOCABULARY = "byte_bpe_50k.tiktoken"
+MAX_RATIO = 1.9  # characters a token; random base64 has about 1.5, prose over 2.0
+LEAST_CHARS = 16
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
+_HEX_ONLY = re.compile(rb"[0-9a-f]+\Z|[0-9A-F]+\Z")
+_DIGEST_CHARS = {32, 40, 56, 64, 96, 128}  # MD5, SHA-1 and the SHA-2 lengths in hex
+_UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+_NUMBER = re.compile(rb"[0-9+/_=-]+\Z")
+_NAME = re.compile(rb"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}\Z")
+_PART = re.compile(rb"[A-Z]?[a-z]+[0-9]*|[A-Z]+(?![a-z])[0-9]*|[0-9]+|[A-Z]")
+
+
+@lru_cache(maxsize=4)
+def _encoding(path: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _known(run: bytes) -> bool:
+    """A digest, UUID, number or identifier of plain words."""
+    if _NUMBER.match(run) or _UUID.match(run):
+        return True
+    if len(run) in _DIGEST_CHARS and _HEX_ONLY.match(run):
+        return True
+    pieces = [p for p in re.split(rb"[_/=+-]+", run) if p]
+    if not re.search(rb"[0-9]", run):
+        # letters only: an identifier if its parts are word-like in length
+        parts = [x for p in pieces for x in _PART.findall(p)]
+        return len(run) >= 4 * len(parts)
+    return all(_NAME.match(p) or p.isdigit() for p in pieces)
+
+
+def find_spans(text: bytes, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, str, int]]:
+    """(start, kind, end) in bytes, by start and then by kind as listed."""
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
+    found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    more = []
+    for m in _RUN.finditer(text):
+        run, a, b = m.group(), m.start(), m.end()
+        if not _known(run) and not any(a < e and s < b for s, _, e in found):
+            if len(run) <= max_ratio * len(_encoding(path).encode_ordinary(run.decode("ascii"))):
+                more.append((a, 3, b))
+    return [(s, KINDS[k], e) for s, k, e in sorted(found + more)]
+
+
+def to_code_points(text: bytes, spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    if not spans or text.isascii():
+        return spans
+    at = {}
+    seen = n = 0
+    for x in sorted({x for s, _, e in spans for x in (s, e)}):
+        n += len(text[seen:x].decode("utf-8", "replace"))
+        seen, at[x] = x, n
+    return [(at[s], k, at[e]) for s, k, e in spans]
+
+
+def _joined(spans) -> str:
+    return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
+
+
+def scan(docs: DataFrame, vocabulary: str | None = None, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """One row per document: counts by fixed kind, the digest of the fixed
+    spans, all spans."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+
+    def run(cols, texts):
+        out = {n: [] for n in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")}
+        for text in texts:
+            spans = to_code_points(text, find_spans(text, path, max_ratio))
+            kinds = [k for _, k, _ in spans]
+            for k in KINDS:
+                out[f"n_{k}"].append(kinds.count(k))
+            base = _joined(x for x in spans if x[1] != "random")
+            out["base_sha256"].append(hashlib.sha256(base.encode()).hexdigest())
+            out["spans"].append(_joined(spans))
+        return {"doc_id": cols["doc_id"], **out}
+
+    return map_slices(
+        with_bytes(docs, "doc_id"),
+        run,
+        "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long",
+    )
+
+
+def redact(docs: DataFrame, vocabulary: str | None = None, mask: str = "[secret]") -> DataFrame:
+    """docs with every span replaced by ``mask``; n_chars follows the text.
+    Texts without a span, null texts included, are returned as they are."""
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    schema = docs.schema
+    names = docs.columns
+    reach_package(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).to_pylist()
+            sizes = {}
+            for i, text in enumerate(texts):
+                raw = (text or "").encode()
+                spans = find_spans(raw, path)
+                if not spans:
+                    continue
+                parts, seen = [], 0
+                for s, _, e in spans:
+                    if s >= seen:
+                        parts += [raw[seen:s], mask.encode()]
+                    seen = max(seen, e)
+                texts[i] = b"".join([*parts, raw[seen:]]).decode("utf-8", "replace")
+                sizes[i] = len(texts[i])
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, type=batch.schema.field(at).type)
+            if sizes and "n_chars" in batch.schema.names:
+                j = batch.schema.get_field_index("n_chars")
+                n = columns[j].to_pylist()
+                columns[j] = pa.array([sizes.get(i, x) for i, x in enumerate(n)], type=batch.schema.field(j).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.select(*names).mapInArrow(run, schema)
