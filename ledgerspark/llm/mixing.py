@@ -23,7 +23,7 @@ from .docs import materialize
 
 HASH_BITS = 60
 LEVEL_BITS = 10
-SLACK = 0.01
+SLACK = 0.002
 WORD = r"[^\x20\x09-\x0D]+"
 
 
