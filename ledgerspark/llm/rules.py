@@ -36,7 +36,7 @@ FEATURES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capital
 LEAST_SPREAD = (0.5, 0.05, 0.35, 0.08, 0.08, 0.03, 0.03)
 SHARE = 0.75
 STEPS = 4
-MIN_GROUP = 200
+MIN_GROUP = 100
 REJECT_P = 1e-6
 WINDOW = 8
 _P = len(FEATURES)
