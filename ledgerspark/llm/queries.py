@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, near_dup, quality, rules, secret_scan, topk
+from . import bpe, language_model, mixing, near_dup, quality, rules, secret_scan, topk
 from .docs import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @register("op9_exact_topk", TOPK_SQL)
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register("op10_pitman_yor")
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read_table(spark, sf_dir, "documents"))
