@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, mixing, near_dup, quality, repeats, rules, secret_scan, topk
+from . import bpe, language_model, mixing, near_dup, quality, repeats, rules, secret_scan, token_files, topk
 from .docs import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_repeats")
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
+@register("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_and_read(read_table(spark, sf_dir, "documents"))
