@@ -3,10 +3,12 @@
 1. Each text's set of 5-word shingles is hashed; texts with equal sets form a
    class, worked on as one from then on.
 2. ``BANDS`` bands of ``ROWS`` minhashes give buckets.  Small buckets propose
-   all their pairs.  A large bucket proposes its pivot with each member, a few
-   times with other pivots, and only between classes not yet linked; what then
-   remains unlinked is proposed by a second band that both must share, so a
-   bucket's size never sets the number of pairs.
+   all their pairs.  A large bucket proposes its hub (the member that meets
+   the most others in all its buckets) with each member.  Members of large
+   buckets that then still hold several components are compared exactly: a
+   pair that reaches the threshold shares one of the rarest shingles of both
+   (prefix and position filter), and only pairs of different components are
+   proposed.  So a bucket's size does not set the number of pairs.
 3. Signatures of a proposed pair are compared in batches.  The pair is dropped
    as soon as the posterior probability that its similarity reaches the
    threshold is under ``MISS``; survivors are verified on their full sets.
@@ -15,8 +17,8 @@
 Pairs of classes within one component need no link of their own: only
 memberships are returned, and no group is expanded into all pairs.
 
-Chance of missing a pair: at a similarity of exactly 0.75 both bands miss with
-5e-6, a second shared band with 8e-5 (large buckets only), a batch with MISS.
+Chance of missing a pair at a similarity of exactly 0.75: 5e-6 that no band is
+shared, MISS in each batch; both fall fast as the similarity grows.
 
 Defined cases: null, empty and wordless texts have no set and are linked with
 nothing; under five words the whole sequence is the only shingle; rows with
@@ -28,11 +30,10 @@ from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reach_package
@@ -46,8 +47,6 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-5
 SMALL = 16  # buckets up to this size propose all pairs
-STAR_ROUNDS = 3
-FEW = 8  # a large bucket with so few outside its main component proposes them with all
 
 _MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -190,64 +189,97 @@ def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-def _star(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Each bucket's pivot with its members of other components.  The pivot is
-    the first by a hash that all buckets share, so buckets of one group agree."""
-    if labels is not None:
-        members = members.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-            "comp", F.coalesce("comp", "cls")
-        )
-    else:
-        members = members.withColumn("comp", F.col("cls"))
-    pivot = members.groupBy("key").agg(
-        F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "comp")).alias("p")
-    )
-    return (
-        members.join(pivot, "key")
-        .filter(F.col("comp") != F.col("p.comp"))
-        .select(*_ordered(F.col("cls"), F.col("p.cls")))
-        .distinct()
+def _star(large: DataFrame) -> DataFrame:
+    """Each large bucket's hub with its members.  large: key, cls, m."""
+    weight = large.groupBy("cls").agg(F.sum("m").alias("weight"))
+    hub = (
+        large.join(weight, "cls")
+        .groupBy("key")
+        .agg(F.max(F.struct("weight", "cls")).alias("hub"))
+        .select("key", F.col("hub.cls").alias("hub"))
     )
+    return large.join(hub, "key").filter("cls != hub").select(*_ordered(F.col("cls"), F.col("hub"))).distinct()
+
+
+def _cross(members: DataFrame, key: str) -> DataFrame:
+    """All pairs within a bucket; for buckets of bounded size."""
+    other = members.select(key, F.col("cls").alias("b"))
+    return members.join(other, key).filter("cls < b").select(F.col("cls").alias("a"), "b")
 
 
 def _unresolved(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of large buckets that hold several components, with comp, and
-    whether all but FEW of the bucket are in one component (main)."""
+    """cls, comp: the members of large buckets that hold several components."""
     m = large.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "comp", F.coalesce("comp", "cls")
     )
-    by_comp = m.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    by_key = (
-        by_comp.groupBy("key")
-        .agg(F.sum("n").alias("m"), F.max(F.struct("n", "comp")).alias("main"))
-        .filter(F.col("main.n") < F.col("m"))
-        .select("key", F.col("main.comp").alias("main"), (F.col("m") - F.col("main.n") <= FEW).alias("few"))
-    )
-    return m.join(by_key, "key")
+    mixed = m.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return m.join(mixed.select("key"), "key", "left_semi").select("cls", "comp").distinct()
 
 
-def _cross(members: DataFrame, *keys: str) -> DataFrame:
-    """Pairs of different components within a bucket."""
-    other = members.select(*keys, F.col("cls").alias("cls2"), F.col("comp").alias("comp2"))
-    return (
-        members.join(other, list(keys))
-        .filter((F.col("comp") != F.col("comp2")) & (F.col("cls") < F.col("cls2")))
-        .select(F.col("cls").alias("a"), F.col("cls2").alias("b"))
-    )
+def _prefix_pairs(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components that can reach the threshold, from their
+    shingles in order of rarity.
 
+    A set of n shingles that shares the threshold's part with another has one
+    of the other's among its n - ceil(0.75 n) + 1 rarest; and with sizes n and
+    k and the shared one at places i and j, counted from 0, at most
+    min(n - i, k - j) are shared, where 3/7 (n + k) are needed.  Shingles that
+    one set alone has are counted, not joined."""
+    reach_package(open_classes.sparkSession)
 
-def _rest(open_members: DataFrame, bands: DataFrame) -> DataFrame:
-    """What is still to be tested in unresolved large buckets."""
-    few = open_members.filter("few")
-    outside = few.filter("comp != main").select("key", F.col("cls").alias("cls2"), F.col("comp").alias("comp2"))
-    direct = (
-        few.join(outside, "key").filter(F.col("comp") != F.col("comp2")).select(*_ordered(F.col("cls"), F.col("cls2")))
+    def run(batches):
+        for batch in batches:
+            raw = batch.column("text").to_pylist()
+            for a, b in slices(raw):
+                sets = shingles(raw[a:b])
+                size = np.array([len(x) for x in sets])
+                offset = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("cls").slice(a, b - a),
+                        batch.column("comp").slice(a, b - a),
+                        pa.array(size),
+                        pa.ListArray.from_arrays(pa.array(offset), pa.array(flat)),
+                    ],
+                    names=["cls", "comp", "n", "hs"],
+                )
+
+    sets = materialize(
+        open_classes.join(texts, "cls").mapInArrow(run, "cls binary, comp binary, n long, hs array<long>"), "near-sets"
     )
-    second = bands.select("cls", F.col("key").alias("key2"))
-    refined = open_members.filter("NOT few").select("key", "cls", "comp").join(second, "cls").filter("key != key2")
-    shared = refined.groupBy("key", "key2").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    refined = refined.join(shared.select("key", "key2"), ["key", "key2"], "left_semi")
-    return direct.unionByName(_cross(refined, "key", "key2")).distinct()
+    rows = sets.select("cls", "n", F.explode("hs").alias("h"))
+    common = rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    rarest = Window.partitionBy("cls").orderBy("df", "h")
+    whole = Window.partitionBy("cls")
+    placed = (
+        rows.join(common, "h")
+        .withColumn("shared", F.count("*").over(whole))
+        .withColumn("place", F.col("n") - F.col("shared") + F.row_number().over(rarest) - 1)
+        .filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100))
+        .join(sets.select("cls", "comp"), "cls")
+        .select("h", "cls", "comp", "n", "place")
+    )
+    placed = materialize(placed, "near-prefix")
+    for _ in range(2):  # a place too far back for the smallest set there is no use to any
+        by_shingle = placed.groupBy("h").agg(
+            F.min("n").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        )
+        placed = (
+            placed.join(by_shingle, "h")
+            .filter("lo < hi AND 7 * (n - place) >= 3 * (n + least)")
+            .select("h", "cls", "comp", "n", "place")
+        )
+    other = placed.select("h", *[F.col(c).alias(f"{c}2") for c in ("cls", "comp", "n", "place")])
+    fits = (
+        (F.col("cls") < F.col("cls2"))
+        & (F.col("comp") != F.col("comp2"))
+        & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
+        & (7 * F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= 3 * (F.col("n") + F.col("n2")))
+    )
+    return placed.join(other, (placed["h"] == other["h"]) & fits).select(
+        F.col("cls").alias("a"), F.col("cls2").alias("b")
+    ).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -267,7 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = band_keys(classes)
     shared = bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     members = materialize(bands.join(shared, "key"), "near-members")
-    small, large = members.filter(F.col("m") <= SMALL), members.filter(F.col("m") > SMALL).select("key", "cls")
+    small, large = members.filter(F.col("m") <= SMALL), members.filter(F.col("m") > SMALL)
 
     # texts of the classes that share a bucket, one a class
     wanted = members.select("cls").distinct().join(classes.select("cls", "at.k1", "at.k2"), "cls")
@@ -276,20 +308,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wanted.join(rows, ["k1", "k2"]).select("cls", "text").dropDuplicates(["cls"]), "near-texts"
     )
 
-    first = _cross(small.select("key", "cls", F.col("cls").alias("comp")), "key").unionByName(_star(large, None, 0))
-    found = [verify(first.distinct(), classes, texts)]
-    labels = components(found[0])
-    for turn in range(1, STAR_ROUNDS + 1):
-        still = _unresolved(large, labels)
-        if still.isEmpty():
-            break
-        still = materialize(still, "near-open")
-        if turn < STAR_ROUNDS:
-            pairs = _star(still.filter("NOT few").select("key", "cls"), labels, turn)
-        else:
-            pairs = _rest(still, members)
-        found.append(verify(pairs, classes, texts))
-        labels = components(reduce(DataFrame.unionByName, found))
+    first = _cross(small.select("key", "cls"), "key").unionByName(_star(large)).distinct()
+    links = verify(first, classes, texts)
+    labels = components(links)
+    still = materialize(_unresolved(large, labels), "near-open")
+    if not still.isEmpty():
+        links = links.unionByName(verify(_prefix_pairs(still, texts), classes, texts))
+        labels = components(links)
 
     # the smallest doc_id of each component
     named = classes.select("cls", "low").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
