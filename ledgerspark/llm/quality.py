@@ -6,10 +6,12 @@ hashed to ``BUCKETS``.  Each indicator is scaled by the log ratio of its class
 counts, rows are brought to unit length, and a linear hinge-loss model is fit
 by dual coordinate descent.
 
-Class counts cover every labelled row; the dual coordinate descent runs in one
-task on a sample of ``FIT_ROWS`` labelled rows at most, chosen by hash, so its
-time and memory are bounded.  One row in ``CALIBRATE_ONE_IN`` of it is set
-aside to turn margins into probabilities.
+The model is fit on a sample of the labels, chosen by hash: class counts are
+taken over ``LABEL_ROWS`` labelled documents, so the labels that are joined
+with the documents have a fixed bound and no text is shuffled, and the dual
+coordinate descent runs in one task over ``FIT_ROWS`` of them, which bounds its
+time and memory.  One row in ``CALIBRATE_ONE_IN`` of those is set aside to turn
+margins into probabilities.  With fewer labels all are used.
 
 Defined cases: null and empty texts have no n-grams and get the score of the
 bias alone; documents without a label, with several different ones or with a
@@ -32,6 +34,7 @@ from ..session import reach_package
 from .docs import map_slices, materialize, mix64, slices, with_bytes, words_of
 
 BUCKETS = 1 << 17
+LABEL_ROWS = 16_000
 FIT_ROWS = 8_000
 CALIBRATE_ONE_IN = 5
 EPOCHS = 12
@@ -257,8 +260,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return map_slices(with_bytes(rows, "row"), run, f"row {kind}, score double")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, column: str = "quality") -> DataFrame:
-    """text and label of the documents to learn from."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, column: str = "quality", bound: int = LABEL_ROWS) -> DataFrame:
+    """text and label of the documents to learn from, about ``bound`` at most."""
     sure = (
         labels.filter(~held_out())
         .groupBy("doc_id")
@@ -266,8 +269,11 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, column: str = "quality") -
         .filter("label = other")
         .select("doc_id", "label")
     )
+    part = int(min(1.0, bound / max(sure.count(), 1)) * (1 << 20))
+    chosen = sure.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part)
+    # the hint is safe: chosen has about ``bound`` rows of two numbers
     learn = docs.filter(~held_out()).select("doc_id", "text")
-    return materialize(learn.join(sure, "doc_id").select("text", "label"), "quality-labelled")
+    return materialize(learn.join(F.broadcast(chosen), "doc_id").select("text", "label"), "quality-labelled")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
