@@ -283,7 +283,8 @@ def _prefix_pairs(open_classes: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, k1, k2, n_shingles, component_id, kept: one row by document."""
+    """doc_id, k1, k2, n_shingles, component_id, kept and comp (the component's
+    key, null for an empty set): one row by document."""
     signed = materialize(sign(docs), "near-signed")
     classes = materialize(
         signed.filter("cls IS NOT NULL")
@@ -320,11 +321,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("cls", "low").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("comp", F.coalesce("comp", "cls"))
     lowest = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    by_class = named.join(lowest, "comp").select("cls", "component_id")
+    by_class = named.join(lowest, "comp").select("cls", "comp", "component_id")
     return (
         signed.select("doc_id", "k1", "k2", "n_shingles", "cls")
         .join(by_class, "cls", "left")
         .withColumn("component_id", F.coalesce("component_id", "doc_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "k1", "k2", "n_shingles", "component_id", "kept")
+        .select("doc_id", "k1", "k2", "n_shingles", "component_id", "kept", "comp")
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one document of each group: the one with the
+    smallest doc_id (nulls last), of rows with equal doc_id and text one.
+    Documents with an empty set all stay."""
+    near = materialize(near_duplicates(docs), "near-result")
+    grouped = near.filter("comp IS NOT NULL")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k2", "k1")).alias("f")
+    chosen = grouped.groupBy("comp").agg(first).select("f.k1", "f.k2")
+    alone = near.filter("comp IS NULL").select("k1", "k2")
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "text").transform(with_row_key).select("row", "k1", "k2")
+    once = rows.join(chosen, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+    return once.unionByName(rows.join(alone, ["k1", "k2"], "left_semi")).select("row.*")
