@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import reach_package, scratch_path
 from .bpe import Runs
-from .docs import slices, with_bytes, words_of
+from .docs import SLICE_BYTES, slices, with_bytes, words_of
 from .grammar import Grammar, compress
 
 VOCABULARY = "word_bpe_49k.json"
@@ -140,7 +140,7 @@ def common_words(docs: DataFrame, path: str) -> tuple[np.ndarray, Runs]:
     return key[order], runs
 
 
-def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
+def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> str:
     """Writes the documents' ids in ascending doc_id order under ``path``."""
     vocabulary = vocabulary or public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
@@ -156,13 +156,13 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None) -> str:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             doc_ids = batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, min(SLICE_BYTES, 3 * block_ids)):
                 flat, count = encoder.encode(texts[a:b])
                 ids.append(flat)
                 counts.append(count)
                 names += doc_ids[a:b]
                 n += len(flat)
-                if n >= BLOCK_IDS:
+                if n >= block_ids:
                     yield _block(shard, block, ids, counts, names)
                     ids, counts, names, n, block = [], [], [], 0, block + 1
         if names:
