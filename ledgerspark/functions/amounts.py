@@ -7,21 +7,10 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import (
-    AMOUNT_TYPE,
-    MODE_DEBIT_CREDIT,
-    MODE_DIRECT,
-    MODE_FLAG,
-    AmountRules,
-    LedgerFieldMapping,
-)
+from ..schema import AMOUNT_TYPE, DirectAmount, FlaggedAmount, Profile
 from .text import as_text
 
 
-class AmountRuleError(ValueError):
-    pass
-
-
 def parse_amount(c: Column | str, remove_commas: bool = False) -> Column:
     """Tolerant DECIMAL(18,2): unparseable or overflowing text -> NULL."""
     v = as_text(c)
@@ -38,39 +27,22 @@ def flag_in(flag: Column, values) -> Column:
     return flag.isin(values)
 
 
-def amount_sources(rules: AmountRules, mapping: LedgerFieldMapping) -> dict[str, str]:
-    """Source columns each mode reads, with the documented fallbacks to the
-    field mapping (rc_amount for direct mode, drcr for flag mode)."""
-    if rules.mode == MODE_DIRECT:
-        return {"amount": rules.direct_amount_field or mapping.rc_amount or ""}
-    if rules.mode == MODE_FLAG:
-        return {"amount": rules.amount_field or "", "drcr": rules.drcr_field or mapping.drcr or ""}
-    if rules.mode == MODE_DEBIT_CREDIT:
-        return {"debit": rules.debit_field or "", "credit": rules.credit_field or ""}
-    raise AmountRuleError(f"unsupported amount mode: {rules.mode}")
-
-
-def signed_amount(
-    rules: AmountRules,
-    mapping: LedgerFieldMapping,
-    src: Callable[[str], Column],
-    remove_commas: bool = False,
-) -> Column:
+def signed_amount(profile: Profile, src: Callable[[str], Column], remove_commas: bool = False) -> Column:
     """Debit positive, credit negative, as DECIMAL(18,2).
 
     direct: the parsed value. flag: +abs / -abs by flag set, NULL for an
     unknown flag. two columns: coalesce(abs(debit),0) - coalesce(abs(credit),0),
     never NULL.
     """
-    s = amount_sources(rules, mapping)
-    if rules.mode == MODE_DIRECT:
+    rules, s = profile.amount, profile.amount_columns()
+    if isinstance(rules, DirectAmount):
         return parse_amount(src(s["amount"]), remove_commas)
-    if rules.mode == MODE_FLAG:
+    if isinstance(rules, FlaggedAmount):
         amount = F.abs(parse_amount(src(s["amount"]), remove_commas))
         flag = as_text(src(s["drcr"]))
         return (
-            F.when(flag_in(flag, rules.debit_values), amount)
-            .when(flag_in(flag, rules.credit_values), -amount)
+            F.when(flag_in(flag, rules.debit), amount)
+            .when(flag_in(flag, rules.credit), -amount)
             .otherwise(F.lit(None).cast(AMOUNT_TYPE))
         )
     debit = F.coalesce(F.abs(parse_amount(src(s["debit"]), remove_commas)), F.lit(0).cast(AMOUNT_TYPE))

@@ -10,18 +10,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.amounts import amount_sources, flag_in, parse_amount, signed_amount
+from ..functions.amounts import flag_in, parse_amount, signed_amount
 from ..functions.dates import tolerant_date
 from ..functions.text import as_text, client_key, is_blank, prefixed
 from ..schema import (
     AMOUNT_TYPE,
+    DEFAULT_REQUIRED_FIELDS,
     ERROR_COLUMNS,
     ERROR_SAMPLE_LIMIT,
     EXTRA_LEDGER_FIELDS,
     LEDGER_COLUMNS,
-    MODE_DEBIT_CREDIT,
-    MODE_DIRECT,
-    MODE_FLAG,
+    MAPPING_TARGETS,
     PREVIEW_ROWS,
     REASON_ACCOUNT,
     REASON_AMOUNT,
@@ -31,7 +30,9 @@ from ..schema import (
     ROW_ERROR_CODE,
     UNKNOWN_FLAG_TEXT,
     BatchInfo,
-    IngestProfile,
+    DirectAmount,
+    FlaggedAmount,
+    Profile,
 )
 
 INVALID = "_invalid"
@@ -40,7 +41,7 @@ SOURCE_ROW = "source_row"
 
 
 class MappingError(ValueError):
-    """A mapped source column is missing, or the amount mode is unknown."""
+    """A mapped source column is missing."""
 
 
 def quote(name: str) -> str:
@@ -51,22 +52,16 @@ def source_col(name: str) -> Column:
     return F.col(quote(name))
 
 
-def required_sources(profile: IngestProfile) -> list[str]:
+def required_sources(profile: Profile) -> list[str]:
     """Source columns an import needs: the five core targets plus the
-    columns of the amount mode (raises on an unknown mode)."""
-    m = profile.field_mapping
-    core = [m.posting_date, m.voucher_id, m.ac_code, m.ac_caption, m.description]
-    try:
-        mode_cols = list(amount_sources(profile.amount_rules, m).values())
-    except ValueError as exc:
-        raise MappingError(str(exc)) from exc
-    return [c or "" for c in core + mode_cols]
+    columns of the amount mode."""
+    return [profile.source(t) for t in DEFAULT_REQUIRED_FIELDS] + list(profile.amount_columns().values())
 
 
-def check_source_columns(columns: list[str], profile: IngestProfile) -> None:
+def check_source_columns(columns: list[str], profile: Profile) -> None:
     """Every required mapped column must exist; an empty name counts as missing."""
     present = set(columns)
-    targets = ["posting_date", "voucher_id", "ac_code", "ac_caption", "description"]
+    targets = DEFAULT_REQUIRED_FIELDS
     needed = required_sources(profile)
     missing = []
     for i, name in enumerate(needed):
@@ -86,7 +81,7 @@ def _const(v, dtype: str) -> Column:
 
 def map_ledger(
     df: DataFrame,
-    profile: IngestProfile,
+    profile: Profile,
     batch: BatchInfo,
     *,
     extra_columns: bool = False,
@@ -99,9 +94,7 @@ def map_ledger(
     ``_payload``: the source row as JSON, computed for rejected rows only.
     """
     check_source_columns(df.columns, profile)
-    m = profile.field_mapping
-    rules = profile.amount_rules
-    clean = profile.clean_rules
+    clean = profile.clean
     tokens = list(clean.empty_tokens)
 
     def src(name: str) -> Column:
@@ -110,34 +103,18 @@ def map_ledger(
             c = F.when(F.trim(c).isin(tokens), F.lit(None).cast("string")).otherwise(c)
         return c
 
-    def rule_prefix(target: str) -> str | None:
-        r = profile.field_rules.get(target)
-        return r.prefix if r is not None else None
-
-    def optional(name: str | None) -> Column:
-        return src(name) if name else F.lit(None).cast("string")
-
-    def optional_prefixed(name: str | None, target: str) -> Column:
-        return prefixed(src(name), rule_prefix(target)) if name else F.lit(None).cast("string")
-
-    drcr_source = m.drcr or rules.drcr_field
-    cols = {
-        "posting_date": tolerant_date(src(m.posting_date), clean.date_dayfirst),
-        "voucher_id": prefixed(src(m.voucher_id), rule_prefix("voucher_id")),
-        "voucher_header": optional(m.voucher_header),
-        "company_id": optional(m.company_id),
-        "ac_code": prefixed(src(m.ac_code), rule_prefix("ac_code")),
-        "ac_caption": src(m.ac_caption),
-        "drcr": optional(drcr_source),
-        "rc_amount": signed_amount(rules, m, src, clean.amount_remove_commas),
-        "lc_amount": parse_amount(src(m.lc_amount), clean.amount_remove_commas)
-        if m.lc_amount
-        else F.lit(None).cast(AMOUNT_TYPE),
-        "vendor_id": optional_prefixed(m.vendor_id, "vendor_id"),
-        "vendor_name": optional(m.vendor_name),
-        "customer_id": optional_prefixed(m.customer_id, "customer_id"),
-        "customer_name": optional(m.customer_name),
-        "description": prefixed(src(m.description), rule_prefix("description")),
+    def text(target: str, name: str | None = None) -> Column:
+        """The target's source as text with its prefix; NULL if unmapped."""
+        name = name or profile.source(target)
+        return prefixed(src(name), profile.prefixes.get(target)) if name else F.lit(None).cast("string")
+
+    local = profile.source("lc_amount")
+    cols = {t: text(t) for t in LEDGER_COLUMNS if t in MAPPING_TARGETS}
+    cols |= {
+        "posting_date": tolerant_date(src(profile.source("posting_date")), clean.date_dayfirst),
+        "drcr": text("drcr", profile.source("drcr") or profile.amount_columns().get("drcr")),
+        "rc_amount": signed_amount(profile, src, clean.amount_remove_commas),
+        "lc_amount": parse_amount(src(local), clean.amount_remove_commas) if local else F.lit(None).cast(AMOUNT_TYPE),
         "client_name": _const(batch.client_name, "string"),
         "fiscal_year": _const(batch.fiscal_year, "int"),
         "source_file": _const(batch.source_file, "string"),
@@ -149,7 +126,7 @@ def map_ledger(
         exprs.append(F.col(SOURCE_ROW).cast("long").alias(SOURCE_ROW))
     exprs += [cols[c].alias(c) for c in LEDGER_COLUMNS]
     if extra_columns:
-        exprs += [optional(getattr(m, c)).alias(c) for c in EXTRA_LEDGER_FIELDS]
+        exprs += [text(c).alias(c) for c in EXTRA_LEDGER_FIELDS]
     for k in keep or []:
         exprs.append(source_col(k).alias(k))
     src_names = [c for c in df.columns if c != SOURCE_ROW]
@@ -260,7 +237,7 @@ def _fmt2(v: Column) -> Column:
 
 
 def amount_preview(
-    df: DataFrame, profile: IngestProfile, n: int = PREVIEW_ROWS, order: list[Column | str] | None = None
+    df: DataFrame, profile: Profile, n: int = PREVIEW_ROWS, order: list[Column | str] | None = None
 ) -> DataFrame:
     """Per sample row: flag, amount, debit, credit and converted amount text.
 
@@ -268,9 +245,8 @@ def amount_preview(
     fixed unknown-flag text. Sample = first ``n`` rows of ``order`` (or of the
     source when no order is given).
     """
-    rules = profile.amount_rules
-    m = profile.field_mapping
-    srcs = amount_sources(rules, m)
+    rules = profile.amount
+    srcs = profile.amount_columns()
 
     def raw(name: str) -> Column:
         return F.coalesce(as_text(source_col(name)), F.lit("")) if name else F.lit("")
@@ -279,25 +255,23 @@ def amount_preview(
         return parse_amount(F.trim(raw(name)), remove_commas=True)
 
     empty = F.lit("")
-    if rules.mode == MODE_DIRECT:
+    if isinstance(rules, DirectAmount):
         a = num(srcs["amount"])
         cols = _PreviewCols(empty, raw(srcs["amount"]), empty, empty, F.coalesce(_fmt2(a), empty))
-    elif rules.mode == MODE_FLAG:
+    elif isinstance(rules, FlaggedAmount):
         a = num(srcs["amount"])
         flag = raw(srcs["drcr"])
         conv = (
             F.when(a.isNull(), empty)
-            .when(flag_in(flag, rules.debit_values), _fmt2(F.abs(a)))
-            .when(flag_in(flag, rules.credit_values), _fmt2(-F.abs(a)))
+            .when(flag_in(flag, rules.debit), _fmt2(F.abs(a)))
+            .when(flag_in(flag, rules.credit), _fmt2(-F.abs(a)))
             .otherwise(F.lit(UNKNOWN_FLAG_TEXT))
         )
         cols = _PreviewCols(flag, raw(srcs["amount"]), empty, empty, conv)
-    elif rules.mode == MODE_DEBIT_CREDIT:
+    else:
         d = F.coalesce(num(srcs["debit"]), F.lit(0))
         c = F.coalesce(num(srcs["credit"]), F.lit(0))
         cols = _PreviewCols(empty, empty, raw(srcs["debit"]), raw(srcs["credit"]), _fmt2(F.abs(d) - F.abs(c)))
-    else:
-        raise MappingError(f"unsupported amount mode: {rules.mode}")
     sample = df.orderBy(*order).limit(n) if order else df.limit(n)
     keep = [SOURCE_ROW] if SOURCE_ROW in df.columns else []
     return sample.select(

@@ -7,30 +7,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.amounts import amount_sources, flag_in, parse_amount, signed_amount
+from ..functions.amounts import flag_in, parse_amount, signed_amount
 from ..functions.dates import tolerant_date
 from ..functions.text import as_text, is_blank
-from ..schema import IMBALANCE_TOLERANCE, MODE_DEBIT_CREDIT, MODE_FLAG, TOTAL_TYPE, IngestProfile
+from ..schema import IMBALANCE_TOLERANCE, MODE_DEBIT_CREDIT, MODE_FLAG, TOTAL_TYPE, Profile
 from .clean import source_col
 
 
-def _parts(profile: IngestProfile) -> dict[str, Column]:
-    rules, m = profile.amount_rules, profile.field_mapping
-    commas = profile.clean_rules.amount_remove_commas
-    s = amount_sources(rules, m)
-    out = {"rc": signed_amount(rules, m, lambda n: as_text(source_col(n)), commas)}
-    for k, name in s.items():
+def _parts(profile: Profile) -> dict[str, Column]:
+    commas = profile.clean.amount_remove_commas
+    out = {"rc": signed_amount(profile, lambda n: as_text(source_col(n)), commas)}
+    for k, name in profile.amount_columns().items():
         raw = as_text(source_col(name))
         out[f"raw_{k}"] = raw
         out[f"num_{k}"] = parse_amount(raw, commas)
     return out
 
 
-def amount_report(df: DataFrame, profile: IngestProfile) -> DataFrame:
+def amount_report(df: DataFrame, profile: Profile) -> DataFrame:
     """One row: rows converted, empty amount, unknown flag, both columns
     filled; debit, credit (as a positive number) and net totals."""
     p = _parts(profile)
-    mode = profile.amount_rules.mode
+    mode = profile.amount.mode
     rc = p["rc"]
     zero = F.lit(0)
     if mode == MODE_DEBIT_CREDIT:
@@ -42,8 +40,8 @@ def amount_report(df: DataFrame, profile: IngestProfile) -> DataFrame:
         both = F.lit(False)
         unknown = F.lit(False)
         if mode == MODE_FLAG:
-            r = profile.amount_rules
-            unknown = ~is_blank(p["raw_amount"]) & ~flag_in(p["raw_drcr"], r.debit_values) & ~flag_in(p["raw_drcr"], r.credit_values)
+            r = profile.amount
+            unknown = ~is_blank(p["raw_amount"]) & ~flag_in(p["raw_drcr"], r.debit) & ~flag_in(p["raw_drcr"], r.credit)
     return df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(rc.isNotNull()).alias("converted_rows"),
@@ -56,11 +54,11 @@ def amount_report(df: DataFrame, profile: IngestProfile) -> DataFrame:
     )
 
 
-def amount_warnings(df: DataFrame, profile: IngestProfile) -> DataFrame:
+def amount_warnings(df: DataFrame, profile: Profile) -> DataFrame:
     """One row of warning counts: amounts all one sign, both columns filled,
     both blank, a negative value in a debit/credit column, unknown flags."""
     p = _parts(profile)
-    mode = profile.amount_rules.mode
+    mode = profile.amount.mode
     rc = p["rc"]
     zero = F.lit(0)
     if mode == MODE_DEBIT_CREDIT:
@@ -72,8 +70,8 @@ def amount_warnings(df: DataFrame, profile: IngestProfile) -> DataFrame:
         both = neither = negative = F.lit(False)
         unknown = F.lit(False)
         if mode == MODE_FLAG:
-            r = profile.amount_rules
-            unknown = ~flag_in(p["raw_drcr"], r.debit_values) & ~flag_in(p["raw_drcr"], r.credit_values)
+            r = profile.amount
+            unknown = ~flag_in(p["raw_drcr"], r.debit) & ~flag_in(p["raw_drcr"], r.credit)
     agg = df.agg(
         F.count_if(rc > zero).alias("positive_rows"),
         F.count_if(rc < zero).alias("negative_rows"),
@@ -105,23 +103,22 @@ def balance_report(ledger: DataFrame, tolerance=IMBALANCE_TOLERANCE) -> DataFram
     )
 
 
-def cast_failures(df: DataFrame, profile: IngestProfile) -> DataFrame:
+def cast_failures(df: DataFrame, profile: Profile) -> DataFrame:
     """Per mapped target: rows with a missing (blank) source value and rows
     whose non-blank value failed its cast. Long format, one row per target."""
-    m = profile.field_mapping
-    commas = profile.clean_rules.amount_remove_commas
+    commas = profile.clean.amount_remove_commas
     checks: list[tuple[str, str, Column | None]] = []
-    for t in ("posting_date", "voucher_id", "ac_code", "ac_caption", "description"):
-        name = getattr(m, t)
-        if name:
-            raw = as_text(source_col(name))
-            parsed = tolerant_date(raw, profile.clean_rules.date_dayfirst) if t == "posting_date" else None
-            checks.append((t, name, parsed))
-    for k, name in amount_sources(profile.amount_rules, m).items():
+    for t, name in profile.mapping.items():
+        raw = as_text(source_col(name))
+        parsed = None
+        if t == "posting_date":
+            parsed = tolerant_date(raw, profile.clean.date_dayfirst)
+        elif t in ("lc_amount", "rc_amount"):
+            parsed = parse_amount(raw, commas)
+        checks.append((t, name, parsed))
+    for k, name in profile.amount_columns().items():
         if name and k != "drcr":
             checks.append((f"amount:{k}", name, parse_amount(as_text(source_col(name)), commas)))
-    if m.lc_amount:
-        checks.append(("lc_amount", m.lc_amount, parse_amount(as_text(source_col(m.lc_amount)), commas)))
     aggs = []
     for i, (t, name, parsed) in enumerate(checks):
         raw = as_text(source_col(name))

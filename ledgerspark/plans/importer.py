@@ -21,6 +21,7 @@ from ..functions.text import client_key
 from ..operators import clean, duplicates
 from ..operators.mapping import mapping_report_rows
 from ..schema import (
+    MODE_FLAG,
     AUTO_BATCH_HEX,
     AUTO_BATCH_PREFIX,
     LEDGER_COLUMNS,
@@ -31,7 +32,7 @@ from ..schema import (
     STATUS_FAILED,
     STATUS_STAGED,
     BatchInfo,
-    IngestProfile,
+    Profile,
 )
 from .store import ROW_REJECTED, ROW_SKIPPED, ROW_VALID, LedgerStore, error_view
 
@@ -141,7 +142,7 @@ def _check_request(source_type: str, import_mode: str, duplicate_mode, profile)
 
 def import_batch(
     source: DataFrame,
-    profile: IngestProfile,
+    profile: Profile,
     batch: BatchInfo,
     store: LedgerStore,
     *,
@@ -240,7 +241,7 @@ def import_batch(
         zero_rows=stats["zero_rows"],
         posting_date_min=stats["posting_date_min"],
         posting_date_max=stats["posting_date_max"],
-        field_mapping_report=mapping_report_rows(profile.field_mapping),
+        field_mapping_report=mapping_report_rows(store.spark, profile),
         import_errors=sample,
         dataset_path=store.path("rows"),
     )
@@ -276,7 +277,7 @@ def batch_stats(written: DataFrame) -> DataFrame:
     )
 
 
-def import_quality(source: DataFrame, profile: IngestProfile, ledger: DataFrame) -> dict:
+def import_quality(source: DataFrame, profile: Profile, ledger: DataFrame) -> dict:
     """Amount report and warnings, per-column missing / cast failures and
     the voucher balance check, each one aggregation (small results)."""
     from ..operators import quality as Q
@@ -285,9 +286,9 @@ def import_quality(source: DataFrame, profile: IngestProfile, ledger: DataFrame)
         return {k: (str(v) if v is not None and not isinstance(v, (int, bool)) else v) for k, v in df.first().asDict().items()}
 
     return {
-        "amount_mode": profile.amount_rules.mode,
-        "debit_values": list(profile.amount_rules.debit_values),
-        "credit_values": list(profile.amount_rules.credit_values),
+        "amount_mode": profile.amount.mode,
+        "debit_values": list(getattr(profile.amount, "debit", ())) if profile.amount.mode == MODE_FLAG else [],
+        "credit_values": list(getattr(profile.amount, "credit", ())) if profile.amount.mode == MODE_FLAG else [],
         "amount_report": one(Q.amount_report(source, profile)),
         "amount_warnings": one(Q.amount_warnings(source, profile)),
         "columns": [r.asDict() for r in Q.cast_failures(source, profile).collect()],
@@ -295,7 +296,7 @@ def import_quality(source: DataFrame, profile: IngestProfile, ledger: DataFrame)
     }
 
 
-def _write_report(store: LedgerStore, r: ImportResult, profile: IngestProfile, dataset_name, batch: BatchInfo) -> None:
+def _write_report(store: LedgerStore, r: ImportResult, profile: Profile, dataset_name, batch: BatchInfo) -> None:
     import datetime as dt
 
     spark = store.spark
@@ -313,7 +314,7 @@ def _write_report(store: LedgerStore, r: ImportResult, profile: IngestProfile, d
     ds = [
         (
             1, name, r.client_name, r.fiscal_year, r.success_rows, r.posting_date_min, r.posting_date_max, now,
-            r.import_batch_id, profile.profile_name, store.path("ledger"), src_file,
+            r.import_batch_id, profile.name, store.path("ledger"), src_file,
         )
     ]
     store.append("datasets", spark.createDataFrame(ds, DATASET_SCHEMA))

@@ -4,6 +4,7 @@ text of the same result."""
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -802,8 +803,8 @@ def q_clean_rules(spark, sf_dir):
     amt = F.col("src_amount")
     commas = F.when(amt == "n/a", amt).otherwise(F.format_number(amt.cast("decimal(18,2)"), 2))
     exported = raw.withColumn("src_date", dmy).withColumn("src_amount", commas)
-    prof = fx.flag_profile().with_rules(
-        clean_rules=CleanRules(empty_tokens=("", "NULL", "N/A", "-"), date_dayfirst=True, amount_remove_commas=True)
+    prof = replace(
+        fx.flag_profile(), clean=CleanRules(empty_tokens=("", "NULL", "N/A", "-"), date_dayfirst=True, amount_remove_commas=True)
     )
     flagged_ = clean.map_ledger(exported, prof, BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"))
     return clean.ledger_rows(flagged_).select(*OUT_COLUMNS)

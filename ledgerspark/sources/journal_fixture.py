@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rowindex import with_row_index
-from ..schema import AmountRules, FieldRule, IngestProfile, LedgerFieldMapping, MODE_DEBIT_CREDIT, MODE_DIRECT, MODE_FLAG
+from ..schema import DirectAmount, FlaggedAmount, Profile, TwoColumnAmount
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -92,30 +92,30 @@ _BASE = dict(
 )
 
 
-def flag_profile(prefix: str | None = "v_") -> IngestProfile:
-    return IngestProfile(
-        profile_name="fixture-flag",
-        field_mapping=LedgerFieldMapping(**_BASE, drcr="src_drcr"),
-        amount_rules=AmountRules(mode=MODE_FLAG, amount_field="src_amount", drcr_field="src_drcr"),
-        field_rules={"voucher_id": FieldRule(prefix)} if prefix else {},
+def flag_profile(prefix: str | None = "v_") -> Profile:
+    return Profile(
+        name="fixture-flag",
+        mapping={**_BASE, "drcr": "src_drcr"},
+        amount=FlaggedAmount("src_amount", "src_drcr"),
+        prefixes={"voucher_id": prefix} if prefix else {},
         source_type="table",
     )
 
 
-def direct_profile() -> IngestProfile:
-    return IngestProfile(
-        profile_name="fixture-direct",
-        field_mapping=LedgerFieldMapping(**_BASE),
-        amount_rules=AmountRules(mode=MODE_DIRECT, direct_amount_field="src_signed"),
+def direct_profile() -> Profile:
+    return Profile(
+        name="fixture-direct",
+        mapping=_BASE,
+        amount=DirectAmount("src_signed"),
         source_type="table",
     )
 
 
-def debit_credit_profile() -> IngestProfile:
-    return IngestProfile(
-        profile_name="fixture-debit-credit",
-        field_mapping=LedgerFieldMapping(**_BASE),
-        amount_rules=AmountRules(mode=MODE_DEBIT_CREDIT, debit_field="src_debit", credit_field="src_credit"),
-        field_rules={"ac_code": FieldRule("ac_"), "description": FieldRule("d_")},
+def debit_credit_profile() -> Profile:
+    return Profile(
+        name="fixture-debit-credit",
+        mapping=_BASE,
+        amount=TwoColumnAmount("src_debit", "src_credit"),
+        prefixes={"ac_code": "ac_", "description": "d_"},
         source_type="table",
     )

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.rowindex import MAX_BROADCAST_OFFSETS, _maybe_broadcast
 from ..plans.importer import import_batch
 from ..plans.store import LedgerStore
-from ..schema import STATUS_ACTIVE, BatchInfo, IngestProfile
+from ..schema import STATUS_ACTIVE, BatchInfo, Profile
 from ..session import scratch_path
 from ..sources.csv import _QUOTED_EMPTY
 
@@ -37,7 +37,7 @@ def stream_import(
     spark: SparkSession,
     folder: str,
     columns: list[str],
-    profile: IngestProfile,
+    profile: Profile,
     client_name: str,
     fiscal_year: int,
     store: LedgerStore,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.amounts import parse_amount, signed_amount
 from ledgerspark.functions.dates import tolerant_date
 from ledgerspark.functions.text import client_key, contains_like, is_blank, normalise_name, prefixed, safe_name
-from ledgerspark.schema import MODE_FLAG, AmountRules, LedgerFieldMapping
+from ledgerspark.schema import FlaggedAmount, Profile
 
 DATES = [
     "2024-01-02", "2024-1-2", " 2024-01-02 ", "2024-01-02 10:11:12", "2024-01-02T10:11", "2024/01/02",
@@ -56,8 +56,8 @@ def test_amounts_agree_with_duckdb(spark):
 
 def test_flags_exact_match(spark):
     df = spark.createDataFrame([("借 ", "5"), ("d", "5"), (None, "5"), ("借", "5"), ("H", "-5")], "f string, a string")
-    rules = AmountRules(mode=MODE_FLAG, amount_field="a", drcr_field="f")
-    out = [r[0] for r in df.select(signed_amount(rules, LedgerFieldMapping(), lambda n: F.col(n))).collect()]
+    rules = FlaggedAmount("a", "f")
+    out = [r[0] for r in df.select(signed_amount(Profile("p", {}, rules), lambda n: F.col(n))).collect()]
     assert out == [None, None, None, Decimal("5.00"), Decimal("-5.00")]
 
 

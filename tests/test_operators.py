@@ -14,10 +14,12 @@ from ledgerspark.plans.importer import ImportError_, _check_request
 from ledgerspark.schema import (
     MODE_DEBIT_CREDIT,
     MODE_DIRECT,
-    AmountRules,
+    DirectAmount,
+    FlaggedAmount,
     BatchInfo,
-    IngestProfile,
-    LedgerFieldMapping,
+    Profile,
+    TwoColumnAmount,
+    ProfileError,
 )
 
 BASE = dict(posting_date="d", voucher_id="v", ac_code="c", ac_caption="n", description="s")
@@ -32,24 +34,24 @@ def src(spark):
 
 
 def test_source_column_check(spark):
-    prof = IngestProfile("p", LedgerFieldMapping(**BASE), AmountRules(mode=MODE_DEBIT_CREDIT, debit_field="dr", credit_field="a"))
+    prof = Profile("p", {**BASE}, TwoColumnAmount("dr", "a"))
     with pytest.raises(clean.MappingError, match="dr"):
         clean.map_ledger(src(spark), prof, BatchInfo("c", 2024, "b"))
-    empty = IngestProfile("p", LedgerFieldMapping(**{**BASE, "description": ""}), AmountRules(mode=MODE_DIRECT, direct_amount_field="a"))
+    empty = Profile("p", {**{**BASE, "description": ""}}, DirectAmount("a"))
     with pytest.raises(clean.MappingError, match="description unmapped"):
         clean.map_ledger(src(spark), empty, BatchInfo("c", 2024, "b"))
-    with pytest.raises(clean.MappingError, match="unsupported"):
-        clean.map_ledger(src(spark), IngestProfile("p", LedgerFieldMapping(**BASE), AmountRules(mode="x")), BatchInfo("c", 2024, "b"))
+    with pytest.raises(ProfileError, match="unknown targets: nope"):
+        Profile("p", {**BASE, "nope": "x"})
 
 
 def test_direct_mode_falls_back_to_mapped_rc_amount(spark):
-    prof = IngestProfile("p", LedgerFieldMapping(**BASE, rc_amount="a"), AmountRules(mode=MODE_DIRECT))
+    prof = Profile("p", {**BASE, "rc_amount": "a"}, DirectAmount())
     out = clean.ledger_rows(clean.map_ledger(src(spark), prof, BatchInfo("c", 2024, "b")))
     assert sorted(r[0] for r in out.select("rc_amount").collect()) == [Decimal("-3.00"), Decimal("10.00")]
 
 
 def test_request_checks():
-    prof = IngestProfile("p", LedgerFieldMapping(**BASE), AmountRules())
+    prof = Profile("p", {**BASE}, DirectAmount())
     with pytest.raises(ImportError_):
         _check_request("pdf", "append", None, prof)
     with pytest.raises(ImportError_):
@@ -62,7 +64,7 @@ def test_request_checks():
 
 
 def test_extra_columns_opt_in(spark):
-    prof = IngestProfile("p", LedgerFieldMapping(**BASE, employee_name="emp", currency="cur"), AmountRules(mode=MODE_DIRECT, direct_amount_field="a"))
+    prof = Profile("p", {**BASE, "employee_name": "emp", "currency": "cur"}, DirectAmount("a"))
     plain = clean.map_ledger(src(spark), prof, BatchInfo("c", 2024, "b"))
     assert "currency" not in plain.columns
     extra = clean.map_ledger(src(spark), prof, BatchInfo("c", 2024, "b"), extra_columns=True)

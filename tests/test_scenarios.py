@@ -13,11 +13,11 @@ from ledgerspark.schema import (
     MODE_DEBIT_CREDIT,
     MODE_DIRECT,
     MODE_FLAG,
-    AmountRules,
+    DirectAmount,
+    FlaggedAmount,
     BatchInfo,
-    FieldRule,
-    IngestProfile,
-    LedgerFieldMapping,
+    Profile,
+    TwoColumnAmount,
 )
 from ledgerspark.sources.csv import read_journal_csv
 
@@ -25,8 +25,8 @@ BASE = dict(posting_date="posting_date", voucher_id="voucher_id", ac_code="ac_co
 
 
 def direct_profile(**rules):
-    return IngestProfile(
-        "direct", LedgerFieldMapping(**BASE), AmountRules(mode=MODE_DIRECT, direct_amount_field="amount"), **rules
+    return Profile(
+        "direct", {**BASE}, DirectAmount("amount"), **rules
     )
 
 
@@ -61,10 +61,10 @@ def test_amount_with_drcr_flag(spark, workdir):
 2024-01-02,V001,1001,Cash,debit,借,100
 2024-01-03,V002,1001,Cash,credit,贷,200
 """
-    prof = IngestProfile(
+    prof = Profile(
         "flag",
-        LedgerFieldMapping(**BASE, drcr="drcr"),
-        AmountRules(mode=MODE_FLAG, amount_field="amount", drcr_field="drcr", debit_values=("借",), credit_values=("贷",)),
+        {**BASE, "drcr": "drcr"},
+        FlaggedAmount("amount", "drcr", ("借",), ("贷",)),
     )
     store, _ = run_import(spark, workdir, text, prof)
     got = dict(store.open_ledger().select("voucher_id", "rc_amount").collect())
@@ -76,8 +76,8 @@ def test_debit_credit_columns(spark, workdir):
 2024-01-02,V001,1001,Cash,debit,300,
 2024-01-03,V002,1001,Cash,credit,,80
 """
-    prof = IngestProfile(
-        "dc", LedgerFieldMapping(**BASE), AmountRules(mode=MODE_DEBIT_CREDIT, debit_field="debit", credit_field="credit")
+    prof = Profile(
+        "dc", {**BASE}, TwoColumnAmount("debit", "credit")
     )
     store, _ = run_import(spark, workdir, text, prof)
     assert store.open_ledger().agg(F.sum("rc_amount")).first()[0] == Decimal("220.00")
@@ -112,15 +112,15 @@ def test_prefix_rules(spark, workdir):
 2024-01-02,001,1001,Cash,desc,88,99,120
 2024-01-03,002,1002,Bank,,,,300
 """
-    prof = IngestProfile(
+    prof = Profile(
         "prefix",
-        LedgerFieldMapping(**BASE, vendor_id="vendor_id", customer_id="customer_id"),
-        AmountRules(mode=MODE_DIRECT, direct_amount_field="amount"),
-        field_rules={
-            "voucher_id": FieldRule("v_"),
-            "ac_code": FieldRule("ac_"),
-            "vendor_id": FieldRule("s_"),
-            "customer_id": FieldRule("c_"),
+        {**BASE, "vendor_id": "vendor_id", "customer_id": "customer_id"},
+        DirectAmount("amount"),
+        prefixes={
+            "voucher_id": "v_",
+            "ac_code": "ac_",
+            "vendor_id": "s_",
+            "customer_id": "c_",
         },
     )
     store, _ = run_import(spark, workdir, text, prof)

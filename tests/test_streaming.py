@@ -3,14 +3,14 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import new_store, write_csv
-from ledgerspark.schema import MODE_DIRECT, AmountRules, IngestProfile, LedgerFieldMapping
+from ledgerspark.schema import DirectAmount, Profile
 from ledgerspark.streaming import stream_import
 
 COLS = ["posting_date", "voucher_id", "ac_code", "ac_caption", "description", "amount"]
-PROFILE = IngestProfile(
+PROFILE = Profile(
     "direct",
-    LedgerFieldMapping(posting_date="posting_date", voucher_id="voucher_id", ac_code="ac_code", ac_caption="ac_caption", description="description"),
-    AmountRules(mode=MODE_DIRECT, direct_amount_field="amount"),
+    {"posting_date": "posting_date", "voucher_id": "voucher_id", "ac_code": "ac_code", "ac_caption": "ac_caption", "description": "description"},
+    DirectAmount("amount"),
 )
 
 
