@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import PERIOD_MISSING, PERIOD_SEPARATOR, STATUS_MISSING, STATUS_QUERYABLE
+from ..schema import PERIOD_MISSING, PERIOD_SEPARATOR, STATUS_ACTIVE, STATUS_MISSING, STATUS_QUERYABLE
 
 
 def latest_per_key(
@@ -35,29 +35,36 @@ def latest_per_key(
     return out
 
 
-def dataset_overview(log: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Recent datasets (``log``: dataset_name, last_opened_at) joined to their
-    dataset rows; a missing row gives empty fields and the missing status."""
-    d = datasets.select(
-        "dataset_name", "client_name", "fiscal_year", "row_count", "posting_date_min", "posting_date_max"
-    )
+def dataset_overview(log: DataFrame, datasets: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """Recent datasets (``log``: dataset_name, last_opened_at), one row each,
+    with the latest dataset row of the name. A name without a dataset row, or
+    (given the current batch ``status``) none of whose batches is active any
+    more, has the missing status; without a dataset row its fields are empty."""
+    if status is not None:
+        active = status.filter(F.col("status") == STATUS_ACTIVE).select("import_batch_id").distinct()
+        datasets = datasets.join(active.withColumn("live", F.lit(True)), "import_batch_id", "left")
+    else:
+        datasets = datasets.withColumn("live", F.lit(True))
+    datasets = datasets.withColumn("live", F.coalesce("live", F.lit(False)))
+    fields = ["client_name", "fiscal_year", "row_count", "posting_date_min", "posting_date_max"]
+    # live batches first, then the latest
+    order = [c for c in ("created_at", "import_batch_id") if c in datasets.columns]
+    d = datasets.groupBy("dataset_name").agg(F.max(F.struct("live", *order, *fields)).alias("d"))
+    d = d.select("dataset_name", "d.live", *[f"d.{f}" for f in fields])
     j = log.join(d, "dataset_name", "left")
-    found = F.col("row_count").isNotNull()
-    has_period = F.col("posting_date_min").isNotNull() | F.col("posting_date_max").isNotNull()
-    period = F.when(
-        has_period,
-        F.concat(
-            F.coalesce(F.col("posting_date_min").cast("string"), F.lit(PERIOD_MISSING)),
-            F.lit(PERIOD_SEPARATOR),
-            F.coalesce(F.col("posting_date_max").cast("string"), F.lit(PERIOD_MISSING)),
-        ),
-    ).otherwise(F.lit(""))
+    period = F.concat(
+        F.coalesce(F.col("posting_date_min").cast("string"), F.lit(PERIOD_MISSING)),
+        F.lit(PERIOD_SEPARATOR),
+        F.coalesce(F.col("posting_date_max").cast("string"), F.lit(PERIOD_MISSING)),
+    )
+    dated = F.col("posting_date_min").isNotNull() | F.col("posting_date_max").isNotNull()
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     return j.select(
         "dataset_name",
-        F.coalesce(F.col("client_name"), F.lit("")).alias("client_name"),
-        F.coalesce(F.col("fiscal_year").cast("string"), F.lit("")).alias("fiscal_year"),
-        F.coalesce(F.col("row_count").cast("string"), F.lit("")).alias("row_count"),
-        period.alias("period"),
+        text("client_name"),
+        text("fiscal_year"),
+        text("row_count"),
+        F.when(dated, period).otherwise(F.lit("")).alias("period"),
         F.col("last_opened_at").cast("string").alias("last_opened_at"),
-        F.when(found, F.lit(STATUS_QUERYABLE)).otherwise(F.lit(STATUS_MISSING)).alias("status"),
+        F.when(F.col("live"), F.lit(STATUS_QUERYABLE)).otherwise(F.lit(STATUS_MISSING)).alias("status"),
     )

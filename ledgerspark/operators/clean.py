@@ -6,13 +6,14 @@ valid and rejected rows are two filters of it."""
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.amounts import flag_in, parse_amount, signed_amount
 from ..functions.dates import tolerant_date
-from ..functions.text import as_text, client_key, is_blank, prefixed
+from ..functions.text import as_text, is_blank, prefixed
 from ..schema import (
     AMOUNT_TYPE,
     DEFAULT_REQUIRED_FIELDS,
@@ -24,9 +25,12 @@ from ..schema import (
     PREVIEW_ROWS,
     REASON_ACCOUNT,
     REASON_AMOUNT,
+    MALFORMED,
     REASON_CAPTION,
+    REASON_CELLS,
     REASON_SEPARATOR,
     REASON_VOUCHER,
+    REASON_YEAR,
     ROW_ERROR_CODE,
     UNKNOWN_FLAG_TEXT,
     BatchInfo,
@@ -129,10 +133,13 @@ def map_ledger(
         exprs += [text(c).alias(c) for c in EXTRA_LEDGER_FIELDS]
     for k in keep or []:
         exprs.append(source_col(k).alias(k))
-    src_names = [c for c in df.columns if c != SOURCE_ROW]
+    src_names = [c for c in df.columns if c not in (SOURCE_ROW, MALFORMED)]
+    if MALFORMED in df.columns:
+        exprs.append(F.col(MALFORMED))
     if payload:
         exprs += [source_col(c).alias(f"_src_{i}") for i, c in enumerate(src_names)]
-    mapped = df.select(*exprs).withColumn(INVALID, invalid_condition())
+    mapped = df.select(*exprs)
+    mapped = mapped.withColumn(INVALID, invalid_condition(mapped.columns))
     if payload:
         raw = F.to_json(F.struct(*[F.col(f"_src_{i}").alias(c) for i, c in enumerate(src_names)]))
         mapped = mapped.withColumn(PAYLOAD, F.when(F.col(INVALID), raw)).drop(
@@ -141,20 +148,27 @@ def map_ledger(
     return mapped
 
 
-def invalid_condition() -> Column:
-    """Blank voucher_id / ac_code / ac_caption (after prefixing) or no amount."""
-    return is_blank("voucher_id") | is_blank("ac_code") | is_blank("ac_caption") | F.col("rc_amount").isNull()
+def _faults(columns: list[str]) -> list[tuple[Column, str]]:
+    """(condition, reason) in the order of the report: blank voucher_id,
+    ac_code or ac_caption (after prefixing), no amount; then no fiscal year,
+    which a stored row needs, and a record that does not fit its header."""
+    faults = [
+        (is_blank("voucher_id"), REASON_VOUCHER),
+        (is_blank("ac_code"), REASON_ACCOUNT),
+        (is_blank("ac_caption"), REASON_CAPTION),
+        (F.col("rc_amount").isNull(), REASON_AMOUNT),
+        (F.col("fiscal_year").isNull(), REASON_YEAR),
+    ]
+    return faults + [(F.col(MALFORMED).isNotNull(), REASON_CELLS)] * (MALFORMED in columns)
 
 
-def error_message() -> Column:
+def invalid_condition(columns: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [c for c, _ in _faults(columns)])
+
+
+def error_message(columns: list[str]) -> Column:
     """Reasons in fixed order, joined by '; '."""
-    return F.concat_ws(
-        REASON_SEPARATOR,
-        F.when(is_blank("voucher_id"), F.lit(REASON_VOUCHER)),
-        F.when(is_blank("ac_code"), F.lit(REASON_ACCOUNT)),
-        F.when(is_blank("ac_caption"), F.lit(REASON_CAPTION)),
-        F.when(F.col("rc_amount").isNull(), F.lit(REASON_AMOUNT)),
-    )
+    return F.concat_ws(REASON_SEPARATOR, *[F.when(c, F.lit(r)) for c, r in _faults(columns)])
 
 
 def ledger_rows(flagged: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -167,7 +181,7 @@ def error_rows(flagged: DataFrame, extra: list[str] | None = None) -> DataFrame:
     return flagged.filter(F.col(INVALID)).select(
         src_row.alias("source_row"),
         F.lit(ROW_ERROR_CODE).alias("error_code"),
-        error_message().alias("error_message"),
+        error_message(flagged.columns).alias("error_message"),
         F.col("posting_date").cast("string").alias("posting_date"),
         "voucher_id",
         "ac_code",
@@ -182,15 +196,11 @@ def split_valid(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ledger_rows(flagged), error_rows(flagged)
 
 
-def import_stats(flagged: DataFrame, with_keys: bool = False) -> DataFrame:
+def import_stats(flagged: DataFrame) -> DataFrame:
     """One row: total, accepted, failed, positive / negative / zero amounts
-    and the date range of accepted rows, from one aggregation. ``with_keys``
-    adds the set of (client_name, fiscal_year) of accepted rows (bounded by
-    clients x years in one import)."""
+    and the date range of accepted rows, from one aggregation."""
     ok = ~F.col(INVALID)
     amt = F.col("rc_amount")
-    key = F.struct(client_key("client_name").alias("client_key"), "client_name", "fiscal_year")
-    keys = [F.collect_set(F.when(ok, key)).alias("batch_keys")] if with_keys else []
     return flagged.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(ok).alias("success_rows"),
@@ -200,7 +210,6 @@ def import_stats(flagged: DataFrame, with_keys: bool = False) -> DataFrame:
         F.count_if(ok & (amt == 0)).alias("zero_rows"),
         F.min(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_min"),
         F.max(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_max"),
-        *keys,
     )
 
 
@@ -219,7 +228,10 @@ def ledger_stats(ledger: DataFrame) -> DataFrame:
 
 def error_sample(errors: DataFrame, limit: int = ERROR_SAMPLE_LIMIT) -> DataFrame:
     """First ``limit`` rejected rows by source row (top-k, no full sort)."""
-    return errors.orderBy(F.col("source_row").asc_nulls_last()).limit(max(0, int(limit)))
+    lead = ["source_file"] if "source_file" in errors.columns else []
+    rest = [c for c in errors.columns if c not in ("source_row", *lead)]
+    order = [F.col(c).asc_nulls_last() for c in ["source_row", *lead, *rest]]
+    return errors.orderBy(*order).limit(max(0, int(limit)))
 
 
 @dataclass(frozen=True)

@@ -2,83 +2,70 @@
 
 Key = (posting_date, voucher_id, ac_code, rc_amount, description), compared
 null-safe. A row is a duplicate when its key already exists in the history,
-or when an earlier row (lower source_row) of the same batch has the key.
-
-Both checks come from one partial aggregation to one row per key followed
-by one many-to-one join (AQE splits a skewed key's partition on the big
-side); no window over a hot key, no pairs within a key.
+or when an earlier row of the same import has the key; rows are ordered by
+(source_file, source_row), so the same file delivered twice under two names,
+or two files with equal rows, are found too.
+
+Only key columns are shuffled: one partial aggregation to one row per key, a
+semi join that cuts the history down to the import's keys before it is
+grouped, and a many-to-one join back to the key rows. The few rows that turn
+out to be duplicates are then joined to the full rows by their place.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DUPLICATE_KEY = ["posting_date", "voucher_id", "ac_code", "rc_amount", "description"]
+PLACE = ["source_file", "source_row"]
 
 
 class DuplicateError(ValueError):
-    pass
+    """Duplicates were found, or cannot be looked for; rows: how many."""
+
+    def __init__(self, text: str, rows: int = 0):
+        super().__init__(text)
+        self.rows = rows
+
+
+def _same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    """A hash first (cheap to sort by), then null-safe equality of all."""
+    return reduce(lambda x, y: x & y, [a["_h"] == b["_g"]] + [a[p].eqNullSafe(b[q]) for p, q in pairs])
 
 
 def mark_duplicates(
-    new: DataFrame,
-    history: DataFrame | None = None,
-    keys: list[str] = DUPLICATE_KEY,
-    where=None,
+    new: DataFrame, history: DataFrame | None = None, keys: list[str] = DUPLICATE_KEY, where: Column | None = None
 ) -> DataFrame:
-    """``new`` (with source_row) + boolean ``is_duplicate``. With ``where``
-    only rows meeting it take part (others are never duplicates).
-
-    One aggregation over the batch keys and the history keys together gives,
-    per key, the first source row in the batch and whether history has it;
-    one join brings that back. The join leads with a 64-bit hash of the key
-    (cheap sort comparisons) and still requires null-safe equality of every
-    key column, so hash collisions cannot mark anything.
-    """
-    cand = new if where is None else new.filter(where)
-    parts = cand.select(*keys, F.col("source_row").alias("_sr"), F.lit(False).alias("_h"))
+    """``new`` + boolean ``is_duplicate``. ``new`` has source_row, and
+    source_file if it holds more than one file. With ``where`` only rows
+    meeting it take part; others are never duplicates."""
+    if "source_row" not in new.columns:
+        raise DuplicateError("duplicates are ordered by source_row, which the rows lack")
+    place = [c for c in PLACE if c in new.columns]
+    part = new if where is None else new.filter(where)
+    rows = part.select(*keys, F.struct(*place).alias("_at"), F.xxhash64(*keys).alias("_h"))
+    first = rows.groupBy("_h", *keys).agg(F.min("_at").alias("_first"))
+    first = first.select(F.col("_h").alias("_g"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
+    pairs = [(k, f"_k_{k}") for k in keys]
+    later = F.col("_at") != F.col("_first")
     if history is not None:
-        parts = parts.unionByName(history.select(*keys, F.lit(None).cast("long").alias("_sr"), F.lit(True).alias("_h")))
-    per_key = parts.groupBy(*keys).agg(F.min("_sr").alias("_first"), F.max("_h").alias("_seen"))
-    per_key = per_key.select(
-        F.xxhash64(*keys).alias("_dh"), *[F.col(k).alias(f"_d_{k}") for k in keys], "_first", "_seen"
-    )
-    left = new.withColumn("_lh", F.xxhash64(*keys))
-    cond = reduce(
-        lambda a, b: a & b,
-        [left["_lh"] == per_key["_dh"]] + [left[k].eqNullSafe(per_key[f"_d_{k}"]) for k in keys],
-    )
-    out = left.join(per_key, cond, "left")
-    dup = (F.col("source_row") != F.col("_first")) | F.coalesce(F.col("_seen"), F.lit(False))
-    dup = F.coalesce(dup, F.lit(False))
+        old = history.select(*keys, F.xxhash64(*keys).alias("_h"))
+        old = old.join(first.select(F.col("_g").alias("_h")), "_h", "left_semi").distinct()
+        old = old.select(F.col("_h").alias("_o"), *[F.col(k).alias(f"_o_{k}") for k in keys])
+        same = reduce(
+            lambda x, y: x & y,
+            [first["_g"] == old["_o"]] + [first[f"_k_{k}"].eqNullSafe(old[f"_o_{k}"]) for k in keys],
+        )
+        first = first.join(old, same, "left").withColumn("_seen", F.col("_o").isNotNull())
+        first = first.drop("_o", *[f"_o_{k}" for k in keys])
+        later = later | F.col("_seen")
+    found = rows.join(first, _same(rows, first, pairs)).filter(later)
+    found = found.select(*[F.col(f"_at.{c}").alias(f"_d_{c}") for c in place], F.lit(True).alias("_dup")).distinct()
+    at = reduce(lambda x, y: x & y, [new[c].eqNullSafe(found[f"_d_{c}"]) for c in place])
+    hit = F.coalesce("_dup", F.lit(False))
     if where is not None:
-        dup = F.coalesce(where, F.lit(False)) & dup
-    out = out.withColumn("is_duplicate", dup)
-    return out.drop(*[c for c in out.columns if c.startswith("_d_")], "_first", "_seen", "_lh", "_dh")
-
-
-def skip_duplicates(marked: DataFrame) -> DataFrame:
-    return marked.filter(~F.col("is_duplicate"))
-
-
-def assert_no_duplicates(marked: DataFrame) -> None:
-    n = marked.filter(F.col("is_duplicate")).limit(1).count()
-    if n:
-        raise DuplicateError("duplicate rows found (strict mode)")
-
-
-def apply_duplicate_mode(new: DataFrame, history: DataFrame | None, mode: str | None) -> DataFrame:
-    if mode is None:
-        return new.withColumn("is_duplicate", F.lit(False))
-    marked = mark_duplicates(new, history)
-    if mode == "mark":
-        return marked
-    if mode == "skip":
-        return skip_duplicates(marked)
-    if mode == "strict":
-        assert_no_duplicates(marked)
-        return marked
-    raise ValueError(f"unknown duplicate mode: {mode}")
+        hit = hit & F.coalesce(where, F.lit(False))
+    return new.join(found, at, "left").withColumn("is_duplicate", hit).drop("_dup", *[f"_d_{c}" for c in place])

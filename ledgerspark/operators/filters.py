@@ -6,7 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_like, row_text
@@ -71,10 +71,16 @@ build_journal_query = filter_ledger
 
 
 def search_condition(df: DataFrame, needle: str) -> F.Column:
-    n = needle.strip().casefold()
+    n = needle.strip()
     if not n:
         return F.lit(True)
-    return F.lower(row_text([F.col(f"`{c}`") for c in df.columns])).contains(n)
+    return folded(row_text([F.col(f"`{c}`") for c in df.columns])).contains(folded(F.lit(n)))
+
+
+def folded(c: Column) -> Column:
+    """Text without regard to case: upper and then lower case, so that letters
+    with a longer capital form (as ss for the sharp s) meet it too."""
+    return F.lower(F.upper(c))
 
 
 def search_rows(df: DataFrame, needle: str) -> DataFrame:

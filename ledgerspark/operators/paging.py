@@ -1,9 +1,9 @@
 """Grid sort, paging, page counts, and sheet-split export.
 
 A shallow page is a top-k (``TakeOrderedAndProject``: each task keeps only
-offset+size rows). A deep page or a full export numbers the rows once with
-the distributed row index and filters a range, so nothing the size of the
-result goes through one task or the driver.
+offset+size rows). Deep pages read the files that hold them from a copy sorted
+once (``Pages``), and an export numbers the rows of such a copy, so nothing
+the size of the result goes through one task or the driver.
 """
 
 from __future__ import annotations
@@ -15,29 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import ROWS_PER_SHEET
-from .filters import search_condition
+from ..session import delete_path
+from .filters import folded, search_condition
 from .ordering import total_order
-from .rowindex import number_written, with_row_index, write_sorted
+from .rowindex import number_written, write_sorted, written_order
 
-# Top-k keeps up to offset+size rows per input partition and merges them in
-# one task, so a page uses it only when it ends within TOPK_MAX_ROWS and
-# (offset+size) x partitions stays within TOPK_ROW_BUDGET; otherwise the rows
-# are numbered once by the distributed row index and a range is filtered.
-TOPK_MAX_ROWS = 100_000
-TOPK_ROW_BUDGET = 20_000_000
+# A top-k sends up to offset + size rows of each input partition to one task;
+# a page is cut that way only while all of them stay under this. Later pages
+# come from a sorted copy (``Pages``). Both need, and get, a total order.
+TOPK_MERGE_ROWS = 100_000
 
 
 def use_topk(df: DataFrame, end: int) -> bool:
-    if end > TOPK_MAX_ROWS:
-        return False
-    return end * max(1, df.rdd.getNumPartitions()) <= TOPK_ROW_BUDGET
+    return end * max(1, df.rdd.getNumPartitions()) <= TOPK_MERGE_ROWS
 
 
 def grid_key(df: DataFrame, column: str) -> Column:
     """Sort key of one grid column: text case-folded, everything else as is."""
     c = F.col(f"`{column}`")
     if isinstance(df.schema[column].dataType, T.StringType):
-        return F.lower(c)
+        return folded(c)
     return c
 
 
@@ -52,17 +49,59 @@ def sort_grid(df: DataFrame, column: str, descending: bool = False) -> DataFrame
     return df.orderBy(*grid_order(df, column, descending))
 
 
+class Pages:
+    """All pages of a frame in one order, sorted and written once.
+
+    The rows are range-partitioned and sorted into files of the shared scratch
+    folder; a page reads only the files that hold its rows, found by their row
+    counts. Callers keep the object for all pages and call ``drop`` when done
+    (or use it in a ``with`` block), which deletes the copy."""
+
+    def __init__(self, df: DataFrame, order: list[Column]):
+        self.spark = df.sparkSession
+        self.path = write_sorted(df, order, "pages")
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+        counted = self.rows.groupBy(F.col("_metadata.file_path").alias("f")).count().collect()  # a row by file
+        files = sorted((written_order(r["f"]), r["f"], r["count"]) for r in counted)
+        self.files, self.total = [], 0
+        for _, name, n in files:
+            self.files.append((self.total, n, name))
+            self.total += n
+
+    def page(self, size: int | None, index: int) -> DataFrame:
+        """Page ``index`` (0-based, brought into range) of ``size`` rows."""
+        size = max(1, self.total) if size is None else max(1, int(size))
+        start = clamp_page(int(index), math.ceil(self.total / size)) * size
+        held = [(a, name) for a, n, name in self.files if a < start + size and a + n > start]
+        if not held:
+            return self.rows.limit(0)
+        offset = F.create_map(*[F.lit(x) for a, name in held for x in (name, a)])
+        rows = self.spark.read.schema(self.rows.schema).parquet(*[name for _, name in held])
+        at = F.element_at(offset, F.col("_metadata.file_path")) + F.col("_metadata.row_index")
+        rows = rows.withColumn("_row", at).filter((F.col("_row") >= start) & (F.col("_row") < start + size))
+        return rows.orderBy("_row").drop("_row")
+
+    def drop(self) -> None:
+        delete_path(self.spark, self.path)
+
+    def __enter__(self) -> "Pages":
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.drop()
+
+
 def page(df: DataFrame, order: list[Column], size: int | None, index: int) -> DataFrame:
-    """Rows of page ``index`` (0-based) of ``size`` rows in ``order``;
-    ``size=None`` is one page with every row."""
+    """Rows of page ``index`` (0-based; past the end: the last page) of
+    ``size`` rows in ``order``, which must be total; ``size=None`` is one page
+    with every row. For many pages of one frame use ``Pages``."""
     if size is None:
         return df.orderBy(*order)
     size = max(1, int(size))
-    start = max(0, int(index)) * size
+    start = clamp_page(int(index), math.ceil(df.count() / size)) * size
     if use_topk(df, start + size):
         return df.orderBy(*order).offset(start).limit(size) if start else df.orderBy(*order).limit(size)
-    numbered = with_row_index(df, order, "_row")
-    return numbered.filter((F.col("_row") > start) & (F.col("_row") <= start + size)).orderBy("_row").drop("_row")
+    return Pages(df, order).page(size, start // size)
 
 
 def page_info(df: DataFrame, needle: str = "", size: int | None = 50) -> DataFrame:
@@ -109,26 +148,21 @@ def sheet_rows(numbered: DataFrame) -> DataFrame:
 
 
 def export_sheets(numbered: DataFrame, path: str) -> None:
-    """One CSV per sheet (folder ``sheet_no=k``), header in each, NULL as '',
-    rows in order. A sheet is bounded by rows_per_sheet, so one task per
-    sheet is bounded work."""
-    cols = [c for c in numbered.columns if c not in ("row_index", "sheet_no")]
-    sheets = numbered.select("sheet_no").distinct().count()
-    if sheets == 0:  # still one sheet, header only
-        numbered.select(*[F.col(f"`{c}`") for c in cols]).coalesce(1).write.mode("overwrite").option(
-            "header", True
-        ).csv(f"{path.rstrip('/')}/sheet_no=1")
+    """One CSV file per sheet (folder ``sheet_no=k``), header in each, NULL as
+    '', rows in order. Sheets are dealt out by range into as many tasks as the
+    session's shuffle partitions, each writing its sheets one after the other."""
+    cols = [F.col("`" + c.replace("`", "``") + "`") for c in numbered.columns if c not in ("row_index", "sheet_no")]
+    if numbered.isEmpty():  # still one sheet, header only
+        numbered.select(*cols).coalesce(1).write.mode("overwrite").option("header", True).csv(
+            f"{path.rstrip('/')}/sheet_no=1"
+        )
         return
     (
-        numbered.repartition(sheets, "sheet_no")
-        .sortWithinPartitions("row_index")
-        .select(*[F.col(f"`{c}`") for c in cols], "sheet_no")
+        numbered.repartitionByRange("sheet_no")
+        .sortWithinPartitions("sheet_no", "row_index")
+        .select(*cols, "sheet_no")
         .write.mode("overwrite")
         .partitionBy("sheet_no")
         .option("header", True)
         .csv(path)
     )
-
-
-def sheet_count(total_rows: int, rows_per_sheet: int = ROWS_PER_SHEET) -> int:
-    return max(1, math.ceil(total_rows / max(1, rows_per_sheet)))

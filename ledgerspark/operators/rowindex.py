@@ -2,8 +2,8 @@
 
 ``row_number() OVER ()`` / ``OVER (ORDER BY ..)`` without a partition moves
 every row into one task. Here rows stay spread out; only one count per file
-(or per file split) is combined, so the offset table is bounded by the number
-of files/splits, not by the number of rows, and is safe to broadcast.
+(or per file split) is combined. The offset table has a row by file or split;
+the join back has no hint, so Spark broadcasts it only under its size bound.
 
 Numbering must not depend on a recomputation giving the same partitions: a
 shuffle's output order and a range partitioner's sampled bounds can change
@@ -15,32 +15,18 @@ a file-order numbering reads a deterministic scan.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-# Offset tables (one row per file or split, ~40 bytes a row) are broadcast
-# only while their row bound, taken from the file listing, stays under this.
-MAX_BROADCAST_OFFSETS = 2_000_000
-
 # Written file names: part-<task index>-<uuid>-c<file index within task>...
 _TASK_RE = r"^part-(\d+)-"
 _FILE_RE = r"-c(\d+)(?:\.|$)"
 
 
-def _offset_rows_bound(df: DataFrame) -> int:
-    """Upper bound on (file, split) pairs of a file scan: every split is a
-    whole file or a piece of one, and a scan partition holds at least one
-    split, so pairs <= files + partitions. Uses the listing Spark already
-    holds; runs no job."""
-    return len(df.inputFiles()) + df.rdd.getNumPartitions()
-
-
-def _maybe_broadcast(offsets: DataFrame, bound: int) -> DataFrame:
-    return F.broadcast(offsets) if bound <= MAX_BROADCAST_OFFSETS else offsets
-
-
 def _running_offset(counts: DataFrame, part_cols: list[str], order_cols: list[str]) -> DataFrame:
     w = Window.partitionBy(*part_cols) if part_cols else Window.partitionBy(F.lit(0))
     w = w.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
@@ -58,14 +44,20 @@ def number_written(df: DataFrame, name: str = "row_index") -> DataFrame:
         .withColumn("_c", F.regexp_extract("_f", _FILE_RE, 1).cast("long"))
     )
     offsets = _running_offset(files, [], ["_t", "_c", "_f"]).select("_f", "_off")
-    # one row per written file: bounded by the number of write tasks
     return (
-        tagged.join(_maybe_broadcast(offsets, len(df.inputFiles())), "_f")
+        tagged.join(offsets, "_f")
         .withColumn(name, F.col("_off") + F.col("_r") + F.lit(1))
         .drop("_f", "_r", "_off")
     )
 
 
+def written_order(path: str) -> tuple[int, int]:
+    """(task, file within the task) of a written file."""
+    name = path.rsplit("/", 1)[-1]
+    task, file = re.search(_TASK_RE, name), re.search(_FILE_RE, name)
+    return (int(task[1]) if task else 0, int(file[1]) if file else 0)
+
+
 def write_sorted(df: DataFrame, order: list[Column | str], label: str = "sorted") -> str:
     path = scratch_path(df.sparkSession, label)
     df.sort(*order).write.parquet(path)
@@ -99,7 +91,7 @@ def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     splits = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_m0"))
     offsets = _running_offset(splits, ["_f"], ["_b"]).select("_f", "_b", "_m0", "_off")
     return (
-        tagged.join(_maybe_broadcast(offsets, _offset_rows_bound(df)), ["_f", "_b"])
+        tagged.join(offsets, ["_f", "_b"])
         .withColumn(name, F.col("_off") + (F.col("_rid") - F.col("_m0")) + F.lit(1))
         .drop("_f", "_b", "_rid", "_m0", "_off")
     )

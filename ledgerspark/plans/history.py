@@ -73,6 +73,7 @@ def overview(store: LedgerStore, n: int = RECENT_DATASETS_KEEP) -> DataFrame:
     datasets = store.read("datasets")
     if datasets is None:
         datasets = store.spark.createDataFrame(
-            [], "dataset_name string, client_name string, fiscal_year int, row_count long, posting_date_min string, posting_date_max string"
+            [], "dataset_name string, client_name string, fiscal_year int, row_count long, posting_date_min string, "
+            "posting_date_max string, import_batch_id string"
         )
-    return dataset_overview(recent, datasets).orderBy(F.col("last_opened_at").desc())
+    return dataset_overview(recent, datasets, store.batch_status()).orderBy(F.col("last_opened_at").desc())

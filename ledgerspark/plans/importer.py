@@ -13,7 +13,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,20 +21,27 @@ from ..functions.text import client_key
 from ..operators import clean, duplicates
 from ..operators.mapping import mapping_report_rows
 from ..schema import (
-    MODE_FLAG,
     AUTO_BATCH_HEX,
     AUTO_BATCH_PREFIX,
     LEDGER_COLUMNS,
+    MODE_FLAG,
     REQUIRED_LEDGER_FIELDS,
     ERROR_COLUMNS,
     ROW_ERROR_CODE,
-    STATUS_ACTIVE,
     STATUS_FAILED,
     STATUS_STAGED,
     BatchInfo,
     Profile,
 )
-from .store import ROW_REJECTED, ROW_SKIPPED, ROW_VALID, LedgerStore, error_view
+from .store import (
+    KEY_COLUMNS,
+    ROW_REJECTED,
+    ROW_SKIPPED,
+    ROW_VALID,
+    STORED_ROWS_SCHEMA,
+    LedgerStore,
+    error_view,
+)
 
 SOURCE_TYPES = {"excel", "csv", "table"}
 IMPORT_MODES = {"new", "append"}
@@ -77,11 +84,13 @@ class ImportResult:
     error_message: str | None = None
     quality: dict | None = None
 
-    REPORT_KEYS = (
-        "task_id client_name source_type source_path source_table target_table fiscal_year import_batch_id "
-        "import_mode total_rows success_rows failed_rows duplicate_rows positive_rows negative_rows zero_rows "
-        "field_mapping_report import_errors status error_code error_message"
-    ).split()
+    # The keys of the report, in order.
+    REPORT_KEYS = [
+        "task_id", "client_name", "source_type", "source_path", "source_table", "target_table", "fiscal_year",
+        "import_batch_id", "import_mode", "total_rows", "success_rows", "failed_rows", "duplicate_rows",
+        "positive_rows", "negative_rows", "zero_rows", "field_mapping_report", "import_errors", "status", "error_code",
+        "error_message",
+    ]
 
     def to_json(self) -> str:
         d = asdict(self)
@@ -149,7 +158,7 @@ def import_batch(
     source_type: str = "csv",
     source_path: str = "",
     import_mode: str = "append",
-    duplicate_mode: str | None = None,
+    duplicate_mode: str | None = "mark",
     dataset_name: str | None = None,
     keep_payload: bool = True,
     error_sample_limit: int = 200,
@@ -171,20 +180,16 @@ def import_batch(
         # rows of an earlier attempt would share the partition folder
         raise ImportError_(f"batch id {batch_id!r} is already used in this store; import under a new id")
 
-    flagged = clean.map_ledger(source, profile, batch, payload=keep_payload)
+    flagged = clean.map_ledger(source, profile, batch, payload=keep_payload, extra_columns=True)
     if clean.SOURCE_ROW not in flagged.columns:
+        if duplicate_mode is not None:
+            raise ImportError_("duplicate handling needs source_row; import with duplicate_mode=None without it")
         flagged = flagged.withColumn(clean.SOURCE_ROW, F.lit(None).cast("long"))
     invalid = F.col(clean.INVALID)
     if duplicate_mode is None:
         rows = flagged.withColumn("is_duplicate", F.lit(False))
     else:
-        history = store.open_ledger()
-        if isinstance(batch.client_name, str):
-            history = history.filter(client_key("client_name") == client_key(F.lit(batch.client_name)))
-        else:
-            clients = flagged.select(client_key("client_name").alias("_ck")).distinct()
-            history = history.withColumn("_ck", client_key("client_name")).join(clients, "_ck", "left_semi").drop("_ck")
-        rows = duplicates.mark_duplicates(flagged, history, where=~invalid)
+        rows = duplicates.mark_duplicates(flagged, _history(store, flagged, batch), where=~invalid)
     skip = F.lit(duplicate_mode == "skip")
     rows = rows.select(
         "*",
@@ -193,30 +198,42 @@ def import_batch(
         .otherwise(F.lit(ROW_VALID))
         .alias("row_status"),
         F.when(invalid, F.lit(ROW_ERROR_CODE)).alias("error_code"),
-        F.when(invalid, clean.error_message()).alias("error_message"),
+        F.when(invalid, clean.error_message(flagged.columns)).alias("error_message"),
         (F.col(clean.PAYLOAD) if keep_payload else F.lit(None).cast("string")).alias("raw_payload"),
     )
-    store.write_rows(rows)
-
-    written = store.batch_rows(batch_id)
-    stats = batch_stats(written).first()
-    keys = [(k["client_key"], k["client_name"], k["fiscal_year"], batch_id) for k in stats["batch_keys"]]
-    dup_rows = stats["duplicate_rows"]
+    constant = not isinstance(batch.client_name, Column) and not isinstance(batch.fiscal_year, Column)
+    asked = None
+    if constant:  # what is about to be written is on record before it is
+        asked = store.spark.range(1).select(
+            client_key(F.lit(batch.client_name)).alias("client_key"),
+            F.lit(batch.client_name).alias("client_name"),
+            F.lit(batch.fiscal_year).cast("int").alias("fiscal_year"),
+            F.lit(batch_id).alias("import_batch_id"),
+        )
+        store.set_status((asked, STATUS_STAGED))
+    keys = asked
     try:
-        if not allow_many_clients and len({k[0] for k in keys}) > 1:
+        store.write_rows(rows, by_key=not constant)
+        written = store.batch_rows(batch_id)
+        if written is None:  # a source without rows
+            written = store.spark.createDataFrame([], STORED_ROWS_SCHEMA)
+        # columns: NULL years were rejected, their rows are no batch key
+        found = written.filter("fiscal_year IS NOT NULL").select(*KEY_COLUMNS).distinct()
+        keys = found if asked is None else asked
+        if not allow_many_clients and written.select("client_name").distinct().limit(2).count() > 1:
             raise ImportError_("one client per batch")
+        stats = batch_stats(written).first()
+        dup_rows = stats["duplicate_rows"]
         if duplicate_mode == "strict" and dup_rows:
-            raise duplicates.DuplicateError(f"{dup_rows} duplicate rows (strict mode)")
+            raise duplicates.DuplicateError(f"{dup_rows} duplicate rows (strict mode)", dup_rows)
         missing = sorted(set(REQUIRED_LEDGER_FIELDS) - set(written.columns))
         if missing:
             raise ImportError_("written rows lack required columns: " + ", ".join(missing))
-    except ValueError:
-        store.set_status(keys, STATUS_FAILED)
+    except Exception:
+        if keys is not None:
+            store.set_status((keys, STATUS_FAILED))
         raise
-    store.set_status(keys, STATUS_STAGED)
-    store.set_status(keys, STATUS_ACTIVE)
-    if import_mode == "new":
-        store.replace_earlier(keys)
+    store.publish(keys, replace=import_mode == "new")
 
     rejected = error_view(written.filter(F.col("row_status") == ROW_REJECTED)).select(*ERROR_COLUMNS)
     sample = [r.asDict() for r in clean.error_sample(rejected, error_sample_limit).collect()]
@@ -255,14 +272,30 @@ def import_batch(
     return result
 
 
+def _history(store: LedgerStore, flagged: DataFrame, batch: BatchInfo) -> DataFrame:
+    """Earlier rows that may equal the import's: its client's, within its
+    range of posting dates."""
+    if isinstance(batch.client_name, str):
+        history = store.open_ledger(client_name=batch.client_name)
+    else:
+        clients = flagged.select("client_name").distinct()
+        history = store.open_ledger().join(clients, "client_name", "left_semi")
+    ok = ~F.col(clean.INVALID)
+    span = flagged.agg(
+        F.min(F.when(ok, F.col("posting_date"))).alias("lo"), F.max(F.when(ok, F.col("posting_date"))).alias("hi")
+    ).first()
+    date = F.col("posting_date")
+    inside = date.isNull() if span["lo"] is None else date.isNull() | date.between(F.lit(span["lo"]), F.lit(span["hi"]))
+    return history.filter(inside)
+
+
 def batch_stats(written: DataFrame) -> DataFrame:
     """One aggregation over a written batch (a few pruned columns):
-    counts by status, amount signs and date range of accepted rows, the
-    duplicate count and the batch keys (bounded by clients x years)."""
+    counts by status, amount signs and date range of accepted rows, and the
+    duplicate count."""
     st = F.col("row_status")
     ok = st == ROW_VALID
     amt = F.col("rc_amount")
-    key = F.struct("client_key", "client_name", "fiscal_year")
     return written.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count_if(ok).alias("success_rows"),
@@ -273,7 +306,6 @@ def batch_stats(written: DataFrame) -> DataFrame:
         F.count_if(ok & (amt == 0)).alias("zero_rows"),
         F.min(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_min"),
         F.max(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_max"),
-        F.collect_set(key).alias("batch_keys"),
     )
 
 
@@ -314,7 +346,7 @@ def _write_report(store: LedgerStore, r: ImportResult, profile: Profile, dataset
     ds = [
         (
             1, name, r.client_name, r.fiscal_year, r.success_rows, r.posting_date_min, r.posting_date_max, now,
-            r.import_batch_id, profile.name, store.path("ledger"), src_file,
+            r.import_batch_id, profile.name, store.path("rows"), src_file,
         )
     ]
     store.append("datasets", spark.createDataFrame(ds, DATASET_SCHEMA))

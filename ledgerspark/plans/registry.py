@@ -7,7 +7,7 @@ from __future__ import annotations
 from dataclasses import replace
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean
@@ -48,7 +48,7 @@ def ledger(spark: SparkSession, sf_dir: str, kind: str = "flag") -> DataFrame:
     return clean.ledger_rows(flagged(spark, sf_dir, kind))
 
 
-_PUBLISHED: dict[tuple[str, str], str] = {}
+_PUBLISHED: dict[tuple, str] = {}
 
 
 def published_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +59,13 @@ def published_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..plans.store import LedgerStore
     from ..session import scratch_path
 
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), *(fx.changed_at(spark, sf_dir, t) for t in ("lineitem", "part")))
     root = _PUBLISHED.get(key)
     if root is None or not LedgerStore(spark, root).exists("rows"):
         root = scratch_path(spark, "published")
         store = LedgerStore(spark, root)
         raw = fx.raw_journal(spark, sf_dir, source_row=False)
-        import_batch(raw, fx.flag_profile(), BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"), store, source_type="table")
+        import_batch(raw, fx.flag_profile(), BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"), store, source_type="table", duplicate_mode=None)
         _PUBLISHED[key] = root
     return LedgerStore(spark, root).open_ledger()
 
@@ -354,7 +354,27 @@ def q_grid_page(spark, sf_dir):
 @register("grid_page_deep", _L + f"SELECT * FROM ledger {_GRID} LIMIT 20 OFFSET 42000")
 def q_grid_page_deep(spark, sf_dir):
     df = ledger18(spark, sf_dir)
-    return PG.page(df, PG.grid_order(df, "ac_caption", descending=True), 20, 2100)
+    return PG.Pages(df, PG.grid_order(df, "ac_caption", descending=True)).page(20, 2100)
+
+
+@register(
+    "grid_page_asc",
+    _L + "SELECT * FROM ledger ORDER BY lower(ac_caption) ASC NULLS LAST, " + _tie(["ac_caption"]) + " LIMIT 100 OFFSET 300",
+)
+def q_grid_page_asc(spark, sf_dir):
+    df = ledger18(spark, sf_dir)
+    return PG.page(df, PG.grid_order(df, "ac_caption"), 100, 3)
+
+
+@register(
+    "grid_page_past_end",
+    _L
+    + f"""SELECT * FROM ledger {_GRID} LIMIT 1000 OFFSET
+  (SELECT CAST((ceil(count(*) / 1000.0) - 1) * 1000 AS BIGINT) FROM ledger)""",
+)
+def q_grid_page_past_end(spark, sf_dir):
+    df = ledger18(spark, sf_dir)
+    return PG.page(df, PG.grid_order(df, "ac_caption", descending=True), 1000, 10**6)
 
 
 @register(
@@ -469,6 +489,7 @@ SELECT * FROM (
   UNION ALL SELECT 'ac_code', 'src_account', count(*) FILTER (WHERE {_blank('src_account')}), 0 FROM raw_journal
   UNION ALL SELECT 'ac_caption', 'src_account_name', count(*) FILTER (WHERE {_blank('src_account_name')}), 0 FROM raw_journal
   UNION ALL SELECT 'description', 'src_text', count(*) FILTER (WHERE {_blank('src_text')}), 0 FROM raw_journal
+  UNION ALL SELECT 'drcr', 'src_drcr', count(*) FILTER (WHERE {_blank('src_drcr')}), 0 FROM raw_journal
   UNION ALL SELECT 'amount:amount', 'src_amount', count(*) FILTER (WHERE {_blank('src_amount')}),
     count(*) FILTER (WHERE NOT {_blank('src_amount')} AND TRY_CAST(src_amount AS DECIMAL(18,2)) IS NULL) FROM raw_journal)""",
 )
@@ -514,6 +535,7 @@ def q_amount_preview(spark, sf_dir):
 
 # --- store: publish, open, rollback, replace, duplicates (A5-A7, B1-B4, B15)
 
+from ..operators.duplicates import DuplicateError  # noqa: E402
 from ..plans import history as HI  # noqa: E402
 from ..plans.importer import import_batch  # noqa: E402
 from ..plans.store import LedgerStore  # noqa: E402
@@ -526,6 +548,7 @@ def _store(spark) -> LedgerStore:
 
 def _import(raw, store, batch_id, year=None, **kw):
     year = F.col("src_year") if year is None else year
+    kw.setdefault("duplicate_mode", None)
     return import_batch(
         raw, fx.flag_profile(), BatchInfo(CLIENT, year, batch_id, "raw_journal"), store, source_type="table", **kw
     )
@@ -632,6 +655,51 @@ def q_duplicates_skip(spark, sf_dir):
     return _counts(_dup_setup(spark, sf_dir, "skip").open_ledger())
 
 
+_TWICE_ORACLE = (
+    _oracle_batches("'x'")
+    + """, twice AS (SELECT *, 'a.csv' AS f FROM ledger UNION ALL SELECT *, 'b.csv' FROM ledger),
+marked AS (SELECT f, row_number() OVER (PARTITION BY """
+    + ", ".join(_DUP_KEYS)
+    + """ ORDER BY f, source_row) > 1 AS is_duplicate FROM twice)
+"""
+)
+
+
+def _same_file_twice(spark, sf_dir):
+    """One import that holds the same file under two names."""
+    raw = fx.raw_journal(spark, sf_dir)
+    return raw.withColumn("src_file", F.lit("a.csv")).unionByName(raw.withColumn("src_file", F.lit("b.csv")))
+
+
+@register(
+    "duplicates_same_file",
+    _TWICE_ORACLE + "SELECT f AS source_file, is_duplicate, count(*) AS rows FROM marked GROUP BY f, is_duplicate",
+)
+def q_duplicates_same_file(spark, sf_dir):
+    store = _store(spark)
+    info = BatchInfo(CLIENT, F.col("src_year"), "batch-a", F.col("src_file"))
+    import_batch(_same_file_twice(spark, sf_dir), fx.flag_profile(), info, store, source_type="table")
+    led = store.open_ledger(with_duplicate_flag=True)
+    return led.groupBy("source_file", "is_duplicate").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "duplicates_strict",
+    _TWICE_ORACLE + "SELECT count(*) FILTER (WHERE is_duplicate) AS refused_rows, 0::BIGINT AS ledger_rows FROM marked",
+)
+def q_duplicates_strict(spark, sf_dir):
+    store = _store(spark)
+    info = BatchInfo(CLIENT, F.col("src_year"), "batch-a", F.col("src_file"))
+    refused = 0
+    try:
+        import_batch(
+            _same_file_twice(spark, sf_dir), fx.flag_profile(), info, store, source_type="table", duplicate_mode="strict"
+        )
+    except DuplicateError as exc:
+        refused = exc.rows
+    return store.open_ledger().agg(F.lit(refused).cast("long").alias("refused_rows"), F.count("*").alias("ledger_rows"))
+
+
 @register(
     "import_report",
     _oracle_batches("'batch-a'").replace("ledger AS (SELECT * FROM flagged WHERE NOT invalid)", "ledger AS (SELECT * FROM flagged)")
@@ -671,11 +739,20 @@ def q_store_errors(spark, sf_dir):
   CAST(count(*) AS VARCHAR) AS row_count,
   CAST(min(posting_date) AS VARCHAR) || ' 至 ' || CAST(max(posting_date) AS VARCHAR) AS period, '可查询' AS status
 FROM ledger
-UNION ALL SELECT 'missing-dataset', '', '', '', '', '文件缺失'""",
+UNION ALL SELECT 'missing-dataset', '', '', '', '', '文件缺失'
+UNION ALL SELECT 'rolled back', 'Demo Client', '1997', CAST(count(*) AS VARCHAR),
+  CAST(min(posting_date) AS VARCHAR) || ' 至 ' || CAST(max(posting_date) AS VARCHAR), '文件缺失' FROM ledger""",
 )
 def q_dataset_overview(spark, sf_dir):
     store = _store(spark)
-    _import(fx.raw_journal(spark, sf_dir, source_row=False), store, BATCH, year=YEAR, dataset_name="Demo Client 1998")
+    raw = fx.raw_journal(spark, sf_dir, source_row=False)
+    # one name imported twice, the first of them rolled back; one name all of
+    # whose batches are rolled back; one without a dataset
+    _import(raw.limit(5), store, "batch-first", year=YEAR, dataset_name="Demo Client 1998")
+    _import(raw, store, BATCH, year=YEAR, dataset_name="Demo Client 1998")
+    _import(raw, store, "batch-back", year=1997, dataset_name="rolled back")
+    store.rollback_batch("batch-first")
+    store.rollback_batch("batch-back")
     HI.record_open(store, "missing-dataset")
     HI.record_open(store, "Demo Client 1998")
     return HI.overview(store).drop("last_opened_at")
@@ -686,26 +763,44 @@ def q_dataset_overview(spark, sf_dir):
 from ..sources.csv import read_journal_csv  # noqa: E402
 
 
+_CSV_TEXT = """CASE WHEN source_row % 50 = 0 THEN 'He said "hi", ok' || chr(10) || 'and "' || src_text
+  WHEN source_row % 50 = 1 THEN '"' || src_text || '",' ELSE src_text END AS src_text"""
+
+
 @register(
     "csv_source",
-    _RAW + "SELECT source_row AS orig_row, " + ", ".join(_SRC_COLS) + ", true AS file_order_ok FROM raw_journal",
+    _RAW
+    + "SELECT source_row AS orig_row, "
+    + ", ".join(_CSV_TEXT if c == "src_text" else c for c in _SRC_COLS)
+    + ", true AS file_order_ok FROM raw_journal",
 )
 def q_csv_source(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """Written as CSV and read back: quotes, commas and line breaks in values,
+    and files that have the columns in different orders."""
+    n = F.col("orig_row")
+    text = F.col("src_text")
+    text = (
+        F.when(n % 50 == 0, F.concat(F.lit('He said "hi", ok\nand "'), text))
+        .when(n % 50 == 1, F.concat(F.lit('"'), text, F.lit('",')))
+        .otherwise(text)
+    )
     raw = fx.raw_journal(spark, sf_dir).select(F.col("source_row").alias("orig_row"), *_SRC_COLS)
+    raw = raw.withColumn("src_text", text)
     path = scratch_path(spark, "csv")
-    (
-        raw.repartitionByRange(4, "orig_row").sortWithinPartitions("orig_row").write.option("header", True)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
-    )
-    back = read_journal_csv(spark, path)
-    # source_row restarts per file and follows file order
-    first = back.groupBy("source_file").agg(F.min(F.col("orig_row").cast("long")).alias("_m"))
-    ok = back.join(first, "source_file").withColumn(
-        "file_order_ok", F.col("source_row") == F.col("orig_row").cast("long") - F.col("_m") + 1
-    )
-    return ok.select(F.col("orig_row").cast("long").alias("orig_row"), *_SRC_COLS, "file_order_ok")
+    orders = [["orig_row", *_SRC_COLS], [*reversed(_SRC_COLS), "orig_row"]]
+    for i, columns in enumerate(orders):
+        part = raw.filter(n % 4 >= 2 if i else n % 4 < 2).select(*columns)
+        (
+            part.repartitionByRange(3, "orig_row").sortWithinPartitions("orig_row").write.option("header", True)
+            .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{path}/{i}")
+        )
+    back = read_journal_csv(spark, [f"{path}/0", f"{path}/1"]).withColumn("orig_row", F.col("orig_row").cast("long"))
+    # source_row follows the order of each file
+    before = F.lag("orig_row").over(Window.partitionBy("source_file").orderBy("source_row"))
+    first = F.row_number().over(Window.partitionBy("source_file").orderBy("source_row"))
+    ok = (first == F.col("source_row")) & (F.coalesce(before, F.lit(0)) < F.col("orig_row")) & F.col("_malformed").isNull()
+    return back.select("orig_row", *_SRC_COLS, ok.alias("file_order_ok"))
 
 
 # --- free SQL over registered views (A33, B16, B17, tier C) -----------------

@@ -23,16 +23,17 @@ from __future__ import annotations
 import datetime as dt
 import time
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import client_key
+from ..functions.text import client_key, strip_unicode
 from ..operators.catalog import latest_per_key
 from ..schema import (
-    ERROR_COLUMNS,
     ERROR_SCHEMA,
+    EXTRA_LEDGER_FIELDS,
     LEDGER_COLUMNS,
     LEDGER_SCHEMA,
     STATUS_ACTIVE,
@@ -40,16 +41,13 @@ from ..schema import (
     STATUS_ROLLED_BACK,
 )
 
-# Up to this many active batch keys are applied as a literal partition filter
-# (static pruning); beyond it the filter is a semi join (dynamic pruning).
-MAX_LITERAL_BATCHES = 5000
-
 ROW_VALID = "valid"
 ROW_REJECTED = "rejected"
 ROW_SKIPPED = "skipped"
 
 KEY = ["client_key", "fiscal_year", "import_batch_id"]
 PARTITIONS = KEY + ["row_status"]
+KEY_COLUMNS = ["client_key", "client_name", "fiscal_year", "import_batch_id"]
 
 STORED_ROWS_SCHEMA = T.StructType(
     [T.StructField("source_row", T.LongType())]
@@ -59,6 +57,7 @@ STORED_ROWS_SCHEMA = T.StructType(
         T.StructField("error_code", T.StringType()),
         T.StructField("error_message", T.StringType()),
         T.StructField("raw_payload", T.StringType()),
+        *[T.StructField(c, T.StringType()) for c in EXTRA_LEDGER_FIELDS],
         T.StructField("client_key", T.StringType()),
         T.StructField("fiscal_year", T.IntegerType()),
         T.StructField("import_batch_id", T.StringType()),
@@ -96,6 +95,12 @@ def next_seq() -> int:
     return _last_seq
 
 
+def is_client(name: str) -> Column:
+    """Rows of a client, by its name without outer white space; the client
+    key, which two names may share, only finds the folder."""
+    return strip_unicode("client_name") == strip_unicode(F.lit(name))
+
+
 @dataclass
 class RollbackResult:
     import_batch_id: str
@@ -116,10 +121,30 @@ class LedgerStore:
         return f"{self.root}/{table}"
 
     def exists(self, table: str) -> bool:
+        fs, p = self._fs(table)
+        return fs.exists(p)
+
+    def _fs(self, table: str):
         jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return p.getFileSystem(conf).exists(p)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _rows(self, client_name: str | None = None, fiscal_year: int | None = None, batch: str | None = None):
+        """Stored rows; with a client, year or batch only their partition
+        folders are listed. None if there is nothing."""
+        key = "*"
+        if client_name is not None:
+            key = self.spark.range(1).select(client_key(F.lit(client_name))).first()[0]
+        year = "*" if fiscal_year is None else int(fiscal_year)
+        glob = f"rows/client_key={key}/fiscal_year={year}/import_batch_id={batch or '*'}"
+        if key == year == "*" and batch is None:
+            glob = "rows"
+        fs, p = self._fs(glob)
+        if not fs.globStatus(p):
+            return None
+        df = self.spark.read.schema(STORED_ROWS_SCHEMA).option("basePath", self.path("rows")).parquet(self.path(glob))
+        # the key only names a folder: two clients may share it
+        return df if client_name is None else df.filter(is_client(client_name))
 
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame | None:
         if not self.exists(table):
@@ -130,24 +155,45 @@ class LedgerStore:
         return r.parquet(self.path(table))
 
     # -- writes ------------------------------------------------------------
-    def write_rows(self, rows: DataFrame) -> None:
-        """Append one import's rows (all statuses) in a single write. Rows of
-        one batch share most partition values, so a task writes one file per
-        status; there is no shuffle before the write."""
+    def write_rows(self, rows: DataFrame, by_key: bool = False) -> None:
+        """Append one import's rows (all statuses) in a single write. Where
+        client and year are constants a task writes one file per status;
+        where they are columns the rows are dealt out by them first, hot ones
+        over several tasks, so files stay few."""
         cols = [f.name for f in STORED_ROWS_SCHEMA.fields]
         out = rows.withColumn("client_key", client_key("client_name"))
+        if by_key:
+            out = out.hint("rebalance", "client_key", "fiscal_year")
         out.select(*cols).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path("rows"))
 
     def append(self, table: str, df: DataFrame) -> None:
-        df.write.mode("append").parquet(self.path(table))
-
-    def set_status(self, keys: list[tuple[str, str, int, str]], status: str) -> None:
-        """keys: (client_key, client_name, fiscal_year, import_batch_id)."""
-        if not keys:
-            return
-        now = dt.datetime.now().replace(microsecond=0)
-        rows = [(k[0], k[1], int(k[2]), k[3], status, next_seq(), now) for k in keys]
-        self.append("batch_status", self.spark.createDataFrame(rows, STATUS_SCHEMA))
+        """Small logs: one file an append."""
+        df.coalesce(1).write.mode("append").parquet(self.path(table))
+
+    def set_status(self, *changes: tuple[DataFrame, str]) -> None:
+        """(keys, status) pairs, as one append: readers see all of them or
+        none. keys: client_key, client_name, fiscal_year, import_batch_id."""
+        parts = [
+            keys.select(
+                *KEY_COLUMNS,
+                F.lit(status).alias("status"),
+                F.lit(next_seq()).alias("seq"),
+                F.lit(dt.datetime.now().replace(microsecond=0)).cast("timestamp_ntz").alias("changed_at"),
+            )
+            for keys, status in changes
+        ]
+        self.append("batch_status", reduce(DataFrame.unionByName, parts))
+
+    def compact_log(self) -> None:
+        """Rewrites the status log as one file with the current status of
+        each key. The new log is complete before the old one goes; a reader
+        between the two sees each row twice, which changes no status."""
+        current = self.batch_status().coalesce(1)
+        fs, old = self._fs("batch_status")
+        files = [f.getPath() for f in fs.listStatus(old) if f.getPath().getName().startswith("part-")]
+        current.write.mode("append").parquet(self.path("batch_status"))
+        for f in files:
+            fs.delete(f, False)
 
     # -- status ------------------------------------------------------------
     def batch_status(self) -> DataFrame:
@@ -155,21 +201,20 @@ class LedgerStore:
         log = self.read("batch_status", STATUS_SCHEMA)
         if log is None:
             return self.spark.createDataFrame([], STATUS_SCHEMA)
-        return latest_per_key(log, KEY, "seq")
+        return latest_per_key(log, KEY_COLUMNS, "seq")
 
     def active_keys(self, client_name: str | None = None, fiscal_year: int | None = None) -> DataFrame:
         s = self.batch_status().filter(F.col("status") == STATUS_ACTIVE)
         if client_name is not None:
-            s = s.filter(F.col("client_key") == client_key(F.lit(client_name)))
+            s = s.filter(is_client(client_name))
         if fiscal_year is not None:
             s = s.filter(F.col("fiscal_year") == int(fiscal_year))
-        return s.select(*KEY, "client_name")
+        return s.select(*KEY_COLUMNS)
 
     # -- reads -------------------------------------------------------------
     def batch_rows(self, import_batch_id: str) -> DataFrame | None:
-        """All stored rows of one batch, whatever its status (partition-pruned)."""
-        df = self.read("rows", STORED_ROWS_SCHEMA)
-        return None if df is None else df.filter(F.col("import_batch_id") == import_batch_id)
+        """All stored rows of one batch, whatever its status."""
+        return self._rows(batch=import_batch_id)
 
     def batch_id_used(self, import_batch_id: str) -> bool:
         """True when the id appears in the status log or has stored rows (a
@@ -181,24 +226,12 @@ class LedgerStore:
         return rows is not None and rows.select("import_batch_id").limit(1).count() > 0
 
     def _visible(self, row_status: str, client_name, fiscal_year) -> DataFrame | None:
-        df = self.read("rows", STORED_ROWS_SCHEMA)
+        df = self._rows(client_name, fiscal_year)
         if df is None:
             return None
-        df = df.filter(F.col("row_status") == row_status)
-        if client_name is not None:
-            df = df.filter(F.col("client_key") == client_key(F.lit(client_name)))
-        if fiscal_year is not None:
-            df = df.filter(F.col("fiscal_year") == int(fiscal_year))
-        active = self.active_keys(client_name, fiscal_year).select(*KEY)
-        listed = active.limit(MAX_LITERAL_BATCHES + 1).collect()
-        if len(listed) <= MAX_LITERAL_BATCHES:
-            ids = sorted({r["import_batch_id"] for r in listed})
-            if not ids:
-                return df.limit(0)
-            df = df.filter(F.col("import_batch_id").isin(ids))  # static partition pruning
-            keys = self.spark.createDataFrame([tuple(r) for r in listed], active.schema)
-            return df.join(F.broadcast(keys), KEY, "left_semi")
-        return df.join(active, KEY, "left_semi")  # dynamic partition pruning
+        # the log is read when the job runs; the join also prunes partitions
+        active = self.active_keys(client_name, fiscal_year)
+        return df.filter(F.col("row_status") == row_status).join(active, KEY_COLUMNS, "left_semi")
 
     def open_ledger(
         self, client_name: str | None = None, fiscal_year: int | None = None, with_duplicate_flag: bool = False
@@ -226,48 +259,27 @@ class LedgerStore:
         ds = self.read("datasets")
         if ds is None:
             raise KeyError(f"no dataset {dataset_name!r}")
-        ids = [
-            r[0]
-            for r in ds.filter(F.col("dataset_name") == dataset_name)
-            .select("import_batch_id")
-            .distinct()
-            .limit(MAX_LITERAL_BATCHES + 1)
-            .collect()
-        ]
-        if not ids:
+        batches = ds.filter(F.col("dataset_name") == dataset_name).select("import_batch_id")
+        if batches.isEmpty():
             raise KeyError(f"no dataset {dataset_name!r}")
         from .history import record_open
 
         record_open(self, dataset_name)
-        return self.open_ledger().filter(F.col("import_batch_id").isin(ids))
+        return self.open_ledger().join(batches, "import_batch_id", "left_semi").select(*LEDGER_COLUMNS)
 
     # -- batch lifecycle ---------------------------------------------------
-    def replace_earlier(self, new_keys: list[tuple[str, str, int, str]]) -> None:
-        """New-import mode: earlier active batches of the same client and
-        year become ``replaced``."""
-        if not new_keys:
-            return
-        pairs = {(k[0], int(k[2])) for k in new_keys}
-        new_ids = sorted({k[3] for k in new_keys})
-        clients = sorted({p[0] for p in pairs})
-        years = sorted({p[1] for p in pairs})
-        # only the earlier active keys of these clients and years reach the driver
-        active = (
-            self.batch_status()
-            .filter(
-                (F.col("status") == STATUS_ACTIVE)
-                & F.col("client_key").isin(clients)
-                & F.col("fiscal_year").isin(years)
-                & ~F.col("import_batch_id").isin(new_ids)
-            )
-            .collect()
-        )
-        old = [
-            (r["client_key"], r["client_name"], r["fiscal_year"], r["import_batch_id"])
-            for r in active
-            if (r["client_key"], r["fiscal_year"]) in pairs
-        ]
-        self.set_status(old, STATUS_REPLACED)
+    def publish(self, keys: DataFrame, replace: bool = False) -> None:
+        """Makes a batch's keys active; with ``replace`` earlier active
+        batches of the same client and year become replaced, by the same
+        append, so no reader sees both or neither."""
+        changes = [(keys, STATUS_ACTIVE)]
+        if replace:
+            who = strip_unicode("client_name").alias("who")
+            new = keys.select(who, "fiscal_year", F.col("import_batch_id").alias("new_id"))
+            old = self.active_keys().withColumn("who", who).join(new, ["who", "fiscal_year"])
+            old = old.filter("import_batch_id != new_id").select(*KEY_COLUMNS).distinct()
+            changes.append((old, STATUS_REPLACED))
+        self.set_status(*changes)
 
     def rollback_batch(self, import_batch_id: str) -> RollbackResult:
         """Mark every key of the batch ``rolled_back``; report what the batch
@@ -275,10 +287,10 @@ class LedgerStore:
         status = self.batch_status().filter(
             (F.col("import_batch_id") == import_batch_id) & (F.col("status") != STATUS_ROLLED_BACK)
         )
-        keys = [(r["client_key"], r["client_name"], r["fiscal_year"], r["import_batch_id"]) for r in status.collect()]
-        if not keys:
+        n_keys = status.count()
+        if not n_keys:
             raise KeyError(f"no batch {import_batch_id!r} to roll back")
-        self.set_status(keys, STATUS_ROLLED_BACK)
+        self.set_status((status, STATUS_ROLLED_BACK))
         rows = self.batch_rows(import_batch_id)
         counts = {ROW_VALID: 0, ROW_REJECTED: 0}
         if rows is not None:
@@ -291,7 +303,7 @@ class LedgerStore:
             ledger_rows=counts[ROW_VALID],
             error_rows=counts[ROW_REJECTED],
             report_rows=n_reports,
-            batch_rows=len(keys),
+            batch_rows=n_keys,
         )
 
 
@@ -314,5 +326,3 @@ def error_view(rows: DataFrame) -> DataFrame:
         "import_batch_id",
     )
 
-
-_ = ERROR_COLUMNS  # the error view keeps the error table's column order

@@ -32,6 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def changed_at(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """When a table's path was last modified, as its file system tells."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-repartition a scan that yields fewer partitions than the cluster
     has cores (e.g. one large row group); a large input already has many

@@ -6,13 +6,16 @@ of the store. The stream checkpoint (in the shared checkpoint folder)
 records which files were consumed.
 
 A replayed micro-batch (after a failure) must not publish twice: each
-attempt writes under its own batch id ``stream-<epoch>-<attempt>`` and is
-skipped when an attempt of the same epoch is already active; a failed
-attempt never became active, so its files stay invisible.
+attempt writes under its own batch id ``stream-<stream>-<epoch>-<attempt>``
+and is skipped when an attempt of the same stream and epoch is already
+active; a failed attempt never became active, so its files stay invisible.
+``<stream>`` is the query id that Spark keeps in the checkpoint, so streams
+over other folders, for other clients or with a new checkpoint never meet.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +23,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.rowindex import MAX_BROADCAST_OFFSETS, _maybe_broadcast
 from ..plans.importer import import_batch
 from ..plans.store import LedgerStore
 from ..schema import STATUS_ACTIVE, BatchInfo, Profile
 from ..session import scratch_path
-from ..sources.csv import _QUOTED_EMPTY
+from ..sources.csv import MALFORMED, text_columns, text_options
 
 
 def _epoch_active(store: LedgerStore, prefix: str) -> bool:
@@ -45,28 +47,25 @@ def stream_import(
     checkpoint: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
-    duplicate_mode: str | None = None,
+    duplicate_mode: str | None = "mark",
 ) -> StreamingQuery:
     """Start the stream; ``columns`` is the CSV header (file sources need a
     schema up front)."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = (
-        spark.readStream.schema(schema)
-        .option("header", True)
-        .option("emptyValue", _QUOTED_EMPTY)
-    )
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, MALFORMED]])
+    # a file whose header has other columns, or another order, stops the stream
+    reader = text_options(spark.readStream.schema(schema)).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.csv(folder)
     src = src.select(
-        *[F.when(F.col(f"`{c}`") == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(f"`{c}`")).alias(c) for c in columns],
+        *text_columns(columns),
         F.col("_metadata.file_path").alias("_file_path"),
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_block"),
     )
 
     def run(batch_df: DataFrame, epoch: int) -> None:
-        prefix = f"stream-{epoch:08d}-"
+        prefix = f"stream-{query.id}-{epoch:08d}-"
         if _epoch_active(store, prefix):
             return
         if batch_df.isEmpty():
@@ -83,9 +82,16 @@ def stream_import(
         )
 
     ckpt = checkpoint or scratch_path(spark, "stream-checkpoint")
-    w = src.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+    when = {"availableNow": True} if available_now else {"processingTime": "30 seconds"}
+    started = threading.Event()
+
+    def first_wait(batch_df: DataFrame, epoch: int) -> None:
+        started.wait()  # the query's id is known once start() has returned
+        run(batch_df, epoch)
+
+    query = src.writeStream.foreachBatch(first_wait).option("checkpointLocation", ckpt).trigger(**when).start()
+    started.set()
+    return query
 
 
 def _number(df: DataFrame) -> DataFrame:
@@ -97,11 +103,7 @@ def _number(df: DataFrame) -> DataFrame:
     splits = tagged.groupBy("_file_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_rid").alias("_m0"))
     w = Window.partitionBy("_file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    try:  # splits <= files + partitions of this micro-batch (no job)
-        bound = len(df.inputFiles()) + df.rdd.getNumPartitions()
-    except Exception:
-        bound = MAX_BROADCAST_OFFSETS + 1
-    out = tagged.join(_maybe_broadcast(offsets, bound), ["_file_path", "_block"])
+    out = tagged.join(offsets, ["_file_path", "_block"])
     out = out.withColumn("source_row", F.col("_off") + F.col("_rid") - F.col("_m0") + 1)
     return out.drop("_file_path", "_block", "_rid", "_m0", "_off", "_n")
 

@@ -81,10 +81,11 @@ def test_legacy_migration_and_derived(spark):
 
 
 def test_sql_guard(spark):
-    for bad in ["", "   ", "DROP TABLE x", "insert into t values (1)"]:
+    for bad in ["", "   ", "DROP TABLE x", "insert into t values (1)", "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a",
+                "CREATE TABLE t AS SELECT 1", "nonsense"]:
         with pytest.raises(views.SqlGuardError):
-            views.guard_sql(bad)
-    assert views.guard_sql("  WITH a AS (SELECT 1) SELECT * FROM a ") .startswith("WITH")
+            views.guard_sql(spark, bad)
+    assert views.guard_sql(spark, "  WITH a AS (SELECT 1) SELECT * FROM a ") .startswith("WITH")
     assert views.run_sql(spark, "select 1 as x").first()["x"] == 1
 
 

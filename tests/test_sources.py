@@ -116,10 +116,31 @@ def test_preview_text_and_columns_only(spark):
     assert preview(df, 0).count() == 0 and preview(df, 0).columns == ["source_row", "a", "b"]
 
 
-def test_row_numbers_without_broadcast(spark, workdir, monkeypatch):
-    from ledgerspark.operators import rowindex
-
-    monkeypatch.setattr(rowindex, "MAX_BROADCAST_OFFSETS", 0)
+def test_csv_quotes_breaks_orders_and_surplus_cells(spark, workdir):
+    write_csv(workdir, "a.csv", 'id,text,n\n1,"He said ""hi"", ok",z\n2,"two\nlines",y\n3,a,b,surplus\n4,short\n')
+    write_csv(workdir, "b.csv", "n,id,text\nq,5,plain\n")
+    write_csv(workdir, "c.csv", "id,id,\n6,7,8\n")
+    rows = {r["id"]: r for r in read_journal_csv(spark, workdir).collect()}
+    assert (rows["1"]["text"], rows["1"]["n"]) == ('He said "hi", ok', "z")
+    assert (rows["2"]["text"], rows["2"]["n"], rows["2"]["source_row"]) == ("two\nlines", "y", 2)
+    assert (rows["5"]["text"], rows["5"]["n"], rows["5"]["source_file"]) == ("plain", "q", "b.csv")
+    assert (rows["6"]["id_1"], rows["6"]["column2"]) == ("7", "8")
+    assert {k for k, r in rows.items() if r["_malformed"] is not None} == {"3", "4"}
+
+
+def test_malformed_records_are_rejected_with_a_reason(spark, workdir):
+    from ledgerspark.operators import clean
+    from ledgerspark.schema import BatchInfo, DirectAmount, Profile
+
+    write_csv(workdir, "m.csv", "d,v,c,n,s,a\n2024-01-02,V1,1,Cash,x,10\n2024-01-02,V2,1,Cash,x,10,99\n")
+    names = dict(zip(("posting_date", "voucher_id", "ac_code", "ac_caption", "description"), "dvcns"))
+    src = read_journal_csv(spark, workdir)
+    flagged = clean.map_ledger(src, Profile("p", names, DirectAmount("a")), BatchInfo("c", 2024, "b", F.col("source_file")))
+    assert [r["voucher_id"] for r in clean.ledger_rows(flagged).collect()] == ["V1"]
+    assert [(r["source_row"], r["error_message"]) for r in clean.error_rows(flagged).collect()] == [(2, "列数与表头不符")]
+
+
+def test_row_numbers_by_file_and_by_order(spark, workdir):
     write_csv(workdir, "nb.csv", "id\n" + "\n".join(str(i) for i in range(1, 501)) + "\n")
     df = read_journal_csv(spark, os.path.join(workdir, "nb.csv"))
     assert df.filter(F.col("source_row") != F.col("id").cast("long")).count() == 0
