@@ -9,6 +9,7 @@ over code points.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reach_package, scratch_path
+from ..session import delete_path, reach_package, scratch_path
 
 SLICE_BYTES = 2 << 20
 
@@ -41,6 +42,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *frames: DataFrame) -> None:
+    """Ends a step: deletes the folders of materialised frames that no later
+    step reads, and lets Spark delete the shuffle files of finished jobs, which
+    it does once the driver has collected their plans as garbage."""
+    for frame in frames:
+        files = frame.inputFiles()
+        if files:
+            delete_path(spark, files[0].rsplit("/", 1)[0])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The named columns and the text as UTF-8 bytes (null text: empty)."""
     return docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(bytearray())).alias("text"))

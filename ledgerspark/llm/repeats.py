@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reach_package
-from .docs import _powers, map_slices, materialize, mix64, slices, with_bytes, with_row_key
+from .docs import _powers, map_slices, materialize, mix64, release, slices, with_bytes, with_row_key
 
 LENGTH = 400
 GRAM = 256
@@ -175,13 +175,16 @@ def _expand(rows: DataFrame) -> DataFrame:
 
 
 def repeated_intervals(keyed: DataFrame) -> DataFrame:
-    """k1, k2, a, b: byte ranges to remove, overlapping ones included.  keyed:
-    k1, k2 and the text as bytes."""
+    """k1, k2, a, b: for each document with any, the begins and ends of the
+    byte ranges to remove, overlapping ones included.  keyed: k1, k2 and the
+    text as bytes."""
     runs = materialize(_find_runs(keyed), "repeats-runs")
     # level 1: runs that share their smallest name
     shared = runs.groupBy("m").agg(F.count("*").alias("n"), F.max("again").alias("again"))
     shared = shared.filter((F.col("n") > 1) | F.col("again")).select("m")
     open_runs = materialize(runs.join(shared, "m", "left_semi"), "repeats-open")
+    spark = keyed.sparkSession
+    release(spark, runs)
     # level 2: equal runs, of which the first stands for all
     one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "len", "again")]
     classes = open_runs.groupBy("m", "f").agg(F.count("*").alias("n"), *one)
@@ -198,20 +201,21 @@ def repeated_intervals(keyed: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("m", "start", F.col("len").cast("int").alias("len"), (F.col("n") > 1).alias("settled"))).alias("runs"))
     )
     places = materialize(_expand(keyed.join(listed, ["k1", "k2"])), "repeats-places")
+    release(spark)
     twice = places.groupBy("m", "name").agg(F.count("*").alias("n")).filter("n > 1").select("m", "name")
     single = places.filter("NOT settled").join(twice, ["m", "name"], "left_semi")
-    return whole.unionByName(single.select("k1", "k2", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")))
+    both = whole.unionByName(single.select("k1", "k2", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")))
+    ranges = both.groupBy("k1", "k2").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    ranges = materialize(ranges, "repeats-ranges")
+    release(spark, open_runs, classes, places)
+    return ranges
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)
     and spans (begin and end of each removed run)."""
     keyed = with_bytes(with_row_key(docs.select("doc_id", "text")), "doc_id", "k1", "k2")
-    ranges = (
-        repeated_intervals(keyed.drop("doc_id"))
-        .groupBy("k1", "k2")
-        .agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    )
+    ranges = repeated_intervals(keyed.drop("doc_id"))
 
     def run(cols, texts):
         out = {n: [] for n in ("n_removed", "n_spans", "kept_sha256", "kept", "spans")}
