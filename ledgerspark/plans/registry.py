@@ -533,6 +533,104 @@ def q_amount_preview(spark, sf_dir):
     return amount_preview(fx.raw_journal(spark, sf_dir), fx.flag_profile(), 10, order=["source_row"])
 
 
+_PREVIEW_HEAD = _RAW + ", s AS (SELECT * FROM raw_journal ORDER BY source_row LIMIT 10)\n"
+
+
+def _num(c: str) -> str:
+    return f"TRY_CAST(replace(trim(coalesce({c}, '')), ',', '') AS DECIMAL(18,2))"
+
+
+@register(
+    "amount_preview_direct",
+    _PREVIEW_HEAD
+    + f"""SELECT source_row, '' AS drcr_value, coalesce(src_signed, '') AS amount_value, '' AS debit_value, '' AS credit_value,
+  coalesce(CAST({_num('src_signed')} AS VARCHAR), '') AS rc_amount FROM s""",
+)
+def q_amount_preview_direct(spark, sf_dir):
+    from ..operators.clean import amount_preview
+
+    return amount_preview(fx.raw_journal(spark, sf_dir), fx.direct_profile(), 10, order=["source_row"])
+
+
+@register(
+    "amount_preview_columns",
+    _PREVIEW_HEAD
+    + f"""SELECT source_row, '' AS drcr_value, '' AS amount_value, coalesce(src_debit, '') AS debit_value,
+  coalesce(src_credit, '') AS credit_value,
+  CAST(CAST(abs(coalesce({_num('src_debit')}, 0)) - abs(coalesce({_num('src_credit')}, 0)) AS DECIMAL(18,2)) AS VARCHAR) AS rc_amount
+FROM s""",
+)
+def q_amount_preview_columns(spark, sf_dir):
+    from ..operators.clean import amount_preview
+
+    return amount_preview(fx.raw_journal(spark, sf_dir), fx.debit_credit_profile(), 10, order=["source_row"])
+
+
+@register(
+    "clean_optional",
+    _oracle_flagged("flag")
+    + """SELECT source_row, voucher_id, CASE WHEN trim(src_account) = '' THEN NULL ELSE 's_' || trim(src_account) END AS vendor_id,
+  CASE WHEN trim(src_client) = '' THEN NULL ELSE 'c_' || trim(src_client) END AS customer_id, src_client AS customer_name,
+  TRY_CAST(src_signed AS DECIMAL(18,2)) AS lc_amount, src_drcr AS currency, CAST(year_text AS VARCHAR) AS posting_period
+FROM flagged JOIN (SELECT source_row, src_account, src_client, src_signed, src_drcr, src_year AS year_text FROM raw_journal) USING (source_row)
+WHERE NOT invalid""",
+)
+def q_clean_optional(spark, sf_dir):
+    """Optional targets, their prefixes, and the extra columns of a ledger."""
+    prof = fx.flag_profile()
+    optional = {
+        "vendor_id": "src_account", "customer_id": "src_client", "customer_name": "src_client",
+        "lc_amount": "src_signed", "currency": "src_drcr", "posting_period": "src_year",
+    }
+    prof = replace(
+        prof, mapping={**prof.mapping, **optional}, prefixes={**prof.prefixes, "vendor_id": "s_", "customer_id": "c_"}
+    )
+    flagged_ = clean.map_ledger(
+        fx.raw_journal(spark, sf_dir), prof, BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"), extra_columns=True
+    )
+    return flagged_.filter(~F.col(clean.INVALID)).select("source_row", "voucher_id", *optional)
+
+
+@register(
+    "legacy_columns",
+    _L + """SELECT posting_date, voucher_id, ac_caption, description, CAST(month(posting_date) AS INTEGER) AS month FROM ledger""",
+)
+def q_legacy_columns(spark, sf_dir):
+    """A journal under its old column names, brought to the ledger's, with the
+    month that old reports had."""
+    old = VW.journal_view(published_ledger(spark, sf_dir)).select("book_date", "voucher_no", "ac_name", "summary")
+    return VW.with_legacy_derived(VW.migrate_legacy(old))
+
+
+@register(
+    "zoned_created_at",
+    "SELECT event_id, CAST(ts AS TIMESTAMP) AS created_at FROM events",
+)
+def q_zoned_created_at(spark, sf_dir):
+    """A zoned created_at becomes the plain time that its zone's clock shows."""
+    ts = F.col("ts").cast("timestamp_ntz")
+    ev = fx.table(spark, sf_dir, "events").select("event_id", F.to_timestamp_ltz(ts.cast("string")).alias("created_at"))
+    return VW.normalise_created_at(ev)
+
+
+@register(
+    "reject_payload",
+    _oracle_flagged("flag")
+    + """SELECT source_row, src_voucher, src_account, src_amount, src_drcr FROM raw_journal
+WHERE source_row IN (SELECT source_row FROM flagged WHERE invalid)""",
+)
+def q_reject_payload(spark, sf_dir):
+    """The source values that a rejected row keeps as JSON."""
+    raw = fx.raw_journal(spark, sf_dir)
+    rejected = clean.map_ledger(
+        raw, fx.flag_profile(), BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"), payload=True
+    ).filter(F.col(clean.INVALID))
+    names = ["src_voucher", "src_account", "src_amount", "src_drcr"]
+    return rejected.select(
+        "source_row", *[F.get_json_object(F.col(clean.PAYLOAD), f"$.{c}").alias(c) for c in names]
+    )
+
+
 # --- store: publish, open, rollback, replace, duplicates (A5-A7, B1-B4, B15)
 
 from ..operators.duplicates import DuplicateError  # noqa: E402
@@ -823,6 +921,24 @@ FROM (SELECT CAST(year(posting_date) AS INT) AS yr, CAST(month(posting_date) AS
     "sql_set_ops": """SELECT voucher_id FROM ledger WHERE drcr = 'S'
 INTERSECT SELECT voucher_id FROM ledger WHERE drcr = 'H'
 EXCEPT SELECT voucher_id FROM ledger WHERE drcr = '借'""",
+    "sql_cube": """SELECT ac_code, drcr, CAST(grouping(ac_code) AS INT) AS g, count(*) AS entries
+FROM ledger GROUP BY CUBE (ac_code, drcr)""",
+    "sql_grouping_sets": """SELECT ac_code, drcr, CAST(year(posting_date) AS INT) AS yr, CAST(sum(rc_amount) AS DECIMAL(38,2)) AS total
+FROM ledger GROUP BY GROUPING SETS ((ac_code, drcr), (year(posting_date)), ())""",
+    "sql_outer_join": """SELECT o.o_orderkey, l.ac_code, count(l.voucher_id) AS entries
+FROM orders o LEFT JOIN ledger l ON o.o_orderkey = CAST(substr(l.voucher_id, 3) AS BIGINT) AND l.rc_amount > 0
+GROUP BY o.o_orderkey, l.ac_code""",
+    "sql_semi_anti": """SELECT o_orderstatus, count(*) AS orders FROM orders o
+WHERE EXISTS (SELECT 1 FROM ledger l WHERE CAST(substr(l.voucher_id, 3) AS BIGINT) = o.o_orderkey AND l.drcr = 'S')
+  AND NOT EXISTS (SELECT 1 FROM ledger l WHERE CAST(substr(l.voucher_id, 3) AS BIGINT) = o.o_orderkey AND l.drcr = 'H')
+GROUP BY o_orderstatus""",
+    "sql_range_join": """SELECT a.ac_code, count(*) AS pairs FROM
+  (SELECT ac_code, min(rc_amount) AS lo, avg(rc_amount) AS mid FROM ledger GROUP BY ac_code) a
+  JOIN (SELECT DISTINCT ac_code, voucher_id, rc_amount FROM ledger) b ON a.ac_code = b.ac_code AND b.rc_amount BETWEEN a.lo AND a.mid
+GROUP BY a.ac_code""",
+    "sql_math": """SELECT ac_code, CAST(round(sqrt(abs(CAST(sum(rc_amount) AS DOUBLE))), 4) AS DOUBLE) AS root,
+  CAST(floor(log10(CAST(count(*) AS DOUBLE))) AS BIGINT) AS magnitude, CAST(sign(sum(rc_amount)) AS INT) AS side
+FROM ledger GROUP BY ac_code""",
     "sql_cte_subquery": """WITH big AS (
   SELECT voucher_id, sum(rc_amount) AS s FROM ledger GROUP BY voucher_id HAVING sum(rc_amount) > 300000)
 SELECT ac_code, count(*) AS entries FROM ledger
@@ -903,3 +1019,11 @@ def q_clean_rules(spark, sf_dir):
     )
     flagged_ = clean.map_ledger(exported, prof, BatchInfo(CLIENT, YEAR, BATCH, "raw_journal"))
     return clean.ledger_rows(flagged_).select(*OUT_COLUMNS)
+
+
+# --- profiles and mappings (A32, A35-A40) -----------------------------------
+
+from . import mapping_queries as _mapping  # noqa: E402
+
+QUERIES.update(_mapping.QUERIES)
+ORACLE.update(_mapping.ORACLE)
