@@ -32,7 +32,7 @@ def _parse(v: Column, pattern: str, order: tuple[int, int, int]) -> tuple[Column
     r = F.regexp_replace(v, pattern, f"{_MARK}${y}{_SEP}${m}{_SEP}${d}")
     matched = F.startswith(r, F.lit(_MARK))
     parts = F.split(F.substring(r, 2, 64), _SEP)
-    date = F.concat_ws("-", F.lpad(parts[0], 4, "0"), parts[1], parts[2]).try_cast("date")
+    date = F.concat_ws("-", F.lpad(F.get(parts, F.lit(0)), 4, "0"), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))).try_cast("date")
     return matched, date
 
 

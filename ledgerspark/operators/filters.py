@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contains_like, row_text
 from ..schema import FORM_LIMIT
-from .ordering import desc_last, total_order
+from .ordering import desc_last, top, total_order
 
 
 class FilterError(ValueError):
@@ -60,11 +60,11 @@ def filter_condition(f: LedgerFilter) -> F.Column:
     return cond
 
 
-def filter_ledger(df: DataFrame, f: LedgerFilter, limit: int = FORM_LIMIT, tiebreak: bool = True) -> DataFrame:
-    """Filtered rows, newest first, at most ``limit``."""
+def filter_ledger(df: DataFrame, f: LedgerFilter, limit: int | None = FORM_LIMIT, tiebreak: bool = True) -> DataFrame:
+    """Filtered rows, newest first, at most ``limit`` (None: all)."""
     hit = df.filter(filter_condition(f))
     order = total_order(hit, [desc_last("posting_date"), desc_last("voucher_id")], ["posting_date", "voucher_id"], tiebreak)
-    return hit.orderBy(*order).limit(limit)
+    return top(hit, order, limit)
 
 
 build_journal_query = filter_ledger

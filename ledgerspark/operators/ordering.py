@@ -26,3 +26,9 @@ def desc_last(c: Column | str) -> Column:
 
 def asc_last(c: Column | str) -> Column:
     return as_col(c).asc_nulls_last()
+
+
+def top(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of the order (a top-k); all, sorted, with None."""
+    out = df.orderBy(*order)
+    return out if limit is None else out.limit(limit)

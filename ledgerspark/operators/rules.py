@@ -10,32 +10,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import HIGH_VALUE_THRESHOLD, RULE_LIMIT
-from .ordering import desc_last, total_order
+from .ordering import desc_last, top, total_order
 
 
 def _dec(v) -> F.Column:
     return F.lit(Decimal(str(v)))
 
 
-def high_value(df: DataFrame, threshold=HIGH_VALUE_THRESHOLD, limit: int = RULE_LIMIT, tiebreak: bool = True) -> DataFrame:
+def high_value(df: DataFrame, threshold=HIGH_VALUE_THRESHOLD, limit: int | None = RULE_LIMIT, tiebreak: bool = True) -> DataFrame:
     """|rc_amount| >= threshold, largest first, then newest."""
     hit = df.filter(F.abs("rc_amount") >= _dec(threshold))
     order = total_order(hit, [desc_last(F.abs("rc_amount")), desc_last("posting_date")], ["posting_date"], tiebreak)
-    return hit.orderBy(*order).limit(limit)
+    return top(hit, order, limit)
 
 
-def weekend_entries(df: DataFrame, limit: int = RULE_LIMIT, tiebreak: bool = True) -> DataFrame:
+def weekend_entries(df: DataFrame, limit: int | None = RULE_LIMIT, tiebreak: bool = True) -> DataFrame:
     """Posted on a Saturday or Sunday (weekday: Monday=0 .. Sunday=6)."""
     hit = df.filter(F.weekday("posting_date").isin(5, 6))
     order = total_order(hit, [desc_last("posting_date"), desc_last("voucher_id")], ["posting_date", "voucher_id"], tiebreak)
-    return hit.orderBy(*order).limit(limit)
+    return top(hit, order, limit)
 
 
-def empty_description(df: DataFrame, limit: int = RULE_LIMIT, tiebreak: bool = True) -> DataFrame:
+def empty_description(df: DataFrame, limit: int | None = RULE_LIMIT, tiebreak: bool = True) -> DataFrame:
     """Description NULL or blank after trimming spaces."""
     hit = df.filter(F.col("description").isNull() | (F.trim("description") == ""))
     order = total_order(hit, [desc_last("posting_date"), desc_last("voucher_id")], ["posting_date", "voucher_id"], tiebreak)
-    return hit.orderBy(*order).limit(limit)
+    return top(hit, order, limit)
 
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {

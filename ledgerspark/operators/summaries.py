@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ACCOUNT_SUMMARY_LIMIT, BROWSE_LIMIT, IMBALANCE_LIMIT, IMBALANCE_TOLERANCE, TOTAL_TYPE
-from .ordering import asc_last, desc_last, total_order
+from .ordering import asc_last, desc_last, top, total_order
 
 
 def _total(c: str = "rc_amount") -> F.Column:
     return F.sum(c).cast(TOTAL_TYPE)
 
 
-def account_summary(df: DataFrame, limit: int = ACCOUNT_SUMMARY_LIMIT) -> DataFrame:
+def account_summary(df: DataFrame, limit: int | None = ACCOUNT_SUMMARY_LIMIT) -> DataFrame:
     g = df.groupBy("ac_code", "ac_caption").agg(
         F.count(F.lit(1)).alias("entry_count"), _total().alias("total_amount")
     )
-    return g.orderBy(desc_last(F.abs("total_amount")), asc_last("ac_code"), asc_last("ac_caption")).limit(limit)
+    return top(g, [desc_last(F.abs("total_amount")), asc_last("ac_code"), asc_last("ac_caption")], limit)
 
 
 def monthly_summary(df: DataFrame) -> DataFrame:
@@ -31,10 +31,10 @@ def monthly_summary(df: DataFrame) -> DataFrame:
     return g.orderBy(asc_last("posting_month"))
 
 
-def voucher_imbalance(df: DataFrame, tolerance=IMBALANCE_TOLERANCE, limit: int = IMBALANCE_LIMIT) -> DataFrame:
+def voucher_imbalance(df: DataFrame, tolerance=IMBALANCE_TOLERANCE, limit: int | None = IMBALANCE_LIMIT) -> DataFrame:
     g = df.groupBy("voucher_id").agg(F.count(F.lit(1)).alias("entry_count"), _total().alias("voucher_amount"))
     g = g.filter(F.abs("voucher_amount") > F.lit(Decimal(str(tolerance))))
-    return g.orderBy(desc_last(F.abs("voucher_amount")), asc_last("voucher_id")).limit(limit)
+    return top(g, [desc_last(F.abs("voucher_amount")), asc_last("voucher_id")], limit)
 
 
 def dataset_summary(df: DataFrame) -> DataFrame:

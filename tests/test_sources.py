@@ -84,6 +84,33 @@ def test_workbook_folder(spark, workdir):
     assert read_workbooks(spark, folder).count() == 4
 
 
+def test_typed_cells_headers_and_row_numbers(spark, workdir):
+    """Date cells, repeated headers and rows that the sheet leaves out."""
+    styles = (
+        f"{_CT}<styleSheet {_MAIN}><numFmts><numFmt numFmtId='170' formatCode='yyyy/m/d;@'/>"
+        "<numFmt numFmtId='171' formatCode='\"day\" 0.00'/></numFmts><cellXfs><xf numFmtId='0'/><xf numFmtId='14'/>"
+        "<xf numFmtId='170'/><xf numFmtId='171'/><xf numFmtId='22'/></cellXfs></styleSheet>"
+    )
+    rows = (
+        "<row r='2'><c t='str'><v>d</v></c><c t='str'><v>amt</v></c><c t='str'><v>amt</v></c></row>"
+        "<row r='3'><c s='1'><v>45292</v></c><c><v>1</v></c><c><v>2</v></c></row>"
+        "<row r='6'><c s='2'><v>45293</v></c><c s='3'><v>45293</v></c><c s='4'><v>45293.5</v></c></row>"
+    )
+    raw = io.BytesIO(make_xlsx({"S": [["x"]]}))
+    with zipfile.ZipFile(raw) as old:
+        parts = {n: old.read(n) for n in old.namelist()}
+    parts["xl/worksheets/sheet1.xml"] = f"{_CT}<worksheet {_MAIN}><sheetData>{rows}</sheetData></worksheet>".encode()
+    parts["xl/styles.xml"] = styles.encode()
+    folder = os.path.join(workdir, "typed")
+    os.makedirs(folder)
+    with zipfile.ZipFile(os.path.join(folder, "t.xlsx"), "w") as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    table = workbook_table(read_workbooks(spark, folder), ["d", "amt", "amt_1"])
+    got = sorted(tuple(r)[2:] for r in table.collect())
+    assert got == [(1, "2024-01-01", "1", "2"), (4, "2024-01-02", "45293", "2024-01-02 12:00:00")]
+
+
 def test_csv_source_row_across_splits(spark, workdir):
     lines = ["id,val"] + [f"{i},{'x' * 50}" for i in range(1, 3001)]
     for k in range(3):
