@@ -159,6 +159,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def word_bytes(w: Words, which: np.ndarray) -> pa.Array:
+    """The bytes of the words at these places, as a binary column."""
+    size = w.end[which] - w.start[which]
+    offset = np.concatenate(([0], np.cumsum(size)))
+    data = w.data[np.arange(offset[-1]) + np.repeat(w.start[which] - offset[:-1], size)]
+    buffers = [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(size), buffers)
+
+
 def words_of(texts: list[bytes], lower: bool) -> Words:
     data = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
     if lower:

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 
 FIRST_SYMBOL = 1 << 16  # ids are below it
-PAIRS = 3072
-ROUNDS = 6
+PAIRS = 3072  # a round; by 5 rounds 15,360 rules a block at most
+ROUNDS = 5
 LEAST = 6
 _SLOT_BITS = 19
 

@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import reach_package, scratch_path
-from .bpe import Runs
-from .docs import SLICE_BYTES, slices, with_bytes, words_of
+from .bpe import Runs, gather
+from .docs import SLICE_BYTES, slices, with_bytes, word_bytes, words_of
 from .grammar import Grammar, compress
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
-BLOCK_IDS = 1 << 20
+WORD_END = "</w>"  # ends the name of a token that closes a word
+BLOCK_IDS = 1 << 21
+JOINED = 64
 SAMPLE_DOCS = 20_000
 COMMON_WORDS = 300_000
 CACHE_WORDS = 400_000
@@ -47,6 +49,14 @@ BLOCK_SCHEMA = (
 )
 
 
+def _closes(word: str) -> int:
+    """How many tokens close a word in a lower-cased word's encoding: one for
+    letters, two with a sign behind them; 0 if that is not known."""
+    if word.isalpha():
+        return 1
+    return 2 if word[-1] in ".," and word[:-1].isalpha() else 0
+
+
 class WordEncoder:
     """Ids of texts by their words; common: (sorted hashes, Runs of ids)."""
 
@@ -55,6 +65,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.hashes, self.common = common
         self.reset()
 
@@ -63,9 +76,35 @@ class WordEncoder:
         self.own = Runs()
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        count = np.array([len(x) for x in ids], dtype=np.int64)
-        return np.array([i for x in ids for i in x], dtype=np.int32), count
+        """Flat ids of the words, and their numbers.
+
+        Words of letters, alone or with one point or comma, are encoded many at
+        a time: how many tokens close a word in each is known, so the ids fall
+        apart again. All others, and a batch in which that number does not
+        come out, are encoded one by one."""
+        closed = np.array([_closes(w.lower()) for w in words], dtype=np.int64)
+        plain = np.flatnonzero(closed)
+        texts = [words[i] for i in plain.tolist()]
+        joined = [" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        ids = self._ids(joined)
+        flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+        last = np.flatnonzero(self.closes[flat])
+        if len(last) != closed.sum():
+            plain, flat, last = plain[:0], flat[:0], last[:0]
+        ends = np.concatenate(([0], last[np.cumsum(closed[plain]) - 1] + 1)) if len(plain) else np.zeros(1, dtype=np.int64)
+        alone = np.setdiff1d(np.arange(len(words)), plain)
+        single = self._ids([words[i] for i in alone.tolist()])
+        count = np.zeros(len(words), dtype=np.int64)
+        count[plain] = np.diff(ends)
+        count[alone] = [len(x) for x in single]
+        begin = np.zeros(len(words), dtype=np.int64)
+        begin[plain] = ends[:-1]
+        begin[alone] = len(flat) + np.cumsum(count[alone]) - count[alone]
+        return gather(np.concatenate((flat, *single)), begin, count)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=np.int32) for e in found]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids, each text closed by the end id, and their numbers."""
@@ -117,26 +156,34 @@ def common_words(docs: DataFrame, path: str) -> tuple[np.ndarray, Runs]:
             for a, b in slices(texts):
                 w = words_of(texts[a:b], lower=False)
                 key, first, c = np.unique(w.hash, return_index=True, return_counts=True)
-                data, start, end = w.data.tobytes(), w.start[first].tolist(), w.end[first].tolist()
-                words = [data[x:y].decode() for x, y in zip(start, end)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(words, pa.string()), pa.array(c)], names=["hash", "word", "c"]
+                    [pa.array(key.view(np.int64)), word_bytes(w, first), pa.array(c)], names=["hash", "word", "c"]
                 )
 
-    counts = with_bytes(sample).mapInArrow(run, "hash long, word string, c long")
+    counts = with_bytes(sample).mapInArrow(run, "hash long, word binary, c long")
     top = (
         counts.groupBy("hash", "word")
         .agg(F.sum("c").alias("c"))
         .filter("c > 1 AND length(word) < 200")
         .orderBy(F.desc("c"), "hash")
         .limit(COMMON_WORDS)
-        .toPandas()
     )
-    key = top["hash"].to_numpy(dtype=np.int64).view(np.uint64)
+
+    def encode(batches):
+        encoder = WordEncoder(path, (np.zeros(0, dtype=np.uint64), Runs()))
+        for batch in batches:
+            ids, count = encoder.words([w.decode() for w in batch.column("word").to_pylist()])
+            offset = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hash"), pa.ListArray.from_arrays(pa.array(offset), pa.array(ids))], names=["hash", "ids"]
+            )
+
+    table = top.select("hash", "word").mapInArrow(encode, "hash long, ids array<int>").toArrow()
+    key = table.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    encoder = WordEncoder(path, (np.zeros(0, dtype=np.uint64), Runs()))
+    lists = table.column("ids").combine_chunks().take(pa.array(order))
     runs = Runs()
-    runs.add(*encoder.words(top["word"].to_numpy()[order].tolist()))
+    runs.add(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
     return key[order], runs
 
 
