@@ -296,22 +296,18 @@ def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.n
     return flat[np.arange(total) + shift], count
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load_ranks(path))
-    return _ENCODERS[path]
-
-
 def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the bytes decoded from them,
     and the ids themselves if asked for."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    # each task gets a copy of this: solved pieces are dropped when it ends,
+    # and an idle Python worker holds no more than the rank file
+    own: dict[str, Encoder] = {}
 
     def run(cols, texts):
-        enc = _encoder(path)
+        if not own:
+            own["encoder"] = Encoder(load_ranks(path))
+        enc = own["encoder"]
         ids, ends = enc.encode([t.decode() for t in texts])
         out = {"doc_id": cols["doc_id"], "n_tokens": np.diff(ends), "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import delete_path, reach_package, scratch_path
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 21) - 2  # with it, tables of powers fit 2^21 entries
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -125,7 +125,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS: dict[int, np.ndarray] = {}
+_POWERS: dict[int, np.ndarray] = {}  # 16 MB a base in a worker
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -139,7 +139,7 @@ def _powers(n: int, base: int) -> np.ndarray:
             step = np.uint64(pow(base, done, 1 << 64))
             have[done : 2 * done] = have[:done] * step
             done *= 2
-        if size <= 4 * SLICE_BYTES:
+        if size <= 1 << 21:  # those of a longer single text are not kept
             _POWERS[base] = have
     return have[:n]
 
