@@ -302,12 +302,12 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     # each task gets a copy of this: solved pieces are dropped when it ends,
     # and an idle Python worker holds no more than the rank file
-    own: dict[str, Encoder] = {}
+    kept: dict[str, Encoder] = {}
 
     def run(cols, texts):
-        if not own:
-            own["encoder"] = Encoder(load_ranks(path))
-        enc = own["encoder"]
+        if not kept:
+            kept["encoder"] = Encoder(load_ranks(path))
+        enc = kept["encoder"]
         ids, ends = enc.encode([t.decode() for t in texts])
         out = {"doc_id": cols["doc_id"], "n_tokens": np.diff(ends), "ids_sha256": [], "decoded_sha256": [], "ids": []}
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
