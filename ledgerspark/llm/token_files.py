@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reach_package, scratch_path
@@ -40,11 +40,11 @@ WORD_END = "</w>"  # ends the name of a token that closes a word
 BLOCK_IDS = 1 << 21
 JOINED = 64
 SAMPLE_DOCS = 20_000
-COMMON_WORDS = 300_000
+COMMON_WORDS = 800_000
 CACHE_WORDS = 400_000
 
 BLOCK_SCHEMA = (
-    "shard int, block int, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
+    "shard int, start_in_shard long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
     "symbols binary, rule_left binary, rule_right binary, rule_length binary"
 )
 
@@ -164,7 +164,7 @@ def common_words(docs: DataFrame, path: str) -> tuple[np.ndarray, Runs]:
     top = (
         counts.groupBy("hash", "word")
         .agg(F.sum("c").alias("c"))
-        .filter("c > 1 AND length(word) < 200")
+        .filter("length(word) < 200")
         .orderBy(F.desc("c"), "hash")
         .limit(COMMON_WORDS)
     )
@@ -197,7 +197,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids:
     def run(batches):
         from pyspark import TaskContext
 
-        shard, block = TaskContext.get().partitionId(), 0
+        shard, start = TaskContext.get().partitionId(), 0
         encoder = WordEncoder(vocabulary, shared.value)
         ids, counts, names, n = [], [], [], 0
         for batch in batches:
@@ -210,10 +210,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids:
                 names += doc_ids[a:b]
                 n += len(flat)
                 if n >= block_ids:
-                    yield _block(shard, block, ids, counts, names)
-                    ids, counts, names, n, block = [], [], [], 0, block + 1
+                    yield _block(shard, start, ids, counts, names)
+                    ids, counts, names, n, start = [], [], [], 0, start + n
         if names:
-            yield _block(shard, block, ids, counts, names)
+            yield _block(shard, start, ids, counts, names)
 
     ordered = with_bytes(docs, "doc_id").repartitionByRange(F.asc_nulls_first("doc_id"))
     ordered = ordered.sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
@@ -221,12 +221,12 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids:
     return path
 
 
-def _block(shard, block, ids, counts, names) -> pa.RecordBatch:
+def _block(shard, start, ids, counts, names) -> pa.RecordBatch:
     count = np.concatenate(counts)
     g = compress(np.concatenate(ids), count)
     row = {
         "shard": pa.array([shard], pa.int32()),
-        "block": pa.array([block], pa.int32()),
+        "start_in_shard": pa.array([start], pa.int64()),
         "n_tokens": pa.array([int(count.sum())]),
         "doc_ids": pa.array([names], pa.list_(pa.int64())),
         "doc_tokens": pa.array([count.astype("<i8").tobytes()]),
@@ -265,20 +265,14 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document of the files, and
     its ids if asked for."""
     blocks = spark.read.parquet(path)
-    # ids before each shard: one number by shard reaches the driver
+    # ids before each shard: one number by shard, of which there are as many
+    # as write tasks, reaches the driver and is broadcast
     totals = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     before, offsets = 0, []
     for row in totals:
         offsets.append((row["shard"], before))
         before += row["n"]
-    table = spark.createDataFrame(offsets, "shard int, shard_start long")
-    in_shard = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        blocks.select("shard", "block", "n_tokens")
-        .withColumn("inner", F.coalesce(F.sum("n_tokens").over(in_shard), F.lit(0)))
-        .join(table, "shard")
-        .select("shard", "block", (F.col("inner") + F.col("shard_start")).alias("start"))
-    )
+    starts = F.broadcast(spark.createDataFrame(offsets, "shard int, shard_start long"))
     reach_package(spark)
     ddl = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
@@ -302,8 +296,9 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ddl.split(", ")])
 
-    return blocks.drop("n_tokens", "rule_length").join(starts, ["shard", "block"]).withColumn(
-        "rule_length", F.lit(bytearray())
+    wanted = blocks.join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("start_in_shard"))
+    return wanted.select(
+        "start", "doc_ids", "doc_tokens", "doc_symbols", "symbols", "rule_left", "rule_right", "rule_length"
     ).mapInArrow(run, ddl)
 
 
