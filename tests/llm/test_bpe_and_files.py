@@ -109,7 +109,7 @@ def test_grammar_round_trip_and_random_access(seed):
 def test_block_survives_the_file(spark):
     df = documents(spark, ["one two two two " * 50, "", None])
     path = token_files.write(df, scratch_path(spark, "test-block"))
-    rows = [r.asDict() for r in spark.read.parquet(path).orderBy("shard", "block").collect()]
+    rows = [r.asDict() for r in spark.read.parquet(path).orderBy("shard", "start_in_shard").collect()]
     ids = [token_files.grammar_of(r).expand(token_files.grammar_of(r).symbols).tolist() for r in rows]
     assert sum(ids, []) == sum(word_ids(["one two two two " * 50, "", None]), [])
     assert spark.read.parquet(path).agg(F.sum("n_tokens")).first()[0] == 203
