@@ -26,13 +26,14 @@ from itertools import islice
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .docs import map_slices, mix64, with_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_UNITS = 800_000
-SLICE_BYTES = 16 << 20
+CACHE_UNITS = 400_000
+SLICE_BYTES = 6 << 20
 _NONE = np.iinfo(np.int32).max
 
 
@@ -309,13 +310,13 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
             kept["encoder"] = Encoder(load_ranks(path))
         enc = kept["encoder"]
         ids, ends = enc.encode([t.decode() for t in texts])
-        out = {"doc_id": cols["doc_id"], "n_tokens": np.diff(ends), "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        out = {"doc_id": cols["doc_id"], "n_tokens": np.diff(ends), "ids_sha256": [], "decoded_sha256": []}
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
             own = ids[a:b]
             out["ids_sha256"].append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(enc.ranks.decode(own)).hexdigest())
-            if with_ids:
-                out["ids"].append(own)
+        if with_ids:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
         return out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
