@@ -178,7 +178,7 @@ class LedgerStore:
                 *KEY_COLUMNS,
                 F.lit(status).alias("status"),
                 F.lit(next_seq()).alias("seq"),
-                F.lit(dt.datetime.now().replace(microsecond=0)).cast("timestamp_ntz").alias("changed_at"),
+                F.lit(f"{dt.datetime.now():%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz").alias("changed_at"),
             )
             for keys, status in changes
         ]
