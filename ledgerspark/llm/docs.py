@@ -69,14 +69,19 @@ def with_row_key(docs: DataFrame) -> DataFrame:
 
 def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(begin, end) row ranges of at most ``limit`` bytes, one row at least."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+    return cuts([len(t) for t in texts], limit)
+
+
+def cuts(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(begin, end) ranges whose sizes add up to ``limit`` at most."""
+    begin = total = 0
+    for i, n in enumerate(sizes):
+        if total and total + n > limit:
             yield begin, i
-            begin, size = i, 0
-        size += len(t) + 1
-    if begin < len(texts):
-        yield begin, len(texts)
+            begin, total = i, 0
+        total += n + 1
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def map_slices(

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..session import reach_package
 from .components import components
-from .docs import map_slices, materialize, mix64, slices, with_bytes, with_row_key, words_of
+from .docs import cuts, map_slices, materialize, mix64, slices, with_bytes, with_row_key, words_of
 
 SHINGLE = 5
 PERCENT = 75
@@ -169,7 +169,7 @@ def verify(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             ta, tb = batch.column("ta").to_pylist(), batch.column("tb").to_pylist()
             good = []
-            for i, j in slices([x + y for x, y in zip(ta, tb)]):
+            for i, j in cuts([max(len(x), len(y)) for x, y in zip(ta, tb)]):
                 for k, (p, q) in enumerate(zip(shingles(ta[i:j]), shingles(tb[i:j])), i):
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= PERCENT * (len(p) + len(q) - both):
