@@ -113,7 +113,7 @@ def runs_of(texts: list[bytes]) -> dict[str, np.ndarray]:
     top[WINDOW - 1 : WINDOW - 1 + len(held)] = held
     most = ~smallest(~top, WINDOW)[: len(gram)]
     anchor = np.flatnonzero((gram <= most) & (most > 0))
-    near = (gram[anchor][1:] == gram[anchor][:-1]) & (np.diff(anchor) < WINDOW)
+    near = (gram[anchor][1:] == gram[anchor][:-1]) & (np.diff(anchor) <= WINDOW)
     again = np.isin(m[first], gram[anchor][1:][near]) if near.any() else np.zeros(len(first), dtype=bool)
     begin = np.cumsum([0] + [len(t) for t in texts])
     return {

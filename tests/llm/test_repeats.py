@@ -48,6 +48,16 @@ def test_shared_passages_edges_and_periods(spark):
     check(spark, texts)
 
 
+def test_every_period_up_to_a_string(spark):
+    """145 is WINDOW: equal anchors stand exactly a window apart."""
+    rng = random.Random(4)
+    texts = []
+    for period in range(1, 401):
+        unit = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(period))
+        texts.append((unit * (400 // period + 3))[: 400 + period + 5])
+    check(spark, texts)
+
+
 def test_many_contexts_of_one_passage(spark):
     rng = random.Random(2)
     p = prose(rng, 90)
