@@ -2,8 +2,8 @@
 
 A run of key characters that a tiktoken vocabulary spells with few characters
 a token is random; words, however rare, take more.  Known digests (hex of a
-digest's length), UUIDs, numbers and identifiers made of plain words are not
-tested.  Spans of the fixed patterns stay whatever the test says.
+digest's length), UUIDs, numbers and identifiers whose names are word-like by
+their own ratio are not tested.  Spans of the fixed patterns stay whatever the test says.
 
 Defined cases: a null text counts as empty and has no span; spans are code
 points of the whole text, end exclusive; a random span that meets a fixed one
@@ -41,7 +41,6 @@ _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}  # MD5, SHA-1 and the SHA-2 lengths in
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _NUMBER = re.compile(rb"[0-9+/_=-]+\Z")
 _NAME = re.compile(rb"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}\Z")
-_PART = re.compile(rb"[A-Z]?[a-z]+[0-9]*|[A-Z]+(?![a-z])[0-9]*|[0-9]+|[A-Z]")
 
 
 @lru_cache(maxsize=4)
@@ -53,18 +52,23 @@ def _encoding(path: str):
     return tiktoken.Encoding("scan", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _known(run: bytes) -> bool:
-    """A digest, UUID, number or identifier of plain words."""
-    if _NUMBER.match(run) or _UUID.match(run):
-        return True
-    if len(run) in _DIGEST_CHARS and _HEX_ONLY.match(run):
-        return True
+def _fixed(run: bytes) -> bool:
+    """A digest, UUID or number."""
+    return bool(_NUMBER.match(run) or _UUID.match(run) or (len(run) in _DIGEST_CHARS and _HEX_ONLY.match(run)))
+
+
+def _named(run: bytes, path: str, max_ratio: float) -> bool:
+    """An identifier: names, with a few digits behind, and numbers; the names
+    are word-like by their own characters a token."""
     pieces = [p for p in re.split(rb"[_/=+-]+", run) if p]
-    if not re.search(rb"[0-9]", run):
-        # letters only: an identifier if its parts are word-like in length
-        parts = [x for p in pieces for x in _PART.findall(p)]
-        return len(run) >= 4 * len(parts)
-    return all(_NAME.match(p) or p.isdigit() for p in pieces)
+    if not all(_NAME.match(p) or p.isdigit() for p in pieces):
+        return False
+    names = [x for x in (p.rstrip(b"0123456789") for p in pieces) if x]
+    return sum(map(len, names)) > max_ratio * sum(len(_tokens(x, path)) for x in names)
+
+
+def _tokens(part: bytes, path: str) -> list[int]:
+    return _encoding(path).encode_ordinary(part.decode("ascii"))
 
 
 def find_spans(text: bytes, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, str, int]]:
@@ -75,7 +79,7 @@ def find_spans(text: bytes, path: str, max_ratio: float = MAX_RATIO) -> list[tup
     more = []
     for m in _RUN.finditer(text):
         run, a, b = m.group(), m.start(), m.end()
-        if not _known(run) and not any(a < e and s < b for s, _, e in found):
+        if not _fixed(run) and not _named(run, path, max_ratio) and not any(a < e and s < b for s, _, e in found):
             if len(run) <= max_ratio * len(_encoding(path).encode_ordinary(run.decode("ascii"))):
                 more.append((a, 3, b))
     return [(s, KINDS[k], e) for s, k, e in sorted(found + more)]

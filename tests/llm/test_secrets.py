@@ -15,6 +15,8 @@ ASSIGN = re.compile(
 )
 PATH = public_tokenizers.path(secret_scan.VOCABULARY)
 
+ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
 
 def base_spans(text):
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -65,6 +67,26 @@ def test_random_strings_are_found_and_names_left():
         assert secret_scan.find_spans(known.encode(), PATH) == [], known
 
 
+def found_in(prefix, alphabet, n, draws=100, suffix=""):
+    """How many random strings behind a prefix lie in a span."""
+    rng, found = random.Random(3), 0
+    for _ in range(draws):
+        text = f"see {prefix}{''.join(rng.choice(alphabet) for _ in range(n))}{suffix} here".encode()
+        a, b = 4 + len(prefix), len(text) - 5 - len(suffix)
+        found += any(s <= a and b <= e for s, _, e in secret_scan.find_spans(text, PATH))
+    return found
+
+
+def test_random_letters_of_one_case_are_found():
+    lower, upper = ALNUM[26:52], ALNUM[:26]
+    for n in (16, 32):
+        assert found_in("", lower, n) >= 80
+    assert found_in("", upper, 20) >= 90
+    assert found_in("", lower, 32, suffix="1234") >= 85
+    for known in ("INTERNATIONALIZATION", "some_rather_long_name", "MAXIMUM_CONNECTION_TIMEOUT", "internationalization"):
+        assert secret_scan.find_spans(known.encode(), PATH) == [], known
+
+
 def test_redact_masks_spans_and_keeps_the_rest(spark):
     df = documents(spark, texts())
     out = {r["doc_id"]: r for r in secret_scan.redact(df).collect()}
