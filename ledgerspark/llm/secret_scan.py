@@ -1,13 +1,17 @@
 """Secret scans: fixed patterns, and a token-efficiency test for the rest.
 
 A run of key characters that a tiktoken vocabulary spells with few characters
-a token is random; words, however rare, take more.  Known digests (hex of a
-digest's length), UUIDs, numbers and identifiers whose names are word-like by
-their own ratio are not tested.  Spans of the fixed patterns stay whatever the test says.
+a token is random; words, however rare, take more.  Where a run as a whole is
+not, its parts between '=', '/', '_' and '-' are tested (neighbours that are
+low together), and windows of the least length within a part: a secret behind
+a readable prefix is reported as the part that holds it.  Known digests (hex of
+a digest's length), UUIDs, numbers and identifiers whose names are word-like by
+their own ratio are left out.  Spans of the fixed patterns stay whatever the
+test says.
 
 Defined cases: a null text counts as empty and has no span; spans are code
-points of the whole text, end exclusive; a random span that meets a fixed one
-is left out; repeated rows give repeated rows; other columns are ignored.
+points of the whole text, end exclusive; a run that meets a fixed span is tested
+without it; repeated rows give repeated rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST_CHARS)
 _HEX_ONLY = re.compile(rb"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}  # MD5, SHA-1 and the SHA-2 lengths in hex
 _UUID = re.compile(rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
+# parts of a run between '=', '/', '_' and '-'; a UUID is one part
+_SPLIT = re.compile(rb"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])|[^=/_-]+")
 _NUMBER = re.compile(rb"[0-9+/_=-]+\Z")
 _NAME = re.compile(rb"(?:[A-Za-z]?[a-z]{2,}|[A-Z]{2,})[0-9]{0,4}\Z")
 
@@ -71,6 +77,51 @@ def _tokens(part: bytes, path: str) -> list[int]:
     return _encoding(path).encode_ordinary(part.decode("ascii"))
 
 
+def _low(part: bytes, path: str, max_ratio: float) -> bool:
+    return len(part) <= max_ratio * len(_tokens(part, path))
+
+
+def _low_window(part: bytes, path: str, max_ratio: float) -> bool:
+    """Whether some tokens in a row, of LEAST_CHARS characters or just over,
+    have a low ratio: a secret that nothing parts from a word."""
+    size = [len(_encoding(path).decode_single_token_bytes(t)) for t in _tokens(part, path)]
+    first = chars = 0
+    for i, n in enumerate(size):
+        chars += n
+        while chars - size[first] >= LEAST_CHARS:
+            chars -= size[first]
+            first += 1
+        if chars >= LEAST_CHARS and chars <= max_ratio * (i + 1 - first):
+            return True
+    return False
+
+
+def _random(run: bytes, path: str, max_ratio: float) -> list[tuple[int, int]]:
+    """Begins and ends of what is random in a run: the whole run, or parts of
+    it next to each other; what these leave is tested again as a run."""
+    if len(run) < LEAST_CHARS or _fixed(run):
+        return []
+    if not _named(run, path, max_ratio) and _low(run, path, max_ratio):
+        return [(0, len(run))]
+    groups, last = [], None  # parts in a row that are low by themselves
+    for m in _SPLIT.finditer(run):
+        part = m.group()
+        if _fixed(part) or _named(part, path, max_ratio):
+            continue
+        low = _low(part, path, max_ratio)
+        if low and last is not None and m.start() == last + 1:
+            groups[-1][1] = m.end()
+        elif low or (len(part) >= LEAST_CHARS and _low_window(part, path, max_ratio)):
+            groups.append([m.start(), m.end()])
+        last = m.end() if low else None
+    out, seen = [], 0
+    for a, b in groups:
+        if b - a >= LEAST_CHARS:
+            out += [(seen + x, seen + y) for x, y in _random(run[seen:a], path, max_ratio)] + [(a, b)]
+            seen = b
+    return out + [(seen + x, seen + y) for x, y in _random(run[seen:], path, max_ratio)] if out else []
+
+
 def find_spans(text: bytes, path: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, str, int]]:
     """(start, kind, end) in bytes, by start and then by kind as listed."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_LEAST]
@@ -78,10 +129,14 @@ def find_spans(text: bytes, path: str, max_ratio: float = MAX_RATIO) -> list[tup
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     more = []
     for m in _RUN.finditer(text):
-        run, a, b = m.group(), m.start(), m.end()
-        if not _fixed(run) and not _named(run, path, max_ratio) and not any(a < e and s < b for s, _, e in found):
-            if len(run) <= max_ratio * len(_encoding(path).encode_ordinary(run.decode("ascii"))):
-                more.append((a, 3, b))
+        a, b = m.span()
+        # what the fixed spans leave of the run
+        for s, _, e in sorted(x for x in found if a < x[2] and x[0] < b):
+            if s > a:
+                more += [(a + x, 3, a + y) for x, y in _random(text[a:s], path, max_ratio)]
+            a = max(a, e)
+        if a < b:
+            more += [(a + x, 3, a + y) for x, y in _random(text[a:b], path, max_ratio)]
     return [(s, KINDS[k], e) for s, k, e in sorted(found + more)]
 
 

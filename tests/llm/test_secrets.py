@@ -77,6 +77,25 @@ def found_in(prefix, alphabet, n, draws=100, suffix=""):
     return found
 
 
+def test_secrets_behind_a_readable_prefix_are_found():
+    for prefix, n in (
+        ("production_database_access_key=", 24),
+        ("/users/production/config/access/", 24),
+        ("Authorization=Bearer_", 20),
+        ("DatabaseConnectionStringProduction", 40),  # nothing in between
+    ):
+        assert found_in(prefix, ALNUM, n) >= 90, prefix
+    assert found_in("/users/production/access/", ALNUM, 24, suffix="/settings/readable_name") >= 90
+    assert found_in("production_database_access_key=", ALNUM[26:52], 32) >= 85
+    for known in (
+        "/users/production/123e4567-e89b-12d3-a456-426614174000/settings",
+        "/usr/lib/x86_64-linux-gnu/library/current/readable",
+        "release-notes_2024-01-15_version_0012_final",
+        "https=www/search/how+to+make+bread+at+home",
+    ):
+        assert secret_scan.find_spans(known.encode(), PATH) == [], known
+
+
 def test_random_letters_of_one_case_are_found():
     lower, upper = ALNUM[26:52], ALNUM[:26]
     for n in (16, 32):
