@@ -106,7 +106,8 @@ def thresholds(sizes: DataFrame, targets: DataFrame, fills: int = 3) -> DataFram
         .select("source", "source_size", "target", "copies", "rest"),
         "mix-targets",
     )
-    state = plan.select(
+    # whole passes meet a target without a rest
+    state = plan.filter("rest > 0").select(
         "source",
         "rest",
         F.lit(0).cast("long").alias("after"),

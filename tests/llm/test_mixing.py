@@ -94,3 +94,11 @@ def test_repeat_returns_rows_as_often_as_taken(spark):
     for r in rows.collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
     assert got == {k: v for k, v in taken.items() if v}
+
+
+def test_capped_source_of_many_documents(spark):
+    """Three whole passes over each document, and no fourth over any."""
+    rng = random.Random(5)
+    texts = [prose(rng, 10) for _ in range(2000)] + [prose(rng, 30_000) for _ in range(20)]
+    rows = check(spark, texts, ["small"] * 2000 + ["big"] * 20)
+    assert {r["n_passes"] for r in rows if r["source"] == "small"} == {3}
