@@ -4,7 +4,8 @@ A document's place in its source is a 60-bit hash.  Sizes are summed by source
 and hash bucket; the bucket in which the budget falls is the only one whose
 documents are summed again by the next bits, until it holds one document.  The
 mix is then a comparison of each document's hash with its source's threshold:
-no sort, and thresholds of a larger budget contain those of a smaller one.
+no sort, and thresholds of a larger budget contain those of a smaller one, but
+for the document that straddles the smaller one.
 
 Defined cases: null or wordless texts have size 0; a null source is a source
 of its own, last in order; rows equal in doc_id and text share a hash and are
@@ -97,7 +98,9 @@ def thresholds(sizes: DataFrame, targets: DataFrame, fills: int = 3) -> DataFram
     The first band is everything under the budget's threshold.  A document that
     straddles the threshold is left out, if it exceeds the budget by more than
     ``SLACK`` of the source, and what it leaves open is filled, by
-    a threshold of its own, from later documents that fit: ``fills`` bands."""
+    a threshold of its own, from later documents that fit: ``fills`` bands.  When
+    the fills end, a straddling document is taken in place of all that follows
+    it if that brings the source nearer its target."""
     size = F.col("source_size").cast("double")
     copies = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("int")
     plan = materialize(
@@ -114,31 +117,45 @@ def thresholds(sizes: DataFrame, targets: DataFrame, fills: int = 3) -> DataFram
         F.lit(1 << 62).cast("long").alias("largest"),
         (F.col("source_size") * SLACK).alias("slack"),
     )
-    bands = None
+    steps = None
     for fill in range(fills):
-        edge = materialize(_edge(sizes, state, nearest=fill == fills - 1), f"mix-band-{fill}")
-        band = edge.select("source", F.struct("after", "largest", "below").alias("band"))
-        bands = band if bands is None else bands.unionByName(band)
-        state = edge.filter("open > 0").select(
+        edge = materialize(_edge(sizes, state), f"mix-band-{fill}")
+        step = edge.select(
+            "source", F.struct(F.lit(fill).alias("fill"), "after", "largest", "below", "left", "excess", "end").alias("step")
+        )
+        steps = step if steps is None else steps.unionByName(step)
+        state = edge.filter("excess IS NOT NULL AND left > 0").select(
             "source",
-            F.col("open").alias("rest"),
+            F.col("left").alias("rest"),
             F.col("end").alias("after"),
-            F.floor("open").cast("long").alias("largest"),
+            F.floor("left").cast("long").alias("largest"),
             "slack",
         )
         if state.isEmpty():
             break
-    bands = bands.groupBy("source").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    bands = (
+        steps.groupBy("source")
+        .agg(F.sort_array(F.collect_list("step")).alias("steps"))
+        .withColumn("over", F.expr("array_min(transform(filter(steps, s -> s.excess IS NOT NULL), s -> struct(s.excess, s.fill)))"))
+        .withColumn("over", F.expr("IF(over.excess < abs(element_at(steps, -1).left), over.fill, NULL)"))
+        .selectExpr(
+            "source",
+            """transform(
+                 filter(steps, s -> over IS NULL OR s.fill <= over),
+                 s -> struct(s.after, s.largest, IF(s.fill <=> over, s.end, s.below) AS below)) AS bands""",
+        )
+    )
     return plan.join(bands.withColumnRenamed("source", "s"), F.expr("source <=> s"), "left").select(
         "source", "source_size", "target", "copies", "bands"
     )
 
 
-def _edge(sizes: DataFrame, state: DataFrame, nearest: bool) -> DataFrame:
+def _edge(sizes: DataFrame, state: DataFrame) -> DataFrame:
     """One row by source of ``state`` (source, rest, after, largest, slack): below,
     the place under which documents from ``after`` on, of ``largest`` words at
     most, add up to ``rest``; end, the place behind the one that straddles it;
-    open, what is left of rest.  Only the bucket that straddles the budget is
+    left, what is left of rest; excess, by how much the one that straddles it is
+    over rest, null if there is none or it is taken.  Only the bucket that straddles the budget is
     summed again, by the next bits of the place."""
     opened = state.withColumn("prefix", F.lit(0).cast("long")).withColumn("low", F.lit(0).cast("long"))
     settled = None
@@ -160,21 +177,22 @@ def _edge(sizes: DataFrame, state: DataFrame, nearest: bool) -> DataFrame:
         edge = (
             sums.withColumn("upto", F.sum("size").over(run) + F.col("low"))
             .groupBy("source", "rest", "after", "largest", "slack")
-            .agg(F.max(over).alias("over"), first.alias("e"))
-            .select("source", "rest", "after", "largest", "slack", "over", "e.*")
+            .agg(F.max(over).alias("over"), F.max("upto").alias("all"), first.alias("e"))
+            .select("source", "rest", "after", "largest", "slack", "over", "all", "e.*")
             .withColumn("low", F.col("upto") - F.col("size"))
         )
         edge = materialize(edge, f"mix-edge-{level}")
         done = ~F.col("over") | (F.col("a") == F.col("b")) | F.lit(shift == 0)
         excess = F.col("upto") - F.col("rest")
-        take = (excess <= F.col("slack")) | (F.lit(nearest) & (excess < F.col("rest") - F.col("low")))
+        take = excess <= F.col("slack")
         found = edge.filter(done).select(
             "source",
             "after",
             "largest",
             F.when(~F.col("over"), 1 << HASH_BITS).when(take, F.col("b") + 1).otherwise(F.col("a")).alias("below"),
             F.when(~F.col("over"), 1 << HASH_BITS).otherwise(F.col("b") + 1).alias("end"),
-            F.when(~F.col("over") | take, 0.0).otherwise(F.col("rest") - F.col("low")).alias("open"),
+            (F.col("rest") - F.when(~F.col("over"), F.col("all")).when(take, F.col("upto")).otherwise(F.col("low"))).alias("left"),
+            F.when(F.col("over") & ~take, excess).alias("excess"),
             "slack",
         )
         settled = found if settled is None else settled.unionByName(found)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerspark.llm import mixing
 
@@ -102,3 +103,21 @@ def test_capped_source_of_many_documents(spark):
     texts = [prose(rng, 10) for _ in range(2000)] + [prose(rng, 30_000) for _ in range(20)]
     rows = check(spark, texts, ["small"] * 2000 + ["big"] * 20)
     assert {r["n_passes"] for r in rows if r["source"] == "small"} == {3}
+
+
+def taken_of(spark, sizes_of, target):
+    """Words taken of one source for a target given in words."""
+    rng = random.Random(6)
+    sizes = mixing.materialize(mixing.sized(documents(spark, [prose(rng, n) for n in sizes_of])), "test-sizes")
+    targets = sizes.groupBy("source").sum("size").toDF("source", "source_size").withColumn("target", F.lit(float(target)))
+    rows = mixing.passes(sizes, mixing.thresholds(sizes, targets)).collect()
+    return sum(r["size"] * r["n_passes"] for r in rows)
+
+
+def test_a_straddling_document_is_taken_where_that_is_nearer(spark):
+    assert taken_of(spark, [50, 50], 90) == 100
+    assert taken_of(spark, [50, 50], 60) == 50
+    assert taken_of(spark, [50, 50], 190) == 200  # a whole pass, then both
+    # one long text: over by at most 500 words if it straddles, else under by a short one
+    for short in (7, 10, 16, 25):
+        assert abs(taken_of(spark, [short] * (8000 // short) + [2000], 9500) - 9500) <= 550
