@@ -11,7 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_model, mixing, near_dup, quality, repeats, rules, secret_scan, token_files, topk
+from . import (
+    bpe,
+    fill_in_middle,
+    language_model,
+    mixing,
+    near_dup,
+    quality,
+    repeats,
+    rules,
+    secret_scan,
+    token_files,
+    topk,
+)
 from .docs import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +133,40 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_token_files")
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(read_table(spark, sf_dir, "documents"))
+
+
+FILL_IN_MIDDLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u
+  FROM documents),
+k AS (
+  SELECT doc_id, t, u, len(u) AS n,
+         CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS r1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS r2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+              WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+c AS (
+  SELECT *, array_to_string(u[1:least(r1, r2)], '') AS p,
+         array_to_string(u[least(r1, r2) + 1:greatest(r1, r2)], '') AS m,
+         array_to_string(u[greatest(r1, r2) + 1:], '') AS s
+  FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+
+@register("op11_fill_in_middle", FILL_IN_MIDDLE_SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(read_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
