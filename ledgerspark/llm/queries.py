@@ -17,6 +17,7 @@ from . import (
     language_model,
     mixing,
     near_dup,
+    prefix_trie,
     quality,
     repeats,
     rules,
@@ -170,3 +171,53 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
     )
+
+
+# Rebuilt conversations, their prefixes, and for each node the sums over the
+# nodes beneath it; CRC-32 is folded over the bits of the decimal id.
+PREFIX_TRIE_SQL = r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i,
+         sha256(coalesce(role, '')) || sha256(coalesce(text, '')) AS t,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (
+  SELECT conv_id AS c, conv_id - conv_id % 20 AS base, max(i) AS own_len,
+         xor(list_reduce(list_concat([4294967295],
+             flatten([[256 + ascii(x), 0, 0, 0, 0, 0, 0, 0, 0] FOR x IN string_split(CAST(conv_id AS VARCHAR), '')])),
+           lambda a, e: CASE WHEN e >= 256 THEN xor(a, e - 256)
+                             WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 4 AS h
+  FROM own GROUP BY conv_id),
+given AS (SELECT ids.*, least(h, coalesce((SELECT max(i) FROM own WHERE own.conv_id = base), 0)) AS g FROM ids),
+turn AS (
+  SELECT c, i, t, w FROM given JOIN own ON own.conv_id = base AND i <= g
+  UNION ALL SELECT c, i - h + g, t, w FROM given JOIN own ON own.conv_id = c AND i > h),
+whole AS (
+  SELECT given.c, coalesce(list(t ORDER BY i) FILTER (t IS NOT NULL), []) AS p,
+         coalesce(list(w ORDER BY i) FILTER (t IS NOT NULL), []) AS w
+  FROM given LEFT JOIN turn ON turn.c = given.c GROUP BY given.c),
+member AS (
+  SELECT c, d, len(p) AS n, array_to_string(p[1:d], ' ') AS k, array_to_string(p[1:d - 1], ' ') AS up,
+         CASE WHEN d > 0 THEN w[d] ELSE 0 END AS w
+  FROM (SELECT c, p, w, unnest(range(0, len(p) + 1)) AS d FROM whole)),
+node AS (
+  SELECT d, k, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends
+  FROM member GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, up AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+sums AS (
+  SELECT m.d, m.k, sum((v.n_convs - 1) * v.w) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+  FROM node v LEFT JOIN kids ON kids.d = v.d AND kids.k = v.k JOIN member m ON m.c = v.conv_id AND m.d <= v.d
+  GROUP BY m.d, m.k)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs,
+       coalesce(kids.n, 0) AS n_children, sums.leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens,
+       v.ends AS ends_sha256
+FROM node v JOIN sums ON sums.d = v.d AND sums.k = v.k
+LEFT JOIN kids ON kids.d = v.d AND kids.k = v.k LEFT JOIN node u ON u.d = v.d - 1 AND u.k = v.up
+"""
+
+
+@register("op12_prefix_trie", PREFIX_TRIE_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.share_heads(turns))
