@@ -22,6 +22,7 @@ from . import (
     repeats,
     rules,
     secret_scan,
+    set_join,
     token_files,
     topk,
 )
@@ -221,3 +222,17 @@ LEFT JOIN kids ON kids.d = v.d AND kids.k = v.k LEFT JOIN node u ON u.d = v.d -
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(read_table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(*prefix_trie.share_heads(turns))
+
+
+SET_JOIN_SQL = (
+    NEAR_DUP_SQL.replace("len(w) < 5", "len(w) < 4")
+    .replace("w[i:i + 4]", "w[i:i + 3]")
+    .replace("len(w) - 3, 2", "len(w) - 2, 2")
+    .replace("100 * c >= 75", "100 * c >= 85")
+    .replace(",\n       coalesce(c.c, d.doc_id) = d.doc_id AS kept", "")
+)
+
+
+@register("op13_set_join", SET_JOIN_SQL)
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_join(read_table(spark, sf_dir, "documents"))
