@@ -28,6 +28,7 @@ from ..schema import (
     MALFORMED,
     REASON_CAPTION,
     REASON_CELLS,
+    REASON_CLIENT,
     REASON_SEPARATOR,
     REASON_VOUCHER,
     REASON_YEAR,
@@ -150,14 +151,16 @@ def map_ledger(
 
 def _faults(columns: list[str]) -> list[tuple[Column, str]]:
     """(condition, reason) in the order of the report: blank voucher_id,
-    ac_code or ac_caption (after prefixing), no amount; then no fiscal year,
-    which a stored row needs, and a record that does not fit its header."""
+    ac_code or ac_caption (after prefixing), no amount; then no fiscal year or
+    no client, which a stored row needs, and a record that does not fit its
+    header."""
     faults = [
         (is_blank("voucher_id"), REASON_VOUCHER),
         (is_blank("ac_code"), REASON_ACCOUNT),
         (is_blank("ac_caption"), REASON_CAPTION),
         (F.col("rc_amount").isNull(), REASON_AMOUNT),
         (F.col("fiscal_year").isNull(), REASON_YEAR),
+        (is_blank("client_name"), REASON_CLIENT),
     ]
     return faults + [(F.col(MALFORMED).isNotNull(), REASON_CELLS)] * (MALFORMED in columns)
 

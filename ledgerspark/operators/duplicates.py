@@ -1,15 +1,15 @@
 """Duplicate handling for an import: mark, skip or strict.
 
 Key = (posting_date, voucher_id, ac_code, rc_amount, description), compared
-null-safe. A row is a duplicate when its key already exists in the history,
-or when an earlier row of the same import has the key; rows are ordered by
-(source_file, source_row), so the same file delivered twice under two names,
-or two files with equal rows, are found too.
-
-Only key columns are shuffled: one partial aggregation to one row per key, a
-semi join that cuts the history down to the import's keys before it is
-grouped, and a many-to-one join back to the key rows. The few rows that turn
-out to be duplicates are then joined to the full rows by their place.
+null-safe by two 64-bit hashes. A row is a duplicate when its key already
+exists in the history, or when an earlier row of the same import has the key;
+rows are ordered by (source_file, source_row), so the same file delivered twice
+under two names, or two files with equal rows, are found too.
+
+Only places and hashes are shuffled. The first row of each key is a partial
+aggregation; a row is a duplicate if its place is not that of a first row whose
+key the history lacks. Places are unique, so a key that a third of the rows
+have never meets in one task.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 DUPLICATE_KEY = ["posting_date", "voucher_id", "ac_code", "rc_amount", "description"]
 PLACE = ["source_file", "source_row"]
+HASH = ["h1", "h2"]
 
 
 class DuplicateError(ValueError):
@@ -31,9 +32,39 @@ class DuplicateError(ValueError):
         self.rows = rows
 
 
-def _same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
-    """A hash first (cheap to sort by), then null-safe equality of all."""
-    return reduce(lambda x, y: x & y, [a["_h"] == b["_g"]] + [a[p].eqNullSafe(b[q]) for p, q in pairs])
+def key_hashes(keys: list[str | Column] = DUPLICATE_KEY) -> list[Column]:
+    """h1, h2: NULL and '' differ, and so does the column a value stands in."""
+    marked = [x for k in keys for x in (k, (F.col(k) if isinstance(k, str) else k).isNull())]
+    return [F.xxhash64(*marked).alias("h1"), F.xxhash64(*reversed(marked)).alias("h2")]
+
+
+def places(df: DataFrame) -> list[str]:
+    if "source_row" not in df.columns:
+        raise DuplicateError("duplicates are ordered by source_row, which the rows lack")
+    return [c for c in PLACE if c in df.columns]
+
+
+def first_rows(rows: DataFrame, *more: Column) -> DataFrame:
+    """h1, h2 and ``at`` (the first place) by key, and ``more`` aggregates."""
+    return rows.groupBy(*HASH).agg(F.min(F.struct(*places(rows))).alias("at"), *more)
+
+
+def mark(new: DataFrame, rows: DataFrame, fresh: DataFrame, where: Column | None = None) -> DataFrame:
+    """``new`` + ``is_duplicate``. rows: the places that take part; fresh: the
+    first rows (``at``) of keys that the history lacks."""
+    place = places(rows)
+
+    def same(a: DataFrame, b: DataFrame, prefix: str) -> Column:
+        return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"{prefix}{c}"]) for c in place])
+
+    kept = fresh.select(*[F.col(f"at.{c}").alias(f"_f_{c}") for c in place])
+    found = rows.join(kept, same(rows, kept, "_f_"), "left_anti")
+    found = found.select(*[F.col(c).alias(f"_d_{c}") for c in place], F.lit(True).alias("_dup")).distinct()
+    hit = F.coalesce("_dup", F.lit(False))
+    if where is not None:
+        hit = hit & F.coalesce(where, F.lit(False))
+    out = new.join(found, same(new, found, "_d_"), "left").withColumn("is_duplicate", hit)
+    return out.drop("_dup", *[f"_d_{c}" for c in place])
 
 
 def mark_duplicates(
@@ -42,30 +73,9 @@ def mark_duplicates(
     """``new`` + boolean ``is_duplicate``. ``new`` has source_row, and
     source_file if it holds more than one file. With ``where`` only rows
     meeting it take part; others are never duplicates."""
-    if "source_row" not in new.columns:
-        raise DuplicateError("duplicates are ordered by source_row, which the rows lack")
-    place = [c for c in PLACE if c in new.columns]
     part = new if where is None else new.filter(where)
-    rows = part.select(*keys, F.struct(*place).alias("_at"), F.xxhash64(*keys).alias("_h"))
-    first = rows.groupBy("_h", *keys).agg(F.min("_at").alias("_first"))
-    first = first.select(F.col("_h").alias("_g"), *[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
-    pairs = [(k, f"_k_{k}") for k in keys]
-    later = F.col("_at") != F.col("_first")
+    rows = part.select(*places(new), *key_hashes(keys))
+    fresh = first_rows(rows)
     if history is not None:
-        old = history.select(*keys, F.xxhash64(*keys).alias("_h"))
-        old = old.join(first.select(F.col("_g").alias("_h")), "_h", "left_semi").distinct()
-        old = old.select(F.col("_h").alias("_o"), *[F.col(k).alias(f"_o_{k}") for k in keys])
-        same = reduce(
-            lambda x, y: x & y,
-            [first["_g"] == old["_o"]] + [first[f"_k_{k}"].eqNullSafe(old[f"_o_{k}"]) for k in keys],
-        )
-        first = first.join(old, same, "left").withColumn("_seen", F.col("_o").isNotNull())
-        first = first.drop("_o", *[f"_o_{k}" for k in keys])
-        later = later | F.col("_seen")
-    found = rows.join(first, _same(rows, first, pairs)).filter(later)
-    found = found.select(*[F.col(f"_at.{c}").alias(f"_d_{c}") for c in place], F.lit(True).alias("_dup")).distinct()
-    at = reduce(lambda x, y: x & y, [new[c].eqNullSafe(found[f"_d_{c}"]) for c in place])
-    hit = F.coalesce("_dup", F.lit(False))
-    if where is not None:
-        hit = hit & F.coalesce(where, F.lit(False))
-    return new.join(found, at, "left").withColumn("is_duplicate", hit).drop("_dup", *[f"_d_{c}" for c in place])
+        fresh = fresh.join(history.select(*key_hashes(keys)).distinct(), HASH, "left_anti")
+    return mark(new, rows, fresh, where)

@@ -1,10 +1,11 @@
 """One import job: source DataFrame -> cleaned, checked, published batch.
 
-Flow (one scan of the source, no cache): map + flag + duplicate marks ->
-one partitioned write of every row with its status -> statistics, batch
-keys and error sample read back from the batch's partitions -> publish
-checks -> status ``staged`` then ``active`` (``replaced`` for older batches
-in new-import mode; ``failed`` when a check fails) -> report and dataset rows.
+Flow: map + flag -> with duplicate handling the keys of the valid rows are
+written to scratch and looked up in the key index -> one partitioned write of
+every row with its status -> summary states of the written rows, from which
+statistics, batch keys and checks are read -> key index, error sample, report
+and dataset rows -> status ``active`` (``replaced`` for older batches in
+new-import mode) by one commit. What fails before it leaves a ``failed`` batch.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import client_key
 from ..operators import clean, duplicates
+from ..session import Scratch
 from ..operators.mapping import mapping_report_rows
 from ..schema import (
     AUTO_BATCH_HEX,
@@ -33,15 +35,18 @@ from ..schema import (
     BatchInfo,
     Profile,
 )
+from .keyindex import KeyIndex, import_firsts, import_keys
+from .statuslog import KEY_COLUMNS
 from .store import (
-    KEY_COLUMNS,
     ROW_REJECTED,
     ROW_SKIPPED,
     ROW_VALID,
     STORED_ROWS_SCHEMA,
     LedgerStore,
+    batch_folder,
     error_view,
 )
+from .summary_state import ACCOUNTS, import_stats, read_states, write_states
 
 SOURCE_TYPES = {"excel", "csv", "table"}
 IMPORT_MODES = {"new", "append"}
@@ -180,132 +185,117 @@ def import_batch(
         # rows of an earlier attempt would share the partition folder
         raise ImportError_(f"batch id {batch_id!r} is already used in this store; import under a new id")
 
+    if not isinstance(batch.client_name, Column) and not (batch.client_name or "").strip():
+        raise ImportError_("an import needs a client name")
+
     flagged = clean.map_ledger(source, profile, batch, payload=keep_payload, extra_columns=True)
     if clean.SOURCE_ROW not in flagged.columns:
         if duplicate_mode is not None:
             raise ImportError_("duplicate handling needs source_row; import with duplicate_mode=None without it")
         flagged = flagged.withColumn(clean.SOURCE_ROW, F.lit(None).cast("long"))
     invalid = F.col(clean.INVALID)
-    if duplicate_mode is None:
-        rows = flagged.withColumn("is_duplicate", F.lit(False))
-    else:
-        rows = duplicates.mark_duplicates(flagged, _history(store, flagged, batch), where=~invalid)
-    skip = F.lit(duplicate_mode == "skip")
-    rows = rows.select(
-        "*",
-        F.when(invalid, F.lit(ROW_REJECTED))
-        .when(F.col("is_duplicate") & skip, F.lit(ROW_SKIPPED))
-        .otherwise(F.lit(ROW_VALID))
-        .alias("row_status"),
-        F.when(invalid, F.lit(ROW_ERROR_CODE)).alias("error_code"),
-        F.when(invalid, clean.error_message(flagged.columns)).alias("error_message"),
-        (F.col(clean.PAYLOAD) if keep_payload else F.lit(None).cast("string")).alias("raw_payload"),
-    )
     constant = not isinstance(batch.client_name, Column) and not isinstance(batch.fiscal_year, Column)
-    asked = None
+    keys = None
     if constant:  # what is about to be written is on record before it is
-        asked = store.spark.range(1).select(
+        keys = store.spark.range(1).select(
             client_key(F.lit(batch.client_name)).alias("client_key"),
             F.lit(batch.client_name).alias("client_name"),
             F.lit(batch.fiscal_year).cast("int").alias("fiscal_year"),
             F.lit(batch_id).alias("import_batch_id"),
         )
-        store.set_status((asked, STATUS_STAGED))
-    keys = asked
+        store.set_status(keys, STATUS_STAGED)
     try:
-        store.write_rows(rows, by_key=not constant)
-        written = store.batch_rows(batch_id)
-        if written is None:  # a source without rows
-            written = store.spark.createDataFrame([], STORED_ROWS_SCHEMA)
-        # columns: NULL years were rejected, their rows are no batch key
-        found = written.filter("fiscal_year IS NOT NULL").select(*KEY_COLUMNS).distinct()
-        keys = found if asked is None else asked
-        if not allow_many_clients and written.select("client_name").distinct().limit(2).count() > 1:
-            raise ImportError_("one client per batch")
-        stats = batch_stats(written).first()
-        dup_rows = stats["duplicate_rows"]
-        if duplicate_mode == "strict" and dup_rows:
-            raise duplicates.DuplicateError(f"{dup_rows} duplicate rows (strict mode)", dup_rows)
-        missing = sorted(set(REQUIRED_LEDGER_FIELDS) - set(written.columns))
-        if missing:
-            raise ImportError_("written rows lack required columns: " + ", ".join(missing))
+        with Scratch(store.spark) as scratch:
+            since = indexed = None
+            if duplicate_mode is None:
+                rows = flagged.withColumn("is_duplicate", F.lit(False))
+            else:
+                since = store.log.state().version  # what the marks are made from
+                found = scratch.write(import_keys(flagged, ~invalid, duplicates.places(flagged)), "import-keys")
+                firsts = scratch.write(import_firsts(found), "import-firsts")
+                seen = KeyIndex(store).seen(firsts, scratch.write)
+                fresh = scratch.write(firsts.join(seen, duplicates.HASH, "left_anti"), "import-fresh")
+                rows = duplicates.mark(flagged, found, fresh, ~invalid)
+                skipped = duplicate_mode == "skip"
+                indexed = found.join(fresh, duplicates.HASH, "left_semi") if skipped else found
+            rows = _with_status(rows, duplicate_mode == "skip", keep_payload)
+            n_written = store.write_rows(rows, by_key=not constant)
+            written = store.batch_rows(batch_id)
+            if written is None:  # a source without rows
+                written = store.spark.createDataFrame([], STORED_ROWS_SCHEMA)
+            write_states(store, written)
+            states = read_states(store, ACCOUNTS, batch_folder(batch_id)).filter(F.col("import_batch_id") == batch_id)
+            stats = import_stats(states).first()
+            if stats["total_rows"] != n_written:
+                raise ImportError_(f"{n_written} rows were written, {stats['total_rows']} found")
+            if keys is None:  # columns: the keys that the rows have
+                keys = states.select(*KEY_COLUMNS).distinct()
+            clients = states.filter("client_name IS NOT NULL").select("client_name").distinct()
+            if not allow_many_clients and clients.limit(2).count() > 1:
+                raise ImportError_("one client per batch")
+            dup_rows = stats["duplicate_rows"]
+            if duplicate_mode == "strict" and dup_rows:
+                raise duplicates.DuplicateError(f"{dup_rows} duplicate rows (strict mode)", dup_rows)
+            missing = sorted(set(REQUIRED_LEDGER_FIELDS) - set(written.columns))
+            if missing:
+                raise ImportError_("written rows lack required columns: " + ", ".join(missing))
+            if indexed is not None:
+                KeyIndex(store).add(indexed)
+
+            rejected = error_view(written.filter(F.col("row_status") == ROW_REJECTED)).select(*ERROR_COLUMNS)
+            sample = [r.asDict() for r in clean.error_sample(rejected, error_sample_limit).collect()]
+            result = ImportResult(
+                task_id=batch_id,
+                client_name=batch.client_name if isinstance(batch.client_name, str) else "",
+                source_type=source_type,
+                source_path=source_path,
+                source_table=None,
+                target_table="ledger",
+                fiscal_year=batch.fiscal_year if isinstance(batch.fiscal_year, int) else None,
+                import_batch_id=batch_id,
+                import_mode=import_mode,
+                total_rows=stats["total_rows"],
+                success_rows=stats["success_rows"],
+                failed_rows=stats["total_rows"] - stats["success_rows"],
+                duplicate_rows=dup_rows,
+                positive_rows=stats["positive_rows"],
+                negative_rows=stats["negative_rows"],
+                zero_rows=stats["zero_rows"],
+                posting_date_min=stats["posting_date_min"],
+                posting_date_max=stats["posting_date_max"],
+                field_mapping_report=mapping_report_rows(store.spark, profile),
+                import_errors=sample,
+                dataset_path=store.path("rows"),
+            )
+            if quality:
+                ledger = written.filter(F.col("row_status") == ROW_VALID)
+                result.quality = import_quality(source, profile, ledger)
+            # the report is there before the batch is; store.reports() leaves
+            # out those of batches that never became active
+            name = _write_report(store, result, profile, dataset_name, batch)
+            store.publish(keys, replace=import_mode == "new", since=since)
     except Exception:
         if keys is not None:
-            store.set_status((keys, STATUS_FAILED))
+            store.set_status(keys, STATUS_FAILED)
         raise
-    store.publish(keys, replace=import_mode == "new")
-
-    rejected = error_view(written.filter(F.col("row_status") == ROW_REJECTED)).select(*ERROR_COLUMNS)
-    sample = [r.asDict() for r in clean.error_sample(rejected, error_sample_limit).collect()]
-    year = batch.fiscal_year if isinstance(batch.fiscal_year, int) else None
-    client = batch.client_name if isinstance(batch.client_name, str) else ""
-    result = ImportResult(
-        task_id=batch_id,
-        client_name=client,
-        source_type=source_type,
-        source_path=source_path,
-        source_table=None,
-        target_table="ledger",
-        fiscal_year=year,
-        import_batch_id=batch_id,
-        import_mode=import_mode,
-        total_rows=stats["total_rows"],
-        success_rows=stats["success_rows"],
-        failed_rows=stats["total_rows"] - stats["success_rows"],
-        duplicate_rows=dup_rows,
-        positive_rows=stats["positive_rows"],
-        negative_rows=stats["negative_rows"],
-        zero_rows=stats["zero_rows"],
-        posting_date_min=stats["posting_date_min"],
-        posting_date_max=stats["posting_date_max"],
-        field_mapping_report=mapping_report_rows(store.spark, profile),
-        import_errors=sample,
-        dataset_path=store.path("rows"),
-    )
-    if quality:
-        ledger = written.filter(F.col("row_status") == ROW_VALID)
-        result.quality = import_quality(source, profile, ledger)
-    name = _write_report(store, result, profile, dataset_name, batch)
     from .history import record_open
 
     record_open(store, name)  # a new dataset heads the recent list
     return result
 
 
-def _history(store: LedgerStore, flagged: DataFrame, batch: BatchInfo) -> DataFrame:
-    """Earlier rows that may equal the import's: its client's, within its
-    range of posting dates."""
-    if isinstance(batch.client_name, str):
-        history = store.open_ledger(client_name=batch.client_name)
-    else:
-        clients = flagged.select("client_name").distinct()
-        history = store.open_ledger().join(clients, "client_name", "left_semi")
-    ok = ~F.col(clean.INVALID)
-    span = flagged.agg(
-        F.min(F.when(ok, F.col("posting_date"))).alias("lo"), F.max(F.when(ok, F.col("posting_date"))).alias("hi")
-    ).first()
-    date = F.col("posting_date")
-    inside = date.isNull() if span["lo"] is None else date.isNull() | date.between(F.lit(span["lo"]), F.lit(span["hi"]))
-    return history.filter(inside)
-
-
-def batch_stats(written: DataFrame) -> DataFrame:
-    """One aggregation over a written batch (a few pruned columns):
-    counts by status, amount signs and date range of accepted rows, and the
-    duplicate count."""
-    st = F.col("row_status")
-    ok = st == ROW_VALID
-    amt = F.col("rc_amount")
-    return written.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(ok).alias("success_rows"),
-        F.count_if(st == ROW_REJECTED).alias("rejected_rows"),
-        F.count_if(F.coalesce(F.col("is_duplicate"), F.lit(False))).alias("duplicate_rows"),
-        F.count_if(ok & (amt > 0)).alias("positive_rows"),
-        F.count_if(ok & (amt < 0)).alias("negative_rows"),
-        F.count_if(ok & (amt == 0)).alias("zero_rows"),
-        F.min(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_min"),
-        F.max(F.when(ok, F.col("posting_date"))).cast("string").alias("posting_date_max"),
+def _with_status(rows: DataFrame, skip: bool, keep_payload: bool) -> DataFrame:
+    """Every row's status, and why it was rejected."""
+    invalid = F.col(clean.INVALID)
+    return rows.select(
+        "*",
+        F.when(invalid, F.lit(ROW_REJECTED))
+        .when(F.col("is_duplicate") & F.lit(skip), F.lit(ROW_SKIPPED))
+        .otherwise(F.lit(ROW_VALID))
+        .alias("row_status"),
+        F.when(invalid, F.lit(ROW_ERROR_CODE)).alias("error_code"),
+        F.when(invalid, clean.error_message(rows.columns)).alias("error_message"),
+        (F.col(clean.PAYLOAD) if keep_payload else F.lit(None).cast("string")).alias("raw_payload"),
     )
 
 

@@ -3,55 +3,60 @@
 Layout under one root (a shared folder):
 
   rows/            every imported row, partitioned by
-                   client_key / fiscal_year / import_batch_id / row_status
+                   client_key / fiscal_year / batch_key / row_status
                    (valid, rejected, skipped): the ledger is the ``valid``
                    partitions, the error table the ``rejected`` ones
-  batch_status/    append-only log: one row per (batch key, status change)
+  batch_status/    versioned log: one row per (batch key, status change)
   import_reports/  one row per import
   datasets/        one row per imported dataset (the manifest)
   query_log/, open_log/   append-only histories
 
 An import is one write of all its rows, so a source is scanned once and
 nothing is cached. The current status of a batch key is its latest log row;
-readers only see ``active`` keys, so publish, replace and rollback are each a
-small append to the log and data folders are never rewritten. A failed or
-half-written import never becomes active.
+readers only see ``active`` keys, so publish, replace and rollback are each one
+commit to the log (``statuslog``) and data folders are never rewritten. A failed
+or half-written import never becomes active.
+
+A batch id is any text: its folder is named by a hash of it, rows carry the id
+itself, and every reader compares that.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import client_key, strip_unicode
-from ..operators.catalog import latest_per_key
 from ..schema import (
     ERROR_SCHEMA,
     EXTRA_LEDGER_FIELDS,
     LEDGER_COLUMNS,
     LEDGER_SCHEMA,
     STATUS_ACTIVE,
+    STATUS_FAILED,
     STATUS_REPLACED,
     STATUS_ROLLED_BACK,
+    STATUS_STAGED,
 )
+from .statuslog import KEY_COLUMNS, StatusLog
 
 ROW_VALID = "valid"
 ROW_REJECTED = "rejected"
 ROW_SKIPPED = "skipped"
 
-KEY = ["client_key", "fiscal_year", "import_batch_id"]
-PARTITIONS = KEY + ["row_status"]
-KEY_COLUMNS = ["client_key", "client_name", "fiscal_year", "import_batch_id"]
+PARTITIONS = ["client_key", "fiscal_year", "batch_key", "row_status"]
+SCOPE_KEYS = 1000  # clients that a commit names; one of more concerns all
 
 STORED_ROWS_SCHEMA = T.StructType(
     [T.StructField("source_row", T.LongType())]
-    + [f for f in LEDGER_SCHEMA.fields if f.name not in ("fiscal_year", "import_batch_id")]
+    + [f for f in LEDGER_SCHEMA.fields if f.name != "fiscal_year"]
     + [
         T.StructField("is_duplicate", T.BooleanType()),
         T.StructField("error_code", T.StringType()),
@@ -60,7 +65,7 @@ STORED_ROWS_SCHEMA = T.StructType(
         *[T.StructField(c, T.StringType()) for c in EXTRA_LEDGER_FIELDS],
         T.StructField("client_key", T.StringType()),
         T.StructField("fiscal_year", T.IntegerType()),
-        T.StructField("import_batch_id", T.StringType()),
+        T.StructField("batch_key", T.StringType()),
         T.StructField("row_status", T.StringType()),
     ]
 )
@@ -73,18 +78,6 @@ STORED_ERROR_SCHEMA = T.StructType(
         T.StructField("import_batch_id", T.StringType()),
     ]
 )
-STATUS_SCHEMA = T.StructType(
-    [
-        T.StructField("client_key", T.StringType()),
-        T.StructField("client_name", T.StringType()),
-        T.StructField("fiscal_year", T.IntegerType()),
-        T.StructField("import_batch_id", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("changed_at", T.TimestampNTZType()),
-    ]
-)
-
 _last_seq = 0
 
 
@@ -95,6 +88,27 @@ def next_seq() -> int:
     return _last_seq
 
 
+def batch_key(batch_id: Column) -> Column:
+    """The folder name of a batch, safe whatever characters its id has."""
+    return F.concat(F.lit("b_"), F.substring(F.sha1(F.encode(batch_id, "UTF-8")), 1, 16))
+
+
+def batch_folder(batch_id: str) -> str:
+    return "b_" + hashlib.sha1(batch_id.encode()).hexdigest()[:16]
+
+
+def same_key(a: DataFrame, b: DataFrame) -> Column:
+    """Batch keys are equal; no client or no year is a value like any other.
+    ``a`` has the partition folder, which the comparison prunes."""
+    return (
+        (a["batch_key"] == b["batch_key"])
+        & (a["import_batch_id"] == b["import_batch_id"])
+        & a["client_key"].eqNullSafe(b["client_key"])
+        & a["client_name"].eqNullSafe(b["client_name"])
+        & a["fiscal_year"].eqNullSafe(b["fiscal_year"])
+    )
+
+
 def is_client(name: str) -> Column:
     """Rows of a client, by its name without outer white space; the client
     key, which two names may share, only finds the folder."""
@@ -115,6 +129,7 @@ class LedgerStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = StatusLog(spark, self.path("batch_status"))
 
     # -- paths -------------------------------------------------------------
     def path(self, table: str) -> str:
@@ -135,16 +150,19 @@ class LedgerStore:
         key = "*"
         if client_name is not None:
             key = self.spark.range(1).select(client_key(F.lit(client_name))).first()[0]
+        folder = "*" if batch is None else batch_folder(batch)
         year = "*" if fiscal_year is None else int(fiscal_year)
-        glob = f"rows/client_key={key}/fiscal_year={year}/import_batch_id={batch or '*'}"
-        if key == year == "*" and batch is None:
+        glob = f"rows/client_key={key}/fiscal_year={year}/batch_key={folder}"
+        if key == year == folder == "*":
             glob = "rows"
         fs, p = self._fs(glob)
         if not fs.globStatus(p):
             return None
         df = self.spark.read.schema(STORED_ROWS_SCHEMA).option("basePath", self.path("rows")).parquet(self.path(glob))
-        # the key only names a folder: two clients may share it
-        return df if client_name is None else df.filter(is_client(client_name))
+        # keys only name folders: two clients, or two batches, may share one
+        if client_name is not None:
+            df = df.filter(is_client(client_name))
+        return df if batch is None else df.filter(F.col("import_batch_id") == batch)
 
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame | None:
         if not self.exists(table):
@@ -155,53 +173,55 @@ class LedgerStore:
         return r.parquet(self.path(table))
 
     # -- writes ------------------------------------------------------------
-    def write_rows(self, rows: DataFrame, by_key: bool = False) -> None:
-        """Append one import's rows (all statuses) in a single write. Where
-        client and year are constants a task writes one file per status;
-        where they are columns the rows are dealt out by them first, hot ones
-        over several tasks, so files stay few."""
+    def write_rows(self, rows: DataFrame, by_key: bool = False) -> int:
+        """Append one import's rows (all statuses) in a single write; returns
+        how many. Where client and year are constants a task writes one file
+        per status; where they are columns the rows are dealt out by them
+        first, hot ones over several tasks, so files stay few."""
         cols = [f.name for f in STORED_ROWS_SCHEMA.fields]
         out = rows.withColumn("client_key", client_key("client_name"))
+        out = out.withColumn("batch_key", batch_key(F.col("import_batch_id")))
         if by_key:
             out = out.hint("rebalance", "client_key", "fiscal_year")
-        out.select(*cols).write.mode("append").partitionBy(*PARTITIONS).parquet(self.path("rows"))
+        seen = Observation()
+        out = out.select(*cols).observe(seen, F.count(F.lit(1)).alias("rows"))
+        out.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path("rows"))
+        return seen.get["rows"]
 
     def append(self, table: str, df: DataFrame) -> None:
         """Small logs: one file an append."""
         df.coalesce(1).write.mode("append").parquet(self.path(table))
 
-    def set_status(self, *changes: tuple[DataFrame, str]) -> None:
-        """(keys, status) pairs, as one append: readers see all of them or
-        none. keys: client_key, client_name, fiscal_year, import_batch_id."""
+    def _changes(self, *changes: tuple[DataFrame, str]) -> DataFrame:
+        """(keys, status) pairs as log rows. keys: KEY_COLUMNS."""
+        now = F.lit(f"{dt.datetime.now():%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz").alias("changed_at")
         parts = [
-            keys.select(
-                *KEY_COLUMNS,
-                F.lit(status).alias("status"),
-                F.lit(next_seq()).alias("seq"),
-                F.lit(f"{dt.datetime.now():%Y-%m-%d %H:%M:%S}").cast("timestamp_ntz").alias("changed_at"),
-            )
+            keys.select(*KEY_COLUMNS, F.lit(status).alias("status"), F.lit(None).cast("long").alias("seq"), now)
             for keys, status in changes
         ]
-        self.append("batch_status", reduce(DataFrame.unionByName, parts))
-
-    def compact_log(self) -> None:
-        """Rewrites the status log as one file with the current status of
-        each key. The new log is complete before the old one goes; a reader
-        between the two sees each row twice, which changes no status."""
-        current = self.batch_status().coalesce(1)
-        fs, old = self._fs("batch_status")
-        files = [f.getPath() for f in fs.listStatus(old) if f.getPath().getName().startswith("part-")]
-        current.write.mode("append").parquet(self.path("batch_status"))
-        for f in files:
-            fs.delete(f, False)
+        return reduce(DataFrame.unionByName, parts)
+
+    def scope(self, keys: DataFrame) -> list[str] | None:
+        """The client keys of batch keys, None if there are too many to name."""
+        found = [r[0] for r in keys.select("client_key").distinct().limit(SCOPE_KEYS + 1).collect()]
+        return None if len(found) > SCOPE_KEYS else sorted(x or "" for x in found)
+
+    def set_status(self, keys: DataFrame, status: str) -> None:
+        """One commit; staged and failed batches are not part of the ledger."""
+        effective = status not in (STATUS_STAGED, STATUS_FAILED)
+        scope = self.scope(keys) if effective else None
+        self.log.commit(lambda current: self._changes((keys, status)), scope, effective=effective)
+
+    def compact_log(self, older_than: dt.timedelta = dt.timedelta(days=7)) -> None:
+        """Adds a snapshot of the log; deletes what no reader of the last days
+        can still be reading."""
+        self.log.snapshot()
+        self.log.vacuum(older_than)
 
     # -- status ------------------------------------------------------------
     def batch_status(self) -> DataFrame:
         """Current status per batch key."""
-        log = self.read("batch_status", STATUS_SCHEMA)
-        if log is None:
-            return self.spark.createDataFrame([], STATUS_SCHEMA)
-        return latest_per_key(log, KEY_COLUMNS, "seq")
+        return self.log.current()
 
     def active_keys(self, client_name: str | None = None, fiscal_year: int | None = None) -> DataFrame:
         s = self.batch_status().filter(F.col("status") == STATUS_ACTIVE)
@@ -219,19 +239,22 @@ class LedgerStore:
     def batch_id_used(self, import_batch_id: str) -> bool:
         """True when the id appears in the status log or has stored rows (a
         failed attempt may have written rows without a status)."""
-        log = self.read("batch_status", STATUS_SCHEMA)
-        if log is not None and log.filter(F.col("import_batch_id") == import_batch_id).limit(1).count():
+        if not self.log.rows().filter(F.col("import_batch_id") == import_batch_id).isEmpty():
             return True
         rows = self.batch_rows(import_batch_id)
-        return rows is not None and rows.select("import_batch_id").limit(1).count() > 0
+        return rows is not None and not rows.select("import_batch_id").isEmpty()
 
     def _visible(self, row_status: str, client_name, fiscal_year) -> DataFrame | None:
         df = self._rows(client_name, fiscal_year)
         if df is None:
             return None
-        # the log is read when the job runs; the join also prunes partitions
-        active = self.active_keys(client_name, fiscal_year)
-        return df.filter(F.col("row_status") == row_status).join(active, KEY_COLUMNS, "left_semi")
+        return self.active_only(df.filter(F.col("row_status") == row_status), client_name, fiscal_year)
+
+    def active_only(self, df: DataFrame, client_name: str | None = None, fiscal_year: int | None = None) -> DataFrame:
+        """Rows (with their batch key and folder) of batches that are active in
+        the version of the log listed now; the join also prunes partitions."""
+        active = self.active_keys(client_name, fiscal_year).withColumn("batch_key", batch_key(F.col("import_batch_id")))
+        return df.join(active, same_key(df, active), "left_semi")
 
     def open_ledger(
         self, client_name: str | None = None, fiscal_year: int | None = None, with_duplicate_flag: bool = False
@@ -267,30 +290,57 @@ class LedgerStore:
         record_open(self, dataset_name)
         return self.open_ledger().join(batches, "import_batch_id", "left_semi").select(*LEDGER_COLUMNS)
 
+    def reports(self) -> DataFrame | None:
+        """The reports of imports that were published; one is written before
+        its batch is, so a published batch always has it."""
+        reports = self.read("import_reports")
+        if reports is None:
+            return None
+        never = [STATUS_STAGED, STATUS_FAILED]
+        published = self.log.rows().filter(~F.col("status").isin(never)).select("import_batch_id").distinct()
+        return reports.join(published, "import_batch_id", "left_semi").select(*reports.columns)
+
     # -- batch lifecycle ---------------------------------------------------
-    def publish(self, keys: DataFrame, replace: bool = False) -> None:
+    def publish(self, keys: DataFrame, replace: bool = False, since: int | None = None) -> None:
         """Makes a batch's keys active; with ``replace`` earlier active
         batches of the same client and year become replaced, by the same
-        append, so no reader sees both or neither."""
-        changes = [(keys, STATUS_ACTIVE)]
-        if replace:
-            who = strip_unicode("client_name").alias("who")
-            new = keys.select(who, "fiscal_year", F.col("import_batch_id").alias("new_id"))
-            old = self.active_keys().withColumn("who", who).join(new, ["who", "fiscal_year"])
-            old = old.filter("import_batch_id != new_id").select(*KEY_COLUMNS).distinct()
-            changes.append((old, STATUS_REPLACED))
-        self.set_status(*changes)
+        commit, so no reader sees both or neither, and of two such imports at
+        the same time the later one replaces the earlier one. ``since``: the
+        version of the log that the batch's duplicate marks were made from;
+        CommitConflict if the client's active batches changed after it."""
+
+        def build(current: DataFrame) -> DataFrame:
+            changes = [(keys, STATUS_ACTIVE)]
+            if replace:
+                who = strip_unicode("client_name").alias("who")
+                new = keys.select(
+                    who, F.col("fiscal_year").alias("new_year"), F.col("import_batch_id").alias("new_id")
+                )
+                old = current.filter(F.col("status") == STATUS_ACTIVE).withColumn("old_who", who)
+                same = old["old_who"].eqNullSafe(new["who"]) & old["fiscal_year"].eqNullSafe(new["new_year"])
+                old = old.join(new, same).filter("import_batch_id != new_id").select(*KEY_COLUMNS).distinct()
+                changes.append((old, STATUS_REPLACED))
+            return self._changes(*changes)
+
+        self.log.commit(build, self.scope(keys), since)
 
     def rollback_batch(self, import_batch_id: str) -> RollbackResult:
         """Mark every key of the batch ``rolled_back``; report what the batch
         holds (partition-pruned counts, one aggregation)."""
-        status = self.batch_status().filter(
-            (F.col("import_batch_id") == import_batch_id) & (F.col("status") != STATUS_ROLLED_BACK)
-        )
-        n_keys = status.count()
-        if not n_keys:
-            raise KeyError(f"no batch {import_batch_id!r} to roll back")
-        self.set_status((status, STATUS_ROLLED_BACK))
+        n_keys = 0
+
+        def build(current: DataFrame) -> DataFrame:
+            nonlocal n_keys
+            here = current.filter(
+                (F.col("import_batch_id") == import_batch_id) & (F.col("status") != STATUS_ROLLED_BACK)
+            )
+            n_keys = here.count()
+            if not n_keys:
+                raise KeyError(f"no batch {import_batch_id!r} to roll back")
+            return self._changes((here, STATUS_ROLLED_BACK))
+
+        keys = self.batch_status().filter(F.col("import_batch_id") == import_batch_id)
+        self.log.commit(build, self.scope(keys))
         rows = self.batch_rows(import_batch_id)
         counts = {ROW_VALID: 0, ROW_REJECTED: 0}
         if rows is not None:

@@ -7,7 +7,7 @@ import os
 import re
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Used only by a one-machine session that names no checkpoint folder.
 LOCAL_FALLBACK_DIR = "/tmp/ledgerspark-checkpoints"
@@ -80,3 +80,24 @@ def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a scratch folder that this library made."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Scratch:
+    """Intermediate tables of one job: written to the shared scratch folder,
+    read back (which cuts the lineage) and deleted at the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
