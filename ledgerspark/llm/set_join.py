@@ -53,6 +53,7 @@ LEAST = 6  # smaller sets link with equal ones only: 5 / 6 < 0.85
 BAND = 1.5  # largest size by smallest of a band, about
 TRIES = 32  # partitions after which a set emits its tokens themselves
 
+PARITY = [f"s{i}" for i in range(8)]  # 512 bits
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +179,15 @@ def histogram(tokens: np.ndarray) -> bytes:
     return np.minimum(np.bincount(cell, minlength=1 << bits), 0xFFFF).astype("<u2").tobytes()
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bit for each cell of tokens, set if it holds an odd number; a token
+    that differs between two sets turns one bit at most."""
+    cell = (mix64(tokens + np.uint64(11)) >> np.uint64(55)).astype(np.int64)  # of 512
+    words = np.zeros(len(PARITY), np.uint64)
+    np.bitwise_xor.at(words, cell >> 6, np.uint64(1) << (cell & 63).astype(np.uint64))
+    return words.view(np.int64)
+
+
 def may_link(x: bytes, y: bytes, n: int, k: int) -> bool:
     """Differences of the cells add up to at most the tokens that differ."""
     if 100 * min(n, k) < PERCENT * max(n, k):
@@ -193,7 +203,7 @@ def may_link(x: bytes, y: bytes, n: int, k: int) -> bool:
 def _sign(docs: DataFrame) -> DataFrame:
     """One row by document: rid, doc_id, k1, k2, n, class (c1, c2; null if the
     set is empty), and of the first of each class in a task its keys, tags,
-    spare numbers and histogram."""
+    spare numbers, parities and histogram."""
     seen: set[bytes] = set()  # of a task
     bands = Bands()
 
@@ -211,6 +221,7 @@ def _sign(docs: DataFrame) -> DataFrame:
         some = np.array([len(s) > 0 for s in sets], bool)
         both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
         at = pa.array(offset)
+        odd = np.array([parity(s) if f else np.zeros(len(PARITY), np.int64) for s, f in zip(sets, fresh)])
         lists = lambda v, kind: pa.ListArray.from_arrays(at, pa.array(v, kind))
         return {
             **cols,
@@ -221,13 +232,14 @@ def _sign(docs: DataFrame) -> DataFrame:
             "tags": lists(tag, pa.int32()),
             "spare0": spare[:, 0],
             "spare1": spare[:, 1],
+            **{c: pa.array(np.ascontiguousarray(odd[:, i]), mask=~fresh) for i, c in enumerate(PARITY)},
             "cells": [histogram(s) if f else None for s, f in zip(sets, fresh)],
         }
 
     keyed = with_bytes(with_row_key(docs.select("doc_id", "text")), "doc_id", "k1", "k2")
     schema = (
         "doc_id long, k1 long, k2 long, n long, c1 long, c2 long, keys array<long>, tags array<int>, "
-        "spare0 long, spare1 long, cells binary"
+        "spare0 long, spare1 long, cells binary, " + ", ".join(f"{c} long" for c in PARITY)
     )
     return map_slices(keyed, run, schema).withColumn("rid", F.monotonically_increasing_id())
 
@@ -370,21 +382,27 @@ def _find(signed: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_after_shuffle, _FOUND).select("kind", "x", "y", "tag")
 
 
+def _near_parity(mark: str = "2"):
+    """Column: the turned bits allow a link (n and n2 tokens)."""
+    both = F.col("n") + F.col(f"n{mark}")
+    turned = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}{mark}"))) for c in PARITY)
+    return turned <= both - 2 * F.ceil(PERCENT * both / (100 + PERCENT))
+
+
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose histograms allow a link."""
+    """The pairs (a, b) whose parities and histograms allow a link."""
     reach_package(pairs.sparkSession)
 
     def run(batches):
         for batch in batches:
-            x = [batch.column(c).to_pylist() for c in ("ca", "cb", "na", "nb")]
+            x = [batch.column(c).to_pylist() for c in ("cells", "cells2", "n", "n2")]
             keep = np.array([may_link(*row) for row in zip(*x)], bool)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda s: classes.select(
-        F.col("rid").alias(s), F.col("n").alias(f"n{s}"), F.col("cells").alias(f"c{s}")
-    )
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.select("a", "b", "ca", "cb", "na", "nb").mapInArrow(run, "a long, b long")
+    left = classes.select(F.col("rid").alias("a"), "n", "cells", *PARITY)
+    right = classes.select(F.col("rid").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("n", "cells", *PARITY)])
+    both = pairs.distinct().join(left, "a").join(right, "b").filter(_near_parity())
+    return both.select("a", "b", "cells", "cells2", "n", "n2").mapInArrow(run, "a long, b long")
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -427,10 +445,12 @@ def _open(large: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _neighbour_pairs(still: DataFrame, texts: DataFrame) -> DataFrame:
+def _neighbour_pairs(still: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of different components among the open classes, by segment
     subsets and one-deletion neighbourhoods; each class spends its scheme's
-    units where they are cheapest."""
+    units where they are cheapest.  Of two classes the one that spent less
+    looks for the other, and pairs that share a key but have too many odd
+    cells apart are dropped where they meet."""
     reach_package(still.sparkSession)
     schema = "rid long, comp long, n long, scheme long, need long, seg long, deleted boolean, key long"
 
@@ -468,13 +488,13 @@ def _neighbour_pairs(still: DataFrame, texts: DataFrame) -> DataFrame:
         F.max("comp").alias("hi"),
     )
     # a bucket of one component asks for no pairs
-    mixed = F.col("lo") < F.col("hi")
-    count = count.select("key", *[F.when(mixed, F.col(c)).otherwise(0).alias(c) for c in ("equal", "less")])
+    count = count.filter("lo < hi").select("key", "equal", "less")
     segment = ["rid", "scheme", "seg"]
-    cost = rows.join(count, "key").groupBy(*segment).agg(
+    full = ~F.col("deleted")
+    cost = rows.join(count, "key", "left").groupBy(*segment).agg(
         F.first("need").alias("need"),
-        F.sum(F.when(~F.col("deleted"), F.col("equal")).otherwise(0)).alias("one"),
-        F.sum(F.when(F.col("deleted"), F.col("equal")).otherwise(F.col("less"))).alias("more"),
+        F.coalesce(F.sum(F.when(full, F.col("equal"))), F.lit(0)).alias("one"),
+        F.coalesce(F.sum(F.when(full, F.col("less")).otherwise(F.col("equal"))), F.lit(0)).alias("more"),
     )
     units = cost.select(
         *segment, "need",
@@ -486,20 +506,22 @@ def _neighbour_pairs(still: DataFrame, texts: DataFrame) -> DataFrame:
         ).alias("u"),
     ).select(*segment, "need", "u.unit", "u.cost")
     cheapest = Window.partitionBy("rid", "scheme").orderBy("cost", "unit", "seg")
-    chosen = (
-        units.withColumn("nth", F.row_number().over(cheapest))
-        .filter("nth <= need")
-        .groupBy(*segment)
-        .agg(F.max("unit").alias("units"))
-    )
-    probes = rows.join(chosen, segment).filter("NOT deleted OR units = 2")
-    probes = probes.select("key", "rid", "comp", "n", "deleted", "units")
-    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("rid", "comp", "n", "deleted")])
+    chosen = units.withColumn("nth", F.row_number().over(cheapest)).filter("nth <= need")
+    chosen = materialize(chosen.groupBy(*segment).agg(F.max("unit").alias("units"), F.sum("cost").alias("cost")), "join-units")
+    spent = chosen.groupBy("rid", "scheme").agg(F.sum("cost").alias("spent"))
+    sides = spent.join(classes.select("rid", *PARITY), "rid")
+    asked = rows.join(count.select("key"), "key", "left_semi")
+    met = asked.join(sides, ["rid", "scheme"]).select("key", "rid", "comp", "n", "deleted", "spent", *PARITY)
+    probes = asked.join(chosen.drop("cost"), segment).filter("NOT deleted OR units = 2").join(sides, ["rid", "scheme"])
+    probes = probes.select("key", "rid", "comp", "n", "deleted", "units", "spent", *PARITY)
+    other = met.select("key", *[F.col(c).alias(f"{c}2") for c in met.columns if c != "key"])
     fits = (
         (F.col("comp") != F.col("comp2"))
+        & (F.struct("spent", "rid") < F.struct(F.col("spent2").alias("spent"), F.col("rid2").alias("rid")))
         & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
         & ~(F.col("deleted") & F.col("deleted2"))
         & ((F.col("units") == 2) | ~F.col("deleted2"))
+        & _near_parity()
     )
     return probes.join(other, (probes["key"] == other["key"]) & fits).select(
         F.least("rid", "rid2").alias("a"), F.greatest("rid", "rid2").alias("b")
@@ -515,7 +537,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         F.min("doc_id").alias("low"), F.min(F.when(keyed, F.col("rid"))).alias("rid")
     )
     chosen = materialize(chosen, "join-chosen")
-    columns = ["rid", "n", "k1", "k2", "spare0", "spare1", "cells"]
+    columns = ["rid", "n", "k1", "k2", "spare0", "spare1", "cells", *PARITY]
     classes = materialize(signed.select(*columns).join(chosen.select("rid"), "rid", "left_semi"), "join-classes")
     found = materialize(_find(signed, classes), "join-found")
     release(docs.sparkSession, signed)
@@ -529,7 +551,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     labels = components(links)
     still = materialize(_open(large, labels, classes), "join-open")
     if not still.isEmpty():
-        more = _neighbour_pairs(still, _texts(docs, still.select("rid"), classes))
+        more = _neighbour_pairs(still, _texts(docs, still.select("rid"), classes), classes)
         more = materialize(_likely(more, classes), "join-likely")
         wanted = more.select(F.col("a").alias("rid")).unionByName(more.select(F.col("b").alias("rid")))
         links = links.unionByName(_verify(more, materialize(_texts(docs, wanted, classes), "join-texts")))

@@ -133,4 +133,6 @@ def test_histogram_never_drops_a_link():
             y = np.concatenate((x[cut:], rng.integers(0, 1 << 63, cut // 2).astype(np.uint64)))
             both = len(np.intersect1d(x, y))
             if 100 * both >= 85 * (len(x) + len(y) - both):
+                turned = np.bitwise_count(set_join.parity(x).view(np.uint64) ^ set_join.parity(y).view(np.uint64)).sum()
+                assert turned <= len(x) + len(y) - 2 * both
                 assert set_join.may_link(set_join.histogram(x), set_join.histogram(y), len(x), len(y))
