@@ -425,24 +425,27 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def _open(large: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """rid, lower, comp: the classes that are left with too few segments
-    without the large buckets that hold several components."""
-    named = large.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
-        "comp", F.coalesce("comp", "rid")
-    )
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    left_out = (
-        named.join(mixed.select("key"), "key", "left_semi")
-        .groupBy("rid", "comp", (F.col("tag") % 2 == 1).alias("lower"))
-        .agg(F.count_if(F.col("tag") >= 2).alias("enough"), F.count_if(F.col("tag") < 2).alias("earlier"))
+def _left_short(large: DataFrame, classes: DataFrame, *by: str) -> DataFrame:
+    """The classes (``by``, lower) that have too few segments besides these."""
+    left_out = large.groupBy(*by, (F.col("tag") % 2 == 1).alias("lower")).agg(
+        F.count_if(F.col("tag") >= 2).alias("enough"), F.count_if(F.col("tag") < 2).alias("earlier")
     )
     spare = F.when(F.col("lower"), F.col("spare1")).otherwise(F.col("spare0"))
     return (
         left_out.join(classes.select("rid", "spare0", "spare1"), "rid")
         .filter((F.col("enough") > spare) | (F.col("earlier") > 0))
-        .select("rid", "lower", "comp")
+        .select(*by, "lower")
+    )
+
+
+def _open(large: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """rid, comp, lower: the classes that are left with too few segments
+    without the large buckets that hold several components."""
+    named = large.join(labels.withColumnRenamed("node", "rid"), "rid", "left").withColumn(
+        "comp", F.coalesce("comp", "rid")
     )
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return _left_short(named.join(mixed.select("key"), "key", "left_semi"), classes, "rid", "comp")
 
 
 def _neighbour_pairs(still: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
@@ -545,18 +548,21 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     pairs = found.filter(F.col("kind") == _PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))
     likely = materialize(_likely(pairs, classes), "join-likely")
     large = found.filter(F.col("kind") == _LARGE).select(F.col("x").alias("key"), F.col("y").alias("rid"), "tag")
-    wanted = likely.select(F.col("a").alias("rid")).unionByName(likely.select(F.col("b").alias("rid")))
+    # texts of all that may yet be compared, in one pass over the documents
+    wanted = _left_short(large, classes, "rid").select("rid")
+    for side in ("a", "b"):
+        wanted = wanted.unionByName(likely.select(F.col(side).alias("rid")))
     texts = materialize(_texts(docs, wanted, classes), "join-texts")
+    release(docs.sparkSession)
     links = materialize(_verify(likely, texts), "join-links")
+    release(docs.sparkSession, likely)
     labels = components(links)
     still = materialize(_open(large, labels, classes), "join-open")
     if not still.isEmpty():
-        more = _neighbour_pairs(still, _texts(docs, still.select("rid"), classes), classes)
-        more = materialize(_likely(more, classes), "join-likely")
-        wanted = more.select(F.col("a").alias("rid")).unionByName(more.select(F.col("b").alias("rid")))
-        links = links.unionByName(_verify(more, materialize(_texts(docs, wanted, classes), "join-texts")))
-        links = materialize(links.distinct(), "join-links")
+        more = materialize(_likely(_neighbour_pairs(still, texts, classes), classes), "join-likely")
+        links = materialize(links.unionByName(_verify(more, texts)).distinct(), "join-links")
         labels = components(links)
+    release(docs.sparkSession, found, texts)
 
     named = chosen.join(labels.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.withColumn("comp", F.coalesce("comp", "rid"))
