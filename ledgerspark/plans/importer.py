@@ -43,7 +43,6 @@ from .store import (
     ROW_VALID,
     STORED_ROWS_SCHEMA,
     LedgerStore,
-    batch_folder,
     error_view,
 )
 from .summary_state import ACCOUNTS, import_stats, read_states, write_states
@@ -219,18 +218,18 @@ def import_batch(
                 skipped = duplicate_mode == "skip"
                 indexed = found.join(fresh, duplicates.HASH, "left_semi") if skipped else found
             rows = _with_status(rows, duplicate_mode == "skip", keep_payload)
-            n_written = store.write_rows(rows, by_key=not constant)
+            n_written = store.write_rows(rows, batch_id, by_key=not constant)
             written = store.batch_rows(batch_id)
             if written is None:  # a source without rows
                 written = store.spark.createDataFrame([], STORED_ROWS_SCHEMA)
-            write_states(store, written)
-            states = read_states(store, ACCOUNTS, batch_folder(batch_id)).filter(F.col("import_batch_id") == batch_id)
+            write_states(store, written, batch_id)
+            states = read_states(store, ACCOUNTS, batch_id)
             stats = import_stats(states).first()
             if stats["total_rows"] != n_written:
                 raise ImportError_(f"{n_written} rows were written, {stats['total_rows']} found")
             if keys is None:  # columns: the keys that the rows have
                 keys = states.select(*KEY_COLUMNS).distinct()
-            clients = states.filter("client_name IS NOT NULL").select("client_name").distinct()
+            clients = states.filter("trim(client_name) != ''").select("client_name").distinct()
             if not allow_many_clients and clients.limit(2).count() > 1:
                 raise ImportError_("one client per batch")
             dup_rows = stats["duplicate_rows"]

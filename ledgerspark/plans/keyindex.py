@@ -23,6 +23,8 @@ first import that does asks for their client.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,8 +56,18 @@ BATCH_SCHEMA = T.StructType(
         T.StructField("undated", T.BooleanType()),
     ]
 )
-FILTER_SCHEMA = "blocks long, block long, bits binary, client_key string, fiscal_year int, batch_key string"
-KEY_SCHEMA = "h1 long, h2 long, client_key string, fiscal_year int, batch_key string, bucket long"
+_FOLDER = [
+    T.StructField("client_key", T.StringType()),
+    T.StructField("fiscal_year", T.IntegerType()),
+    T.StructField("batch_key", T.StringType()),
+]
+FILTER_SCHEMA = T.StructType(
+    [T.StructField("blocks", T.LongType()), T.StructField("block", T.LongType()), T.StructField("bits", T.BinaryType())]
+    + _FOLDER
+)
+KEY_SCHEMA = T.StructType(
+    [T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), *_FOLDER, T.StructField("bucket", T.LongType())]
+)
 WHERE = ["client_key", "fiscal_year", "batch_key"]
 
 
@@ -86,10 +98,6 @@ class KeyIndex:
     def __init__(self, store: LedgerStore):
         self.store, self.spark = store, store.spark
 
-    def _read(self, table: str, schema) -> DataFrame:
-        df = self.store.read(table, schema)
-        return self.spark.createDataFrame([], schema) if df is None else df
-
     # -- writing -------------------------------------------------------------
     def add(self, keys: DataFrame) -> None:
         """Indexes the keys of rows: KEY_COLUMNS, batch_key, posting_date, h1,
@@ -113,17 +121,19 @@ class KeyIndex:
             F.explode(F.array(*[_bit(i) for i in range(PROBES)])).alias("bit"),
         )
         filters = bits.groupBy(*WHERE, "blocks", "block").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        by = {"mode": "append", "partitionBy": WHERE}
-        filters.select("blocks", "block", "bits", *WHERE).write.parquet(self.store.path(FILTERS), **by)
+        load = f"load={uuid.uuid4().hex}"  # writers share no folder
+        filters.select("blocks", "block", "bits", *WHERE).write.partitionBy(*WHERE).parquet(
+            self.store.path(f"{FILTERS}/{load}")
+        )
         index = at.select(*HASH, *WHERE, F.pmod("h1", "buckets").alias("bucket"))
-        index.write.parquet(self.store.path(KEYS), mode="append", partitionBy=[*WHERE, "bucket"])
-        per.select(*BATCH_SCHEMA.names).write.parquet(self.store.path(BATCHES), mode="append")
+        index.write.partitionBy(*WHERE, "bucket").parquet(self.store.path(f"{KEYS}/{load}"))
+        per.select(*BATCH_SCHEMA.names).write.parquet(self.store.path(f"{BATCHES}/{load}"))
 
     def catch_up(self, clients: DataFrame) -> int:
         """Indexes the active batches of these clients (client_key) that are
         not in the index yet, from their stored rows; returns how many."""
         active = self.store.active_keys().join(clients, "client_key", "left_semi")
-        done = self._read(BATCHES, BATCH_SCHEMA)
+        done = self.store.read_parts(BATCHES, BATCH_SCHEMA)
         same = [active[c].eqNullSafe(done[c]) for c in KEY_COLUMNS]
         missing = active.join(done, same, "left_anti")
         n = missing.count()
@@ -147,7 +157,7 @@ class KeyIndex:
         ).first()
         clients = firsts.select("client_key").distinct()
         self.catch_up(clients)
-        batches = self._read(BATCHES, BATCH_SCHEMA)
+        batches = self.store.read_parts(BATCHES, BATCH_SCHEMA)
         near = F.lit(bool(span["undated"])) & F.col("undated")
         if span["lo"] is not None:
             near = near | (F.col("date_min") <= F.lit(span["hi"])) & (F.col("date_max") >= F.lit(span["lo"]))
@@ -155,7 +165,7 @@ class KeyIndex:
         live = materialize(live.select(*WHERE, "blocks", "buckets").distinct(), "key-live")
         if live.isEmpty():
             return none
-        filters = self._read(FILTERS, FILTER_SCHEMA).join(live.select(*WHERE), WHERE, "left_semi")
+        filters = self.store.read_parts(FILTERS, FILTER_SCHEMA).join(live.select(*WHERE), WHERE, "left_semi")
         merged = filters.groupBy("client_key", "blocks", "block").agg(F.bitmap_or_agg("bits").alias("bits"))
         sizes = live.select("client_key", "blocks").distinct()
         block = F.pmod("h1", "blocks").alias("block")
@@ -170,7 +180,7 @@ class KeyIndex:
         if tried.isEmpty():
             return none
         folders = tried.select(*WHERE, "bucket").distinct()
-        index = self._read(KEYS, KEY_SCHEMA).join(folders, [*WHERE, "bucket"], "left_semi")
+        index = self.store.read_parts(KEYS, KEY_SCHEMA).join(folders, [*WHERE, "bucket"], "left_semi")
         return index.join(tried.select(*HASH).distinct(), HASH, "left_semi").select(*HASH).distinct()
 
 

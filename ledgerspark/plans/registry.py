@@ -1027,3 +1027,11 @@ from . import mapping_queries as _mapping  # noqa: E402
 
 QUERIES.update(_mapping.QUERIES)
 ORACLE.update(_mapping.ORACLE)
+
+
+# --- commits, batch ids, key index, summary states ---------------------------
+
+from . import store_queries as _store_queries  # noqa: E402
+
+QUERIES.update(_store_queries.QUERIES)
+ORACLE.update(_store_queries.ORACLE)

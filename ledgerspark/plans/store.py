@@ -3,7 +3,7 @@
 Layout under one root (a shared folder):
 
   rows/            every imported row, partitioned by
-                   client_key / fiscal_year / batch_key / row_status
+                   batch_key / client_key / fiscal_year / row_status
                    (valid, rejected, skipped): the ledger is the ``valid``
                    partitions, the error table the ``rejected`` ones
   batch_status/    versioned log: one row per (batch key, status change)
@@ -17,7 +17,8 @@ readers only see ``active`` keys, so publish, replace and rollback are each one
 commit to the log (``statuslog``) and data folders are never rewritten. A failed
 or half-written import never becomes active.
 
-A batch id is any text: its folder is named by a hash of it, rows carry the id
+No two jobs write into one folder: a batch's rows have a folder of their own, and
+so has each append to a table. A batch id is any text: its folder is named by a hash of it, rows carry the id
 itself, and every reader compares that.
 """
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import time
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
@@ -51,7 +53,7 @@ ROW_VALID = "valid"
 ROW_REJECTED = "rejected"
 ROW_SKIPPED = "skipped"
 
-PARTITIONS = ["client_key", "fiscal_year", "batch_key", "row_status"]
+PARTITIONS = ["client_key", "fiscal_year", "row_status"]  # within a batch
 SCOPE_KEYS = 1000  # clients that a commit names; one of more concerns all
 
 STORED_ROWS_SCHEMA = T.StructType(
@@ -152,7 +154,7 @@ class LedgerStore:
             key = self.spark.range(1).select(client_key(F.lit(client_name))).first()[0]
         folder = "*" if batch is None else batch_folder(batch)
         year = "*" if fiscal_year is None else int(fiscal_year)
-        glob = f"rows/client_key={key}/fiscal_year={year}/batch_key={folder}"
+        glob = f"rows/batch_key={folder}/client_key={key}/fiscal_year={year}"
         if key == year == folder == "*":
             glob = "rows"
         fs, p = self._fs(glob)
@@ -167,30 +169,36 @@ class LedgerStore:
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame | None:
         if not self.exists(table):
             return None
-        r = self.spark.read
+        r = self.spark.read.option("recursiveFileLookup", True)
         if schema is not None:
             r = r.schema(schema)
         return r.parquet(self.path(table))
 
+    def read_parts(self, table: str, schema: T.StructType) -> DataFrame:
+        """A table whose appends are partitioned in folders of their own."""
+        if not self.exists(table):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
+
     # -- writes ------------------------------------------------------------
-    def write_rows(self, rows: DataFrame, by_key: bool = False) -> int:
-        """Append one import's rows (all statuses) in a single write; returns
-        how many. Where client and year are constants a task writes one file
-        per status; where they are columns the rows are dealt out by them
-        first, hot ones over several tasks, so files stay few."""
-        cols = [f.name for f in STORED_ROWS_SCHEMA.fields]
+    def write_rows(self, rows: DataFrame, batch_id: str, by_key: bool = False) -> int:
+        """Write one import's rows (all statuses); returns how many. Where
+        client and year are constants a task writes one file per status; where
+        they are columns the rows are dealt out by them first, hot ones over
+        several tasks, so files stay few."""
+        cols = [f.name for f in STORED_ROWS_SCHEMA.fields if f.name != "batch_key"]
         out = rows.withColumn("client_key", client_key("client_name"))
-        out = out.withColumn("batch_key", batch_key(F.col("import_batch_id")))
         if by_key:
             out = out.hint("rebalance", "client_key", "fiscal_year")
         seen = Observation()
         out = out.select(*cols).observe(seen, F.count(F.lit(1)).alias("rows"))
-        out.write.mode("append").partitionBy(*PARTITIONS).parquet(self.path("rows"))
+        folder = self.path(f"rows/batch_key={batch_folder(batch_id)}")
+        out.write.mode("append").partitionBy(*PARTITIONS).parquet(folder)
         return seen.get["rows"]
 
     def append(self, table: str, df: DataFrame) -> None:
-        """Small logs: one file an append."""
-        df.coalesce(1).write.mode("append").parquet(self.path(table))
+        """Small logs: one file an append, in a folder of its own."""
+        df.coalesce(1).write.parquet(self.path(f"{table}/{uuid.uuid4().hex}"))
 
     def _changes(self, *changes: tuple[DataFrame, str]) -> DataFrame:
         """(keys, status) pairs as log rows. keys: KEY_COLUMNS."""

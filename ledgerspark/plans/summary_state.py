@@ -3,7 +3,7 @@
   summary_accounts/   by account, caption and month: entries, total, signs, dates
   summary_vouchers/   by voucher: entries, total, first and last date
 
-Both are partitioned as the rows are (client_key / fiscal_year / batch_key).  A
+Both are partitioned as the rows are (batch_key / client_key / fiscal_year).  A
 summary of the ledger adds up the states of the batches that are active: it
 reads no row, follows a replace or rollback at once, and a new batch only adds
 its own states.  Counts, sums, minima and maxima merge exactly; a voucher has
@@ -21,10 +21,10 @@ from pyspark.sql import types as T
 from ..operators.ordering import asc_last, desc_last, top
 from ..schema import ACCOUNT_SUMMARY_LIMIT, IMBALANCE_LIMIT, IMBALANCE_TOLERANCE, TOTAL_TYPE
 from .statuslog import KEY_COLUMNS
-from .store import ROW_VALID, LedgerStore
+from .store import ROW_VALID, LedgerStore, batch_folder
 
 ACCOUNTS, VOUCHERS = "summary_accounts", "summary_vouchers"
-PARTITIONS = ["client_key", "fiscal_year", "batch_key"]
+PARTITIONS = ["client_key", "fiscal_year"]  # within a batch
 
 _TOTAL = T.DecimalType(38, 2)
 _KEY = [
@@ -81,19 +81,19 @@ def voucher_states(rows: DataFrame) -> DataFrame:
     )
 
 
-def write_states(store: LedgerStore, rows: DataFrame) -> None:
+def write_states(store: LedgerStore, rows: DataFrame, batch_id: str) -> None:
     """States of one written batch; two aggregations over its rows."""
     for table, states in ((ACCOUNTS, account_states(rows)), (VOUCHERS, voucher_states(rows))):
-        states.write.mode("append").partitionBy(*PARTITIONS).parquet(store.path(table))
+        folder = store.path(f"{table}/batch_key={batch_folder(batch_id)}")
+        states.drop("batch_key").write.mode("append").partitionBy(*PARTITIONS).parquet(folder)
 
 
-def read_states(store: LedgerStore, table: str, batch_key: str | None = None) -> DataFrame:
-    """States of every batch, or of the folder of one."""
-    schema = ACCOUNT_SCHEMA if table == ACCOUNTS else VOUCHER_SCHEMA
-    states = store.read(table, schema)
-    if states is None:
-        return store.spark.createDataFrame([], schema)
-    return states if batch_key is None else states.filter(F.col("batch_key") == batch_key)
+def read_states(store: LedgerStore, table: str, batch_id: str | None = None) -> DataFrame:
+    """States of every batch, or of one."""
+    states = store.read_parts(table, ACCOUNT_SCHEMA if table == ACCOUNTS else VOUCHER_SCHEMA)
+    if batch_id is None:
+        return states
+    return states.filter((F.col("batch_key") == batch_folder(batch_id)) & (F.col("import_batch_id") == batch_id))
 
 
 class LedgerSummaries:
