@@ -1,9 +1,11 @@
 """Grid sort, paging, page counts, and sheet-split export.
 
 A shallow page is a top-k (``TakeOrderedAndProject``: each task keeps only
-offset+size rows). Deep pages read the files that hold them from a copy sorted
-once (``Pages``), and an export numbers the rows of such a copy, so nothing
-the size of the result goes through one task or the driver.
+offset+size rows). A single deep page is found by counting (``selection``) and
+nothing is written; for many pages of one frame a copy is sorted once
+(``Pages``) and each page reads the files that hold it. An export numbers the
+rows of such a copy. Nothing the size of the result goes through one task or
+the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from ..session import delete_path
 from .filters import folded, search_condition
 from .ordering import total_order
 from .rowindex import number_written, write_sorted, written_order
+from .selection import SortKey, page_by_rank
 
 # A top-k sends up to offset + size rows of each input partition to one task;
 # a page is cut that way only while all of them stay under this. Later pages
@@ -45,6 +48,17 @@ def grid_order(df: DataFrame, column: str, descending: bool = False, tiebreak: b
     return total_order(df, [lead], [column], tiebreak)
 
 
+def grid_page(df: DataFrame, column: str, descending: bool, size: int, index: int) -> DataFrame:
+    """Page ``index`` (0-based; past the end: the last page) of the grid
+    sorted by a column, at any depth, without a sorted copy."""
+    keys = [SortKey(grid_key(df, column), descending, nulls_first=descending)]
+    keys += [SortKey(F.col(f"`{c}`")) for c in df.columns if c != column]
+    if isinstance(df.schema[column].dataType, T.StringType):
+        keys.append(SortKey(F.col(f"`{column}`")))  # values that differ in case only
+    size, total = max(1, int(size)), df.count()
+    return page_by_rank(df, keys, size, clamp_page(int(index), math.ceil(total / size)) * size, total)
+
+
 def sort_grid(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
     return df.orderBy(*grid_order(df, column, descending))
 

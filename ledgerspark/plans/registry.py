@@ -353,6 +353,13 @@ def q_grid_page(spark, sf_dir):
 
 @register("grid_page_deep", _L + f"SELECT * FROM ledger {_GRID} LIMIT 20 OFFSET 42000")
 def q_grid_page_deep(spark, sf_dir):
+    df = ledger18(spark, sf_dir)
+    return PG.grid_page(df, "ac_caption", True, 20, 2100)
+
+
+@register("grid_page_copy", _L + f"SELECT * FROM ledger {_GRID} LIMIT 20 OFFSET 42000")
+def q_grid_page_copy(spark, sf_dir):
+    """The same page from a copy that is sorted once for many pages."""
     df = ledger18(spark, sf_dir)
     return PG.Pages(df, PG.grid_order(df, "ac_caption", descending=True)).page(20, 2100)
 
