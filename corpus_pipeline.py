@@ -38,7 +38,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, with_ids=True)
+    # the executors' heap is full of earlier stages: small workers
+    return bpe.encode(docs, with_ids=True, cache_units=100_000, slice_bytes=2 << 20)
 
 
 STAGES = [

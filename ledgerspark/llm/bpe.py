@@ -6,8 +6,8 @@ gives all places of the lowest open rank, they are merged at once, and only
 the two neighbours of each merged place get new index entries.  Documents are
 then sequences of pieces whose ids are looked up.
 
-A task keeps the pieces it has solved (up to ``CACHE_UNITS``, then it starts
-anew), so a piece is replayed once per task and not once per occurrence; no
+A task keeps the pieces it has solved (up to ``cache_units``, then it starts
+anew; 100,000 hold about 60 MB with slices of 2 MB), so a piece is replayed once per task and not once per occurrence; no
 row is shuffled.
 
 Defined cases: a null or empty text gives no ids (and the digest of no bytes);
@@ -29,7 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .docs import map_slices, mix64, with_bytes
+from .docs import give_back, map_slices, mix64, with_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_UNITS = 400_000
@@ -214,10 +214,11 @@ class Encoder:
     stands around it.  A text with a blank beside other white space is cut by
     the pattern as a whole."""
 
-    def __init__(self, ranks: Ranks, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: Ranks, pattern: str = public_tokenizers.PATTERN, cache_units: int = CACHE_UNITS):
         import regex
 
         self.ranks = ranks
+        self.cache_units = cache_units
         self.find = regex.compile(pattern).findall
         self.uneven = regex.compile(r"\s |^ | \s| $").search
         self.reset()
@@ -248,7 +249,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, and the offsets by text."""
-        if len(self.unit_at) > CACHE_UNITS:
+        if len(self.unit_at) > self.cache_units:
             self.reset()
         known, size, counts = self.unit_at, len(self.unit_at), [0]
         seq: list[int] = []
@@ -297,9 +298,16 @@ def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.n
     return flat[np.arange(total) + shift], count
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    vocabulary: str | None = None,
+    with_ids: bool = False,
+    cache_units: int = CACHE_UNITS,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """doc_id, n_tokens, digests of the ids and of the bytes decoded from them,
-    and the ids themselves if asked for."""
+    and the ids themselves if asked for.  A smaller cache and smaller slices
+    take less memory and more time."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     # each task gets a copy of this: solved pieces are dropped when it ends,
     # and an idle Python worker holds no more than the rank file
@@ -307,7 +315,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
 
     def run(cols, texts):
         if not kept:
-            kept["encoder"] = Encoder(load_ranks(path))
+            give_back()
+            kept["encoder"] = Encoder(load_ranks(path), cache_units=cache_units)
         enc = kept["encoder"]
         ids, ends = enc.encode([t.decode() for t in texts])
         out = {"doc_id": cols["doc_id"], "n_tokens": np.diff(ends), "ids_sha256": [], "decoded_sha256": []}
@@ -321,5 +330,5 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = Fals
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_slices(
-        with_bytes(docs, "doc_id"), run, schema + (", ids array<int>" if with_ids else ""), limit=SLICE_BYTES
+        with_bytes(docs, "doc_id"), run, schema + (", ids array<int>" if with_ids else ""), limit=slice_bytes
     )

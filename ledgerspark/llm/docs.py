@@ -9,6 +9,7 @@ over code points.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -84,6 +85,16 @@ def cuts(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         yield begin, len(sizes)
 
 
+def give_back() -> None:
+    """Returns memory that earlier tasks of this worker have freed, and that it
+    would hold, to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_slices(
     df: DataFrame,
     fn: Callable[[dict[str, pa.Array], list[bytes]], dict],
