@@ -181,10 +181,12 @@ def repeated_intervals(keyed: DataFrame) -> DataFrame:
     runs = materialize(_find_runs(keyed), "repeats-runs")
     # level 1: runs that share their smallest name
     shared = runs.groupBy("m").agg(F.count("*").alias("n"), F.max("again").alias("again"))
-    shared = shared.filter((F.col("n") > 1) | F.col("again")).select("m")
-    open_runs = materialize(runs.join(shared, "m", "left_semi"), "repeats-open")
+    # written, so that the shuffle that counts is gone before the one that joins
+    shared = materialize(shared.filter((F.col("n") > 1) | F.col("again")).select("m"), "repeats-shared")
     spark = keyed.sparkSession
-    release(spark, runs)
+    release(spark)
+    open_runs = materialize(runs.join(shared, "m", "left_semi"), "repeats-open")
+    release(spark, runs, shared)
     # level 2: equal runs, of which the first stands for all
     one = [F.first(c).alias(c) for c in ("k1", "k2", "start", "len", "again")]
     classes = open_runs.groupBy("m", "f").agg(F.count("*").alias("n"), *one)
@@ -203,22 +205,25 @@ def repeated_intervals(keyed: DataFrame) -> DataFrame:
     places = materialize(_expand(keyed.join(listed, ["k1", "k2"])), "repeats-places")
     release(spark)
     twice = places.groupBy("m", "name").agg(F.count("*").alias("n")).filter("n > 1").select("m", "name")
+    twice = materialize(twice, "repeats-twice")
+    release(spark)
     single = places.filter("NOT settled").join(twice, ["m", "name"], "left_semi")
     both = whole.unionByName(single.select("k1", "k2", F.col("at").alias("a"), (F.col("at") + LENGTH).alias("b")))
     ranges = both.groupBy("k1", "k2").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     ranges = materialize(ranges, "repeats-ranges")
-    release(spark, open_runs, classes, places)
+    release(spark, open_runs, classes, places, twice)
     return ranges
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)
-    and spans (begin and end of each removed run)."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeated (whether
+    anything was removed), kept (the bytes left) and spans (begin and end of
+    each removed run)."""
     keyed = with_bytes(with_row_key(docs.select("doc_id", "text")), "doc_id", "k1", "k2")
     ranges = repeated_intervals(keyed.drop("doc_id"))
 
     def run(cols, texts):
-        out = {n: [] for n in ("n_removed", "n_spans", "kept_sha256", "kept", "spans")}
+        out = {n: [] for n in ("n_removed", "n_spans", "kept_sha256", "repeated", "kept", "spans")}
         for text, a, b in zip(texts, cols["a"].to_pylist(), cols["b"].to_pylist()):
             spans = []
             if a:
@@ -232,6 +237,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             out["n_removed"].append(sum(y - x for x, y in spans))
             out["n_spans"].append(len(spans))
             out["kept_sha256"].append(hashlib.sha256(text).hexdigest())
+            out["repeated"].append(len(spans) > 0)
             out["kept"].append(text)
             out["spans"].append(spans)
         return {"doc_id": cols["doc_id"], "n_bytes": [len(t) for t in texts], **out}
@@ -239,5 +245,5 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return map_slices(
         keyed.join(ranges, ["k1", "k2"], "left").select("doc_id", "text", "a", "b"),
         run,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>",
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeated boolean, kept binary, spans array<array<long>>",
     )
