@@ -7,14 +7,17 @@ sample of rows), under each its pages: entries with their distance to the
 routing object, cut into rings by it, and for each page its smallest and
 largest such distance (covering radii) in the root.
 
-A query visits pages in order of their lower distance bound, a few first and
-then ever more, until no page's bound beats its k-th score.  Inside a page,
+A query visits pages in order of their lower distance bound, two first, which
+set its floor (the k-th score so far), and then ever more, until no page's
+bound beats the floor.  Inside a page,
 entries whose stored distance to the routing object already rules them out
 are skipped.  Scores are exact integer inner products; bounds are slack by a
 rounding margin, so ties are always visited and go to the smaller id.
 
-Pages hold about ``PAGE`` entries, more only where there would be over
-``MAX_PAGES`` of them, so the root that every task holds has a fixed bound.
+Pages hold about as many entries as there are pages, so small tables have a
+tree too, but from ``LEAST_PAGE`` to ``PAGE``, and more only where there would
+be over ``MAX_PAGES`` of them, so the root that every task holds has a fixed
+bound.
 
 Defined cases: rows without an id, null vectors and vectors with a null or
 non-finite component take no part; vectors are compared with those of their
@@ -37,6 +40,7 @@ from ..session import reach_package
 from .docs import materialize
 
 PAGE = 4096
+LEAST_PAGE = 32
 MAX_PAGES = 200_000
 MAX_ROUTES = 512
 QUERY_BLOCK = 512
@@ -105,7 +109,7 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _search(vectors: DataFrame, n: int, top: float, is_query: Column, k: int) -> DataFrame:
     spark = vectors.sparkSession
     reach_package(spark)
-    page = max(PAGE, math.ceil(n / MAX_PAGES))
+    page = max(min(PAGE, max(LEAST_PAGE, math.isqrt(n))), math.ceil(n / MAX_PAGES))
     n_routes = min(MAX_ROUTES, max(1, math.ceil(n / page)))
     picked = (
         vectors.select("vec_id", "vec").orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_routes).collect()
@@ -127,8 +131,10 @@ def _search(vectors: DataFrame, n: int, top: float, is_query: Column, k: int) ->
     )
     best, first, width = None, 0, FIRST_PAGES
     while first < len(nodes):
-        last = width * WIDEN * WIDEN >= len(nodes)
+        last = len(nodes) <= FIRST_PAGES or (first > 0 and width * WIDEN * WIDEN >= len(nodes))
         visits = _visits(queries, best, k, nodes, routes, top, dim, slack, first, len(nodes) if last else first + width)
+        # written, so that a page meets a whole block of queries at once
+        visits = materialize(visits, f"topk-visits-{first}")
         with _small_batches(spark, 4):
             seen = materialize(_scores(visits, pages, routes, dim, top, k, slack), f"topk-seen-{first}")
         both = seen if best is None else best.unionByName(seen)

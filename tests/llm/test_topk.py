@@ -74,3 +74,37 @@ def test_bounds_skip_pages(spark, monkeypatch):
     rows = clustered(1500, 3, 2, spread=0.01)
     check(spark, rows)
     assert sum(seen) < 0.8 * 30 * math.ceil(1500 / 16)
+
+
+def test_small_tables_have_a_tree(spark, monkeypatch):
+    """As shipped, on the vectors of sf0.1: floors from the first wave keep
+    queries from most pages, which meet whole blocks of queries."""
+    seen = []
+    real = topk._visits
+
+    def spy(*a, **kw):
+        rows = real(*a, **kw).select("page", "q_ids").collect()
+        seen.append((len(a[4]), len(rows), sum(len(r["q_ids"]) // 8 for r in rows)))
+        return real(*a, **kw)
+
+    monkeypatch.setattr(topk, "_visits", spy)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    n_queries = df.filter("vec_id % 50 = 0").count()
+    topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    pages = seen[0][0]
+    assert pages > 20 and len(seen) >= 2 and seen[0][2] == 2 * n_queries
+    assert all(rows <= pages for _, rows, _ in seen)  # a row by page, not by four queries
+    print("pages", pages, "queries", n_queries, "visits", seen)
+
+
+def test_clustered_vectors_skip_pages_as_shipped(spark, monkeypatch):
+    visits = []
+    real = topk._visits
+
+    def spy(*a, **kw):
+        visits.append(sum(len(r["q_ids"]) // 8 for r in real(*a, **kw).select("q_ids").collect()))
+        return real(*a, **kw)
+
+    monkeypatch.setattr(topk, "_visits", spy)
+    check(spark, clustered(2000, 4, 3, spread=0.01))
+    assert sum(visits) < 0.5 * 40 * 44
