@@ -75,6 +75,12 @@ def with_row_index(df: DataFrame, order: list[Column | str], name: str = "row_in
     return number_written(df.sparkSession.read.parquet(path), name)
 
 
+def first_rows(df: DataFrame, order: list[Column | str], n: int, name: str = "row_index") -> DataFrame:
+    """The first ``n`` rows of the order with their positions, by a top-k:
+    nothing is sorted or written beyond them."""
+    return df.orderBy(*order).limit(n).withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
 def with_source_row(df: DataFrame, name: str = "source_row") -> DataFrame:
     """1-based row number in file order, per source file, for a file scan
     (CSV/JSON/text read with ``spark.read``), without a shuffle of rows.

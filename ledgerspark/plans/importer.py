@@ -35,6 +35,7 @@ from ..schema import (
     BatchInfo,
     Profile,
 )
+from . import filestats
 from .keyindex import KeyIndex, import_firsts, import_keys
 from .statuslog import KEY_COLUMNS
 from .store import (
@@ -168,6 +169,7 @@ def import_batch(
     error_sample_limit: int = 200,
     quality: bool = False,
     allow_many_clients: bool = False,
+    cluster_files: int | None = None,
 ) -> ImportResult:
     """Clean ``source`` (which should carry ``source_row``) with ``profile``
     and publish it as one batch of ``store``.
@@ -175,7 +177,9 @@ def import_batch(
     One write stores every row with its status (valid / rejected / skipped
     duplicate); statistics, batch keys and the error sample are read back
     from that batch's partitions. Until the status log says ``active`` the
-    batch is invisible, so a failure at any point publishes nothing.
+    batch is invisible, so a failure at any point publishes nothing. With
+    ``cluster_files`` the rows are written along a space-filling curve, in
+    about so many files, and statistics by file are kept (``filestats``).
     """
     _check_request(source_type, import_mode, duplicate_mode, profile)
     batch_id = batch.import_batch_id if isinstance(batch.import_batch_id, str) and batch.import_batch_id else auto_batch_id()
@@ -218,7 +222,9 @@ def import_batch(
                 skipped = duplicate_mode == "skip"
                 indexed = found.join(fresh, duplicates.HASH, "left_semi") if skipped else found
             rows = _with_status(rows, duplicate_mode == "skip", keep_payload)
-            n_written = store.write_rows(rows, batch_id, by_key=not constant)
+            if cluster_files:
+                rows = filestats.clustered(scratch.write(rows, "import-rows"), cluster_files)
+            n_written = store.write_rows(rows, batch_id, by_key=not constant and not cluster_files)
             written = store.batch_rows(batch_id)
             if written is None:  # a source without rows
                 written = store.spark.createDataFrame([], STORED_ROWS_SCHEMA)
@@ -240,6 +246,8 @@ def import_batch(
                 raise ImportError_("written rows lack required columns: " + ", ".join(missing))
             if indexed is not None:
                 KeyIndex(store).add(indexed)
+            if cluster_files:
+                filestats.write_stats(store, batch_id)
 
             rejected = error_view(written.filter(F.col("row_status") == ROW_REJECTED)).select(*ERROR_COLUMNS)
             sample = [r.asDict() for r in clean.error_sample(rejected, error_sample_limit).collect()]

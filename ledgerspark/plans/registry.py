@@ -519,7 +519,7 @@ _SRC_COLS = ["src_date", "src_voucher", "src_account", "src_account_name", "src_
     + " FROM raw_journal ORDER BY raw_journal.source_row LIMIT 10",
 )
 def q_source_preview(spark, sf_dir):
-    raw = fx.raw_journal(spark, sf_dir).select("source_row", *_SRC_COLS)
+    raw = fx.raw_journal(spark, sf_dir, head=10).select("source_row", *_SRC_COLS)
     return _preview(raw, 10)
 
 
@@ -537,7 +537,7 @@ FROM p""",
 def q_amount_preview(spark, sf_dir):
     from ..operators.clean import amount_preview
 
-    return amount_preview(fx.raw_journal(spark, sf_dir), fx.flag_profile(), 10, order=["source_row"])
+    return amount_preview(fx.raw_journal(spark, sf_dir, head=10), fx.flag_profile(), 10, order=["source_row"])
 
 
 _PREVIEW_HEAD = _RAW + ", s AS (SELECT * FROM raw_journal ORDER BY source_row LIMIT 10)\n"
@@ -556,7 +556,7 @@ def _num(c: str) -> str:
 def q_amount_preview_direct(spark, sf_dir):
     from ..operators.clean import amount_preview
 
-    return amount_preview(fx.raw_journal(spark, sf_dir), fx.direct_profile(), 10, order=["source_row"])
+    return amount_preview(fx.raw_journal(spark, sf_dir, head=10), fx.direct_profile(), 10, order=["source_row"])
 
 
 @register(
@@ -570,7 +570,7 @@ FROM s""",
 def q_amount_preview_columns(spark, sf_dir):
     from ..operators.clean import amount_preview
 
-    return amount_preview(fx.raw_journal(spark, sf_dir), fx.debit_credit_profile(), 10, order=["source_row"])
+    return amount_preview(fx.raw_journal(spark, sf_dir, head=10), fx.debit_credit_profile(), 10, order=["source_row"])
 
 
 @register(

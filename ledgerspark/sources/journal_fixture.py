@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rowindex import with_row_index
+from ..operators.rowindex import first_rows, with_row_index
 from ..schema import DirectAmount, FlaggedAmount, Profile, TwoColumnAmount
 
 ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -48,7 +48,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def raw_journal(spark: SparkSession, sf_dir: str, source_row: bool = True) -> DataFrame:
+def raw_journal(spark: SparkSession, sf_dir: str, source_row: bool = True, head: int | None = None) -> DataFrame:
+    """The whole journal, or its first ``head`` rows."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate",
@@ -84,7 +85,9 @@ def raw_journal(spark: SparkSession, sf_dir: str, source_row: bool = True) -> Da
         F.when(c("src_drcr").isin("S", "借"), c("src_amount")).alias("src_debit"),
         F.when(c("src_drcr") == "H", c("src_amount")).alias("src_credit"),
     )
-    if source_row:
+    if head is not None:
+        out = first_rows(out, ORDER, head, name="source_row")
+    elif source_row:
         out = with_row_index(out, ORDER, name="source_row")
     return out.drop(*ORDER)
 
