@@ -2,14 +2,18 @@
 
 Each document gets a vector of transformed statistics.  A minimum-covariance-
 determinant estimate of centre and scatter is made for each language and
-source, over all its documents that pass the base rules: a coordinate-wise
-median and quartile start, concentration steps on the three quarters with the
-smallest distances, then one reweighting step.  A document is rejected if its
-Mahalanobis distance to its group's estimate exceeds a chi-square quantile.
+source, over all its documents that pass the base rules.  Concentration steps
+on the three quarters with the smallest distances run from three robust starts
+at once (medians and quartiles with no correlation, with that of hyperbolic
+tangents, with that of spatial signs); the one that ends with the smallest
+determinant is kept, then comes one reweighting step.  A document is rejected
+if its Mahalanobis distance to its group's estimate exceeds a chi-square
+quantile.
 
 Every step is an aggregation over the statistics (a few numbers a document)
-joined with one row by group; the subset of a step is cut at a bin of the
-distances, so no group is sorted or gathered.  Groups under ``MIN_GROUP``
+joined with a few rows by group, salted, so a hot group is spread over
+``SALTS`` tasks; the subset of a step is cut at a bin of the distances, so no
+group is sorted or gathered.  Groups under ``MIN_GROUP``
 documents use their language's estimate, then that of all documents; with
 fewer in all, nothing is rejected by distance.
 
@@ -36,6 +40,8 @@ FEATURES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capital
 LEAST_SPREAD = (0.5, 0.05, 0.35, 0.08, 0.08, 0.03, 0.03)
 SHARE = 0.75
 STEPS = 4
+STARTS = 3
+SALTS = 16
 MIN_GROUP = 100
 REJECT_P = 1e-6
 WINDOW = 8
@@ -169,29 +175,44 @@ def distance(model: str = "prec") -> Column:
     return total
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*[c for c in _X if c in rows.columns]), F.lit(SALTS)))
+
+
+def meet(rows: DataFrame, model: DataFrame, how: str = "inner") -> DataFrame:
+    """Salted rows with the model rows of their group."""
+    each = model.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    return rows.join(each, ["grp", "salt"], how)
+
+
 def estimate(pooled: DataFrame) -> DataFrame:
     """grp, mean, prec by minimum covariance determinant."""
-    model = materialize(_start(pooled), "mcd-start")
+    pooled = _salted(pooled)
+    model = materialize(_starts(pooled), "mcd-start")
     inner = chi2_quantile(SHARE, _P)
     scale = SHARE / chi2_cdf(inner, _P + 2)
     for step in range(STEPS):
-        placed = pooled.join(model, "grp").withColumn("bin", _bin(distance()))
-        bins = placed.groupBy("grp", "bin").count()
-        run = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy("grp")
+        placed = meet(pooled, model).withColumn("bin", _bin(distance()))
+        bins = placed.groupBy("grp", "start", "bin").count()
+        run = Window.partitionBy("grp", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy("grp", "start")
         cut = (
             bins.withColumn("upto", F.sum("count").over(run))
             .withColumn("n", F.sum("count").over(whole))
             .filter(F.col("upto") >= F.col("n") * SHARE)
-            .groupBy("grp")
+            .groupBy("grp", "start")
             .agg(F.min("bin").alias("cut"))
         )
-        near = placed.join(cut, "grp").filter(F.col("bin") <= F.col("cut"))
+        # the cut goes to the rows with the model, of which it is part
+        near = meet(pooled, model.join(cut, ["grp", "start"])).filter(_bin(distance()) <= F.col("cut"))
         model = materialize(_moments(near, scale), f"mcd-step-{step}")
+    least = F.min(F.struct("logdet", "start", "mean", "prec")).alias("m")
+    model = model.groupBy("grp").agg(least).select("grp", "m.start", "m.mean", "m.prec")
     # reweighting: all documents within the 97.5 % quantile
     rim = chi2_quantile(0.975, _P)
-    near = pooled.join(model, "grp").filter(distance() <= rim)
-    return materialize(_moments(near, 0.975 / chi2_cdf(rim, _P + 2)), "mcd-final")
+    near = meet(pooled, model).filter(distance() <= rim)
+    final = _moments(near, 0.975 / chi2_cdf(rim, _P + 2)).select("grp", "mean", "prec")
+    return materialize(final, "mcd-final")
 
 
 def _bin(d2: Column) -> Column:
@@ -220,18 +241,52 @@ def _start(pooled: DataFrame) -> DataFrame:
             F.greatest((F.col("hi") - F.col("lo")) * size / 1.349, least).alias("sd"),
         ).alias("q"),
     )
-    rows = one.groupBy("grp").agg(F.sort_array(F.collect_list("q")).alias("q"))  # one entry by coordinate
-    prec = [
-        F.pow(F.get("q", F.lit(j))["sd"], -2) if j == k else F.lit(0.0) for j in range(_P) for k in range(_P)
-    ]
-    return rows.select("grp", F.col("q.mid").alias("mean"), F.array(*prec).alias("prec"))
+    return one.groupBy("grp").agg(F.sort_array(F.collect_list("q")).alias("q")).select(  # one entry by coordinate
+        "grp", F.col("q.mid").alias("mean"), F.col("q.sd").alias("sd")
+    )
+
+
+def _starts(pooled: DataFrame) -> DataFrame:
+    """grp, start, mean, prec: the medians, with the spreads under no
+    correlation and under two robust ones."""
+    centre = materialize(_start(pooled), "mcd-centre")
+    z = [(F.col(x) - F.get("mean", F.lit(j))) / F.get("sd", F.lit(j)) for j, x in enumerate(_X)]
+    placed = meet(pooled, centre).select("grp", "mean", "sd", *[c.alias(f"z{j}") for j, c in enumerate(z)])
+    norm = F.sqrt(sum(F.col(f"z{j}") * F.col(f"z{j}") for j in range(_P)))
+    sign = [F.when(norm > 0, F.col(f"z{j}") / norm).otherwise(0.0) for j in range(_P)]
+    bent = [F.tanh(f"z{j}") for j in range(_P)]
+    product = lambda v: F.array(*[F.sum(v[j] * v[k]) for j, k in _PAIRS])
+    sums = placed.groupBy("grp").agg(
+        F.first("mean").alias("mean"), F.first("sd").alias("sd"), product(bent).alias("bent"), product(sign).alias("sign")
+    )
+    reach_package(pooled.sparkSession)
+
+    def invert(frames):
+        for f in frames:
+            out = []
+            for grp, mean, sd, *both in zip(f["grp"], f["mean"], f["sd"], f["bent"], f["sign"]):
+                for start, s2 in enumerate((None, *both)):
+                    r = np.eye(_P)
+                    if s2 is not None:
+                        for (j, k), v in zip(_PAIRS, s2):
+                            r[j, k] = r[k, j] = v
+                        spread = np.sqrt(np.diag(r))
+                        spread[spread == 0] = 1.0  # a coordinate without any spread is uncorrelated
+                        r = 0.95 * r / np.outer(spread, spread)
+                        r[np.diag_indices(_P)] = 1.0
+                    prec = np.linalg.inv(np.outer(sd, sd) * r)
+                    out.append((grp, start, list(mean), prec.ravel().tolist()))
+            yield type(f)(out, columns=["grp", "start", "mean", "prec"])
+
+    return sums.mapInPandas(invert, "grp long, start int, mean array<double>, prec array<double>")
 
 
 def _moments(near: DataFrame, scale: float) -> DataFrame:
-    """Centre and inverse scatter of the rows by group.  Moments are taken
-    about the step's own centre, so that no digits are lost."""
+    """Centre, inverse scatter and log determinant of the scatter, by group
+    and start.  Moments are taken about the step's own centre, so that no
+    digits are lost."""
     d = [F.col(x) - F.get("mean", F.lit(j)) for j, x in enumerate(_X)]
-    sums = near.groupBy("grp").agg(
+    sums = near.groupBy("grp", "start").agg(
         F.count("*").alias("n"),
         F.first("mean").alias("mean"),
         F.array(*[F.sum(c) for c in d]).alias("s1"),
@@ -242,7 +297,7 @@ def _moments(near: DataFrame, scale: float) -> DataFrame:
 
     def invert(frames):
         for f in frames:
-            means, precs = [], []
+            means, precs, dets = [], [], []
             for n, mean, s1, s2 in zip(f["n"], f["mean"], f["s1"], f["s2"]):
                 shift = np.asarray(s1) / n
                 cov = np.zeros((_P, _P))
@@ -252,9 +307,12 @@ def _moments(near: DataFrame, scale: float) -> DataFrame:
                 cov[np.diag_indices(_P)] += np.maximum(0, least - np.diag(cov))
                 means.append((np.asarray(mean) + shift).tolist())
                 precs.append(np.linalg.inv(cov).ravel().tolist())
-            yield f[["grp"]].assign(mean=means, prec=precs)
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            yield f[["grp", "start"]].assign(mean=means, prec=precs, logdet=dets)
 
-    return sums.mapInPandas(invert, "grp long, mean array<double>, prec array<double>")
+    return sums.mapInPandas(
+        invert, "grp long, start int, mean array<double>, prec array<double>, logdet double"
+    )
 
 
 def chi2_cdf(x: float, p: int) -> float:
@@ -283,7 +341,7 @@ def judge(docs: DataFrame, reject_p: float = REJECT_P) -> DataFrame:
     model = estimate(in_pools(rows))
     limit = chi2_quantile(1 - reject_p, _P)
     return (
-        rows.join(model, "grp", "left")
+        meet(_salted(rows), model, "left")
         .withColumn("distance2", distance())
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= limit))
         .select(

@@ -125,3 +125,49 @@ def test_few_or_no_rows(spark):
 
 def test_chi_square():
     assert abs(rules.chi2_quantile(0.95, 7) - 14.067) < 1e-3 and abs(rules.chi2_cdf(2.0, 2) - 0.6321205588) < 1e-9
+
+
+def concentrate(x, mean, prec, steps=60):
+    """Exact concentration steps to the end: the log determinant reached."""
+    h = -(-len(x) * 3 // 4)
+    for _ in range(steps):
+        d = x - mean
+        near = x[np.argsort(np.einsum("ij,jk,ik->i", d, prec, d), kind="stable")[:h]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True)
+        prec = np.linalg.inv(cov)
+    return np.linalg.slogdet(cov)[1]
+
+
+def test_the_start_with_the_smallest_determinant_wins(spark):
+    """Correlated data with outliers that look normal in every coordinate: the
+    estimate's determinant is that of exact steps from the best of many starts."""
+    rng = np.random.default_rng(8)
+    p = len(rules.FEATURES)
+    base = rng.normal(size=(3000, 1)) * 5
+    clean = base + rng.normal(0, 0.6, size=(3000, p))
+    bad = rng.normal(0, 5, size=(500, p))
+    x = np.vstack([clean, bad])
+    rows = spark.createDataFrame([(0, *map(float, r)) for r in x], "grp long, " + ", ".join(f"{c} double" for c in rules._X))
+    starts = {r["start"]: r for r in rules._starts(rules._salted(rows)).collect()}
+    assert sorted(starts) == list(range(rules.STARTS))
+    best = min(concentrate(x, np.array(r["mean"]), np.array(r["prec"]).reshape(p, p)) for r in starts.values())
+    for _ in range(20):
+        some = x[rng.choice(len(x), 3 * p, replace=False)]
+        best = min(best, concentrate(x, some.mean(axis=0), np.linalg.inv(np.cov(some.T))))
+    row = rules.estimate(rows).first()
+    mean, prec = np.array(row["mean"]), np.array(row["prec"]).reshape(p, p)
+    assert abs(concentrate(x, mean, prec) - best) < 0.05
+    d = x - mean
+    far = np.einsum("ij,jk,ik->i", d, prec, d) > rules.chi2_quantile(1 - rules.REJECT_P, p)
+    assert far[:3000].sum() <= 3 and far[3000:].mean() > 0.95
+
+
+def test_groups_have_estimates_of_their_own(spark):
+    rng = np.random.default_rng(9)
+    p = len(rules.FEATURES)
+    rows = [(g, *map(float, r)) for g in (1, 2, 3) for r in rng.normal(10 * g, g, size=(400, p))]
+    df = spark.createDataFrame(rows, "grp long, " + ", ".join(f"{c} double" for c in rules._X)).repartition(5)
+    got = {r["grp"]: r for r in rules.estimate(df).collect()}
+    assert sorted(got) == [1, 2, 3]
+    for g, r in got.items():
+        assert np.abs(np.array(r["mean"]) - 10 * g).max() < 0.4 * g
