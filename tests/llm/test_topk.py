@@ -93,7 +93,7 @@ def test_small_tables_have_a_tree(spark, monkeypatch):
     topk.top_k(df, F.col("vec_id") % 50 == 0).collect()
     pages = seen[0][0]
     assert pages > 20 and len(seen) >= 2 and seen[0][2] == 2 * n_queries
-    assert all(rows <= pages for _, rows, _ in seen)  # a row by page, not by four queries
+    assert all(rows <= pages * 8 for _, rows, _ in seen)  # a row by page and task, not by four queries
     print("pages", pages, "queries", n_queries, "visits", seen)
 
 
