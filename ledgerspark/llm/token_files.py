@@ -57,6 +57,13 @@ def _closes(word: str) -> int:
     return 2 if word[-1] in ".," and word[:-1].isalpha() else 0
 
 
+_SLOT_BITS = 21
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
 class WordEncoder:
     """Ids of texts by their words; common: (sorted hashes, Runs of ids)."""
 
@@ -69,6 +76,13 @@ class WordEncoder:
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.hashes, self.common = common
+        # where a common word lies, by its hash: one of those that share a
+        # slot; the others are looked up like rarer words
+        self.slot_of = np.zeros(1 << _SLOT_BITS, dtype=np.int32)
+        self.slot_key = np.zeros(1 << _SLOT_BITS, dtype=np.uint64)
+        slot = _slots(self.hashes)
+        self.slot_of[slot] = np.arange(len(slot))
+        self.slot_key[slot] = self.hashes
         self.reset()
 
     def reset(self) -> None:
@@ -111,7 +125,11 @@ class WordEncoder:
         if len(self.at) > CACHE_WORDS:
             self.reset()
         w = words_of(texts, lower=False)
-        key, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        slot = _slots(w.hash)
+        known = self.slot_of[slot]
+        rest = np.flatnonzero(self.slot_key[slot] != w.hash)
+        key, first, back = np.unique(w.hash[rest], return_index=True, return_inverse=True)
+        first = rest[first]
         n_common = len(self.hashes)
         place = np.minimum(np.searchsorted(self.hashes, key), max(n_common - 1, 0))
         hit = self.hashes[place] == key if n_common else np.zeros(len(key), dtype=bool)
@@ -130,13 +148,16 @@ class WordEncoder:
             begin[hit], count[hit] = self.common.begin[place[hit]], self.common.count[place[hit]]
         own = np.array([self.at[k] for k in keys], dtype=np.int64)
         begin[miss], count[miss] = self.own.begin[own] + len(self.common.flat), self.own.count[own]
+        if n_common:
+            at, size = self.common.begin[known], self.common.count[known]
+        else:
+            at, size = (np.zeros(len(known), dtype=np.int64) for _ in range(2))
+        at[rest], size[rest] = begin[back], count[back]
         # the end id is a word of its own behind each text
         ends = w.first[1:]
-        word = np.insert(back, ends, len(key))
-        begin, count = np.append(begin, len(flat) - 1), np.append(count, 1)
-        size = count[word]
+        at, size = np.insert(at, ends, len(flat) - 1), np.insert(size, ends, 1)
         upto = np.concatenate(([0], np.cumsum(size)))
-        shift = np.repeat(begin[word] - upto[:-1], size)
+        shift = np.repeat(at - upto[:-1], size)
         ids = flat[np.arange(upto[-1]) + shift]
         edge = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
         return ids, np.diff(upto[edge])
