@@ -59,5 +59,5 @@ def test_stages_in_turn(spark):
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert entry.queries()["pipeline"] is pipeline.run and "pipeline" not in entry.oracle_sql()
