@@ -162,7 +162,7 @@ def in_pools(rows: DataFrame) -> DataFrame:
     pools = F.array(_group("lang", "source"), _group("lang"), F.lit(0).cast("long"))
     used = rows.select("grp").filter("grp IS NOT NULL").distinct()
     sound = rows.filter(~F.col("base_failed")).withColumn("grp", F.explode(pools)).select("grp", *_X)
-    return sound.join(used, "grp", "left_semi")
+    return meet(_salted(sound), used)
 
 
 def distance(model: str = "prec") -> Column:
