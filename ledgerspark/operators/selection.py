@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 256  # values drawn by a round
 CUTS = 48  # of them that a round cuts at
-PART_ROWS = 2_000  # a part of so many rows needs no further round
+PART_ROWS = 20_000  # a part of so many rows needs no further round
 
 
 @dataclass(frozen=True)
