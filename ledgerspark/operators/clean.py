@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import flag_in, parse_amount, signed_amount
 from ..functions.dates import tolerant_date
 from ..functions.text import as_text, is_blank, prefixed
+from ..functions.text import strip_unicode
 from ..schema import (
     AMOUNT_TYPE,
     DEFAULT_REQUIRED_FIELDS,
@@ -160,7 +161,7 @@ def _faults(columns: list[str]) -> list[tuple[Column, str]]:
         (is_blank("ac_caption"), REASON_CAPTION),
         (F.col("rc_amount").isNull(), REASON_AMOUNT),
         (F.col("fiscal_year").isNull(), REASON_YEAR),
-        (is_blank("client_name"), REASON_CLIENT),
+        (F.coalesce(strip_unicode("client_name"), F.lit("")) == "", REASON_CLIENT),
     ]
     return faults + [(F.col(MALFORMED).isNotNull(), REASON_CELLS)] * (MALFORMED in columns)
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import client_key
+from ..functions.text import client_key, strip_unicode
 from ..operators import clean, duplicates
 from ..session import Scratch
 from ..operators.mapping import mapping_report_rows
@@ -235,7 +235,8 @@ def import_batch(
                 raise ImportError_(f"{n_written} rows were written, {stats['total_rows']} found")
             if keys is None:  # columns: the keys that the rows have
                 keys = states.select(*KEY_COLUMNS).distinct()
-            clients = states.filter("trim(client_name) != ''").select("client_name").distinct()
+            # rows without a client are rejected and name no second one
+            clients = states.filter(strip_unicode("client_name") != "").select("client_name").distinct()
             if not allow_many_clients and clients.limit(2).count() > 1:
                 raise ImportError_("one client per batch")
             dup_rows = stats["duplicate_rows"]
