@@ -210,6 +210,32 @@ def test_index_equals_plain_marking(spark, workdir, monkeypatch):
     assert count(new) == count(want) and 0 < want.filter("is_duplicate").count() < want.count()
 
 
+def test_a_bucket_is_one_file_whatever_the_number_of_tasks(spark, workdir, monkeypatch):
+    """Bitmaps and buckets are made where their keys meet: neither their files
+    nor the bitmaps in a shuffle grow with tasks times blocks."""
+    monkeypatch.setattr(keyindex, "BUCKET_KEYS", 500)
+    monkeypatch.setattr(keyindex, "KEY_BITS", 200)  # 32 blocks
+    store = new_store(spark, workdir)
+    n = F.col("id")
+    keys = spark.range(4000).repartition(16).select(
+        F.lit("a").alias("client_key"), F.lit("a").alias("client_name"), F.lit(2024).alias("fiscal_year"),
+        F.lit("x").alias("import_batch_id"), F.lit("b_x").alias("batch_key"), F.lit(None).cast("date").alias("posting_date"),
+        F.xxhash64(n).alias("h1"), F.xxhash64(n, n).alias("h2"),
+    )
+    asked = []
+    monkeypatch.setattr(keyindex.F, "bitmap_construct_agg", lambda c, f=F.bitmap_construct_agg: asked.append(1) or f(c))
+    KeyIndex(store).add(keys)
+    assert len(asked) == keyindex.PROBES
+    files = [d for d, _, names in os.walk(store.path(keyindex.KEYS)) for x in names if x.endswith(".parquet")]
+    assert len(files) == len(set(files)) == 8
+    filters = store.read_parts(keyindex.FILTERS, keyindex.FILTER_SCHEMA)
+    assert filters.count() == filters.select("block").distinct().count() == 32
+    index = store.read_parts(keyindex.KEYS, keyindex.KEY_SCHEMA)
+    assert index.count() == index.distinct().count() == 4000
+    held = index.join(filters.select("blocks", "block", "bits"), F.pmod("h1", "blocks") == F.col("block"))
+    assert held.filter(keyindex._may_hold("bits")).count() == 4000
+
+
 def test_skipped_rows_are_not_indexed_as_the_batch_s_own(spark, workdir):
     store = new_store(spark, workdir)
     load(spark, workdir, store, rows(3), "a")
