@@ -82,3 +82,20 @@ def test_runs_of_a_needle():
 
 def test_nothing_active(spark, workdir):
     assert PrunedLedger(new_store(spark, workdir), LedgerFilter()).rows.count() == 0
+
+
+def test_files_grow_in_number_not_in_rows(spark, monkeypatch):
+    rows = spark.range(1000).select(
+        F.col("id").alias("source_row"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 300).cast("int")).alias("posting_date"),
+        (F.col("id") % 7).cast("string").alias("ac_code"), F.col("id").cast("decimal(18,2)").alias("rc_amount"),
+    )
+    assert filestats.clustered(rows, 2).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(filestats, "FILE_ROWS", 100)
+    parts = [len(p) for p in filestats.clustered(rows, 2).rdd.glom().collect()]
+    assert sum(parts) == 1000 and len(parts) == 10 and max(parts) < 300
+
+
+def test_files_under_a_folder_with_spaces_are_found(spark, tmp_path):
+    store = new_store(spark, str(tmp_path / "my ledgers"))
+    import_batch(journal(spark), PROFILE, BatchInfo("Client A", 2024, "a", "f.csv"), store, duplicate_mode=None, cluster_files=4)
+    assert PrunedLedger(store, LedgerFilter()).rows.count() == store.open_ledger().count() > 0
