@@ -871,6 +871,7 @@ def q_dataset_overview(spark, sf_dir):
 from ..sources.csv import read_journal_csv  # noqa: E402
 
 
+_CSV_FILE_ROWS = 250_000
 _CSV_TEXT = """CASE WHEN source_row % 50 = 0 THEN 'He said "hi", ok' || chr(10) || 'and "' || src_text
   WHEN source_row % 50 = 1 THEN '"' || src_text || '",' ELSE src_text END AS src_text"""
 
@@ -895,11 +896,12 @@ def q_csv_source(spark, sf_dir):
     raw = fx.raw_journal(spark, sf_dir).select(F.col("source_row").alias("orig_row"), *_SRC_COLS)
     raw = raw.withColumn("src_text", text)
     path = scratch_path(spark, "csv")
+    files = max(3, -(-raw.count() // (2 * _CSV_FILE_ROWS)))  # of each order; files with line breaks are read unsplit
     orders = [["orig_row", *_SRC_COLS], [*reversed(_SRC_COLS), "orig_row"]]
     for i, columns in enumerate(orders):
         part = raw.filter(n % 4 >= 2 if i else n % 4 < 2).select(*columns)
         (
-            part.repartitionByRange(3, "orig_row").sortWithinPartitions("orig_row").write.option("header", True)
+            part.repartitionByRange(files, "orig_row").sortWithinPartitions("orig_row").write.option("header", True)
             .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(f"{path}/{i}")
         )

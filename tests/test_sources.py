@@ -175,3 +175,39 @@ def test_row_numbers_by_file_and_by_order(spark, workdir):
     rows = with_row_index(li, [F.col("k"), "id"], "rn").collect()
     want = {i: n + 1 for n, i in enumerate(sorted(range(300), key=lambda i: (i % 7, i)))}
     assert {r["id"]: r["rn"] for r in rows} == want
+
+
+def test_journal_rows_are_numbered_before_text_is_made(spark, monkeypatch):
+    from ledgerspark.sources import journal_fixture as fx
+
+    sorted_columns = []
+    own = fx.with_row_index
+    monkeypatch.setattr(fx, "with_row_index", lambda df, *a, **k: sorted_columns.extend(df.columns) or own(df, *a, **k))
+    raw = fx.raw_journal(spark, "/root/testdata/sf0.001")
+    assert sorted_columns and not [c for c in sorted_columns if c.startswith("src_")]
+    assert raw.select("source_row").distinct().count() == raw.count() > 0
+
+
+def test_csv_files_grow_in_number_not_in_rows(spark, monkeypatch):
+    import glob
+
+    from ledgerspark.plans import registry
+
+    made = []
+    monkeypatch.setattr(registry, "scratch_path", lambda s, n, f=registry.scratch_path: made.append(f(s, n)) or made[-1])
+    monkeypatch.setattr(registry, "_CSV_FILE_ROWS", 250)
+    out = registry.QUERIES["csv_source"](spark, "/root/testdata/sf0.001")
+    n = out.count()
+    assert out.filter("file_order_ok").count() == n > 2000
+    assert len(glob.glob(f"{made[-1]}/*/*.csv")) >= n // 250
+
+
+def test_the_overview_s_imports_share_one_join(spark, monkeypatch):
+    from ledgerspark.plans import registry
+
+    plans = []
+    own = registry.import_batch
+    told = lambda raw: plans.append(raw._jdf.queryExecution().optimizedPlan().toString())
+    monkeypatch.setattr(registry, "import_batch", lambda raw, *a, **k: told(raw) or own(raw, *a, **k))
+    registry.QUERIES["dataset_overview"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and not [p for p in plans if "Join" in p]
