@@ -206,6 +206,7 @@ def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "empty_tokens": F.array(F.lit("-")), "date_dayfirst": F.lit(False), "amount_remove_commas": F.lit(True),
     }
     customer = fx.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    customer = fx.spread(customer, "c_custkey")  # small rows, of which each makes a large one
     return customer.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in M.PROFILE_SCHEMA.fields])
 
 
