@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def file_layouts(
     layouts: dict[tuple, list[str]] = {}
     for f in files:
         names = next(csv.reader([f["header"].lstrip("\ufeff")], delimiter=delimiter), [])
-        layouts.setdefault((tuple(unique_names(names)), f["broken"]), []).append(f["path"])
+        layouts.setdefault((tuple(unique_names(names)), f["broken"]), []).append(unquote(f["path"]))  # told as a URL
     return [(names, broken, found) for (names, broken), found in layouts.items()]
 
 
