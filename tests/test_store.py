@@ -12,6 +12,7 @@ from ledgerspark.operators.duplicates import DuplicateError
 from ledgerspark.plans.importer import import_batch
 from ledgerspark.plans.store import LedgerStore
 from ledgerspark.schema import BatchInfo, DirectAmount, Profile
+from ledgerspark.session import open_files
 from ledgerspark.sources.csv import read_journal_csv
 
 HEAD = "posting_date,voucher_id,ac_code,ac_caption,description,amount\n"
@@ -126,3 +127,28 @@ def test_pages_read_once_sorted(spark, workdir):
     assert not os.path.exists(path)
     assert paging.Pages(df.limit(0), [F.col("id")]).page(10, 3).count() == 0
     assert [r["id"] for r in paging.page(df, [F.col("id").asc()], 300, 7).collect()] == list(range(900, 1000))
+
+
+def test_partitioned_writes_of_an_import_do_not_sort_the_rows(spark, workdir, monkeypatch):
+    writer = type(spark.range(1).write)
+    real, seen = writer.parquet, {}
+
+    def parquet(self, path, *args, **kw):
+        seen[path.split("/store-")[-1].split("/")[1]] = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+        return real(self, path, *args, **kw)
+
+    monkeypatch.setattr(writer, "parquet", parquet)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    store = new_store(spark, workdir)
+    load(spark, workdir, store, rows(3) + "2024-01-02,,1001,Cash,x,1\n", "a")
+    assert all(int(seen[t]) > 0 for t in ("rows", "summary_accounts", "summary_vouchers"))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert store.open_ledger().count() == 3 and store.open_errors().count() == 1
+
+
+def test_a_write_of_more_partitions_than_open_files_is_whole(spark, workdir):
+    path = os.path.join(workdir, "many")
+    with open_files(spark, 2):
+        spark.range(0, 1000, 1, 1).withColumn("p", F.col("id") % 7).write.partitionBy("p").parquet(path)
+    back = spark.read.parquet(path)
+    assert back.filter("p = id % 7").count() == 1000 == back.select("id").distinct().count()
