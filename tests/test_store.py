@@ -152,3 +152,27 @@ def test_a_write_of_more_partitions_than_open_files_is_whole(spark, workdir):
         spark.range(0, 1000, 1, 1).withColumn("p", F.col("id") % 7).write.partitionBy("p").parquet(path)
     back = spark.read.parquet(path)
     assert back.filter("p = id % 7").count() == 1000 == back.select("id").distinct().count()
+
+
+def test_few_active_batches_are_filtered_and_many_joined_alike(spark, workdir, monkeypatch):
+    from ledgerspark.plans import store as store_module
+
+    store = new_store(spark, workdir)
+    load(spark, workdir, store, rows(3), "a", client="Client A")
+    load(spark, workdir, store, rows(4, "W"), "b", client="Client B", year=None)
+    load(spark, workdir, store, rows(5, "X"), "c", client="Client A", year=2023)
+    store.rollback_batch("c")
+
+    def opened():
+        led, errors = store.open_ledger(), store.open_errors()
+        plan = led._jdf.queryExecution().optimizedPlan().toString()
+        return "Join" in plan, sorted(r[0] for r in led.select("voucher_id").collect()), errors.count()
+
+    few = opened()
+    monkeypatch.setattr(store_module, "FILTER_KEYS", 1)
+    many = opened()
+    assert (few[0], many[0]) == (False, True)
+    assert few[1:] == many[1:] == (["V0", "V1", "V2"], 4)
+    store.rollback_batch("a")
+    store.rollback_batch("b")
+    assert store.open_ledger().count() == 0
