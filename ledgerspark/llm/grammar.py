@@ -39,6 +39,19 @@ class Grammar:
         return out
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
+        """The ids of symbols.  For many symbols the ids of every rule are laid
+        out once, and each symbol takes its own."""
+        if len(symbols) <= len(self.left) or not len(self.left):
+            return self._undo(symbols)
+        rules = self._undo(FIRST_SYMBOL + np.arange(len(self.left), dtype=symbols.dtype))
+        flat = np.concatenate((np.arange(FIRST_SYMBOL, dtype=symbols.dtype), rules))
+        count = np.concatenate((np.ones(FIRST_SYMBOL, dtype=np.int64), self.length))
+        size = count[symbols]
+        at = np.repeat((np.cumsum(count) - count)[symbols] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return flat[at]
+
+    def _undo(self, symbols: np.ndarray) -> np.ndarray:
         """The ids of symbols: rules made last are undone first."""
         while True:
             rule = symbols >= FIRST_SYMBOL
@@ -67,52 +80,56 @@ class Grammar:
 def compress(ids: np.ndarray, count: np.ndarray) -> Grammar:
     """The grammar of documents of ``count`` ids each, one after the other."""
     s = ids.astype(np.int32)
-    last = np.zeros(len(s), dtype=bool)
-    last[np.cumsum(count)[count > 0] - 1] = True
+    ends = np.cumsum(count)[count > 0] - 1  # the last symbol of each document
     left, right, length = [], [], []
     made = 0
+    number = np.zeros(1 << _SLOT_BITS, dtype=np.intp)  # of a chosen slot
     for _ in range(ROUNDS):
         if len(s) < 2:
             break
-        code = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:].astype(np.uint64)
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
-        slot[last[:-1]] = 1 << _SLOT_BITS  # spans two documents: a slot of its own
+        code = s[:-1].view(np.uint32) * np.uint32(0x9E3779B1)
+        code += s[1:].view(np.uint32) * np.uint32(0x85EBCA6B)
+        slot = (code >> np.uint32(32 - _SLOT_BITS)).astype(np.intp)
+        slot[ends[:-1]] = 1 << _SLOT_BITS  # spans two documents: a slot of its own
         size = np.bincount(slot, minlength=(1 << _SLOT_BITS) + 1)[:-1]
         least = max(LEAST, int(np.partition(size, -PAIRS)[-PAIRS]))
         good = np.flatnonzero(size >= least)[:PAIRS]
-        # one pair a slot, the last seen; its own count decides
-        seen = np.zeros((1 << _SLOT_BITS) + 1, dtype=np.uint64)
-        seen[slot] = code
         chosen = np.zeros((1 << _SLOT_BITS) + 1, dtype=bool)
         chosen[good] = True
+        number[good] = np.arange(len(good))
         hit = np.flatnonzero(chosen[slot])
-        hit = hit[seen[slot[hit]] == code[hit]]
-        exact = np.bincount(slot[hit], minlength=1 << _SLOT_BITS)
-        keep = good[exact[good] >= LEAST]
-        if not len(keep):
+        rank = number[slot[hit]]
+        # one pair a slot, the last seen; its own count decides
+        seen = np.zeros(len(good), dtype=np.intp)
+        seen[rank] = hit
+        a, b = s[seen], s[np.minimum(seen + 1, len(s) - 1)]
+        same = (s[hit] == a[rank]) & (s[hit + 1] == b[rank])
+        hit, rank = hit[same], rank[same]
+        keep = np.bincount(rank, minlength=len(good)) >= LEAST
+        if not keep.any():
             break
-        symbol = np.full((1 << _SLOT_BITS) + 1, -1, dtype=np.int32)
-        symbol[keep] = FIRST_SYMBOL + made + np.arange(len(keep))
-        hit = hit[symbol[slot[hit]] >= 0]
+        a, b = a[keep], b[keep]
+        symbol = np.where(keep, FIRST_SYMBOL + made - 1 + np.cumsum(keep), -1).astype(np.int32)
+        to = symbol[rank]
+        hit, to = hit[to >= 0], to[to >= 0]
         # of hits in a row every second one, from the left
         joined = np.zeros(len(hit), dtype=bool)
         joined[1:] = hit[1:] == hit[:-1] + 1
         head = np.maximum.accumulate(np.where(joined, 0, np.arange(len(hit))))
-        hit = hit[(np.arange(len(hit)) - head) % 2 == 0]
-        a, b = (seen[keep] >> np.uint64(32)).astype(np.int32), seen[keep].astype(np.int32)
+        first = (np.arange(len(hit)) - head) & 1 == 0
+        hit, to = hit[first], to[first]
         size_of = np.array(length, dtype=np.int64)
         one = lambda x: np.where(x >= FIRST_SYMBOL, size_of[np.maximum(x - FIRST_SYMBOL, 0)] if made else 1, 1)  # noqa: E731, B023
         length += (one(a) + one(b)).tolist()
         left.append(a)
         right.append(b)
-        made += len(keep)
-        s[hit] = symbol[slot[hit]]
+        made += len(a)
+        s[hit] = to
         stay = np.ones(len(s), dtype=bool)
         stay[hit + 1] = False
-        last[hit] |= last[hit + 1]
-        s, last = s[stay], last[stay]
+        s = s[stay]
+        ends -= np.searchsorted(hit, ends)  # hits before an end: symbols gone up to it
     none = np.zeros(0, dtype=np.int32)
-    ends = np.flatnonzero(last)
     out = np.zeros(len(count), dtype=np.int64)
     out[count > 0] = np.diff(np.concatenate(([-1], ends)))
     return Grammar(

@@ -8,9 +8,11 @@ symbols only.  Files are written by Spark's committer, so a lost executor's
 attempt leaves nothing behind.
 
 The tokenizer encodes white-space-separated words independently of each other,
-so a word is encoded once a task.  The words that are most frequent in a
-sample of ``SAMPLE_DOCS`` documents are encoded beforehand and broadcast
-(``COMMON_WORDS`` at most); the sample sets the speed and never the ids.
+and lower-cases them and splits letters from signs, so ids are kept by word and
+by unit (``units_of``), and a unit is encoded once a task.  The words and units
+that are most frequent in a sample of ``SAMPLE_DOCS`` documents are encoded
+beforehand and broadcast (``COMMON_WORDS`` at most); the sample sets the speed
+and never the ids.
 
 Defined cases: a null or empty text is the end id alone; null doc_ids come
 first; rows with equal doc_id stand in the order of their texts; texts of any
@@ -22,16 +24,18 @@ from __future__ import annotations
 
 import os
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reach_package, scratch_path
 from .bpe import Runs, gather
-from .docs import SLICE_BYTES, slices, with_bytes, word_bytes, words_of
+from .docs import _LOWER, SLICE_BYTES, Words, hash_spans, slices, with_bytes, word_bytes, words_of
 from .grammar import Grammar, compress
 
 VOCABULARY = "word_bpe_49k.json"
@@ -40,8 +44,14 @@ WORD_END = "</w>"  # ends the name of a token that closes a word
 BLOCK_IDS = 1 << 21
 JOINED = 64
 SAMPLE_DOCS = 20_000
-COMMON_WORDS = 800_000
+COMMON_WORDS = 1_000_000
 CACHE_WORDS = 400_000
+# bytes of ASCII letters and of U+00C0 to U+00FF without the two signs there
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = True
+_LETTER[[0x97, 0xB7]] = False
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 BLOCK_SCHEMA = (
     "shard int, start_in_shard long, n_tokens long, doc_ids array<long>, doc_tokens binary, doc_symbols binary, "
@@ -57,26 +67,111 @@ def _closes(word: str) -> int:
     return 2 if word[-1] in ".," and word[:-1].isalpha() else 0
 
 
-class WordEncoder:
-    """Ids of texts by their words; common: (sorted hashes, Runs of ids)."""
+@lru_cache(maxsize=1)
+def _library(path: str):
+    """The tokenizer and which of its ids close a word; kept by a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+    closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+    return tokenizer, closes
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, a place of each, and the number of each place's
+    hash among them; np.unique with its indexes would sort stably, which takes
+    longer."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(ranked), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    back = np.empty(len(ranked), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], back
+
+
+def units_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The units of the words at these places of ``data``: the lower-cased
+    letters of each word of letters (ASCII and U+00C0 to U+00FF), any other word
+    as it stands; then the signs behind letters.  Returns bytes, first and last
+    place of each unit, and the numbers of the words with signs.  The tokenizer
+    lower-cases and splits letters from signs itself, so a word's ids are those
+    of its units one after the other."""
+    size = end - start
+    upto = np.cumsum(size)
+    begin = upto - size
+    out = data[np.arange(int(size.sum())) + np.repeat(start - begin, size)]
+    letters = np.concatenate(([0], np.cumsum(_LETTER[out])))
+    signs = np.concatenate(([0], np.cumsum(_SIGN[out])))
+    n = letters[upto] - letters[begin]
+    plain = (n > 0) & (letters[begin + n] - letters[begin] == n) & (signs[upto] - signs[begin] == size - n)
+    out = np.where(np.repeat(plain, size), _LOWER[out], out)
+    inner = np.where(plain, begin + n, upto)
+    signed = np.flatnonzero(inner < upto)
+    return out, np.concatenate((begin, inner[signed])), np.concatenate((inner, upto[signed])), signed
+
+
+class Common:
+    """Words and their ids, found by hash."""
+
+    def __init__(self, hashes: np.ndarray, lists: pa.ListArray):
+        order = np.argsort(hashes)
+        lists = lists.take(pa.array(order))
+        self.hashes, self.runs = hashes[order], Runs()
+        self.runs.add(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        place = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return place, self.hashes[place] == keys
+
+
+def _nothing_common() -> Common:
+    return Common(np.zeros(0, dtype=np.uint64), pa.array([], pa.list_(pa.int32())))
+
 
-    def __init__(self, path: str, common: tuple[np.ndarray, Runs]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordEncoder:
+    """Ids of texts by their words: those of frequent words are known, those
+    of others are put together from the ids of their units."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.hashes, self.common = common
+    def __init__(self, path: str, words: Common | None = None, units: Common | None = None):
+        self.tokenizer, self.closes = _library(path)
+        self.common, self.units = words or _nothing_common(), units or _nothing_common()
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[int, int] = {}
         self.own = Runs()
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the words, and their numbers.
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words at these places, and their numbers."""
+        n = len(start)
+        data, start, end, signed = units_of(data, start, end)
+        key, first, back = distinct(hash_spans(data, start, end))
+        place, hit = self.units.find(key)
+        miss = np.flatnonzero(~hit)
+        keys = key[miss].tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.at]
+        if new:
+            which, raw = first[miss[new]], data.tobytes()
+            self.own.add(*self._encode([raw[a:b].decode() for a, b in zip(start[which].tolist(), end[which].tolist())]))
+            size = len(self.at)
+            self.at.update((keys[i], size + j) for j, i in enumerate(new))
+        own = np.array([self.at[k] for k in keys], dtype=np.int64)
+        flat, begin, count = _merge(hit, self.units.runs.take(place[hit]), self.own.take(own))
+        # a word's signs follow its letters
+        order = back[np.insert(np.arange(n), signed + 1, np.arange(n, len(back)))]
+        total = count[back[:n]]
+        total[signed] += count[back[n:]]
+        return gather(flat, begin[order], count[order])[0], total
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words, and their numbers, by the tokenizer.
 
         Words of letters, alone or with one point or comma, are encoded many at
         a time: how many tokens close a word in each is known, so the ids fall
@@ -111,40 +206,35 @@ class WordEncoder:
         if len(self.at) > CACHE_WORDS:
             self.reset()
         w = words_of(texts, lower=False)
-        key, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        n_common = len(self.hashes)
-        place = np.minimum(np.searchsorted(self.hashes, key), max(n_common - 1, 0))
-        hit = self.hashes[place] == key if n_common else np.zeros(len(key), dtype=bool)
-        miss = np.flatnonzero(~hit)
-        keys = key[miss].tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.at]
-        if new:
-            data = w.data.tobytes()
-            start, end = w.start[first[miss[new]]].tolist(), w.end[first[miss[new]]].tolist()
-            self.own.add(*self.words([data[a:b].decode() for a, b in zip(start, end)]))
-            size = len(self.at)
-            self.at.update((keys[i], size + j) for j, i in enumerate(new))
-        begin, count = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
-        flat = np.concatenate((self.common.flat, self.own.flat, np.array([END_ID], dtype=np.int32)))
-        if n_common:
-            begin[hit], count[hit] = self.common.begin[place[hit]], self.common.count[place[hit]]
-        own = np.array([self.at[k] for k in keys], dtype=np.int64)
-        begin[miss], count[miss] = self.own.begin[own] + len(self.common.flat), self.own.count[own]
+        key, first, back = distinct(w.hash)
+        place, hit = self.common.find(key)
+        miss = first[~hit]
+        made = self.words(w.data, w.start[miss], w.end[miss])
+        flat, begin, count = _merge(hit, self.common.runs.take(place[hit]), made)
         # the end id is a word of its own behind each text
         ends = w.first[1:]
         word = np.insert(back, ends, len(key))
+        flat = np.append(flat, np.int32(END_ID))
         begin, count = np.append(begin, len(flat) - 1), np.append(count, 1)
         size = count[word]
         upto = np.concatenate(([0], np.cumsum(size)))
-        shift = np.repeat(begin[word] - upto[:-1], size)
-        ids = flat[np.arange(upto[-1]) + shift]
         edge = np.concatenate(([0], ends + np.arange(1, len(ends) + 1)))
-        return ids, np.diff(upto[edge])
+        return gather(flat, begin[word], size)[0], np.diff(upto[edge])
+
 
+def _merge(hit: np.ndarray, found: tuple, made: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat ids, begins and numbers from those of the hits and of the rest."""
+    count = np.empty(len(hit), dtype=np.int64)
+    begin = np.empty(len(hit), dtype=np.int64)
+    count[hit], count[~hit] = found[1], made[1]
+    begin[hit] = np.cumsum(found[1]) - found[1]
+    begin[~hit] = len(found[0]) + np.cumsum(made[1]) - made[1]
+    return np.concatenate((found[0], made[0])).astype(np.int32, copy=False), begin, count
 
-def common_words(docs: DataFrame, path: str) -> tuple[np.ndarray, Runs]:
-    """Encodings of the most frequent words of a sample, bounded by
-    COMMON_WORDS: a cache for the tasks."""
+
+def common_words(docs: DataFrame, path: str) -> tuple[Common, Common]:
+    """Encodings of the most frequent words and units of a sample, bounded by
+    COMMON_WORDS together: a cache for the tasks."""
     n = docs.count()
     part = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * (1 << 20))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part)
@@ -161,30 +251,48 @@ def common_words(docs: DataFrame, path: str) -> tuple[np.ndarray, Runs]:
                 )
 
     counts = with_bytes(sample).mapInArrow(run, "hash long, word binary, c long")
+    words = counts.groupBy("hash", "word").agg(F.sum("c").alias("c")).filter("length(word) < 200")
+
+    def split(batches):
+        for batch in batches:
+            w = words_of(batch.column("word").to_pylist(), lower=False)
+            data, start, end, signed = units_of(w.data, w.start, w.end)
+            unit = Words(data, start, end, hash_spans(data, start, end), start)
+            c = batch.column("c").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.arange(len(c) + len(start)) >= len(c)),
+                    pa.array(np.concatenate((batch.column("hash").to_numpy(), unit.hash.view(np.int64)))),
+                    pa.concat_arrays([batch.column("word"), word_bytes(unit, np.arange(len(start)))]),
+                    pa.array(np.concatenate((c, c, c[signed]))),
+                ],
+                names=["unit", "hash", "word", "c"],
+            )
+
     top = (
-        counts.groupBy("hash", "word")
+        words.mapInArrow(split, "unit boolean, hash long, word binary, c long")
+        .groupBy("unit", "hash", "word")
         .agg(F.sum("c").alias("c"))
-        .filter("length(word) < 200")
-        .orderBy(F.desc("c"), "hash")
+        .orderBy(F.desc("c"), F.desc("unit"), "hash")
         .limit(COMMON_WORDS)
     )
 
     def encode(batches):
-        encoder = WordEncoder(path, (np.zeros(0, dtype=np.uint64), Runs()))
+        encoder = WordEncoder(path)
         for batch in batches:
-            ids, count = encoder.words([w.decode() for w in batch.column("word").to_pylist()])
+            w = words_of(batch.column("word").to_pylist(), lower=False)
+            ids, count = encoder.words(w.data, w.start, w.end)
             offset = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("hash"), pa.ListArray.from_arrays(pa.array(offset), pa.array(ids))], names=["hash", "ids"]
-            )
+            lists = pa.ListArray.from_arrays(pa.array(offset), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), batch.column("hash"), lists], names=["unit", "hash", "ids"])
+
+    table = top.select("unit", "hash", "word").mapInArrow(encode, "unit boolean, hash long, ids array<int>").toArrow()
+
+    def common(of_units: bool) -> Common:
+        part = table.filter(pc.equal(table.column("unit"), of_units))
+        return Common(part.column("hash").to_numpy().view(np.uint64), part.column("ids").combine_chunks())
 
-    table = top.select("hash", "word").mapInArrow(encode, "hash long, ids array<int>").toArrow()
-    key = table.column("hash").to_numpy().view(np.uint64)
-    order = np.argsort(key)
-    lists = table.column("ids").combine_chunks().take(pa.array(order))
-    runs = Runs()
-    runs.add(lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64))
-    return key[order], runs
+    return common(False), common(True)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids: int = BLOCK_IDS) -> str:
@@ -198,7 +306,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, block_ids:
         from pyspark import TaskContext
 
         shard, start = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(vocabulary, shared.value)
+        encoder = WordEncoder(vocabulary, *shared.value)
         ids, counts, names, n = [], [], [], 0
         for batch in batches:
             texts = batch.column("text").to_pylist()

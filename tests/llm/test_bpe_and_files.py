@@ -113,3 +113,36 @@ def test_block_survives_the_file(spark):
     ids = [token_files.grammar_of(r).expand(token_files.grammar_of(r).symbols).tolist() for r in rows]
     assert sum(ids, []) == sum(word_ids(["one two two two " * 50, "", None]), [])
     assert spark.read.parquet(path).agg(F.sum("n_tokens")).first()[0] == 203
+
+
+def test_words_of_one_core_reach_the_library_once(monkeypatch):
+    encoder = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    asked, own = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda words: asked.extend(words) or own(words))
+    texts = ["Gepfung gepfung. GEPFUNG, gepfung??", "Überein überein! Gepfung.", "gepfung"]
+    ids, count = encoder.encode([t.encode() for t in texts])
+    assert ids.tolist() == sum(word_ids(texts), []) and count.tolist() == [len(w) for w in word_ids(texts)]
+    assert asked.count("gepfung") == 1 and len(asked) == len(set(asked)) == 7
+
+
+def test_units_give_the_library_ids_of_odd_words():
+    rng = random.Random(7)
+    parts = ["a", "B", "Ör", "ß", "ÿ", "×", "÷", "é", "e\u0301", "\u0301", "J\u030c", "İ", "Σ", "ª", "º", "日", "7", "²", ".", ",", "'", "'s",
+             "'T", "''", "<|", "|>", "<|endoftext|>", "`~", "^$+", "\x1c", "\x85", "\x00", "\x7f", "\u00a0", "🎉", "-"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randrange(1, 6))) for _ in range(12)) for _ in range(400)]
+    encoder = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    want = word_ids(texts)
+    for a in range(0, len(texts), 40):
+        ids, count = encoder.encode([t.encode() for t in texts[a : a + 40]])
+        assert count.tolist() == [len(w) for w in want[a : a + 40]]
+        assert ids.tolist() == sum(want[a : a + 40], [])
+
+
+def test_expand_lays_each_rule_out_once(monkeypatch):
+    """Many symbols are not undone one round after the other."""
+    ids = np.tile(np.arange(40, dtype=np.int32), 500)
+    g = grammar.compress(ids, np.full(100, 200))
+    undone, own = [], grammar.Grammar._undo
+    monkeypatch.setattr(grammar.Grammar, "_undo", lambda self, s: undone.append(len(s)) or own(self, s))
+    assert (g.expand(g.symbols) == ids).all() and (g.ids(3) == ids[600:800]).all()
+    assert max(undone) <= max(len(g.left), 200) < len(g.symbols)
