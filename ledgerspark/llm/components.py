@@ -12,10 +12,12 @@ def components(links: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable) for every node of ``links``
     (a, b); self-links and repeats are harmless, an empty table gives none.
 
-    Each round every node takes the smallest label among its neighbours and
-    then its label's own label, so long paths shrink by halves.  The labels
-    are written to the shared folder each round; hot nodes are aggregated
-    before the shuffle and their joins are split by adaptive execution."""
+    Each round every node takes the smallest label among its neighbours' and
+    its label's own, so long paths shrink by halves.  Both are asked for in one
+    join: a label is one more neighbour, which brings the node's old label
+    along.  The labels are written to the shared folder each round; hot nodes
+    are aggregated before the shuffle and their joins are split by adaptive
+    execution."""
     edges = materialize(
         links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         .unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -27,24 +29,16 @@ def components(links: DataFrame) -> DataFrame:
         "cc-labels",
     )
     while True:
-        # a label's own label
-        up = labels.select(F.col("node").alias("n"), F.col("comp").alias("upper"))
-        jumped = labels.join(up, labels["comp"] == up["n"], "left").select(
-            "node", F.least("comp", F.coalesce("upper", "comp")).alias("comp")
+        asked = edges.withColumn("old", F.lit(None).cast(labels.schema["comp"].dataType)).unionByName(
+            labels.select(F.col("node").alias("u"), F.col("comp").alias("v"), F.col("comp").alias("old"))
         )
-        near = (
-            edges.join(jumped.select(F.col("node").alias("v"), "comp"), "v")
-            .groupBy("u")
-            .agg(F.min("comp").alias("low"))
-        )
-        after = jumped.join(near, F.col("node") == F.col("u"), "left").select(
-            "node", F.least("comp", F.coalesce("low", "comp")).alias("comp")
-        )
-        before = labels.select(F.col("node").alias("n"), F.col("comp").alias("old"))
+        told = labels.select(F.col("node").alias("v"), F.col("comp").alias("low"))
+        low = F.least("old", "low")
         after = materialize(
-            after.join(before, F.col("node") == F.col("n")).select(
-                "node", "comp", (F.col("comp") < F.col("old")).alias("moved")
-            ),
+            asked.join(told, "v")
+            .groupBy(F.col("u").alias("node"))
+            .agg(F.min("low").alias("low"), F.max("old").alias("old"))
+            .select("node", low.alias("comp"), (low < F.col("old")).alias("moved")),
             "cc-labels",
         )
         labels = after.select("node", "comp")

@@ -190,7 +190,8 @@ def _ordered(a, b):
 
 
 def _star(large: DataFrame) -> DataFrame:
-    """Each large bucket's hub with its members.  large: key, cls, m."""
+    """Each large bucket's hub with its members; a pair may come from several
+    buckets.  large: key, cls, m."""
     weight = large.groupBy("cls").agg(F.sum("m").alias("weight"))
     hub = (
         large.join(weight, "cls")
@@ -198,7 +199,7 @@ def _star(large: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("weight", "cls")).alias("hub"))
         .select("key", F.col("hub.cls").alias("hub"))
     )
-    return large.join(hub, "key").filter("cls != hub").select(*_ordered(F.col("cls"), F.col("hub"))).distinct()
+    return large.join(hub, "key").filter("cls != hub").select(*_ordered(F.col("cls"), F.col("hub")))
 
 
 def _cross(members: DataFrame, key: str) -> DataFrame:
@@ -314,8 +315,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
     still = materialize(_unresolved(large, labels), "near-open")
     if not still.isEmpty():
-        links = links.unionByName(verify(_prefix_pairs(still, texts), classes, texts))
-        labels = components(links)
+        more = verify(_prefix_pairs(still, texts), classes, texts)
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
 
     # the smallest doc_id of each component
     named = classes.select("cls", "low").join(labels.withColumnRenamed("node", "cls"), "cls", "left")

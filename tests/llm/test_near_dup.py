@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from ledgerspark.llm import near_dup
+from ledgerspark.llm import components, near_dup
 
 from .helpers import WORD, documents, odd_texts, prose
 
@@ -121,3 +121,31 @@ def test_posterior_bound():
 def test_short_texts_have_one_shingle(n):
     own = near_dup.shingles([" ".join("abcdefgh"[:n]).encode()])[0]
     assert len(own) == (0 if n == 0 else max(1, n - 4))
+
+
+def test_components_round_is_one_join(spark, monkeypatch):
+    """Random links, a long path, a star and a self-link; a round that joins
+    more often deals its rows out more often."""
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    links += [(1000 + i, 1001 + i) for i in range(70)] + [(2000, 1900 + i) for i in range(60)] + [(5, 5), (5, 5)]
+    plans, own = [], components.materialize
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return own(df, name)
+
+    monkeypatch.setattr(components, "materialize", seen)
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        lo, hi = sorted((root(a), root(b)))
+        parent[hi] = lo
+    assert sorted(map(tuple, got.collect())) == sorted((x, root(x)) for x in parent)
+    assert max(plans) == 1 and len(plans) <= 14
