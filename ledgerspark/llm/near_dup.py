@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reach_package
-from .components import components
+from .components import components, merged
 from .docs import cuts, map_slices, materialize, mix64, slices, with_bytes, with_row_key, words_of
 
 SHINGLE = 5
@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not still.isEmpty():
         more = verify(_prefix_pairs(still, texts), classes, texts)
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            labels = merged(labels, more)
 
     # the smallest doc_id of each component
     named = classes.select("cls", "low").join(labels.withColumnRenamed("node", "cls"), "cls", "left")

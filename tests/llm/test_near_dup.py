@@ -149,3 +149,49 @@ def test_components_round_is_one_join(spark, monkeypatch):
         parent[hi] = lo
     assert sorted(map(tuple, got.collect())) == sorted((x, root(x)) for x in parent)
     assert max(plans) == 1 and len(plans) <= 14
+
+
+def components_of(links):
+    parent = {x: x for e in links for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        lo, hi = sorted((root(a), root(b)))
+        parent[hi] = lo
+    return sorted((x, root(x)) for x in parent)
+
+
+def test_components_rounds_follow_nodes_not_links(spark, monkeypatch):
+    """Rounds join few links of a dense group, and a path whose nodes come in
+    any order takes few rounds."""
+    rng = random.Random(11)
+    path = list(range(10_000, 10_400))
+    rng.shuffle(path)
+    dense = [(i, j) for i in range(70) for j in range(i) if rng.random() < 0.8]
+    links = dense + list(zip(path, path[1:])) + [(7, 7), (9_000, 9_000), (3, 200)]
+    written, own = [], components.materialize
+
+    def seen(df, name):
+        assert len(written) < 20
+        written.append((name, own(df, name)))
+        return written[-1][1]
+
+    monkeypatch.setattr(components, "materialize", seen)
+    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    want = components_of(links)
+    assert sorted(map(tuple, got.collect())) == want
+    edges = [df.count() for name, df in written if name == "cc-edges"]
+    assert sum(edges) <= 2 * len(want) < len(dense)
+
+
+def test_further_links_are_merged(spark):
+    rng = random.Random(12)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(80)]
+    df = spark.createDataFrame([(i, *e) for i, e in enumerate(links)], "i int, a long, b long")
+    first, more = df.filter("i < 50").drop("i"), df.filter("i >= 50").drop("i")
+    got = components.merged(components.components(first), more)
+    assert sorted(map(tuple, got.collect())) == components_of(links)
