@@ -108,3 +108,29 @@ def test_clustered_vectors_skip_pages_as_shipped(spark, monkeypatch):
     monkeypatch.setattr(topk, "_visits", spy)
     check(spark, clustered(2000, 4, 3, spread=0.01))
     assert sum(visits) < 0.5 * 40 * 44
+
+
+def test_no_row_holds_more_than_one_vector(spark, monkeypatch):
+    """A batch of rows stays small however large pages and blocks get."""
+    widest = {}
+    real = topk.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        for c, kind in out.dtypes:
+            if kind == "binary":
+                widest[name, c] = out.agg(F.max(F.octet_length(c))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(topk, "materialize", spy)
+    check(spark, clustered(2000, 64, 5))
+    assert widest and max(widest.values()) <= 8 * 64
+
+
+@pytest.mark.parametrize("chunk", [1, 60])
+def test_queries_meet_chunks_in_groups(spark, monkeypatch, chunk):
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "GROUP_BLOCKS", 2)
+    monkeypatch.setattr(topk, "CELLS", 64)
+    check(spark, clustered(700, 5, 6) + [(50 * i, [0.25] * 5) for i in range(20, 24)])
