@@ -15,6 +15,7 @@ from ledgerspark.plans.keyindex import KeyIndex
 from ledgerspark.plans.statuslog import CommitConflict, StatusLog
 from ledgerspark.plans.store import LedgerStore
 from ledgerspark.plans.summary_state import LedgerSummaries
+from ledgerspark.session import Scratch
 from test_store import HEAD, load, rows
 
 
@@ -291,3 +292,34 @@ def test_summaries_from_states(spark, workdir, monkeypatch):
     equal()
     one = LedgerSummaries(store, client_name="Nobody")
     assert one.account_summary().count() == 0
+
+
+def test_place_bits_mark_as_the_join_does(spark, workdir):
+    """Rows meet the first places as bitmaps and are not shuffled themselves."""
+    rows = [(f, i * 11_111, f"k{i % 13}" if i % 5 else None, "x" * 50) for f in ("a", "b", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "source_file string, source_row long, k string, wide string").repartition(4)
+    where = F.col("source_row") % 3 != 0
+    part = df.filter(where).select("source_file", "source_row", *duplicates.key_hashes(["k"]))
+    fresh = duplicates.first_rows(part)
+    with Scratch(spark) as scratch:
+        bits = duplicates.place_bits(fresh, scratch.write)
+        out = duplicates.mark(df, part, fresh, where, bits)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        want = duplicates.mark(df, part, fresh, where)
+        assert out.columns == want.columns
+        assert sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+        all_rows = duplicates.mark(df, df.select(*part.columns[:2]), fresh, None, bits).filter("NOT is_duplicate")
+        assert all_rows.count() == 14
+
+
+def test_place_bits_of_far_or_missing_numbers_are_not_made(spark, workdir, monkeypatch):
+    monkeypatch.setattr(duplicates, "MOST_BLOCKS", 5)
+    df = spark.range(10).select((F.col("id") * (1 << 40)).alias("source_row"), F.col("id").alias("k"))
+    first = lambda d: duplicates.first_rows(d.select("source_row", *duplicates.key_hashes(["k"])))
+    with Scratch(spark) as scratch:
+        assert duplicates.place_bits(first(df), scratch.write) is None
+        none = df.limit(2).withColumn("source_row", F.lit(None).cast("long"))
+        assert duplicates.place_bits(first(none), scratch.write) is None
+        near = df.withColumn("source_row", F.col("k") - 5)
+        assert duplicates.place_bits(first(near), scratch.write).count() == 2
